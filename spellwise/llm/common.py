@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised step holds at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
-#: Rows of an Arrow batch between the JVM and Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between the JVM and Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _BASE, _LENGTH_SALT = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -41,9 +41,8 @@ def written(df: DataFrame) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Keeps the batches that go to Python small, so that long texts fit a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
