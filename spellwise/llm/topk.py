@@ -2,7 +2,8 @@
 
 Each vector carries its distances to a fixed set of pivots.  For a query q and a candidate x the largest
 |d(q, p) - d(x, p)| over the pivots is a lower bound of d(q, x), hence an upper bound of the inner product.
-Candidates are evaluated in bound order and the search stops where the bound falls below the k-th score.
+Candidates at like distances from all pivots share a bound; they are evaluated in bound order and the search
+stops where the bound falls below the k-th score.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from . import common
 PIVOTS, PIVOT_SAMPLE = 16, 1024
 #: Queries that a task holds at once, candidates of a stripe, and the most stripes.
 QUERY_BLOCK, STRIPE_ROWS, MOST_STRIPES = 8192, 4096, 256
-#: Pairs evaluated between two looks at the thresholds.
-_PAIRS = 200_000
+#: Candidates that share a bound, and tiles evaluated between two looks at the thresholds.
+TILE, TILES_AT_ONCE = 64, 8
 _NONE = np.iinfo(np.int64).min
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -84,32 +85,42 @@ class _Search:
         return np.stack([np.linalg.norm(x - p, axis=1) for p in self.pivots], 1) if len(self.pivots) else np.zeros((len(x), 0))
 
     def feed(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Searches a batch: candidates at like distances from the pivots form tiles, and a tile has one bound a query."""
         width = max(self.q.shape[1], x.shape[1], self.pivots.shape[1])
         self.q, self.pivots, x = _widened(self.q, width), _widened(self.pivots, width), _widened(x, width)
         dq, dx = self._distances(self.q), self._distances(x)
-        bound = np.zeros((len(self.q), len(x)))
-        gap = np.empty_like(bound)
+        if len(self.pivots):
+            nearest = dx.argmin(1)
+            order = np.lexsort((dx[np.arange(len(x)), nearest], nearest))
+            ids, x, dx = ids[order], x[order], dx[order]
+        heads = np.arange(0, len(x), TILE)
+        low, high = np.minimum.reduceat(dx, heads, axis=0), np.maximum.reduceat(dx, heads, axis=0)
+        bound = np.zeros((len(self.q), len(heads)))
         for p in range(len(self.pivots)):
-            np.subtract(dq[:, p, None], dx[None, :, p], out=gap)
-            np.maximum(bound, np.abs(gap, out=gap), out=bound)
-        norms = (self.q**2).sum(1)[:, None] + (x**2).sum(1)[None, :]
+            np.maximum(bound, dq[:, p, None] - high[None, :, p], out=bound)
+            np.maximum(bound, low[None, :, p] - dq[:, p, None], out=bound)
+        norms = (self.q**2).sum(1)[:, None] + np.maximum.reduceat((x**2).sum(1), heads)[None, :]
         bound = np.maximum(bound - 1e-6 * (1 + bound), 0)  # room for rounding
         upper = (norms - bound * bound) / 2 + 1e-9 * norms + 0.5
-        qi, xi = np.nonzero(upper >= self.scores[:, -1:].astype(np.float64))
-        order = np.argsort(-upper[qi, xi], kind="stable")
-        qi, xi = qi[order], xi[order]
         exact = max(np.abs(self.q).max(initial=0), np.abs(x).max(initial=0)) ** 2 * max(width, 1) < 2**52
-        for at in range(0, len(qi), _PAIRS):
-            a, b = qi[at : at + _PAIRS], xi[at : at + _PAIRS]
-            live = (upper[a, b] >= self.scores[a, -1]) & (self.ids[a] != ids[b])
-            a, b = a[live], b[live]
-            if not len(a):
-                continue
-            if exact:
-                scores = np.einsum("ij,ij->i", self.q[a], x[b]).astype(np.int64)
-            else:
-                scores = np.einsum("ij,ij->i", self.q[a].astype(np.int64), x[b].astype(np.int64))
-            self._merge(a, scores, ids[b])
+        q = self.q if exact else self.q.astype(np.int64)
+        x = x if exact else x.astype(np.int64)
+        by_bound = np.argsort(-upper.max(0), kind="stable")
+        for at in range(0, len(by_bound), TILES_AT_ONCE):
+            tiles = by_bound[at : at + TILES_AT_ONCE]
+            rows = np.flatnonzero((upper[:, by_bound[at:]] >= self.scores[:, -1:]).any(1))
+            if not len(rows):
+                break  # no query can still gain from this tile or those after it
+            rows = np.flatnonzero((upper[:, tiles] >= self.scores[:, -1:]).any(1))
+            members = np.concatenate([np.arange(heads[t], min(heads[t] + TILE, len(x))) for t in tiles])
+            scores = q[rows] @ x[members].T
+            floor = self.scores[rows, -1:]
+            if scores.shape[1] > self.k + 1:  # the query itself may be among the best
+                floor = np.maximum(floor, np.partition(scores, -self.k - 1, axis=1)[:, [-self.k - 1]])
+            a, b = np.nonzero(scores >= floor)
+            found, near = scores[a, b].astype(np.int64), ids[members][b]
+            other = self.ids[rows][a] != near
+            self._merge(rows[a[other]], found[other], near[other])
 
     def _merge(self, a: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = scores >= self.scores[a, -1]
