@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 
 #: Bytes of text that a vectorised step holds at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -156,3 +156,8 @@ def repeats_in_rows(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.
         same[1:] |= equal
         same[:-1] |= equal
     return order, same
+
+
+def ordered(partition, *order) -> WindowSpec:
+    """A running window."""
+    return Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import licenses, tokenfile, topk
+from . import licenses, mixing, tokenfile, topk, warc
 from .common import table
 
 
@@ -18,17 +18,29 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.transactions(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"), "response.refers_to")
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_tokens(F.col("text")).alias("n_tokens"))
+    return mixing.mix(docs, max_repeats=1.5, tokens=F.col("n_tokens"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("expressions")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op4_warc_transactions": op4_warc_transactions,
     "op7_token_file": op7_token_file,
+    "op9_source_mixing": op9_source_mixing,
     "op10_license_scan": op10_license_scan,
 }
 
@@ -50,4 +62,16 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 20
     """,
+    "op4_warc_transactions": """
+        WITH p AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first_page <> page_id THEN first_page END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
 }
