@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, tokenfile, topk, warc
+from . import licenses, mixing, simhash, tokenfile, topk, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"), "response.refers_to")
 
 
+def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
@@ -39,6 +43,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op4_warc_transactions": op4_warc_transactions,
+    "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op7_token_file": op7_token_file,
     "op9_source_mixing": op9_source_mixing,
     "op10_license_scan": op10_license_scan,
