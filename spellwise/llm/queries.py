@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, simhash, tokenfile, topk, warc
+from . import licenses, mixing, quality, simhash, tokenfile, topk, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.transactions(table(spark, sf_dir, "pages"))
     return captures.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"), "response.refers_to")
@@ -47,6 +51,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_warc_transactions": op4_warc_transactions,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op7_token_file": op7_token_file,
