@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, simhash, tokenfile, topk, toxicity, warc
+from . import licenses, mixing, quality, simhash, substring, tokenfile, topk, toxicity, warc
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.first_doc_id", "s.start", "s.chars", "s.words")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_tokens(F.col("text")).alias("n_tokens"))
     return mixing.mix(docs, max_repeats=1.5, tokens=F.col("n_tokens"))
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_transactions": op4_warc_transactions,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op7_token_file": op7_token_file,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_source_mixing": op9_source_mixing,
     "op10_license_scan": op10_license_scan,
 }
