@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, simhash, substring, tokenfile, topk, toxicity, warc
+from . import licenses, mixing, nbest, quality, simhash, substring, tokenfile, topk, toxicity, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.n_best(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_warc_transactions": op4_warc_transactions,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+    "op6_sentencepiece_n_best": op6_sentencepiece_n_best,
     "op7_token_file": op7_token_file,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_source_mixing": op9_source_mixing,
