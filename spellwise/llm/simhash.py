@@ -228,3 +228,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     named = common.written(members.join(leasts, "component").select("fp", "component_id"))
     names = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents that links join to one with a smaller id; all columns stay.
+
+    Rows that repeat an id are one document and stay or go together; rows with a null id stay.
+    """
+    found = near_duplicates(docs, words, seed, id_col, text_col)
+    gone = common.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -126,11 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
 def _scorer(weights):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in common.slices(batch):
+            for part, data, offsets in common.slices(batch, "__text"):
                 rows, index = features(data, offsets)
                 found = pa.array(weights.value.scores(rows, index, part.num_rows))
-                names = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), found], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), found], names=["row", "score"])
 
     return score
 
@@ -140,16 +139,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from THRESHOLD on) of each row.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default) with held_out, score and predicted (1 from THRESHOLD on), a row for each row.
 
     A null or empty text scores as the intercept alone.  Without any label of either kind the score is that of the
     untrained model moved to the share of label 1.  A null id is not held out; repeated rows score alike; an
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; columns of docs named like a new one are replaced.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     weights = spark.sparkContext.broadcast(train(docs, labels, ~held_out(F.col("doc_id")), id_col, text_col, label_col))
-    two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    scored = two.mapInArrow(_scorer(weights), "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    new = ("held_out", "score", "predicted")
+    own = [c for c in keep or docs.columns if c not in new]
+    packed = docs.select(F.struct(*[docs[c] for c in own], docs[id_col].cast("long").alias("__id")).alias("row"), docs[text_col].cast("string").alias("__text"))
+    scored = packed.mapInArrow(_scorer(weights), packed.select("row", F.lit(0.0).alias("score")).schema)
+    verdict = [held_out(F.col("row.__id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")]
+    return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in own], *verdict)
