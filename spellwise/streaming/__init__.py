@@ -1,0 +1 @@
+"""No operator of this library is a stream: all work on finished histories."""
