@@ -43,4 +43,6 @@ def half_up(sql: str) -> str:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     doubles = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select(*[(F.round(f"`{c}`", digits) + 0.0).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns])
+    # halves of exact ratios come out as 0.4999.. or 0.5: ten decimals settle them before the last ones are cut
+    cut = lambda x: F.coalesce(F.round(x.try_cast("decimal(38, 10)"), digits).cast("double"), x)
+    return df.select(*[cut(F.col(f"`{c}`")).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns])
