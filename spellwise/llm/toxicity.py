@@ -20,7 +20,7 @@ BITS = 20
 #: Labelled documents that the classifier is fitted on at most, by label: those with the smallest hashes of their ids.
 SAMPLE = {1: 4000, 0: 4000}
 #: FTRL: rate, its smoothing, L1, L2, and passes over the sample.
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 16.0, 0.1, 6
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 0.1, 6
 THRESHOLD = 0.3
 _KINDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
