@@ -19,7 +19,7 @@ from . import common
 
 #: One place in CUT_RATE ends a chunk on average; a place within MIN_GAP bytes after another does not, and a chunk of
 #: more than MAX_CHUNK bytes is divided from its start.
-CUT_RATE, MIN_GAP, MAX_CHUNK = 40, 8, 4096
+CUT_RATE, MIN_GAP, MAX_CHUNK = 24, 8, 4096
 #: Words of a repeated passage that is removed.  The chunks inside a passage cover it but for its edges.
 MIN_WORDS = 15
 
@@ -153,12 +153,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated passages cut out of the texts; all rows and columns stay."""
-    spans = common.written(repeated_passages(docs, id_col, text_col)).withColumnRenamed("doc_id", "__doc")
-    rows = docs.withColumn("__key", docs[id_col].cast("long"))
-    own = [c for c in docs.columns]
-    joined = rows.join(spans, F.col("__key") == F.col("__doc"), "left")
-    packed = joined.select(F.struct(*[F.col(f"`{c}`") for c in own if c != text_col]).alias("rest"), F.col(text_col).cast("string").alias("text"), "spans")
+    spans = common.written(repeated_passages(docs, id_col, text_col).withColumnRenamed("doc_id", "__doc"))
+    rest = F.struct(*[docs[c] for c in docs.columns if c != text_col], F.lit(0).alias("__none"))
+    rows = docs.select(rest.alias("rest"), docs[text_col].cast("string").alias("text"), docs[id_col].cast("long").alias("__key"))
+    packed = rows.join(spans, F.col("__key") == F.col("__doc"), "left").select("rest", "text", "spans")
     common.small_batches(docs.sparkSession)
-    schema = packed.drop("spans").schema
-    cut = packed.mapInArrow(_cut, schema)
-    return cut.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`") for c in own])
+    cut = packed.mapInArrow(_cut, packed.drop("spans").schema)
+    return cut.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
