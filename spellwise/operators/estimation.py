@@ -248,3 +248,9 @@ def _to_simplex(v: np.ndarray) -> np.ndarray:
 def unimplemented_check(name: str) -> dict:
     """Checks that have a status only."""
     return {"check": name, "status": "not_implemented"}
+
+
+def group_means(panel: DataFrame, outcomes: list[str], treat: str = "is_treated", period: str = "period") -> DataFrame:
+    """Mean, spread and size of each outcome by treatment and period: the data of trend and comparison charts."""
+    long = panel.select(treat, period, *[F.col(c).cast("double").alias(c) for c in outcomes]).unpivot([treat, period], outcomes, "outcome", "value")
+    return long.groupBy("outcome", treat, period).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))

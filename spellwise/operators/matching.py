@@ -267,3 +267,37 @@ def match_quality(total_treated: int, total_control: int, matched_treated: int,
     if treated_in_support_pct is not None and treated_in_support_pct < 80:
         advice.append("Limited common support for treated persons")
     return {"treatment_retention_rate": retention, "control_utilization_rate": use, "effective_sample_size": matched_treated + matched_control, "quality_score": score, "rating": rating, "recommendations": advice}
+
+
+def impute(rows: DataFrame, variables: list[str], how: str = "median") -> DataFrame:
+    """Missing values filled: numbers with their median or mean, text with its mode (the smaller of equals); complete drops the rows instead."""
+    if how == "complete":
+        return rows.dropna(subset=variables)
+    fills = []
+    for v in variables:
+        if _numeric(rows, v):
+            fills.append((F.median(v) if how == "median" else F.avg(v)).alias(f"__{v}"))
+    out = rows
+    if fills:
+        one = rows.agg(*fills)
+        out = out.join(F.broadcast(one))  # one row
+        out = out.withColumns({v: F.coalesce(F.col(v).cast("double"), F.col(f"__{v}")) for v in variables if _numeric(rows, v)}).drop(*one.columns)
+    for v in variables:
+        if not _numeric(rows, v):
+            best = rows.where(F.col(v).isNotNull()).groupBy(v).agg(F.count("*").alias("n")).agg(F.min(F.struct(-F.col("n"), F.col(v).alias("v")))["v"].alias("__m"))
+            out = out.join(F.broadcast(best)).withColumn(v, F.coalesce(F.col(v), F.col("__m"))).drop("__m")  # one row
+    return out.select(*rows.columns)
+
+
+def missing_correlation(rows: DataFrame, variables: list[str]) -> DataFrame:
+    """The correlation of each pair of missingness flags; null where a flag never varies."""
+    flag = {v: F.col(v).isNull().cast("double") for v in variables}
+    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i + 1 :]]
+    one = rows.agg(*[F.corr(flag[a], flag[b]).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("correlation")) for k, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
+
+
+def love_plot(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Absolute standardised differences of two balance tables, one under the other."""
+    part = lambda t, name: t.select("variable", F.abs("std_mean_diff").alias("abs_std_diff"), F.lit(name).alias("sample"))
+    return part(before, "before").unionByName(part(after, "after"))

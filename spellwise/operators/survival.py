@@ -138,3 +138,13 @@ def pairwise_logrank(rows: DataFrame, group: str = "contract_type") -> list[tupl
     if len(names) <= 2:
         return []
     return [(a, b, logrank_test(rows.where(F.col(group).isin(a, b)), 0.0, group).p_value) for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
+def comparison_groups(medians: DataFrame, most: int = 10, group: str = "contract_type") -> DataFrame:
+    """Up to `most` groups, evenly spaced over the order of their medians."""
+    order = Window.partitionBy().orderBy(F.asc_nulls_last("median_survival"), group)  # groups are few
+    ranked = medians.withColumns({"r": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy())})
+    step = F.greatest(F.lit(1.0), (F.col("n") - 1) / F.lit(float(max(1, most - 1))))
+    slot = F.floor((F.col("r") - 1) / step)
+    kept = ranked.withColumn("slot", slot).withColumn("k", F.row_number().over(Window.partitionBy("slot").orderBy("r"))).where("k = 1 OR r = n")
+    return kept.select(group, "median_survival", "median_ci_lower", "median_ci_upper")

@@ -148,3 +148,39 @@ def person_consolidation_impact(segments: DataFrame) -> DataFrame:
 def transitions_by(rows: DataFrame, *keys: str) -> DataFrame:
     """Weights of edges for each period or group."""
     return rows.groupBy(*keys, "from", "to").agg(F.count("*").alias("weight"), F.avg("durata").alias("transition_duration"))
+
+
+def matrix_labels(matrix: DataFrame, min_weight: float = 1.0) -> DataFrame:
+    """The grid of a matrix with its share of all, values under min_weight left out, and a label."""
+    shown = F.when(F.col("value") >= min_weight, F.col("value"))
+    percentage = C.share(F.col("value"))
+    out = matrix.withColumns({"percentage": percentage, "value": shown})
+    return out.withColumn("label", F.when(F.col("value").isNotNull(), F.format_string("%d (%.1f%%)", F.col("value").cast("long"), F.col("percentage"))))
+
+
+def transition_summary(edges: DataFrame) -> DataFrame:
+    """One row: transitions, states, transitions a state, and the mean gap weighted by transitions."""
+    states = edges.select(F.col("from").alias("s")).union(edges.select("to")).distinct().agg(F.count("*").alias("n_states"))
+    sums = edges.agg(F.sum("weight").alias("total_transitions"), (F.sum(F.col("weight") * F.col("transition_duration")) / F.sum("weight")).alias("mean_gap"))
+    return sums.join(states).withColumn("per_state", C.ratio(F.col("total_transitions"), F.col("n_states")))  # single rows
+
+
+def consolidation_benefits(raw: DataFrame, consolidated: DataFrame) -> DataFrame:
+    """One row: edges, weights and states before and after consolidation, and by how many percent they shrink."""
+    def sizes(e: DataFrame, name: str) -> DataFrame:
+        states = e.select(F.col("from").alias("s")).union(e.select("to")).distinct().agg(F.count("*").alias(f"{name}_states"))
+        return e.agg(F.count("*").alias(f"{name}_edges"), F.sum("weight").alias(f"{name}_weight")).join(states)  # single rows
+
+    both = sizes(raw, "raw").join(sizes(consolidated, "consolidated"))  # single rows
+    cut = lambda c: F.round(100 * (1 - C.ratio(F.col(f"consolidated_{c}"), F.col(f"raw_{c}"))), 1)
+    return both.withColumns({f"{c}_reduction_pct": cut(c) for c in ("edges", "weight", "states")})
+
+
+def node_order(edges: DataFrame, how: str = "alphabetical") -> DataFrame:
+    """Nodes with their place on a circle: alphabetical, or by falling frequency; and whether they are among the top tenth of roots."""
+    ends = edges.select(F.col("from").alias("node"), F.col("weight").alias("o"), F.lit(0).cast("long").alias("i")).unionAll(edges.select("to", F.lit(0).cast("long"), F.col("weight")))
+    nodes = ends.groupBy("node").agg((F.sum("o") + F.sum("i")).alias("frequency"), (F.sum("o") - F.sum("i")).alias("root_score"))
+    whole = Window.partitionBy()  # nodes are few
+    place = whole.orderBy("node") if how == "alphabetical" else whole.orderBy(F.desc("frequency"), "node")
+    roots = F.row_number().over(whole.orderBy(F.desc("root_score"), "node")) <= F.greatest(F.lit(1), F.ceil(F.count("*").over(whole) * 0.1))
+    return nodes.withColumns({"place": F.row_number().over(place), "is_root": roots})

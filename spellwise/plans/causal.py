@@ -309,3 +309,10 @@ add("rdd_fuzzy", lambda s, d: _table(s, [R.fuzzy(A.table(s, d, "lineitem").withC
 add("rdd_robustness", lambda s, d: _table(s, R.robustness(A.table(s, d, "lineitem"), "l_extendedprice", "l_quantity", 25.0, (0.75, 1.25), (1, 2)), f"check string, value string, {_EST}"))
 add("rdd_placebo", lambda s, d: _table(s, R.placebo(A.table(s, d, "lineitem"), "l_extendedprice", "l_quantity", 25.0, [15.0, 35.0]), f"cutoff double, {_EST}"))
 add("rdd_density_test", lambda s, d: _table(s, [R.density_test(_lines(s, d))], "method string, bin_size double, density_left double, density_right double, test_statistic double, p_value double, log_density_jump double"))
+add("imputed_means", lambda s, d: M.impute(A.segments(s, d).select("cf", "prior", "retribuzione", "stato"), ["prior"], "median").groupBy("stato").agg(F.avg("prior").alias("mean_prior"), F.count("prior").alias("n")),
+    f"WITH {SEGMENTS}, m AS (SELECT median(prior) AS m FROM segments) SELECT stato, round(avg(coalesce(CAST(prior AS DOUBLE), m)), 6) AS mean_prior, count(*) AS n FROM segments, m GROUP BY stato")
+add("missing_correlation", lambda s, d: M.missing_correlation(A.segments(s, d), ["retribuzione", "prior"]),
+    f"WITH {SEGMENTS} SELECT 'retribuzione' AS a, 'prior' AS b, round(corr(CAST(retribuzione IS NULL AS DOUBLE), CAST(prior IS NULL AS DOUBLE)), 6) AS correlation FROM segments")
+add("love_plot", lambda s, d: M.love_plot(M.balance(_persons(s, d), ["n_orders", "mean_price"]), M.balance(M.coarsened_exact(_persons(s, d), ["area", "mean_price"], seed=None), ["n_orders", "mean_price"])))
+_MEANS = "SELECT '{0}' AS outcome, is_treated, period, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS sd, count({0}) AS n FROM pn GROUP BY 2, 3"
+add("group_means", lambda s, d: E.group_means(_panel(s, d), ["employment_rate", "days_employed"]), f"WITH {_PANEL} {_MEANS.format('employment_rate')} UNION ALL {_MEANS.format('days_employed')}")

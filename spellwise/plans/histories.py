@@ -247,3 +247,26 @@ add(
     ) SELECT *, CAST(rank() OVER (ORDER BY overlap_frequency DESC) AS INTEGER) AS overlap_frequency_rank, CAST(rank() OVER (ORDER BY overlap_intensity_pct DESC) AS INTEGER) AS overlap_intensity_rank,
         CAST(rank() OVER (ORDER BY pct_persons_with_overlaps DESC) AS INTEGER) AS persons_with_overlaps_rank FROM m""",
 )
+add(
+    "transition_matrix_labels",
+    lambda s, d: T.matrix_labels(T.transition_matrix(_edges(s, d)), 20),
+    f"""{_GRID}, p AS (SELECT *, round(100 * v / sum(v) OVER (), 1) AS percentage FROM grid)
+    SELECT "from", "to", CASE WHEN v >= 20 THEN v END AS value, percentage, CASE WHEN v >= 20 THEN printf('%d (%.1f%%)', CAST(v AS BIGINT), percentage) END AS label FROM p""",
+)
+add(
+    "transition_summary",
+    lambda s, d: T.transition_summary(_edges(s, d)),
+    f"""WITH {EDGES}, n AS (SELECT count(*) AS n_states FROM (SELECT "from" FROM edges UNION SELECT "to" FROM edges)), t AS (SELECT CAST(sum(weight) AS BIGINT) AS total_transitions, sum(weight * transition_duration) / sum(weight) AS g FROM edges)
+    SELECT total_transitions, round(g, 6) AS mean_gap, n_states, round(total_transitions / n_states, 6) AS per_state FROM t, n""",
+)
+add("consolidation_edge_benefits", lambda s, d: T.consolidation_benefits(_edges(s, d), _merged(s, d)),
+    f"""{_BOTH_EDGES}, a AS (SELECT nz AS raw_edges, total AS raw_weight, n AS raw_states FROM raw_one), b AS (SELECT nz AS consolidated_edges, total AS consolidated_weight, n AS consolidated_states FROM cons_one)
+    SELECT raw_edges, CAST(raw_weight AS BIGINT) AS raw_weight, raw_states, consolidated_edges, CAST(consolidated_weight AS BIGINT) AS consolidated_weight, consolidated_states, round(100 * (1 - consolidated_edges / raw_edges), 1) AS edges_reduction_pct,
+        round(100 * (1 - consolidated_weight / raw_weight), 1) AS weight_reduction_pct, round(100 * (1 - consolidated_states / raw_states), 1) AS states_reduction_pct FROM a, b""")
+for how, order in {"alphabetical": "node", "frequency": "frequency DESC, node"}.items():
+    add(
+        f"node_order_{how}",
+        lambda s, d, how=how: T.node_order(_edges(s, d), how),
+        f"""WITH {EDGES}, e AS (SELECT "from" AS node, weight AS o, 0 AS i FROM edges UNION ALL SELECT "to", 0, weight FROM edges), n AS (SELECT node, CAST(sum(o) + sum(i) AS BIGINT) AS frequency, CAST(sum(o) - sum(i) AS BIGINT) AS root_score FROM e GROUP BY node)
+        SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place, row_number() OVER (ORDER BY root_score DESC, node) <= greatest(1, ceil(count(*) OVER () * 0.1)) AS is_root FROM n""",
+    )

@@ -219,3 +219,4 @@ add(
     SELECT cf, period, employment_rate, permanent_contract_rate, career_complexity_index, transition_frequency FROM stability FULL JOIN quality USING (cf, period) FULL JOIN complexity USING (cf, period) FULL JOIN patterns USING (cf, period)""",
 )
 add("impact_metrics_long", lambda s, d: I.comprehensive(A.period_segments(s, d), _PERM, _TEMP, form="long"))
+add("survival_comparison_groups", lambda s, d: V.comparison_groups(V.median_survival(_km(s, d)), 3))
