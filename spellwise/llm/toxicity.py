@@ -18,7 +18,7 @@ from . import common
 #: Hash bits of the feature space.
 BITS = 20
 #: Labelled documents that the classifier is fitted on at most, by label: those with the smallest hashes of their ids.
-SAMPLE = {1: 4000, 0: 4000}
+SAMPLE = {1: 3000, 0: 3000}
 #: FTRL: rate, its smoothing, L1, L2, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 0.1, 6
 THRESHOLD = 0.3
@@ -73,7 +73,9 @@ def fit(examples: list[tuple[int, np.ndarray]], share_of_ones: float) -> Weights
         return np.where(np.abs(zi) <= l1[i], 0.0, -(zi - np.sign(zi) * l1[i]) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     # a coordinate moves by less than 1 an example, so one in too few examples never passes L1
-    frequency = np.bincount(np.concatenate([i for _, i in examples] or [np.zeros(0, np.int64)]), minlength=size)
+    frequency = np.zeros(size, np.int32)
+    for _, i in examples:
+        frequency[i] += 1
     usable = frequency * EPOCHS > l1
     examples = [(y, i[usable[i]]) for y, i in examples]
     order = np.random.default_rng(7)
@@ -118,8 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     chosen = F.broadcast(picks[0].unionAll(picks[1]))  # SAMPLE bounds it
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     found = two.join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(_extract, "doc_id long, y int, features binary")
-    rows = found.collect()
-    examples = [(r.y, np.append(np.frombuffer(r.features, np.int32).astype(np.int64), 1 << BITS)) for r in sorted(rows, key=lambda r: (r.doc_id, r.features))]
+    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.features))
+    examples = [(r.y, np.append(np.frombuffer(r.features, np.int32), np.int32(1 << BITS))) for r in rows]
+    del rows
     return fit(examples, ones / total if total else 0.0)
 
 
