@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir.  Only a local session may do without that setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="spellwise-")
         spark.conf.set("spark.checkpoint.dir", top)

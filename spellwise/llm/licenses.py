@@ -122,8 +122,7 @@ def _to_words() -> bytes:
 
 def expressions(text: bytes) -> list[str]:
     """What follows each identifier tag on its line, as far as it can be a part of an expression."""
-    lower, found, at = text.lower(), [], 0
-    tag = TAG.encode()
+    lower, found, at, tag = text.lower(), [], 0, TAG.encode()
     while (at := lower.find(tag, at)) >= 0:
         at += len(tag)
         line = lower[at : (end if (end := lower.find(b"\n", at)) >= 0 else len(lower))]
@@ -157,7 +156,7 @@ def scan(text: bytes) -> tuple:
         first, last = index[order[0]], index[order[-1]]
     else:
         first = last = None
-    tags = expressions(text) if b"pdx" in text or b"PDX" in text.upper() and TAG.encode() in text.lower() else []
+    tags = expressions(text)
     for expression in tags:
         if (value := evaluate(expression)) is not None:
             labels.update(value[0])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Distinct words that a worker remembers, and characters of new words that are searched at once.
-CACHE_WORDS, CHUNK_CHARS = 300_000, 150_000
+CACHE_WORDS, CHUNK_CHARS = 150_000, 100_000
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 

@@ -300,10 +300,8 @@ def read_shards(spark: SparkSession, folder: str, digest: bool = False) -> DataF
     shards = spark.read.format("binaryFile").load(folder).where(F.col("length") > MANIFEST_BYTES).select("content")
     schema = "partition int, doc_id long, local long, " + ("n_tokens long, ids_crc32 long" if digest else "ids array<int>")
     rows = shards.mapInArrow(_digest if digest else _read, schema)
-    if not starts:
-        return rows.select("doc_id", F.col("local").alias("start"), *rows.columns[3:])
-    offsets = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
-    return rows.select("doc_id", (F.col("local") + offsets[F.col("partition")]).cast("long").alias("start"), *rows.columns[3:])
+    before = spark.createDataFrame(list(starts.items()), "partition int, before long")  # one row a range partition
+    return rows.join(F.broadcast(before), "partition").select("doc_id", (F.col("local") + F.col("before")).alias("start"), *rows.columns[3:])
 
 
 def token_file(docs: DataFrame, tokenizer_path: str, end_id: int = 0, width: int = 2, digest: bool = False, folder: str | None = None) -> DataFrame:
