@@ -10,19 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Frequent words of some languages; together they are the bins of the word histogram.
-COMMON_WORDS = """
-the of and to in is was he for it with as his on be at by had not are but from or have an they which one you were her all
-she there would their we him been has when who will more no if out so said what up its about into than them can only other
-der die und den von zu das mit sich des auf ist im dem nicht ein eine als auch es werden aus er hat dass sie nach wird bei
-de la le et les en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son lui nous comme mais
-el que y los se del las por con una su para es al lo como pero sus le ya o este porque esta entre cuando muy sin sobre
-"""
+#: Bins of a language's word histogram: the words that the most of its documents hold.  Where fewer of its documents than
+#: WORD_COVER hold any of them (scripts without spaces between words), the language has no word reference.
+COMMON_WORDS, WORD_COVER = 64, 0.9
 #: Character classes: a-z, A-Z, digits, white space, sentence punctuation, other ASCII, two-byte and longer characters.
 CLASSES = 8
 #: A reference needs so many documents; of more languages the largest count.
@@ -52,18 +47,19 @@ def _class_of() -> np.ndarray:
     return out
 
 
-def common_words() -> list[str]:
-    return sorted(set(COMMON_WORDS.split()))
+def _letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word of letters, in lower case."""
+    low = common.LOWER[data]
+    starts, ends, counts = common.word_bounds(low, offsets, common.NOT_LETTER)
+    return common.span_hashes(low, starts, ends), common.row_of(counts)
 
 
-def _hash_words(words: list[str]) -> np.ndarray:
-    data = np.frombuffer("\n".join(words).encode(), np.uint8)
-    starts, ends, _ = common.word_bounds(data, np.array([0, len(data)]), common.WHITE)
-    return common.span_hashes(data, starts, ends)
+def _in_group(words: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    return common.mix(words + groups.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
 
-def measure(data: np.ndarray, offsets: np.ndarray, bins: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts of each row's text; bins are the sorted hashes of the common words."""
+def measure(data: np.ndarray, offsets: np.ndarray, bins: list[np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts of each row's text; which names each row's list of bins, the hashes of common words (-1: it has none)."""
     n = len(offsets) - 1
     starts, ends, counts = common.word_bounds(data, offsets, common.WHITE)
     rows, n_words = common.row_of(counts), np.diff(counts)
@@ -97,12 +93,18 @@ def measure(data: np.ndarray, offsets: np.ndarray, bins: np.ndarray) -> dict[str
     of_char = np.repeat(np.arange(n), np.diff(offsets))
     classes = _class_of()[data]
     out["classes"] = np.bincount(of_char * (CLASSES + 1) + classes, minlength=n * (CLASSES + 1)).reshape(n, CLASSES + 1)[:, :CLASSES]
-    low = common.LOWER[data]
-    starts, ends, counts = common.word_bounds(low, offsets, common.NOT_LETTER)
-    words = common.span_hashes(low, starts, ends)
-    place = np.minimum(np.searchsorted(bins, words), len(bins) - 1)
-    place[bins[place] != words] = len(bins)
-    out["words"] = np.bincount(common.row_of(counts) * (len(bins) + 1) + place, minlength=n * (len(bins) + 1)).reshape(n, len(bins) + 1)
+    out["words"] = np.zeros((n, COMMON_WORDS), np.int64)
+    sizes = np.array([len(b) for b in bins], np.int64)
+    if sizes.sum():
+        keys = _in_group(np.concatenate(bins).view(np.uint64), np.repeat(np.arange(len(bins)), sizes))
+        places = np.concatenate([np.arange(k) for k in sizes])
+        order = np.argsort(keys)
+        words, rows = _letter_words(data, offsets)
+        own = which[rows]
+        words, rows = _in_group(words[own >= 0], own[own >= 0]), rows[own >= 0]
+        at = np.minimum(np.searchsorted(keys, words, sorter=order), len(keys) - 1)
+        hit = keys[order[at]] == words
+        out["words"] += np.bincount(rows[hit] * COMMON_WORDS + places[order[at[hit]]], minlength=n * COMMON_WORDS).reshape(n, COMMON_WORDS)
     return out
 
 
@@ -116,17 +118,18 @@ def _lines(feed: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def js_distance(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance (square root of the divergence in bits) of each row of counts from each reference; 0 for an empty row."""
+    return np.array([_own_distance(counts, np.broadcast_to(q, counts.shape)) for q in references]).reshape(len(references), len(counts)).T
+
+
+def _own_distance(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """The same of each row from the reference in the same row."""
     sums = counts.sum(1, keepdims=True)
-    p = counts / np.maximum(sums, 1)
-    out = np.zeros((len(p), len(references)))
-    for j, q in enumerate(references):
-        m = (p + q) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            a = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
-            b = np.where(q > 0, q * np.log2(q / m), 0).sum(1)
-        out[:, j] = np.sqrt(np.clip((a + b) / 2, 0, 1))
-    out[sums[:, 0] == 0] = 0
-    return out
+    p, q = counts / np.maximum(sums, 1), references
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
+        b = np.where(q > 0, q * np.log2(q / m), 0).sum(1)
+    return np.where(sums[:, 0] == 0, 0, np.sqrt(np.clip((a + b) / 2, 0, 1)))
 
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -137,36 +140,80 @@ def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().astype(np.int32)))
 
 
+def _three(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    common.small_batches(docs.sparkSession)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of a language, of MIN_WORDS words or more, hold each word."""
+    for batch in batches:
+        for part, data, offsets in common.slices(batch):
+            langs = part.column("lang").dictionary_encode()
+            own = langs.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            own[np.diff(common.word_bounds(data, offsets, common.WHITE)[2]) < MIN_WORDS] = -1
+            words, rows = _letter_words(data, offsets)
+            words, rows = words[own[rows] >= 0], rows[own[rows] >= 0]
+            _, once = np.unique(_in_group(words, rows), return_index=True)
+            words, groups = words[once], own[rows[once]]
+            _, first, counts = np.unique(_in_group(words, groups), return_index=True, return_counts=True)
+            columns = [langs.dictionary.take(pa.array(groups[first])), pa.array(words[first].view(np.int64)), pa.array(counts.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
+
+
+def common_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang and bins: the hashes of the COMMON_WORDS words that most documents of the language hold."""
+    held = _three(docs, id_col, text_col, lang_col).mapInArrow(_holders, "lang string, word long, n long")
+    counts = held.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1")
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= COMMON_WORDS)
+    return top.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("bins"))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bins = np.sort(_hash_words(common_words()))
     for batch in batches:
         for part, data, offsets in common.slices(batch):
-            m = measure(data, offsets, bins)
+            langs = part.column("lang").dictionary_encode()
+            own = langs.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = part.column("bins")
+            heads = np.unique(own, return_index=True)[1][-len(langs.dictionary) :] if len(langs.dictionary) else []
+            bins = [np.array(lists[int(k)].values.to_numpy() if lists[int(k)].is_valid else [], np.int64) for k in heads]
+            m = measure(data, offsets, bins, own)
             columns = [part.column("doc_id"), part.column("lang"), *(pa.array(m[c].astype(np.int64)) for c in _COUNTS), _lists(m["classes"]), _lists(m["words"])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *_COUNTS, "classes", "words"])
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The counts and histograms of each row."""
-    common.small_batches(docs.sparkSession)
-    three = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
-    return three.mapInArrow(_profile, _PROFILE)
+    """The counts and histograms of each row; the bins of the word histogram are those of its language."""
+    bins = common.written(common_words(docs, id_col, text_col, lang_col)).withColumnRenamed("lang", "__lang")
+    three = _three(docs, id_col, text_col, lang_col)
+    return three.join(bins, F.col("lang") == F.col("__lang"), "left").drop("__lang").mapInArrow(_profile, _PROFILE)
 
 
-def references(profiled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Character-class and common-word shares of each language, over all its documents that pass the length guards.
+def class_references(profiled: DataFrame) -> np.ndarray:
+    """Character-class shares of each language, over all its documents that pass the length guards.
 
-    One row a language comes to the driver, MOST_LANGUAGES at most (the largest).  The word histogram holds common words
-    only: shares of rare words differ by topic, not by language.
+    One row a language comes to the driver, MOST_LANGUAGES at most (the largest).
     """
-    width = len(common_words())
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)] + [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(width)]
+    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
     long_enough = (F.col("n_words") >= MIN_WORDS) & F.col("lang").isNotNull()
     found = profiled.where(long_enough).groupBy("lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= MIN_REFERENCE_DOCS)
     rows = found.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     classes = np.array([[r[f"c{i}"] for i in range(CLASSES)] for r in rows], float).reshape(len(rows), CLASSES)
-    words = np.array([[r[f"w{i}"] for i in range(width)] for r in rows], float).reshape(len(rows), width)
-    return classes / np.maximum(classes.sum(1, keepdims=True), 1), words / np.maximum(words.sum(1, keepdims=True), 1)
+    return classes / np.maximum(classes.sum(1, keepdims=True), 1)
+
+
+def word_references(profiled: DataFrame) -> DataFrame:
+    """ref_lang and word_ref, the shares of the common words in the documents that pass the length guards.
+
+    The histogram holds common words only: shares of rare words differ by topic, not by language.
+    """
+    sums = F.array(*[F.sum(F.col("words")[i]) for i in range(COMMON_WORDS)])
+    cover = F.avg((F.aggregate("words", F.lit(0), lambda a, x: a + x) > 0).cast("int"))
+    long_enough = (F.col("n_words") >= MIN_WORDS) & F.col("lang").isNotNull()
+    found = profiled.where(long_enough).groupBy("lang").agg(F.count("*").alias("n"), sums.alias("sums"), cover.alias("cover")).where((F.col("n") >= MIN_REFERENCE_DOCS) & (F.col("cover") >= WORD_COVER))
+    total = F.aggregate("sums", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(F.col("lang").alias("ref_lang"), F.transform("sums", lambda x: x / total).alias("word_ref"))
 
 
 def _near_first(class_refs: np.ndarray):
@@ -178,30 +225,40 @@ def _near_first(class_refs: np.ndarray):
     return near
 
 
-def _judge(class_refs: np.ndarray, word_refs: np.ndarray):
+def _from_own(counts: np.ndarray, references: pa.ListArray) -> np.ndarray:
+    """Distance of each row from its own reference; not a number where it has none."""
+    out = np.full(len(counts), np.nan)
+    known = np.flatnonzero(references.is_valid().to_numpy(zero_copy_only=False))
+    if len(known):
+        out[known] = _own_distance(counts[known], references.take(pa.array(known)).flatten().to_numpy().reshape(len(known), -1))
+    return out
+
+
+def _judge(class_refs: np.ndarray):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             classes = batch.column("classes").flatten().to_numpy().reshape(n, -1)
-            words = batch.column("words").flatten().to_numpy().reshape(n, -1)[:, :-1]
+            words = batch.column("words").flatten().to_numpy().reshape(n, -1)
             n_words = batch.column("n_words").to_numpy()
             c = js_distance(classes, class_refs).min(1, initial=1.0) if len(class_refs) else np.zeros(n)
-            w = js_distance(words, word_refs).min(1, initial=1.0) if len(word_refs) else np.zeros(n)
-            w[words.sum(1) == 0] = 1.0  # no common word at all
+            w = _from_own(words, batch.column("word_ref"))
+            w[(words.sum(1) == 0) & ~np.isnan(w)] = 1.0  # no common word at all
             chars = classes.sum(1)
             judged_c, judged_w = chars >= MIN_CHARS, n_words >= MIN_WORDS
             fine = ~(judged_c & (c > MAX_CLASS_DISTANCE + CLASS_NOISE / np.sqrt(np.maximum(chars, 1)))) & ~(judged_w & (w > MAX_WORD_DISTANCE))
             failed = (n_words < 20) | (100 * batch.column("n_repeat_words").to_numpy() > 30 * n_words)
-            columns = [batch.column("doc_id"), *(batch.column(x) for x in _COUNTS), pa.array(failed), pa.array(fine & ~failed), pa.array(c), pa.array(w)]
+            columns = [batch.column("doc_id"), *(batch.column(x) for x in _COUNTS), pa.array(failed), pa.array(fine & ~failed), pa.array(c), pa.array(w, mask=np.isnan(w))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_COUNTS, "base_failed", "kept", "class_distance", "word_distance"])
 
     return judge
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, the counts of the base rules, base_failed, kept, and the distances from the nearest language reference.
+    """doc_id, the counts of the base rules, base_failed, kept, and the distances from language references: of character
+    classes the nearest, of common words that of the document's own language (null where it has none).
 
     A null or empty text has no words and fails the base rules.  Texts under MIN_CHARS characters or MIN_WORDS words
     get no verdict from the histogram concerned.  Where no language has MIN_REFERENCE_DOCS documents the base
@@ -209,8 +266,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     columns are not read.  Lines, words and windows are equal if their 64-bit hashes are.
     """
     profiled = common.written(profiles(docs, id_col, text_col, lang_col))
-    first, _ = references(profiled)
+    first = class_references(profiled)
     sound = profiled.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= 30 * F.col("n_words")))
-    judge = _judge(*references(sound.mapInArrow(_near_first(first), profiled.schema)))
+    near = common.written(sound.mapInArrow(_near_first(first), profiled.schema))
+    refs = common.written(word_references(near))
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return profiled.drop("lang").mapInArrow(judge, schema)
+    return profiled.join(refs, F.col("lang") == F.col("ref_lang"), "left").drop("lang", "ref_lang").mapInArrow(_judge(class_references(near)), schema)

@@ -97,6 +97,20 @@ def test_quality_rejects_noise(spark):
     assert all(kept[i] for i in range(60)) and not kept[60] and not kept[61]
 
 
+def test_quality_learns_common_words(spark):
+    """Languages that no list names: common words come from the corpus; without any there is no word verdict."""
+    rnd = random.Random(3)
+    greek = [" ".join(rnd.choice("και το να του η της με που την από για είναι στο θα".split() + ["ποτάμι", "πέτρα", "κήπος"]) for _ in range(120)) for _ in range(30)]
+    foreign = " ".join(rnd.choice("ποσειδώνας αθήνα κρήτη θάλασσα βουνό ουρανός".split()) for _ in range(120))
+    bare = [" ".join("".join(rnd.choice("абвгдежзиклмнопрст") for _ in range(8)) for _ in range(60)) for _ in range(30)]
+    english = [" ".join(rnd.choice("the of and to in is was for it with as his on be at by".split()) for _ in range(120)) for _ in range(30)]
+    odd = " ".join(rnd.choice("river stone window garden letter".split()) for _ in range(120))
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([*((t, "el") for t in [*greek, foreign]), *((t, "xx") for t in bare), *((t, "en") for t in [*english, odd])])]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [i for i, _, _ in rows if not got[i].kept] == [30, 91]
+    assert got[30].word_distance == 1 and all(got[i].word_distance is None for i in range(31, 61))
+
+
 def test_js_distance():
     p = np.array([[1, 1, 0], [0, 0, 2], [0, 0, 0]])
     got = quality.js_distance(p, np.array([[0.5, 0.5, 0]]))
