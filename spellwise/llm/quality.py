@@ -20,13 +20,13 @@ from . import common
 COMMON_WORDS, WORD_COVER = 64, 0.9
 #: Character classes: a-z, A-Z, digits, white space, sentence punctuation, other ASCII, two-byte and longer characters.
 CLASSES = 8
-#: A reference needs so many documents; of more languages the largest count.
-MIN_REFERENCE_DOCS, MOST_LANGUAGES = 20, 64
+#: A reference needs so many documents.
+MIN_REFERENCE_DOCS = 20
 #: Guards: shorter texts have no verdict on that histogram.
 MIN_CHARS, MIN_WORDS = 100, 40
 #: Documents farther than this from the first references do not shape the final ones.
 FIRST_CLASS_DISTANCE = 0.2
-#: Distances (0 to 1) from the nearest reference beyond which a document is not kept.  The histogram of a short text is
+#: Distances (0 to 1) from the language's reference beyond which a document is not kept.  The histogram of a short text is
 #: a small sample, so its limit for character classes is wider by CLASS_NOISE / sqrt(characters).
 MAX_CLASS_DISTANCE, CLASS_NOISE, MAX_WORD_DISTANCE = 0.14, 2.2, 0.8
 
@@ -190,39 +190,25 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return three.join(bins, F.col("lang") == F.col("__lang"), "left").drop("__lang").mapInArrow(_profile, _PROFILE)
 
 
-def class_references(profiled: DataFrame) -> np.ndarray:
-    """Character-class shares of each language, over all its documents that pass the length guards.
+def references(profiled: DataFrame) -> DataFrame:
+    """ref_lang, class_ref and word_ref: shares of character classes and of common words, over all documents of the language
+    that pass the length guards.
 
-    One row a language comes to the driver, MOST_LANGUAGES at most (the largest).
+    A language of fewer than MIN_REFERENCE_DOCS such documents has no row; word_ref is null where its documents do not share
+    words.  The word histogram holds common words only: shares of rare words differ by topic, not by language.
     """
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
+    sums = {c: F.array(*[F.sum(F.col(c)[i]) for i in range(k)]).alias(c) for c, k in (("classes", CLASSES), ("words", COMMON_WORDS))}
+    sum_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    cover = F.avg((sum_of("words") > 0).cast("int")).alias("cover")
     long_enough = (F.col("n_words") >= MIN_WORDS) & F.col("lang").isNotNull()
-    found = profiled.where(long_enough).groupBy("lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= MIN_REFERENCE_DOCS)
-    rows = found.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    classes = np.array([[r[f"c{i}"] for i in range(CLASSES)] for r in rows], float).reshape(len(rows), CLASSES)
-    return classes / np.maximum(classes.sum(1, keepdims=True), 1)
+    found = profiled.where(long_enough).groupBy("lang").agg(F.count("*").alias("n"), *sums.values(), cover).where(F.col("n") >= MIN_REFERENCE_DOCS)
+    share = lambda c: F.transform(c, lambda x: x / sum_of(c))
+    return found.select(F.col("lang").alias("ref_lang"), share("classes").alias("class_ref"), F.when(F.col("cover") >= WORD_COVER, share("words")).alias("word_ref"))
 
 
-def word_references(profiled: DataFrame) -> DataFrame:
-    """ref_lang and word_ref, the shares of the common words in the documents that pass the length guards.
-
-    The histogram holds common words only: shares of rare words differ by topic, not by language.
-    """
-    sums = F.array(*[F.sum(F.col("words")[i]) for i in range(COMMON_WORDS)])
-    cover = F.avg((F.aggregate("words", F.lit(0), lambda a, x: a + x) > 0).cast("int"))
-    long_enough = (F.col("n_words") >= MIN_WORDS) & F.col("lang").isNotNull()
-    found = profiled.where(long_enough).groupBy("lang").agg(F.count("*").alias("n"), sums.alias("sums"), cover.alias("cover")).where((F.col("n") >= MIN_REFERENCE_DOCS) & (F.col("cover") >= WORD_COVER))
-    total = F.aggregate("sums", F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select(F.col("lang").alias("ref_lang"), F.transform("sums", lambda x: x / total).alias("word_ref"))
-
-
-def _near_first(class_refs: np.ndarray):
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            classes = batch.column("classes").flatten().to_numpy().reshape(batch.num_rows, CLASSES)
-            yield batch.filter(pa.array(js_distance(classes, class_refs).min(1, initial=1.0) <= FIRST_CLASS_DISTANCE))
-
-    return near
+def _with_references(profiled: DataFrame, found: DataFrame) -> DataFrame:
+    refs = common.written(found)
+    return profiled.join(refs, F.col("lang") == F.col("ref_lang"), "left")
 
 
 def _from_own(counts: np.ndarray, references: pa.ListArray) -> np.ndarray:
@@ -234,41 +220,42 @@ def _from_own(counts: np.ndarray, references: pa.ListArray) -> np.ndarray:
     return out
 
 
-def _judge(class_refs: np.ndarray):
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            classes = batch.column("classes").flatten().to_numpy().reshape(n, -1)
-            words = batch.column("words").flatten().to_numpy().reshape(n, -1)
-            n_words = batch.column("n_words").to_numpy()
-            c = js_distance(classes, class_refs).min(1, initial=1.0) if len(class_refs) else np.zeros(n)
-            w = _from_own(words, batch.column("word_ref"))
-            w[(words.sum(1) == 0) & ~np.isnan(w)] = 1.0  # no common word at all
-            chars = classes.sum(1)
-            judged_c, judged_w = chars >= MIN_CHARS, n_words >= MIN_WORDS
-            fine = ~(judged_c & (c > MAX_CLASS_DISTANCE + CLASS_NOISE / np.sqrt(np.maximum(chars, 1)))) & ~(judged_w & (w > MAX_WORD_DISTANCE))
-            failed = (n_words < 20) | (100 * batch.column("n_repeat_words").to_numpy() > 30 * n_words)
-            columns = [batch.column("doc_id"), *(batch.column(x) for x in _COUNTS), pa.array(failed), pa.array(fine & ~failed), pa.array(c), pa.array(w, mask=np.isnan(w))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_COUNTS, "base_failed", "kept", "class_distance", "word_distance"])
-
-    return judge
+def _near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        classes = batch.column("classes").flatten().to_numpy().reshape(batch.num_rows, CLASSES)
+        near = _from_own(classes, batch.column("class_ref")) <= FIRST_CLASS_DISTANCE
+        yield batch.filter(pa.array(near)).select([c for c in batch.schema.names if not c.endswith("_ref") and c != "ref_lang"])
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        classes = batch.column("classes").flatten().to_numpy().reshape(n, -1)
+        words = batch.column("words").flatten().to_numpy().reshape(n, -1)
+        n_words = batch.column("n_words").to_numpy()
+        c = _from_own(classes, batch.column("class_ref"))
+        w = _from_own(words, batch.column("word_ref"))
+        w[(words.sum(1) == 0) & ~np.isnan(w)] = 1.0  # no common word at all
+        chars = classes.sum(1)
+        judged_c, judged_w = chars >= MIN_CHARS, n_words >= MIN_WORDS
+        fine = ~(judged_c & (c > MAX_CLASS_DISTANCE + CLASS_NOISE / np.sqrt(np.maximum(chars, 1)))) & ~(judged_w & (w > MAX_WORD_DISTANCE))
+        failed = (n_words < 20) | (100 * batch.column("n_repeat_words").to_numpy() > 30 * n_words)
+        columns = [batch.column("doc_id"), *(batch.column(x) for x in _COUNTS), pa.array(failed), pa.array(fine & ~failed), pa.array(c, mask=np.isnan(c)), pa.array(w, mask=np.isnan(w))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *_COUNTS, "base_failed", "kept", "class_distance", "word_distance"])
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, the counts of the base rules, base_failed, kept, and the distances from language references: of character
-    classes the nearest, of common words that of the document's own language (null where it has none).
+    """doc_id, the counts of the base rules, base_failed, kept, and the distances from the references of the document's language.
 
     A null or empty text has no words and fails the base rules.  Texts under MIN_CHARS characters or MIN_WORDS words
-    get no verdict from the histogram concerned.  Where no language has MIN_REFERENCE_DOCS documents the base
-    rules decide alone.  Each repeated row has its own result; a null id stays null; an empty table gives no rows; other
+    get no verdict from the histogram concerned.  Where the language is null or has no reference the distance is null
+    and the base rules decide alone.  Each repeated row has its own result; a null id stays null; an empty table gives no rows; other
     columns are not read.  Lines, words and windows are equal if their 64-bit hashes are.
     """
     profiled = common.written(profiles(docs, id_col, text_col, lang_col))
-    first = class_references(profiled)
     sound = profiled.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= 30 * F.col("n_words")))
-    near = common.written(sound.mapInArrow(_near_first(first), profiled.schema))
-    refs = common.written(word_references(near))
+    near = _with_references(sound, references(profiled)).mapInArrow(_near_first, profiled.schema)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return profiled.join(refs, F.col("lang") == F.col("ref_lang"), "left").drop("lang", "ref_lang").mapInArrow(_judge(class_references(near)), schema)
+    return _with_references(profiled, references(near)).mapInArrow(_judge, schema)

@@ -111,6 +111,20 @@ def test_quality_learns_common_words(spark):
     assert got[30].word_distance == 1 and all(got[i].word_distance is None for i in range(31, 61))
 
 
+def test_quality_judges_by_own_reference_only(spark):
+    """A language of 19 documents beside a large one, and the smallest of 70 languages: no verdict, and the own reference."""
+    rnd = random.Random(5)
+    say = lambda words, n: " ".join(rnd.choice(words.split()) for _ in range(n))
+    rows = [(say("και το να του της με που την από για", 60), "el") for _ in range(19)] + [(say("και το να", 60), None)]
+    rows += [(say("the of and to in is was for it with", 60), "en") for _ in range(40)]
+    rows += [(say("the of and to in is", 60), f"l{k}") for k in range(69) for _ in range(21)] + [(say("и в не на я быть он с", 60), "zz") for _ in range(20)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert all(got[i].class_distance is None and got[i].word_distance is None for i in range(20))
+    assert all(got[len(rows) - 1 - i].class_distance < 0.1 for i in range(20))
+    assert all(r.kept for r in got.values() if not r.base_failed) and sum(r.base_failed for r in got.values()) < len(rows) // 4
+
+
 def test_js_distance():
     p = np.array([[1, 1, 0], [0, 0, 2], [0, 0, 0]])
     got = quality.js_distance(p, np.array([[0.5, 0.5, 0]]))
