@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A chunk ends where the gear hash of the last bytes meets a mask, so an insertion moves only the chunks around it.
-Chunks are matched by digest over all documents; a run of neighbouring chunks that all occur earlier is a repeated
-passage, of which the first occurrence stays.
+Windows of neighbouring chunks with MIN_WORDS words are matched by digest over all documents, so all that is cut lies in
+a passage of so many words that stands whole in one earlier place.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from . import common
 #: One place in CUT_RATE ends a chunk on average; a place within MIN_GAP bytes after another does not, and a chunk of
 #: more than MAX_CHUNK bytes is divided from its start.
 CUT_RATE, MIN_GAP, MAX_CHUNK = 24, 8, 4096
-#: Words of a repeated passage that is removed.  The chunks inside a passage cover it but for its edges.
+#: Words of a repeated passage that is removed.  The windows inside a passage cover it but for its edges.
 MIN_WORDS = 15
 
 
@@ -56,10 +56,22 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ends
 
 
-_CHUNK = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("chars", pa.int32()), ("words", pa.int32())])
+_WINDOW = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int32()) for c in ("at", "word", "chars", "words"))])
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_bounds(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First chunk and end of the shortest windows of MIN_WORDS words that start, and that end, at each chunk of a row."""
+    m, sums = len(words), np.append(0, np.cumsum(words))
+    heads, tails = np.searchsorted(rows, rows, "left"), np.searchsorted(rows, rows, "right")
+    each = np.arange(m)
+    ends = np.searchsorted(sums, sums[:-1] + MIN_WORDS, "left")
+    starts = np.searchsorted(sums, sums[1:] - MIN_WORDS, "right") - 1
+    ahead, back = ends <= tails, starts >= heads
+    both = np.unique(np.concatenate([each[ahead] * (m + 1) + ends[ahead], starts[back] * (m + 1) + each[back] + 1]))
+    return both // (m + 1), both % (m + 1)
+
+
+def _window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in common.slices(batch):
             ends = chunk_ends(data, offsets)
@@ -71,45 +83,55 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heads = np.append(0, np.cumsum((data & 0xC0) != 0x80))
             word_starts, _, _ = common.word_bounds(data, offsets, common.WHITE)
             words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
+            a, e = _window_bounds(words, rows)
+            sums = np.append(0, np.cumsum(words))
+            starts, ends, before, words, rows = starts[a], ends[e - 1], sums[a], sums[e] - sums[a], rows[a]
             view = memoryview(data.tobytes())
             digest = xxhash.xxh3_128_digest
             d = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
             ids = part.column("doc_id").take(pa.array(rows))
-            columns = [pa.array(d[:, 0]), pa.array(d[:, 1]), ids, pa.array((heads[starts] - heads[offsets[rows]]).astype(np.int32)), pa.array((heads[ends] - heads[starts]).astype(np.int32)), pa.array(words.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, schema=_CHUNK)
+            before = before - np.searchsorted(word_starts, offsets[rows])
+            places = (heads[starts] - heads[offsets[rows]], before, heads[ends] - heads[starts], words)
+            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), ids, *(pa.array(x.astype(np.int32)) for x in places)], schema=_WINDOW)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digest, document, character offset, characters and words of each chunk."""
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Digest, document, character and word offset, characters and words of each window of chunks."""
     common.small_batches(docs.sparkSession)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return two.where("text <> ''").mapInArrow(_chunk, "d1 long, d2 long, doc_id long, at int, chars int, words int")
+    return two.where("text <> ''").mapInArrow(_window, "d1 long, d2 long, doc_id long, at int, word int, chars int, words int")
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("chars", pa.int32()), ("words", pa.int32()), ("first_doc_id", pa.int64())])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the neighbouring later occurrences of each document into passages of MIN_WORDS or more."""
+    """Joins the later occurrences of each document into passages, each of one stretch of one source."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         lists = batch.column("later")
         flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-        at, chars, words = (flat.field(c).to_numpy() for c in ("at", "chars", "words"))
-        first = flat.field("first_doc_id").to_numpy(zero_copy_only=False)
+        at, word, chars, words, first, first_at, first_word = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "word", "chars", "words", "first_doc_id", "first_at", "first_word"))
         rows = np.repeat(np.arange(n), sizes)
-        order = np.lexsort((at, rows))
-        at, chars, words, first, rows = at[order], chars[order], words[order], first[order], rows[order]
-        keep = np.append(True, (at[1:] != at[:-1]) | (rows[1:] != rows[:-1]))  # a repeated id gives each chunk again
-        at, chars, words, first, rows = at[keep], chars[keep], words[keep], first[keep], rows[keep]
-        heads = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + chars[:-1])))
-        run_words, run_chars = np.add.reduceat(words, heads), np.add.reduceat(chars, heads)
-        good = run_words >= MIN_WORDS
-        owner = rows[heads][good]
-        spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (at[heads][good], run_chars[good], run_words[good])] + [pa.array(first[heads][good].astype(np.int64))], fields=list(_SPAN))
-        cuts = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+        end, end_word, shift = at + chars, word + words, at - first_at
+        # a copy that overlaps its own source is cut from the end of that only
+        inside = (first == batch.column("doc_id").to_numpy()[rows]) & (first_at + chars > at)
+        at, word = np.where(inside, first_at + chars, at), np.where(inside, first_word + words, word)
+        order = np.lexsort((-end, at, rows))
+        at, word, end, end_word, first, shift, rows = (x[order] for x in (at, word, end, end_word, first, shift, rows))
+        most = np.maximum.accumulate(end + (rows << 32))  # what lies in an earlier window adds nothing
+        more = np.append(True, end[1:] + (rows[1:] << 32) > most[:-1])
+        at, word, end, end_word, first, shift, rows = (x[more] for x in (at, word, end, end_word, first, shift, rows))
+        met = np.append(False, (rows[1:] == rows[:-1]) & (at[1:] <= end[:-1]))
+        at[1:], word[1:] = np.where(met[1:], end[:-1], at[1:]), np.where(met[1:], end_word[:-1], word[1:])
+        goes_on = met & np.append(False, (first[1:] == first[:-1]) & (shift[1:] == shift[:-1]))
+        heads = np.flatnonzero(~goes_on)
+        tails = np.append(heads[1:], len(at)) - 1
+        found = (at[heads], end[tails] - at[heads], end_word[tails] - word[heads])
+        spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in found] + [pa.array(first[heads])], fields=list(_SPAN))
+        cuts = np.searchsorted(rows[heads], np.arange(n + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), spans)], names=["doc_id", "spans"])
 
 
@@ -119,19 +141,22 @@ SPANS = "array<struct<start: int, chars: int, words: int, first_doc_id: long>>"
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its repeated passages: offset, characters, words, and the document of the first occurrence.
 
-    Of the occurrences of a chunk the one with the least (doc_id, offset) is first.  Only documents with a passage
+    Of the occurrences of a window the one with the least (doc_id, offset) is first.  Windows that overlap or adjoin and whose
+    first occurrences lie alike in one document are one passage; where that changes a new one begins, and of two that
+    overlap the later is listed from the end of the earlier on, so it can have less than MIN_WORDS words there.  A copy that
+    overlaps its own first occurrence begins at the end of that.  Only documents with a passage
     have a row.  Rows with a null id or a null or empty text take no part; rows that repeat an id are one
     document and are not held against each other at the same offset; an empty table gives no rows; other columns are not read.
 
-    Chunk digests are counted with partial aggregates; just the chunks whose digest occurs again are shuffled on,
+    Digests are counted with partial aggregates; just the windows whose digest occurs again are shuffled on,
     through joins whose hot keys Spark may split.
     """
-    rows = chunks(docs.where(docs[id_col].isNotNull()), id_col, text_col)
+    rows = windows(docs.where(docs[id_col].isNotNull()), id_col, text_col)
     again = rows.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
     some = common.written(rows.join(again, "d1"))
-    firsts = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    firsts = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "at", "word")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     met = some.join(firsts, ["d1", "d2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-    later = met.groupBy("doc_id").agg(F.collect_list(F.struct("at", "chars", "words", F.col("first.doc_id").alias("first_doc_id"))).alias("later"))
+    later = met.groupBy("doc_id").agg(F.collect_list(F.struct("at", "word", "chars", "words", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "at", "word")])).alias("later"))
     return later.mapInArrow(_runs, f"doc_id long, spans {SPANS}").where(F.size("spans") > 0)
 
 

@@ -359,6 +359,24 @@ def test_repeated_passages(spark):
     assert len(cut[30]) < 100
 
 
+def test_passages_stand_whole_in_one_earlier_place(spark):
+    """Chunks that occur earlier here and there make no passage; a passage is a stretch of one source; the source stays."""
+    rnd = random.Random(8)
+    phrases = [made_up(rnd, 12) for _ in range(40)]
+    rows = [(i, f"{made_up(rnd, 30)} {p} {made_up(rnd, 30)}") for i, p in enumerate(phrases)]
+    rows += [(50, " ".join(phrases)), (60, f"{rows[1][1]} {rows[2][1]}"), (70, (made_up(rnd, 20) + " ") * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, got = dict(rows), {r.doc_id: r.spans for r in substring.repeated_passages(df).collect()}
+    assert set(got) == {60, 70} and [s.first_doc_id for s in got[60]] == [1, 2]
+    for i, spans in got.items():
+        for s in spans:
+            copy = texts[i][s.start : s.start + s.chars]
+            assert copy in texts[s.first_doc_id] and (i == 70 or s.words >= substring.MIN_WORDS)
+    cut = {r.doc_id: r.text for r in substring.without_repeats(df).collect()}
+    assert cut[50] == texts[50] and len(cut[60]) < 150
+    assert len(cut[70].split()) >= substring.MIN_WORDS and len(cut[70]) < len(texts[70]) / 5
+
+
 def test_chunks_resist_insertions():
     rnd = random.Random(6)
     text = made_up(rnd, 3000).encode()
