@@ -30,16 +30,22 @@ def _gear() -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of all rows, ascending; rows end chunks too.  Each cut depends on the 24 bytes before it."""
+    """Ends of the chunks of all rows, ascending; rows end chunks too.  Each cut depends on the 24 bytes before it in its row."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     if n:
         hashes = _gear()[data]
+        heads = np.unique(offsets[:-1])
         for shift in (1, 2, 4, 8):  # the hash of the last 2, 4, 8 and 16 bytes: each byte's gear value moves left as it ages
-            hashes[shift:] = hashes[shift:] + (hashes[:-shift] << np.uint16(shift))
+            older = hashes[:-shift] << np.uint16(shift)
+            for k in range(shift):  # a row's first bytes have none before them
+                at = heads + k - shift
+                older[at[(at >= 0) & (at < len(older))]] = 0
+            hashes[shift:] = hashes[shift:] + older
         hit = np.flatnonzero(hashes < 65536 // CUT_RATE) + 1
-        hit = hit[np.diff(hit, prepend=-MIN_GAP) >= MIN_GAP]
+        row = np.searchsorted(heads, hit - 1, "right")
+        hit = hit[(np.diff(hit, prepend=-MIN_GAP) >= MIN_GAP) | (np.diff(row, prepend=-1) != 0)]
         step = np.arange(4)
         for _ in step:  # to the next start of a character
             inside = hit < n

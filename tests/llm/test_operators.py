@@ -362,9 +362,13 @@ def test_repeated_passages(spark):
 def test_passages_stand_whole_in_one_earlier_place(spark):
     """Chunks that occur earlier here and there make no passage; a passage is a stretch of one source; the source stays."""
     rnd = random.Random(8)
-    phrases = [made_up(rnd, 12) for _ in range(40)]
-    rows = [(i, f"{made_up(rnd, 30)} {p} {made_up(rnd, 30)}") for i, p in enumerate(phrases)]
-    rows += [(50, " ".join(phrases)), (60, f"{rows[1][1]} {rows[2][1]}"), (70, (made_up(rnd, 20) + " ") * 30)]
+    rows = [(i, made_up(rnd, 70)) for i in range(40)]
+    pieces = []  # one chunk of each document; the same chunks come out of their concatenation
+    for _, text in rows:
+        data = text.encode()
+        ends = substring.chunk_ends(np.frombuffer(data, np.uint8), np.array([0, len(data)])).tolist()
+        pieces.append(next(data[a:b].decode() for a, b in zip(ends[3:], ends[4:], strict=False) if 24 < b - a < 60))
+    rows += [(50, "".join(pieces)), (60, f"{rows[1][1]} {rows[2][1]}"), (70, (made_up(rnd, 20) + " ") * 30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     texts, got = dict(rows), {r.doc_id: r.spans for r in substring.repeated_passages(df).collect()}
     assert set(got) == {60, 70} and [s.first_doc_id for s in got[60]] == [1, 2]
@@ -394,6 +398,16 @@ def test_chunks_resist_insertions():
     assert len(set(a) - set(b)) <= 3
 
 
+def test_chunks_do_not_depend_on_the_row_before():
+    rnd = random.Random(7)
+    texts = [made_up(rnd, rnd.choice([1, 2, 40])).encode() for _ in range(300)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    ends = substring.chunk_ends(data, offsets)
+    for t, a, b in zip(texts, offsets, offsets[1:], strict=False):
+        alone = substring.chunk_ends(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert (ends[(ends > a) & (ends <= b)] - a).tolist() == alone[alone > 0].tolist()
+
+
 def test_substring_odd_rows(spark, odd, none):
     cut = substring.without_repeats(odd)
     assert cut.columns == odd.columns and cut.count() == len(TEXTS)
