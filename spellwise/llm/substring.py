@@ -111,6 +111,17 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 _SPAN = pa.struct([("start", pa.int32()), ("chars", pa.int32()), ("words", pa.int32()), ("first_doc_id", pa.int64())])
 
 
+def _stretches(at, word, end, end_word, first, shift, rows, key) -> tuple[np.ndarray, ...]:
+    """Joins the windows of equal row, source document and key that overlap or adjoin; the first one's shift stays."""
+    order = np.lexsort((at, key, first, rows))
+    at, word, end, end_word, first, shift, rows, key = (x[order] for x in (at, word, end, end_word, first, shift, rows, key))
+    other = np.append(True, (rows[1:] != rows[:-1]) | (first[1:] != first[:-1]) | (key[1:] != key[:-1]))
+    base = np.cumsum(other) << 32
+    most = np.maximum.accumulate(end + base) - base
+    heads = np.flatnonzero(other | np.append(True, at[1:] > most[:-1]))
+    return at[heads], word[heads], np.maximum.reduceat(end, heads), np.maximum.reduceat(end_word, heads), first[heads], shift[heads], rows[heads]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins the later occurrences of each document into passages, each of one stretch of one source."""
     for batch in batches:
@@ -125,6 +136,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a copy that overlaps its own source is cut from the end of that only
         inside = (first == batch.column("doc_id").to_numpy()[rows]) & (first_at + chars > at)
         at, word = np.where(inside, first_at + chars, at), np.where(inside, first_word + words, word)
+        own = first == batch.column("doc_id").to_numpy()[rows]
+        # repeats of a period in one document, then windows of one stretch of one source whatever others stand between them
+        found = _stretches(at, word, end, end_word, first, shift, rows, np.where(own, first_at, -1 - np.arange(len(at))))
+        at, word, end, end_word, first, shift, rows = _stretches(*found, found[5])
         order = np.lexsort((-end, at, rows))
         at, word, end, end_word, first, shift, rows = (x[order] for x in (at, word, end, end_word, first, shift, rows))
         most = np.maximum.accumulate(end + (rows << 32))  # what lies in an earlier window adds nothing
@@ -149,8 +164,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Of the occurrences of a window the one with the least (doc_id, offset) is first.  Windows that overlap or adjoin and whose
     first occurrences lie alike in one document are one passage; where that changes a new one begins, and of two that
-    overlap the later is listed from the end of the earlier on, so it can have less than MIN_WORDS words there.  A copy that
-    overlaps its own first occurrence begins at the end of that.  Only documents with a passage
+    overlap the later is listed from the end of the earlier on, so it can have less than MIN_WORDS words there.  Repeats of a
+    period in one document are one passage, and a copy that overlaps its own first occurrence begins at the end of that.  Only documents with a passage
     have a row.  Rows with a null id or a null or empty text take no part; rows that repeat an id are one
     document and are not held against each other at the same offset; an empty table gives no rows; other columns are not read.
 
