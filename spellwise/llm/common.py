@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import functools
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 
-#: Bytes of text that a vectorised step holds at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a vectorised step takes at once; a longer text is a slice of its own.  A step's arrays take some
+#: tens of bytes a byte of text, so this bounds what a worker holds.
+SLICE_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch between the JVM and Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
-_BASE, _LENGTH_SALT = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_LENGTH_SALT = np.uint64(0xD6E8FEB86659FD93)
+#: Longer spans are hashed one by one, shorter ones in steps of eight bytes.
+_LONG_SPAN = 256
+#: The low bytes of a word of eight that belong to a span of 0 to 8 bytes.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,10 +44,30 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the batches that go to Python small, so that long texts fit a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keeps the batches that go to Python small, so that long texts fit a worker's memory.
+
+    Spark reads these settings when the plan runs, after an operator has returned, so they stay; smaller ones of the
+    caller are kept.
+    """
+    for name, most in ((_ROWS, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        now = spark.conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
+@contextlib.contextmanager
+def narrow_batches(spark: SparkSession, rows: int = 20_000) -> Iterator[None]:
+    """More rows a batch, for tables without texts that are computed inside the block; the settings before it come back."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,16 +130,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _BASE_INVERSE):
-        x = np.full(n, base, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64 bits."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -123,14 +138,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one prefix sum of a polynomial over the bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = 1 << int(max(len(data), SLICE_BYTES)).bit_length()
-    up, down = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH_SALT)
+    """A 64-bit hash of each byte span, chained over its words of eight bytes; it holds nothing beyond the call."""
+    left = np.asarray(ends - starts, np.int64)
+    out = left.astype(np.uint64) * _LENGTH_SALT
+    if not len(left):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), buffer=padded, strides=(1,))  # the eight bytes from each place on
+    long = np.flatnonzero(left > _LONG_SPAN)
+    live = np.flatnonzero((left > 0) & (left <= _LONG_SPAN))
+    at, left = starts[live], left[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    view = memoryview(padded)
+    for k, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        out[k] = xxhash.xxh64_intdigest(view[a:b])
+    return out
 
 
 def row_of(counts: np.ndarray) -> np.ndarray:

@@ -2,9 +2,13 @@
 
 A 64-bit fingerprint becomes the bit counts of its 32 two-bit segments.  The Manhattan distance of two such vectors
 is at most the Hamming distance, so fingerprints that differ in 3 bits lie within 3 of each other in the embedding,
-hence within 1 in one of its halves (16 segments each).  The grid range join deals each fingerprint to the cell of
-each half, and those with an even count also to the cells one step away; what meets in a cell passes the Manhattan
-bound and is then verified by its bits.
+hence within 1 in one of its halves (16 segments each), and those that differ in 5 bits within 1 in one of three parts.
+The grid range join deals each fingerprint to the cell of each part, and those with an even count also to the cells one
+step away; what meets in a cell passes the Manhattan bound and is then verified by its bits.
+
+Documents of like wording, of a 5-word Jaccard similarity of about 0.8 or more, are found the same way from fingerprints of
+their distinct words, which move less under edits than those of shingles; a link is then verified by 128 bits
+made from the 5-word shingles.
 """
 
 from __future__ import annotations
@@ -20,8 +24,12 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-#: Bits in which linked fingerprints may differ; the split into halves below serves up to 3.
+#: Bits in which linked fingerprints may differ.
 MAX_BITS = 3
+#: The same for fingerprints of distinct words, and how many of the 128 bits of 5-word shingles may differ besides.  Sets
+#: of Jaccard similarity 0.8 differ in 19 of 128 bits on average.
+WORD_BITS, SHINGLE_BITS = 5, 23
+SHINGLE_WORDS = 5
 #: Fingerprints of a cell that a task holds at once; larger cells are dealt to several groups, each seeing all the rest.
 CELL_HOMES = 2048
 _LANES = np.uint64(0x5555555555555555)
@@ -69,6 +77,55 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
     return two.mapInArrow(_fingerprinter(words, seed), "doc_id long, fp long")
 
 
+def _bit_majority(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The 64-bit fingerprint of each of n rows from the hashes of its features (rows ascending); zero without any."""
+    out = np.zeros(n, np.uint64)
+    heads = np.searchsorted(rows, np.arange(n + 1))
+    full = np.flatnonzero(np.diff(heads))
+    if len(full):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, heads[full], axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * ones > np.diff(heads)[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def _distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once a row."""
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    first = np.append(True, (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])) if len(hashes) else np.zeros(0, bool)
+    return hashes[first], rows[first]
+
+
+def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: a fingerprint of its distinct words in lower case, and two of its distinct runs of SHINGLE_WORDS words."""
+    n = len(offsets) - 1
+    low = common.LOWER[data]
+    starts, ends, counts = common.word_bounds(low, offsets, common.WHITE)
+    words, rows = common.span_hashes(low, starts, ends), common.row_of(counts)
+    last = np.maximum(len(words) - SHINGLE_WORDS + 1, 0)
+    runs = np.zeros(last, np.uint64)
+    for k in range(SHINGLE_WORDS if last else 0):
+        runs = common.mix(runs * np.uint64(0x9E3779B97F4A7C15) + words[k : k + last])
+    inside = rows[:last] == rows[SHINGLE_WORDS - 1 :] if last else np.zeros(0, bool)
+    runs, run_rows = runs[inside], rows[:last][inside]
+    few = np.flatnonzero((np.diff(counts) > 0) & (np.diff(counts) < SHINGLE_WORDS))  # the whole sequence is the one run
+    if len(few):
+        whole = np.zeros(n, np.uint64)
+        np.add.at(whole, rows, common.mix(words + (np.arange(len(words)) - counts[rows]).astype(np.uint64)))
+        runs, run_rows = np.concatenate([runs, whole[few]]), np.concatenate([run_rows, few])
+    words, rows = _distinct(words, rows)
+    runs, run_rows = _distinct(runs, run_rows)
+    return _bit_majority(words, rows, n), _bit_majority(runs, run_rows, n), _bit_majority(common.mix(runs ^ np.uint64(0xC2B2AE3D27D4EB4F)), run_rows, n)
+
+
+def _wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, offsets in common.slices(batch):
+            found = [pa.array(x.view(np.int64)) for x in wording(data, offsets)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found], names=["doc_id", "fp", "c1", "c2"])
+
+
 def segment_counts(fp: np.ndarray) -> np.ndarray:
     """The embedding: bits of each two-bit segment, packed into 32 lanes."""
     return (fp & _LANES) + ((fp >> np.uint64(1)) & _LANES)
@@ -81,44 +138,53 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int16) - 2 * np.bitwise_count(swapped).astype(np.int16)
 
 
-def near(a: np.ndarray, b: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
-    """The Manhattan bound, then the exact test where it passes."""
-    passed = manhattan(a, b) <= most
-    passed[passed] = np.bitwise_count((a ^ b)[passed]) <= most
+def near(a: np.ndarray, b: np.ndarray, most: int = MAX_BITS, most_checked: int = SHINGLE_BITS) -> np.ndarray:
+    """The Manhattan bound, then the exact test where it passes.  Rows of a and b are one fingerprint (n, 1), or one and its two check words (n, 3)."""
+    passed = manhattan(a[:, 0], b[:, 0]) <= most
+    at = np.flatnonzero(passed)
+    far = np.bitwise_count(a[at, 0] ^ b[at, 0]) > most
+    if a.shape[1] > 1:
+        differ = np.bitwise_count(a[at, 1:] ^ b[at, 1:])
+        far |= differ.sum(1) > most_checked
+    passed[at[far]] = False
     return passed
 
 
-_CELL = pa.schema([("cell", pa.int64()), ("probe", pa.int8()), ("fp", pa.int64())])
+def _parts(most: int) -> list[tuple[int, int]]:
+    """The lanes of each part of the embedding: so many that two vectors within `most` lie within 1 in one of them."""
+    count = (most + 2) // 2
+    cuts = [32 * i // count for i in range(count + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint's home cell in both halves, and, if its count there is even, the cells one step away."""
-    for batch in batches:
-        fp = batch.column("fp").to_numpy()
-        counts = segment_counts(fp.view(np.uint64))
-        cells, probes, owners = [], [], []
-        for half in (0, 1):
-            c = (counts >> np.uint64(32 * half)).astype(np.int64) & 0xFFFFFFFF
-            cells.append(c | half << 32)
-            probes.append(np.zeros(len(c), np.int8))
-            owners.append(fp)
-            lanes = [(c >> 2 * i) & 3 for i in range(16)]
-            even = np.flatnonzero(sum(lanes) % 2 == 0)
-            for i, lane in enumerate(lanes):
-                for step, fits in ((1, lane[even] < 2), (-1, lane[even] > 0)):
-                    who = even[fits]
-                    cells.append(c[who] + (step << 2 * i) | half << 32)
-                    probes.append(np.ones(len(who), np.int8))
-                    owners.append(fp[who])
-        for cell, probe, owner in zip(cells, probes, owners, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(probe), pa.array(owner)], schema=_CELL)
+def _dealer(most: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each fingerprint's home cell in every part, and, if its count there is even, the cells one step away."""
+        for batch in batches:
+            counts = segment_counts(batch.column("fp").to_numpy().view(np.uint64))
+            rest = batch.schema.names
+            for number, (lo, hi) in enumerate(_parts(most)):
+                lanes = [((counts >> np.uint64(2 * i)) & np.uint64(3)).astype(np.int64) for i in range(lo, hi)]
+                cell = sum(lane << 2 * i for i, lane in enumerate(lanes)) | number << 40
+                dealt = [(cell, 0, np.arange(len(cell)))]
+                even = np.flatnonzero(sum(lanes) % 2 == 0)
+                for i, lane in enumerate(lanes):
+                    for step, fits in ((1, lane[even] < 2), (-1, lane[even] > 0)):
+                        dealt.append((cell[even[fits]] + (step << 2 * i), 1, even[fits]))
+                for cells, probe, who in dealt:
+                    columns = [pa.array(cells), pa.array(np.full(len(who), probe, np.int8)), *(batch.column(c).take(pa.array(who)) for c in rest)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "probe", *rest])
+
+    return deal
 
 
 class _Cell:
     """A cell met in parts: homes first, then probes; gives links that keep what is connected connected."""
 
-    def __init__(self) -> None:
-        self.homes = np.zeros(0, np.uint64)
+    def __init__(self, most: int, width: int) -> None:
+        self.most = most
+        self.homes = np.zeros((0, width), np.uint64)
+        self.nodes = np.zeros(0, np.int64)
         self.label = np.zeros(0, np.int64)
 
     def _union(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,81 +197,103 @@ class _Cell:
                 useful[k] = True
         return useful
 
-    def feed(self, fp: np.ndarray, are_homes: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo in range(0, len(fp), 256):
-            part = fp[lo : lo + 256]
+    def feed(self, fps: np.ndarray, nodes: np.ndarray, are_homes: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo in range(0, len(fps), 256):
+            part, own = fps[lo : lo + 256], nodes[lo : lo + 256]
             if are_homes:
-                self.homes = np.concatenate([self.homes, part])
+                self.homes, self.nodes = np.concatenate([self.homes, part]), np.append(self.nodes, own)
                 self.label = np.append(self.label, np.arange(len(self.label), len(self.homes)))
             if not len(self.homes):
                 continue
-            i, j = np.nonzero(near(np.repeat(part[:, None], len(self.homes), 1), np.repeat(self.homes[None, :], len(part), 0)))
+            i, j = np.nonzero(manhattan(part[:, None, 0], self.homes[None, :, 0]) <= self.most)
+            close = near(part[i], self.homes[j], self.most)
+            i, j = i[close], j[close]
             if not len(i):
                 continue
             first = j[np.searchsorted(i, i)]
             if not are_homes:
                 head = np.append(True, i[1:] != i[:-1])
-                yield part[i[head]], self.homes[j[head]]
+                yield own[i[head]], self.nodes[j[head]]
             useful = self._union(first, j)
-            yield self.homes[first[useful]], self.homes[j[useful]]
+            yield self.nodes[first[useful]], self.nodes[j[useful]]
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=_EDGE)
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=_EDGE)
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by cell, part and probe.  Small cells are compared all at once, by distance in the order."""
-    key, cell = None, None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        cells, parts, probe = (batch.column(c).to_numpy() for c in ("cell", "part", "probe"))
-        fp = batch.column("fp").to_numpy().view(np.uint64)
-        cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(parts) != 0)) + 1
-        heads, tails = np.append(0, cuts), np.append(cuts, n)
-        whole = np.ones(len(heads), bool)
-        whole[-1] = False
-        whole[0] &= key != (cells[0], parts[0])
-        whole &= tails - heads <= _SMALL
-        for g in np.flatnonzero(~whole):
-            a, b = heads[g], tails[g]
-            if key != (this := (cells[a], parts[a])):
-                key, cell = this, _Cell()
-            middle = a + int(np.searchsorted(probe[a:b], 1))
-            for u, v in [*cell.feed(fp[a:middle], True), *cell.feed(fp[middle:b], False)]:
-                yield _edges(u, v)
-        group = np.repeat(np.where(whole, np.arange(len(heads)), -1), tails - heads)
-        for d in range(1, _SMALL):
-            i = np.flatnonzero((group[:-d] == group[d:]) & (group[d:] >= 0) & (probe[:-d] == 0)) if d < n else []
-            if not len(i):
-                break
-            i = i[near(fp[i], fp[i + d])]
-            if len(i):
-                yield _edges(fp[i], fp[i + d])
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Edges u, v between the distinct values of fp whose components are those of all pairs within MAX_BITS bits."""
+def _linker(most: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell, part and probe.  Small cells are compared all at once, by distance in the order."""
+        key, cell = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            cells, parts, probe, nodes = (batch.column(c).to_numpy() for c in ("cell", "part", "probe", "node"))
+            fps = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "c1", "c2") if c in batch.schema.names], 1)
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(parts) != 0)) + 1
+            heads, tails = np.append(0, cuts), np.append(cuts, n)
+            whole = np.ones(len(heads), bool)
+            whole[-1] = False
+            whole[0] &= key != (cells[0], parts[0])
+            whole &= tails - heads <= _SMALL
+            for g in np.flatnonzero(~whole):
+                a, b = heads[g], tails[g]
+                if key != (this := (cells[a], parts[a])):
+                    key, cell = this, _Cell(most, fps.shape[1])
+                middle = a + int(np.searchsorted(probe[a:b], 1))
+                for u, v in [*cell.feed(fps[a:middle], nodes[a:middle], True), *cell.feed(fps[middle:b], nodes[middle:b], False)]:
+                    yield _edges(u, v)
+            group = np.repeat(np.where(whole, np.arange(len(heads)), -1), tails - heads)
+            for d in range(1, _SMALL):
+                i = np.flatnonzero((group[:-d] == group[d:]) & (group[d:] >= 0) & (probe[:-d] == 0)) if d < n else []
+                if not len(i):
+                    break
+                i = i[near(fps[i], fps[i + d], most)]
+                if len(i):
+                    yield _edges(nodes[i], nodes[i + d])
+
+    return link
+
+
+def links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """Edges u, v between rows whose components are those of all pairs within `most` bits.
+
+    A row is a node of its own: fp, or node and fp, or also c1 and c2, of which at most SHINGLE_BITS bits may differ besides.
+    Rows that repeat a node link to themselves only if they stand in one cell, which the components ignore; a table without
+    rows has no edges; a null fp is not allowed.
+    """
     spark = fps.sparkSession
-    cells = fps.mapInArrow(_deal, "cell long, probe byte, fp long")
+    own_columns = [c for c in ("fp", "c1", "c2") if c in fps.columns]
+    fps = fps.select(F.col("node" if "node" in fps.columns else "fp").alias("node"), *own_columns)
+    cells = fps.mapInArrow(_dealer(most), "cell long, probe byte, node long" + "".join(f", {c} long" for c in own_columns))
     homes = cells.where("probe = 0").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_HOMES)
     parts = common.written(homes.select("cell", F.ceil(F.col("n") / (CELL_HOMES // 2)).cast("int").alias("parts")))
     dealt = cells.join(parts, "cell", "left") if parts.limit(1).count() else cells.withColumn("parts", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     # in a split cell a home is held in its own part and passes by the parts after it; a probe passes by all parts
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     places = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("part"), F.col("probe").alias("probe"))))
     places = places.when(F.col("probe") == 1, F.transform(every, lambda p: F.struct(p.alias("part"), F.lit(1).cast("byte").alias("probe"))))
     places = places.otherwise(F.transform(F.filter(every, lambda p: p >= own), lambda p: F.struct(p.alias("part"), F.when(p == own, 0).otherwise(1).cast("byte").alias("probe"))))
-    spread = dealt.select("cell", F.explode(places).alias("place"), "fp").select("cell", "place.part", "place.probe", "fp")
+    spread = dealt.select("cell", F.explode(places).alias("place"), "node", *own_columns).select("cell", "place.part", "place.probe", "node", *own_columns)
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = spread.repartition(count, "cell", "part").sortWithinPartitions("cell", "part", "probe", "fp")
-    return met.mapInArrow(_link, "u long, v long")
+    met = spread.repartition(count, "cell", "part").sortWithinPartitions("cell", "part", "probe", "fp", "node")
+    return met.mapInArrow(_linker(most), "u long, v long")
+
+
+def _named(classes: DataFrame, most: int) -> DataFrame:
+    """node and component_id, the least document id of its component, for classes of node, least and the fingerprint columns."""
+    with common.narrow_batches(classes.sparkSession):
+        found = components(links(classes.drop("least"), most))
+    members = common.written(found.join(classes, "node").select("node", "component", "least"))
+    leasts = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = common.written(members.join(leasts, "component").select("node", "component_id"))
+    return classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,25 +304,35 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     null id does not name a component (it is null if no other id is there); an empty table gives no rows; other
     columns are not read.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(docs.sparkSession)
     marked = common.written(fingerprints(docs, words, seed, id_col, text_col))
-    classes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # rows without texts
-    found = components(links(classes.select("fp")))
-    common.small_batches(spark)
-    members = common.written(found.join(classes, found.node == classes.fp).select("fp", "component", "least"))
-    leasts = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = common.written(members.join(leasts, "component").select("fp", "component_id"))
-    names = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    classes = common.written(marked.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")).withColumn("fp", F.col("node")))
+    names = _named(classes, MAX_BITS).withColumnRenamed("node", "fp")
     return marked.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that links join to one with a smaller id; all columns stay.
+def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, node and component_id, the smallest doc_id that links between documents of like wording reach.
+
+    Two documents link if the fingerprints of their distinct words differ in WORD_BITS bits at most and the 128 bits of
+    their 5-word shingles in SHINGLE_BITS.  Documents of equal words and shingles are one node, so copies are never
+    paired.  Texts without words, null ones too, are copies of each other; texts under SHINGLE_WORDS words are one shingle; each
+    repeated row has its own result row, those of one id and text in one component; a null id does not name a component (it is null if
+    no other id is there); an empty table gives no rows; other columns are not read.
+    """
+    common.small_batches(docs.sparkSession)
+    two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = two.mapInArrow(_wording, "doc_id long, fp long, c1 long, c2 long")
+    marked = common.written(rows.withColumn("node", F.xxhash64("fp", "c1", "c2")))
+    classes = common.written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "c1", "c2")]))
+    return marked.join(_named(classes, WORD_BITS), "node").select("doc_id", "node", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents of like wording that links join to one with a smaller id; all columns stay.
 
     Rows that repeat an id are one document and stay or go together; rows with a null id stay.
     """
-    found = near_duplicates(docs, words, seed, id_col, text_col)
+    found = like_documents(docs, id_col, text_col)
     gone = common.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

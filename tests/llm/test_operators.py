@@ -211,38 +211,82 @@ def test_simhash_against_brute_force(spark, odd, none):
     assert collections.Counter(tuple(r) for r in simhash.near_duplicates(df).collect()) == want
     assert simhash.near_duplicates(odd).count() == len(TEXTS)
     assert simhash.near_duplicates(none).count() == 0
-    kept = [r.doc_id for r in simhash.one_of_each(odd).collect()]
-    assert 1 in kept and 2 not in kept and None in kept and kept.count(8) == 2 and 4 not in kept  # 4 and 5 are as empty as 3
 
 
-@pytest.mark.parametrize("homes", [2048, 8])
-def test_links_keep_components(spark, monkeypatch, homes):
-    """A dense cloud of fingerprints, also with cells so small that they are split."""
+@pytest.mark.parametrize(("homes", "most"), [(2048, 3), (8, 3), (2048, 5), (8, 5)])
+def test_links_keep_components(spark, monkeypatch, homes, most):
+    """A dense cloud of fingerprints, also with cells so small that they are split; at 5 bits also with check words."""
     monkeypatch.setattr(simhash, "CELL_HOMES", homes)
     rnd = random.Random(5)
     fps = {rnd.getrandbits(64) for _ in range(200)}
     for centre in list(fps)[:4]:
-        fps |= {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 4))) for _ in range(150)}
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = components.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()
-    got = {r.node % (1 << 64): r.component % (1 << 64) for r in found}
-    label = {f: f for f in fps}
-
-    def root(f):
-        while label[f] != f:
-            f = label[f]
-        return f
-
-    for a, b in itertools.combinations(fps, 2):
-        if (a ^ b).bit_count() <= 3:
-            label[root(a)] = root(b)
+        fps |= {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, most + 1))) for _ in range(150)}
+    fps = sorted(fps)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    checks = [(0, 0) if most == 3 else (rnd.choice([0, (1 << 20) - 1]), rnd.choice([0, 1, 7, 15])) for _ in fps]
+    if most == 3:
+        rows = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+        number = {signed(f): i for i, f in enumerate(fps)}
+    else:
+        rows = spark.createDataFrame([(i, signed(f), *c) for i, (f, c) in enumerate(zip(fps, checks, strict=True))], "node long, fp long, c1 long, c2 long")
+        number = {i: i for i in range(len(fps))}
+    got = {number[r.node]: number[r.component] for r in components.components(simhash.links(rows, most)).collect()}
+    label = list(range(len(fps)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        apart = sum((a ^ b).bit_count() for a, b in zip(checks[i], checks[j], strict=True))
+        if (fps[i] ^ fps[j]).bit_count() <= most and apart <= simhash.SHINGLE_BITS:
+            label[root(i)] = root(j)
     groups, mine = collections.defaultdict(set), collections.defaultdict(set)
-    for f in fps:
-        groups[root(f)].add(f)
-        mine[got.get(f, f)].add(f)
+    for i in range(len(fps)):
+        groups[root(i)].add(i)
+        mine[got.get(i, i)].add(i)
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in mine.values()}
 
 
+def runs_of(text, k):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_like_documents_finds_edited_copies(spark, odd, none):
+    """Most pairs of 5-word Jaccard similarity 0.8 or more are linked; documents of different wording are not."""
+    docs = [r for r in common.table(spark, "/root/testdata/sf0.01", "documents").collect() if r.text][:400]
+    rnd = random.Random(9)
+    rows, pairs = [(r.doc_id, r.text) for r in docs], []
+    for k, r in enumerate(docs[::2]):
+        words = r.text.split(" ")
+        if len(words) < 60:
+            continue
+        for _ in range(rnd.randint(1, max(1, len(words) // 60))):
+            words[rnd.randrange(len(words))] = rnd.choice(["alpha", "beta", "gamma"])
+        edited = " ".join(words)
+        a, b = runs_of(r.text, 5), runs_of(edited, 5)
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((r.doc_id, 10_000_000 + k))
+            rows.append((10_000_000 + k, edited))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.like_documents(df).collect()}
+    assert len(pairs) > 100 and sum(got[a] == got[b] for a, b in pairs) >= 0.75 * len(pairs)
+    texts, groups = dict(rows), collections.defaultdict(list)
+    for d, c in got.items():
+        groups[c].append(d)
+    for members in groups.values():
+        if len(members) > 1:
+            for d in members:
+                mine = runs_of(texts[d], 5)
+                assert max(len(mine & o) / max(1, len(mine | o)) for o in (runs_of(texts[e], 5) for e in members if e != d)) > 0.5 or not mine
+    assert simhash.like_documents(odd).count() == len(TEXTS) and simhash.like_documents(none).count() == 0
+    kept = [r.doc_id for r in simhash.one_of_each(odd).collect()]
+    assert 1 in kept and 2 not in kept and None in kept and kept.count(8) == 2 and 3 in kept and 4 not in kept and 5 not in kept
+    assert simhash.one_of_each(odd).columns == odd.columns
+
+
 def test_manhattan_bounds_hamming():
     rnd = np.random.default_rng(1)
     a, b = rnd.integers(0, 2**63, 5000).astype(np.uint64), rnd.integers(0, 2**63, 5000).astype(np.uint64)
