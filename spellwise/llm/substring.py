@@ -1,12 +1,14 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A chunk ends where the gear hash of the last bytes meets a mask, so an insertion moves only the chunks around it.
-Windows of neighbouring chunks with MIN_WORDS words are matched by digest over all documents, so all that is cut lies in
-a passage of so many words that stands whole in one earlier place.
+Windows of neighbouring chunks with MIN_WORDS words are matched by digest over all documents, and each match is
+extended, character by character, over the text around it and around its first occurrence.  So all that is cut lies
+in a passage of so many words that stands whole in one earlier place.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,10 @@ from . import common
 #: One place in CUT_RATE ends a chunk on average; a place within MIN_GAP bytes after another does not, and a chunk of
 #: more than MAX_CHUNK bytes is divided from its start.
 CUT_RATE, MIN_GAP, MAX_CHUNK = 24, 8, 4096
-#: Words of a repeated passage that is removed.  The windows inside a passage cover it but for its edges.
+#: Words of a repeated passage that is removed, in whole chunks.
 MIN_WORDS = 15
+#: Characters on either side over which a match is extended.  What lies beyond a match is less than a chunk and a window.
+REACH = 256
 
 
 def _gear() -> np.ndarray:
@@ -62,19 +66,15 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ends
 
 
-_WINDOW = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int32()) for c in ("at", "word", "chars", "words"))])
+_WINDOW = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), *((c, pa.int32()) for c in ("at", "word", "chars", "words"))])
 
 
 def _window_bounds(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First chunk and end of the shortest windows of MIN_WORDS words that start, and that end, at each chunk of a row."""
-    m, sums = len(words), np.append(0, np.cumsum(words))
-    heads, tails = np.searchsorted(rows, rows, "left"), np.searchsorted(rows, rows, "right")
-    each = np.arange(m)
+    """First chunk and end of the shortest window of MIN_WORDS words from each chunk of a row on."""
+    sums = np.append(0, np.cumsum(words))
     ends = np.searchsorted(sums, sums[:-1] + MIN_WORDS, "left")
-    starts = np.searchsorted(sums, sums[1:] - MIN_WORDS, "right") - 1
-    ahead, back = ends <= tails, starts >= heads
-    both = np.unique(np.concatenate([each[ahead] * (m + 1) + ends[ahead], starts[back] * (m + 1) + each[back] + 1]))
-    return both // (m + 1), both % (m + 1)
+    inside = np.flatnonzero(ends <= np.searchsorted(rows, rows, "right"))
+    return inside, ends[inside]
 
 
 def _window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,20 +95,25 @@ def _window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             view = memoryview(data.tobytes())
             digest = xxhash.xxh3_128_digest
             d = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
-            ids = part.column("doc_id").take(pa.array(rows))
+            ids, keys = part.column("doc_id").take(pa.array(rows)), part.column("key").take(pa.array(rows))
             before = before - np.searchsorted(word_starts, offsets[rows])
             places = (heads[starts] - heads[offsets[rows]], before, heads[ends] - heads[starts], words)
-            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), ids, *(pa.array(x.astype(np.int32)) for x in places)], schema=_WINDOW)
+            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), ids, keys, *(pa.array(x.astype(np.int32)) for x in places)], schema=_WINDOW)
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digest, document, character and word offset, characters and words of each window of chunks."""
-    common.small_batches(docs.sparkSession)
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and a key of both: rows that share an id but not a text are told apart."""
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return two.where("text <> ''").mapInArrow(_window, "d1 long, d2 long, doc_id long, at int, word int, chars int, words int")
+    return two.where("doc_id IS NOT NULL AND text <> ''").withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def windows(keyed: DataFrame) -> DataFrame:
+    """Digest, document, character and word offset, characters and words of each window of chunks of doc_id, text, key."""
+    common.small_batches(keyed.sparkSession)
+    return keyed.mapInArrow(_window, "d1 long, d2 long, doc_id long, key long, at int, word int, chars int, words int")
 
 
-_SPAN = pa.struct([("start", pa.int32()), ("chars", pa.int32()), ("words", pa.int32()), ("first_doc_id", pa.int64())])
+_SPAN = pa.struct([("start", pa.int32()), ("chars", pa.int32()), ("words", pa.int32()), ("first_doc_id", pa.int64()), ("first_key", pa.int64()), ("first_at", pa.int32())])
 
 
 def _stretches(at, word, end, end_word, first, shift, rows, key) -> tuple[np.ndarray, ...]:
@@ -130,13 +135,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         lists = batch.column("later")
         flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-        at, word, chars, words, first, first_at, first_word = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "word", "chars", "words", "first_doc_id", "first_at", "first_word"))
+        at, word, chars, words, first, first_at, first_word = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "word", "chars", "words", "first_key", "first_at", "first_word"))
+        id_of = dict(zip(first.tolist(), flat.field("first_doc_id").to_pylist(), strict=True))
         rows = np.repeat(np.arange(n), sizes)
         end, end_word, shift = at + chars, word + words, at - first_at
         # a copy that overlaps its own source is cut from the end of that only
-        inside = (first == batch.column("doc_id").to_numpy()[rows]) & (first_at + chars > at)
+        own = first == batch.column("key").to_numpy()[rows]
+        inside = own & (first_at + chars > at)
         at, word = np.where(inside, first_at + chars, at), np.where(inside, first_word + words, word)
-        own = first == batch.column("doc_id").to_numpy()[rows]
         # repeats of a period in one document, then windows of one stretch of one source whatever others stand between them
         found = _stretches(at, word, end, end_word, first, shift, rows, np.where(own, first_at, -1 - np.arange(len(at))))
         at, word, end, end_word, first, shift, rows = _stretches(*found, found[5])
@@ -151,58 +157,144 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(~goes_on)
         tails = np.append(heads[1:], len(at)) - 1
         found = (at[heads], end[tails] - at[heads], end_word[tails] - word[heads])
-        spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in found] + [pa.array(first[heads])], fields=list(_SPAN))
+        named = [pa.array([id_of[k] for k in first[heads].tolist()], pa.int64()), pa.array(first[heads]), pa.array((at - shift)[heads].astype(np.int32))]
+        spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in found] + named, fields=list(_SPAN))
         cuts = np.searchsorted(rows[heads], np.arange(n + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), spans)], names=["doc_id", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts), spans)], names=["doc_id", "key", "spans"])
 
 
+_FOUND = "array<struct<start: int, chars: int, words: int, first_doc_id: long, first_key: long, first_at: int>>"
 SPANS = "array<struct<start: int, chars: int, words: int, first_doc_id: long>>"
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The characters before and after each place of a text; those after begin with the last one of the place."""
+    for batch in batches:
+        for key, text, places in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            starts, ends = [p["start"] for p in places], [p["end"] for p in places]
+            befores, afters = [text[max(0, a - REACH) : a] for a in starts], [text[max(0, b - 1) : b + REACH] for b in ends]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(places), pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(befores, pa.string()), pa.array(afters, pa.string())], names=["key", "start", "end", "before", "after"])
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return low
+
+
+def _word_starts(text: str, before: str) -> int:
+    """Words that begin in a text that follows the character `before`."""
+    return len(_STARTS.findall(before[-1:] + text)) - bool(before and _STARTS.match(before[-1:]))
+
+
+_STARTS = re.compile(r"(?:(?<=[\x20\x09-\x0D])|^)[^\x20\x09-\x0D]")
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Extends the passages of each document over what equals the surroundings of their first occurrences, as far as the next passage."""
+    for batch in batches:
+        ids, all_spans = [], []
+        for doc_id, key, spans in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            spans.sort(key=lambda s: s["start"])
+            out, at = [], 0
+            for k, s in enumerate(spans):
+                start, end = s["start"], s["start"] + s["chars"]
+                before, after = s["before"] or "", s["after"] or ""
+                left = _shared(before[::-1], (s["first_before"] or "")[::-1])
+                right = _shared(after[1:], (s["first_after"] or "")[1:])
+                left = min(left, start - at)
+                right = min(right, (spans[k + 1]["start"] if k + 1 < len(spans) else end + right) - end)
+                if s["first_key"] == key:  # copy and source stay apart
+                    room = max(0, start - s["first_at"] - s["chars"])
+                    left = min(left, room)
+                    right = min(right, room - left)
+                words = s["words"] + _word_starts(before[len(before) - left :], before[: len(before) - left]) + _word_starts(after[1 : right + 1], after[:1])
+                at = end + right
+                out.append((start - left, at - start + left, words, s["first_doc_id"]))
+            ids.append(doc_id)
+            all_spans.append((key, out))
+        lists = [[dict(zip(("start", "chars", "words", "first_doc_id"), o, strict=True)) for o in out] for _, out in all_spans]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([k for k, _ in all_spans], pa.int64()), pa.array(lists, pa.list_(pa.struct(list(_SPAN)[:4])))], names=["doc_id", "key", "spans"])
+
+
+def _with_surroundings(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages of found, extended.  Texts meet the places asked of them, each place once however many passages have it as their source."""
+    one = found.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", "s.*", (F.col("s.start") + F.col("s.chars")).alias("end"), (F.col("s.first_at") + F.col("s.chars")).alias("first_end"))
+    places = one.select("key", "start", "end").unionAll(one.select("first_key", "first_at", "first_end")).distinct()
+    asked = places.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("places"))
+    texts = keyed.select("key", "text").join(asked, "key").mapInArrow(_around, "key long, start int, end int, before string, after string")
+    around = common.written(texts.groupBy("key", "start", "end").agg(F.first("before").alias("before"), F.first("after").alias("after")))
+    source = around.select(F.col("key").alias("first_key"), F.col("start").alias("first_at"), F.col("end").alias("first_end"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
+    met = one.join(around, ["key", "start", "end"], "left").join(source, ["first_key", "first_at", "first_end"], "left")
+    columns = ("start", "chars", "words", "first_doc_id", "first_key", "first_at", "before", "after", "first_before", "first_after")
+    packed = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+    return packed.mapInArrow(_extended, f"doc_id long, key long, spans {SPANS}")
+
+
+def _passages(keyed: DataFrame) -> DataFrame:
+    """doc_id, key and spans of the rows with a passage."""
+    rows = windows(keyed)
+    again = rows.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
+    some = common.written(rows.join(again, "d1"))
+    firsts = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "key", "at", "word")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    met = some.join(firsts, ["d1", "d2"]).where((F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
+    later = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "word", "chars", "words", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "key", "at", "word")])).alias("later"))
+    found = common.written(later.mapInArrow(_runs, f"doc_id long, key long, spans {_FOUND}").where(F.size("spans") > 0))
+    return _with_surroundings(keyed, found)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its repeated passages: offset, characters, words, and the document of the first occurrence.
 
     Of the occurrences of a window the one with the least (doc_id, offset) is first.  Windows that overlap or adjoin and whose
     first occurrences lie alike in one document are one passage; where that changes a new one begins, and of two that
-    overlap the later is listed from the end of the earlier on, so it can have less than MIN_WORDS words there.  Repeats of a
-    period in one document are one passage, and a copy that overlaps its own first occurrence begins at the end of that.  Only documents with a passage
-    have a row.  Rows with a null id or a null or empty text take no part; rows that repeat an id are one
-    document and are not held against each other at the same offset; an empty table gives no rows; other columns are not read.
+    overlap the later is listed from the end of the earlier on, so it can have less than MIN_WORDS words there.  A passage
+    goes on over the characters on either side that equal those of its first occurrence, up to REACH.  Repeats of a
+    period in one document are one passage, and a copy that overlaps its own first occurrence begins at the end of that.
+    Only documents with a passage have a row.  Rows with a null id or a null or empty text take no part; rows of one id and one
+    text are one document, not held against each other at the same offset, and have one row; rows that share just an id are held
+    against each other and have a row each; an empty table gives no rows; other columns are not read.
 
     Digests are counted with partial aggregates; just the windows whose digest occurs again are shuffled on,
     through joins whose hot keys Spark may split.
     """
-    rows = windows(docs.where(docs[id_col].isNotNull()), id_col, text_col)
-    again = rows.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
-    some = common.written(rows.join(again, "d1"))
-    firsts = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "at", "word")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
-    met = some.join(firsts, ["d1", "d2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-    later = met.groupBy("doc_id").agg(F.collect_list(F.struct("at", "word", "chars", "words", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "at", "word")])).alias("later"))
-    return later.mapInArrow(_runs, f"doc_id long, spans {SPANS}").where(F.size("spans") > 0)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            if spans and text:
-                kept, at = [], 0
-                for s in spans:
-                    kept.append(text[at : s["start"]])
-                    at = s["start"] + s["chars"]
-                text = "".join([*kept, text[at:]])
-            texts.append(text)
-        columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names if c != "spans"]
-        yield pa.RecordBatch.from_arrays(columns, names=[c for c in names if c != "spans"])
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated passages cut out of the texts; all rows and columns stay."""
-    spans = common.written(repeated_passages(docs, id_col, text_col).withColumnRenamed("doc_id", "__doc"))
+    return _passages(_keyed(docs, id_col, text_col)).select("doc_id", "spans")
+
+
+def _cutter(drop_emptied: bool):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [c for c in batch.schema.names if c != "spans"]
+            texts, stays = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                had = text
+                if spans and text:
+                    kept, at = [], 0
+                    for s in spans:
+                        kept.append(text[at : s["start"]])
+                        at = s["start"] + s["chars"]
+                    text = "".join([*kept, text[at:]])
+                texts.append(text)
+                stays.append(not drop_emptied or text is had or _STARTS.search(text) is not None or _STARTS.search(had) is None)
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
+
+    return cut
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """docs with the repeated passages cut out of the texts; all rows and columns stay.
+
+    With drop_emptied a row whose text had words and lost all of them goes.  Rows of one id and one text lose the same;
+    null ids and null or empty texts are left alone; an empty table gives no rows.
+    """
+    spans = common.written(_passages(_keyed(docs, id_col, text_col)).select(F.col("key").alias("__key"), "spans"))
     rest = F.struct(*[docs[c] for c in docs.columns if c != text_col], F.lit(0).alias("__none"))
-    rows = docs.select(rest.alias("rest"), docs[text_col].cast("string").alias("text"), docs[id_col].cast("long").alias("__key"))
-    packed = rows.join(spans, F.col("__key") == F.col("__doc"), "left").select("rest", "text", "spans")
+    rows = docs.select(rest.alias("rest"), docs[text_col].cast("string").alias("text"), F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))).alias("key"))
+    packed = rows.join(spans, F.col("key") == F.col("__key"), "left").select("rest", "text", "spans")
     common.small_batches(docs.sparkSession)
-    cut = packed.mapInArrow(_cut, packed.drop("spans").schema)
+    cut = packed.mapInArrow(_cutter(drop_emptied), packed.drop("spans").schema)
     return cut.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

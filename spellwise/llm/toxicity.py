@@ -19,6 +19,9 @@ from . import common
 BITS = 20
 #: Labelled documents that the classifier is fitted on at most, by label: those with the smallest hashes of their ids.
 SAMPLE = {1: 3000, 0: 3000}
+#: Labelled documents of more bytes are left out of the sample (they are scored whole like all others), so the features
+#: that come to the driver are bounded in bytes too: about two bytes a byte of text.
+SAMPLE_TEXT_BYTES = 1 << 14
 #: FTRL: rate, its smoothing, L1, L2, and passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 0.1, 6
 THRESHOLD = 0.3
@@ -108,18 +111,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Weights:
-    """Fits the model on a bounded sample (SAMPLE) of the labelled documents whose id meets may_learn.
+    """Fits the model on a bounded sample (SAMPLE, SAMPLE_TEXT_BYTES) of the labelled documents whose id meets may_learn.
 
     A document labelled both ways is toxic.  Whole texts are used; what comes to the driver is the features of the sample.
     """
     common.small_batches(docs.sparkSession)
+    two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     known = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull()).groupBy(labels[id_col].cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y")).where(may_learn)
     known = common.written(known)
     total, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    picks = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in SAMPLE.items()]
+    short = two.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select("doc_id").join(known, "doc_id").distinct()
+    short = common.written(short)
+    picks = [short.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in SAMPLE.items()]
     chosen = F.broadcast(picks[0].unionAll(picks[1]))  # SAMPLE bounds it
-    two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    found = two.join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(_extract, "doc_id long, y int, features binary")
+    found = two.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(_extract, "doc_id long, y int, features binary")
     rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.features))
     examples = [(r.y, np.append(np.frombuffer(r.features, np.int32), np.int32(1 << BITS))) for r in rows]
     del rows
@@ -129,10 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
 def _scorer(weights):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "__text"):
+            for part, data, offsets in common.slices(batch):
                 rows, index = features(data, offsets)
                 found = pa.array(weights.value.scores(rows, index, part.num_rows))
-                yield pa.RecordBatch.from_arrays([part.column("row"), found], names=["row", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), found], names=["row", "id", "score"])
 
     return score
 
@@ -154,7 +159,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weights = spark.sparkContext.broadcast(train(docs, labels, ~held_out(F.col("doc_id")), id_col, text_col, label_col))
     new = ("held_out", "score", "predicted")
     own = [c for c in keep or docs.columns if c not in new]
-    packed = docs.select(F.struct(*[docs[c] for c in own], docs[id_col].cast("long").alias("__id")).alias("row"), docs[text_col].cast("string").alias("__text"))
-    scored = packed.mapInArrow(_scorer(weights), packed.select("row", F.lit(0.0).alias("score")).schema)
-    verdict = [held_out(F.col("row.__id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")]
+    packed = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    scored = packed.mapInArrow(_scorer(weights), packed.select("row", "id", F.lit(0.0).alias("score")).schema)
+    verdict = [held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")]
     return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in own], *verdict)

@@ -395,8 +395,7 @@ def test_repeated_passages(spark):
     texts = dict(rows)
     for i in (5, 9):
         (s,) = got[i]
-        assert texts[i][s.start : s.start + s.chars] in passage or passage in texts[i][s.start : s.start + s.chars]
-        assert s.chars > len(passage) / 2
+        assert texts[i][s.start : s.start + s.chars].strip() == passage and s.words == 60
     cut = {r.doc_id: r.text for r in substring.without_repeats(df).collect()}
     assert len(cut) == len(rows) and all(cut[i] == t for i, t in rows if i not in got)
     assert passage in cut[3] and not any(passage in cut[i] for i in got)
@@ -425,6 +424,51 @@ def test_passages_stand_whole_in_one_earlier_place(spark):
     assert len(cut[70].split()) >= substring.MIN_WORDS and len(cut[70]) < len(texts[70]) / 5
 
 
+def test_passages_against_brute_force(spark):
+    """Every passage of the documents is the longest stretch around it that equals its first occurrence, which is earlier."""
+    docs = documents(spark)
+    got = substring.repeated_passages(common.table(spark, SF, "documents")).collect()
+    assert len(got) > 10
+    texts = {i: r.text or "" for i, r in docs.items()}
+    for r in got:
+        text, spans = texts[r.doc_id], sorted(r.spans, key=lambda s: s.start)
+        for k, s in enumerate(spans):
+            copy, source = text[s.start : s.start + s.chars], texts[s.first_doc_id]
+            assert s.first_doc_id <= r.doc_id and copy in source
+            assert s.words == len(re.findall(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]+", text[: s.start + s.chars])) - len(re.findall(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]+", text[: s.start]))
+            if s.first_doc_id != r.doc_id:
+                end = s.start + s.chars
+                if s.start > (spans[k - 1].start + spans[k - 1].chars if k else 0):
+                    assert any(source[m.start() - 1 : m.start()] != text[s.start - 1] for m in re.finditer(re.escape(copy), source))
+                if end < (spans[k + 1].start if k + 1 < len(spans) else len(text)):
+                    assert any(source[m.end() : m.end() + 1] != text[end] for m in re.finditer(re.escape(copy), source))
+    # all that documents of 15 words and more share with an earlier one, in runs of 40 words, is covered
+    seen, missed, met = {}, 0, 0
+    for i in sorted(texts):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[i])]
+        spans = next((r.spans for r in got if r.doc_id == i), [])
+        covered = np.zeros(len(texts[i]) + 1, bool)
+        for s in spans:
+            covered[s.start : s.start + s.chars] = True
+        for k in range(len(words) - 39):
+            run = texts[i][words[k][0] : words[k + 39][1]]
+            if seen.setdefault(run, i) != i:
+                met += 1
+                missed += not covered[words[k][0] : words[k + 39][1]].mean() > 0.9
+    assert met > 100 and missed <= met // 100
+
+
+def test_rows_that_share_an_id(spark):
+    """Each row of an id loses its own passages only."""
+    rnd = random.Random(12)
+    passage, a, b = made_up(rnd, 60), made_up(rnd, 80), made_up(rnd, 90)
+    rows = [(1, passage), (2, a + " " + passage), (2, b), (2, a + " " + passage), (None, passage)]
+    cut = [(r.doc_id, r.text) for r in substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted((i or 0, t.strip()) for i, t in cut) == sorted([(1, passage), (2, a), (2, b), (2, a), (0, passage)])
+    emptied = spark.createDataFrame([(1, passage), (2, passage), (3, " "), (4, None), (5, "")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in substring.without_repeats(emptied, drop_emptied=True).collect()) == [1, 3, 4, 5]
+
+
 def test_chunks_resist_insertions():
     rnd = random.Random(6)
     text = made_up(rnd, 3000).encode()
