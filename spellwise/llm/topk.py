@@ -1,13 +1,15 @@
 """Exact top-k search by pivot-table elimination.
 
-Each vector carries its distances to a fixed set of pivots.  For a query q and a candidate x the largest
-|d(q, p) - d(x, p)| over the pivots is a lower bound of d(q, x), hence an upper bound of the inner product.
-Candidates at like distances from all pivots share a bound; they are evaluated in bound order and the search
-stops where the bound falls below the k-th score.
+A table holds the distances of every vector to many fixed pivots, computed once.  For a query q and a candidate x the
+distances to all pivots together give the largest lower bound of d(q, x) that follows from them: they fix the
+coordinates y of a vector in the span of the pivots and the length r of the rest, so d(q, x)^2 is at least
+|y(q) - y(x)|^2 + (r(q) - r(x))^2, and the inner product at most y(q)y(x) + r(q)r(x).  Each query evaluates its candidates
+in the order of this bound and stops where the bound falls below its k-th score, which starts from the best of a sample.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pivots, and the rows (smallest hashes of the id) that they are picked from, farthest first.
-PIVOTS, PIVOT_SAMPLE = 16, 1024
-#: Queries that a task holds at once, candidates of a stripe, and the most stripes.
+#: Pivots at most, their share of the vectors' width, and the rows (smallest hashes of the id) that they are picked from.
+PIVOTS, PIVOT_SHARE, PIVOT_SAMPLE = 256, 0.875, 1024
+#: Queries that a task holds at once, candidates that it holds at once, and the most stripes of candidates.
 QUERY_BLOCK, STRIPE_ROWS, MOST_STRIPES = 8192, 4096, 256
-#: Candidates that share a bound, and tiles evaluated between two looks at the thresholds.
-TILE, TILES_AT_ONCE = 64, 8
+#: Queries whose bounds stand in memory at once, and candidates that a query evaluates between two looks at its k-th score.
+ROWS_AT_ONCE, STEP = 256, 64
 _NONE = np.iinfo(np.int64).min
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -38,18 +40,36 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return vectors.where(usable & vectors[id_col].isNotNull()).select(vectors[id_col].cast("long").alias("vec_id"), whole.alias("vec")).groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
-def pick_pivots(sample: list[list[int]], count: int = PIVOTS) -> np.ndarray:
-    """Farthest-first pivots of a bounded sample, as rows of equal length."""
-    width = max((len(v) for v in sample), default=0)
-    rows = _padded(sample, width)
-    if not len(rows):
-        return np.zeros((0, width))
-    chosen = [0]
-    gap = np.linalg.norm(rows - rows[0], axis=1)
-    while len(chosen) < count and gap.max() > 0:
-        chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, np.linalg.norm(rows - rows[chosen[-1]], axis=1))
-    return rows[chosen]
+class Pivots:
+    """Pivots of a bounded sample, each the farthest from the span of those before it, and what distances to them tell."""
+
+    def __init__(self, sample: list[list[int]], count: int | None = None) -> None:
+        rows = _padded(sample, 0)
+        count = min(PIVOTS, math.ceil(PIVOT_SHARE * rows.shape[1])) if count is None else count
+        rest, basis, chosen = rows.copy(), np.zeros((0, rows.shape[1])), []
+        longest = np.linalg.norm(rows, axis=1).max(initial=0)
+        while len(chosen) < count and len(rows):
+            lengths = np.linalg.norm(rest, axis=1)
+            best = int(lengths.argmax())
+            if lengths[best] <= 0.05 * longest:  # nearly in the span: it tells little and would amplify rounding
+                break
+            chosen.append(best)
+            basis = np.vstack([basis, rest[best] / lengths[best]])
+            rest = rest - (rest @ basis[-1])[:, None] * basis[-1]
+            rest[chosen] = 0
+        self.rows = rows[chosen]
+        self.solve = np.linalg.inv(np.tril(self.rows @ basis.T)).T if chosen else np.zeros((0, 0))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """The row of the pivot table of each vector."""
+        p, x = _widened(self.rows, max(self.rows.shape[1], x.shape[1])), _widened(x, max(self.rows.shape[1], x.shape[1]))
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1) - 2 * (x @ p.T), 0))
+
+    def embedded(self, x: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """y and r of each vector, whose products bound inner products, from its row of the pivot table."""
+        norms = (x**2).sum(1)
+        y = (norms[:, None] + (self.rows**2).sum(1) - far**2) / 2 @ self.solve
+        return np.column_stack([y, np.sqrt(np.maximum(norms - (y**2).sum(1), 0))])
 
 
 def _padded(rows: list, width: int) -> np.ndarray:
@@ -75,55 +95,52 @@ def _widened(x: np.ndarray, width: int) -> np.ndarray:
 class _Search:
     """The running top k of a block of queries."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, k: int) -> None:
-        self.ids, self.k = ids, k
-        self.q, self.pivots = vectors, pivots
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, far: np.ndarray, floor: np.ndarray, pivots: Pivots, k: int) -> None:
+        self.ids, self.k, self.pivots = ids, k, pivots
+        self.q, self.bounds = vectors, pivots.embedded(vectors, far)
+        self.floor = floor  # no smaller score can be among the best
         self.scores = np.full((len(ids), k), _NONE, np.int64)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.evaluated = self.pairs = 0
 
-    def _distances(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.linalg.norm(x - p, axis=1) for p in self.pivots], 1) if len(self.pivots) else np.zeros((len(x), 0))
-
-    def feed(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """Searches a batch: candidates at like distances from the pivots form tiles, and a tile has one bound a query."""
-        width = max(self.q.shape[1], x.shape[1], self.pivots.shape[1])
-        self.q, self.pivots, x = _widened(self.q, width), _widened(self.pivots, width), _widened(x, width)
-        dq, dx = self._distances(self.q), self._distances(x)
-        if len(self.pivots):
-            nearest = dx.argmin(1)
-            order = np.lexsort((dx[np.arange(len(x)), nearest], nearest))
-            ids, x, dx = ids[order], x[order], dx[order]
-        heads = np.arange(0, len(x), TILE)
-        low, high = np.minimum.reduceat(dx, heads, axis=0), np.maximum.reduceat(dx, heads, axis=0)
-        bound = np.zeros((len(self.q), len(heads)))
-        for p in range(len(self.pivots)):
-            np.maximum(bound, dq[:, p, None] - high[None, :, p], out=bound)
-            np.maximum(bound, low[None, :, p] - dq[:, p, None], out=bound)
-        norms = (self.q**2).sum(1)[:, None] + np.maximum.reduceat((x**2).sum(1), heads)[None, :]
-        bound = np.maximum(bound - 1e-6 * (1 + bound), 0)  # room for rounding
-        upper = (norms - bound * bound) / 2 + 1e-9 * norms + 0.5
+    def feed(self, ids: np.ndarray, x: np.ndarray, far: np.ndarray) -> None:
+        self.held.append((ids, x, far))
+        if sum(len(i) for i, _, _ in self.held) >= STRIPE_ROWS:
+            self.search()
+
+    def search(self) -> None:
+        """All that is held, each query in the order of its bounds."""
+        if not self.held:
+            return
+        width = max(self.q.shape[1], *(x.shape[1] for _, x, _ in self.held))
+        ids, far = (np.concatenate([h[i] for h in self.held]) for i in (0, 2))
+        x = np.concatenate([_widened(h[1], width) for h in self.held])
+        self.held, self.q = [], _widened(self.q, width)
+        near = self.pivots.embedded(x, far)
+        lengths = np.linalg.norm(x, axis=1)
         exact = max(np.abs(self.q).max(initial=0), np.abs(x).max(initial=0)) ** 2 * max(width, 1) < 2**52
-        q = self.q if exact else self.q.astype(np.int64)
-        x = x if exact else x.astype(np.int64)
-        by_bound = np.argsort(-upper.max(0), kind="stable")
-        for at in range(0, len(by_bound), TILES_AT_ONCE):
-            tiles = by_bound[at : at + TILES_AT_ONCE]
-            rows = np.flatnonzero((upper[:, by_bound[at:]] >= self.scores[:, -1:]).any(1))
-            if not len(rows):
-                break  # no query can still gain from this tile or those after it
-            rows = np.flatnonzero((upper[:, tiles] >= self.scores[:, -1:]).any(1))
-            members = np.concatenate([np.arange(heads[t], min(heads[t] + TILE, len(x))) for t in tiles])
-            scores = q[rows] @ x[members].T
-            floor = self.scores[rows, -1:]
-            if scores.shape[1] > self.k + 1:  # the query itself may be among the best
-                floor = np.maximum(floor, np.partition(scores, -self.k - 1, axis=1)[:, [-self.k - 1]])
-            a, b = np.nonzero(scores >= floor)
-            found, near = scores[a, b].astype(np.int64), ids[members][b]
-            other = self.ids[rows][a] != near
-            self._merge(rows[a[other]], found[other], near[other])
+        q, x = (self.q, x) if exact else (self.q.astype(np.int64), x.astype(np.int64))
+        for lo in range(0, len(q), ROWS_AT_ONCE):
+            rows = np.arange(lo, min(lo + ROWS_AT_ONCE, len(q)))
+            upper = self.bounds[rows] @ near.T + 1e-7 * (np.linalg.norm(self.q[rows], axis=1)[:, None] * lengths) + 0.5  # room for rounding
+            self.pairs += upper.size
+            while len(rows):
+                step = min(STEP, upper.shape[1])
+                best = np.argpartition(-upper, step - 1, axis=1)[:, :step]
+                bound = np.take_along_axis(upper, best, 1)
+                least = np.maximum(self.scores[rows, -1], self.floor[rows])
+                going = bound.max(1) >= least  # the others have met no candidate that could still be among their best
+                rows, upper, best, bound, least = rows[going], upper[going], best[going], bound[going], least[going]
+                a, b = np.nonzero(bound >= least[:, None])
+                self.evaluated += len(a)
+                scores = np.einsum("ij,ij->i", q[rows[a]], x[best[a, b]]).astype(np.int64)
+                other = self.ids[rows[a]] != ids[best[a, b]]
+                self._merge(rows[a[other]], scores[other], ids[best[a, b]][other])
+                np.put_along_axis(upper, best, -np.inf, 1)
 
     def _merge(self, a: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        keep = scores >= self.scores[a, -1]
+        keep = scores >= np.maximum(self.scores[a, -1], self.floor[a])
         a, scores, ids = a[keep], scores[keep], ids[keep]
         if not len(a):
             return
@@ -139,11 +156,35 @@ class _Search:
         self.found[a[top], rank[top]] = ids[top]
 
     def result(self) -> pa.RecordBatch:
+        self.search()
         q, r = np.nonzero(self.scores != _NONE)
         return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.found[q, r]), pa.array(self.scores[q, r])], schema=_SCHEMA)
 
 
-def _searcher(pivots: np.ndarray, k: int):
+def _prepared(pivots: Pivots, sample: list[tuple[int, list[int]]], k: int):
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pivot table, and for queries the k-th best score over the sample, if that has k others."""
+        known = np.array([i for i, _ in sample], np.int64)
+        picked = _padded([v for _, v in sample], 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x, asked = batch.column("vec_id").to_numpy(), _matrix(batch.column("vec")), np.flatnonzero(batch.column("asked").to_numpy(zero_copy_only=False))
+            floor = np.full(len(ids), _NONE, np.int64)
+            width = max(x.shape[1], picked.shape[1])
+            wide, others = _widened(x, width)[asked], _widened(picked, width)
+            if len(asked) and len(known) > k and max(np.abs(wide).max(initial=0), np.abs(others).max(initial=0)) ** 2 * max(width, 1) < 2**52:
+                scores = wide @ others.T
+                scores[ids[asked, None] == known] = -np.inf
+                floor[asked] = np.partition(scores, -k, axis=1)[:, -k].astype(np.int64)
+            far = pivots.distances(x)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * far.shape[1], pa.int32()), pa.array(far.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(floor)], names=[*batch.schema.names, "far", "floor"])
+
+    return prepare
+
+
+def _searcher(pivots: Pivots, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, stripe and kind: the queries of a block, then its stripe of candidates."""
         key, held, now = None, [], None
@@ -158,16 +199,17 @@ def _searcher(pivots: np.ndarray, k: int):
                     if now:
                         yield now.result()
                     key, held, now = this, [], None
-                ids, x = part.column("vec_id").to_numpy(), _matrix(part.column("vec"))
+                ids, x, far = part.column("vec_id").to_numpy(), _matrix(part.column("vec")), _matrix(part.column("far"))
                 if kind[lo] == 0:
-                    held.append((ids, x))
+                    held.append((ids, x, far, part.column("floor").to_numpy()))
                     continue
                 if now is None:
                     if not held:
                         continue
-                    width = max(v.shape[1] for _, v in held)
-                    now = _Search(np.concatenate([i for i, _ in held]), np.concatenate([_widened(v, width) for _, v in held]), pivots, k)
-                now.feed(ids, x)
+                    width = max(h[1].shape[1] for h in held)
+                    ids_, far_, floor = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3))
+                    now = _Search(ids_, np.concatenate([_widened(h[1], width) for h in held]), far_, floor, pivots, k)
+                now.feed(ids, x, far)
         if now:
             yield now.result()
 
@@ -183,20 +225,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     are not read.  is_query is a condition on vec_id.
 
     Queries go in blocks of QUERY_BLOCK, candidates in stripes: each (block, stripe) is one streamed group, so
-    a task holds one block and one batch, and each stripe sends on k rows a query at most.
+    a task holds one block and STRIPE_ROWS candidates, and each stripe sends on k rows a query at most.
     """
     spark = vectors.sparkSession
     common.small_batches(spark)
     rows = common.written(quantised(vectors, id_col, vector_col, scale))
     n, queries = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    sample = rows.select("vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
-    pivots = pick_pivots([r.vec for r in sample])
+    sample = [(r.vec_id, r.vec) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()]
+    pivots = Pivots([v for _, v in sample])
+    flagged = rows.select("vec_id", "vec", F.coalesce(is_query, F.lit(False)).alias("asked"))
+    table = common.written(flagged.mapInArrow(_prepared(pivots, sample, k), "vec_id long, vec array<long>, asked boolean, far array<double>, floor long"))
     blocks = max(1, -(-queries // QUERY_BLOCK))
     stripes = min(MOST_STRIPES, max(8, -(-n // STRIPE_ROWS)))
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     number = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(count)).cast("int")
-    asked = rows.where(is_query).select(number("block", blocks).alias("block"), each(stripes).alias("stripe"), F.lit(0).alias("kind"), "vec_id", "vec")
-    held = rows.select(each(blocks).alias("block"), number("stripe", stripes).alias("stripe"), F.lit(1).alias("kind"), "vec_id", "vec")
+    asked = table.where("asked").select(number("block", blocks).alias("block"), each(stripes).alias("stripe"), F.lit(0).alias("kind"), "vec_id", "vec", "far", "floor")
+    held = table.select(each(blocks).alias("block"), number("stripe", stripes).alias("stripe"), F.lit(1).alias("kind"), "vec_id", "vec", "far", "floor")
     dealt = asked.unionAll(held).repartition(max(8, min(blocks * stripes, 4096)), "block", "stripe").sortWithinPartitions("block", "stripe", "kind")
     near = dealt.mapInArrow(_searcher(pivots, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
