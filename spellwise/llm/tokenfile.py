@@ -12,6 +12,7 @@ and each range partition of document ids also leaves a manifest of MANIFEST_BYTE
 from __future__ import annotations
 
 import functools
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,9 +29,9 @@ from . import common
 _HEAD, _MANIFEST = "<4sIIQQQB", "<4sIIQQ"
 MANIFEST_BYTES = struct.calcsize(_MANIFEST) + 1  # the text writer ends each record with a line feed
 #: Ids of a shard before it is closed; a longer document makes its shard longer.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 22
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 
 
 class EliasFano:
@@ -88,6 +89,27 @@ class EliasFano:
             value |= ((int(self.low[place // 8]) >> (place % 8)) & 1) << b
         return value
 
+    def select_range(self, lo: int, hi: int) -> np.ndarray:
+        """Values lo to hi - 1: the set bits from the nearest sample before lo on, as far as they are needed."""
+        if not 0 <= lo <= hi <= self.count:
+            raise IndexError((lo, hi))
+        if lo == hi:
+            return np.zeros(0, np.int64)
+        byte, skip = int(self.samples[lo // self.SAMPLE]) // 8, lo % self.SAMPLE
+        size, ones = (hi - lo + skip) // 2 + 16, np.zeros(0, np.int64)
+        while True:
+            bits = np.unpackbits(self.high[byte : byte + size], bitorder="little")
+            bits[: int(self.samples[lo // self.SAMPLE]) - 8 * byte] = 0
+            ones = np.flatnonzero(bits)
+            if len(ones) >= hi - lo + skip:
+                break
+            size *= 2
+        index = np.arange(lo, hi)
+        high = (ones[skip : skip + hi - lo] + 8 * byte - index) << self.low_bits
+        places = index[:, None] * self.low_bits + np.arange(self.low_bits)
+        low = (self.low[places // 8] >> (places % 8).astype(np.uint8)) & 1
+        return high + (low.astype(np.int64) << np.arange(self.low_bits)).sum(1, dtype=np.int64)
+
     def decode(self) -> np.ndarray:
         """All values."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
@@ -128,11 +150,19 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(edge[:n])
 
 
+def cuts_hold(spec: bytes) -> bool:
+    """Whether piece_cuts is true of a tokenizer: one byte-level pre-tokenizer with its own pattern, and no normalizer."""
+    parts = json.loads(spec)
+    before = parts.get("pre_tokenizer") or {}
+    return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not parts.get("normalizer")
+
+
 class Encoder:
     """Encodes texts by the pieces between certain token ends, each distinct piece once."""
 
     def __init__(self, spec: bytes) -> None:
         self.tokenizer = _tokenizer(spec)
+        self.by_pieces = cuts_hold(spec)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[bytes, np.ndarray] = {}
 
@@ -143,7 +173,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's ids begin (one more at the end)."""
         whole = data.tobytes()
-        starts = piece_cuts(data, offsets)
+        starts = piece_cuts(data, offsets) if self.by_pieces else np.unique(offsets[offsets < len(data)])
         ends = np.append(starts[1:], len(data))
         codes, _ = pd.factorize(common.span_hashes(data, starts, ends))
         first = np.full(codes.max(initial=-1) + 1, -1)
@@ -241,12 +271,17 @@ def _writer(spec, end_id: int, width: int):
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each text, appends end_id, and writes the ids in ascending order of the document ids (nulls first, ties by text).
 
-    Rows are dealt by ranges of the id, so each partition is an interval of the order; a task holds one shard.
+    Rows are dealt by ranges of the id, so each partition is an interval of the order; a task holds one shard.  Raises
+    ValueError if an id of the tokenizer does not fit width bytes.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     with open(tokenizer_path, "rb") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        content = f.read()
+    largest = max([end_id, *_tokenizer(content).get_vocab(with_added_tokens=True).values()])
+    if largest >= 1 << 8 * width:
+        raise ValueError(f"ids up to {largest} do not fit {width} bytes")
+    spec = spark.sparkContext.broadcast(content)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     count = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = two.repartitionByRange(count, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
@@ -254,6 +289,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     blobs.select(F.col("blob").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
+#: Documents whose boundaries are selected at once.
+_DOCS_AT_ONCE = 512
 _DOC = pa.schema([("partition", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -261,13 +298,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             partition, base, doc_ids, nulls, bounds, ids = read_shard(content.as_py())
-            at = bounds.decode().astype(np.int64)
-            step = 512
-            for lo in range(0, len(doc_ids), step):
-                hi = min(lo + step, len(doc_ids))
-                lists = pa.ListArray.from_arrays(pa.array(at[lo : hi + 1] - at[lo], pa.int32()), pa.array(ids[at[lo] : at[hi]].astype(np.int32)))
+            for lo in range(0, len(doc_ids), _DOCS_AT_ONCE):
+                hi = min(lo + _DOCS_AT_ONCE, len(doc_ids))
+                at = bounds.select_range(lo, hi + 1)
+                lists = pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(ids[at[0] : at[-1]].astype(np.int32)))
                 no_id = np.arange(lo, hi) < nulls
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, partition, np.int32)), pa.array(doc_ids[lo:hi], mask=no_id), pa.array(base + at[lo:hi]), lists], schema=_DOC)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, partition, np.int32)), pa.array(doc_ids[lo:hi], mask=no_id), pa.array(base + at[:-1]), lists], schema=_DOC)
 
 
 _DIGEST = pa.schema([("partition", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -277,11 +313,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             partition, base, doc_ids, nulls, bounds, ids = read_shard(content.as_py())
-            at = bounds.decode().astype(np.int64)
-            wide = ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            n = len(doc_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, partition, np.int32)), pa.array(doc_ids, mask=np.arange(n) < nulls), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=_DIGEST)
+            for lo in range(0, len(doc_ids), _DOCS_AT_ONCE):
+                hi = min(lo + _DOCS_AT_ONCE, len(doc_ids))
+                at = bounds.select_range(lo, hi + 1)
+                wide, own = ids[at[0] : at[-1]].astype("<u4").tobytes(), (at - at[0]).tolist()
+                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(own[:-1], own[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, partition, np.int32)), pa.array(doc_ids[lo:hi], mask=np.arange(lo, hi) < nulls), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=_DIGEST)
 
 
 def partition_starts(spark: SparkSession, folder: str) -> dict[int, int]:
