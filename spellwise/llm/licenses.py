@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -36,7 +37,9 @@ TAG = "spdx-license-identifier:"
 #: Identifiers that permit redistribution and use without a copyleft duty; others are restrictive or unknown.
 PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0", "0bsd"}
 _RANK = {"or": 1, "and": 2, "with": 3}
-_EXTRA_BYTES = b"+-.()"
+_TAG_PHRASE = "spdx license identifier"  # the tag among normalised words
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_TOKEN = re.compile(rb"[ \t]*([0-9A-Za-z.+-]+|[()])")
 
 
 def tokens_of(expression: str) -> list[str]:
@@ -103,7 +106,7 @@ def evaluate(expression: str) -> tuple[list[str], bool] | None:
 @functools.lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for phrase in sorted({*BASE_PHRASES, *MORE_PHRASES}):
+    for phrase in sorted({*BASE_PHRASES, *MORE_PHRASES, _TAG_PHRASE}):
         found.add_word(f" {phrase} ", (phrase, phrase.count(" ") + 1))
     found.make_automaton()
     return found
@@ -120,43 +123,81 @@ def _to_words() -> bytes:
     return bytes(out)
 
 
-def expressions(text: bytes) -> list[str]:
-    """What follows each identifier tag on its line, as far as it can be a part of an expression."""
-    lower, found, at, tag = text.lower(), [], 0, TAG.encode()
-    while (at := lower.find(tag, at)) >= 0:
-        at += len(tag)
-        line = lower[at : (end if (end := lower.find(b"\n", at)) >= 0 else len(lower))]
-        ascii_part = bytes(c if c in _EXTRA_BYTES or 48 <= c < 58 or 97 <= c < 123 else 32 for c in line)
-        found.append(ascii_part.decode("ascii").strip())
-    return found
+def expression_at(text: bytes, at: int) -> str:
+    """The longest expression from a place on in its line, in lower case.
+
+    It ends at the first token that cannot go on with it: another operand, anything but identifiers, operators and
+    parentheses, a full stop after an identifier, or the next tag.  Without a whole expression it is what was read.
+    """
+    tokens: list[str] = []
+    whole, depth, operand_next = 0, 0, True
+    while found := _TOKEN.match(text, at):
+        token = found[1].decode("ascii").lower()
+        if token + ":" == TAG and text[found.end() : found.end() + 1] == b":":
+            break
+        name = token.rstrip(".")
+        if token in ("and", "or", "with"):
+            if operand_next:
+                break
+            operand_next = True
+        elif token == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif token == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        else:
+            if not operand_next or not name:
+                break
+            operand_next = False
+        tokens.append(name or token)
+        if not operand_next and not depth:
+            whole = len(tokens)
+        at = found.end()
+        if name != token:
+            break
+    return " ".join(tokens[:whole] or tokens)
+
+
+def _places(decoded: str, starts: list[int]) -> dict[int, int]:
+    """The word at each place, words counted from 0."""
+    at = counted = 0
+    index = {}
+    for s in sorted(set(starts)):
+        counted += decoded.count(" ", at, s)
+        at = s
+        index[s] = counted
+    return index
 
 
 def scan(text: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base labels, labels, score and expressions of one text."""
     words = text.translate(_to_words()).split()
-    joined = b" " + b" ".join(words) + b" "
+    decoded = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
     starts: list[int] = []
+    tagged: list[int] = []
     base, labels, score = set(), set(), 0.0
-    at = counted = 0
-    for end, (phrase, _) in _automaton().iter(joined.decode("utf-8", "replace")) if _may_hold(joined) else ():
-        if phrase in BASE_PHRASES:
+    for end, (phrase, _) in _automaton().iter(decoded):
+        if phrase == _TAG_PHRASE:
+            tagged.append(end - len(phrase) - 1)
+        elif phrase in BASE_PHRASES:
             base.add(BASE_PHRASES[phrase])
             starts.append(end - len(phrase) - 1)
             score = max(score, 0.9)
         else:
             labels.add(MORE_PHRASES[phrase])
             score = max(score, 0.8)
-    if starts:
-        decoded = joined.decode("utf-8", "replace")
-        order, index = sorted(starts), {}
-        for s in order:
-            counted += decoded.count(" ", at, s)
-            at = s
-            index[s] = counted
-        first, last = index[order[0]], index[order[-1]]
-    else:
-        first = last = None
-    tags = expressions(text)
+    index = _places(decoded, starts + tagged)
+    first, last = (index[min(starts)], index[max(starts)]) if starts else (None, None)
+    tags = []
+    if tagged:
+        spans = [m.span() for m in _WORD.finditer(text)]
+        for s in tagged:
+            a, b = spans[index[s]][0], spans[index[s] + 2][1] + 1
+            if text[a:b].lower() == TAG.encode():
+                tags.append(expression_at(text, b))
     for expression in tags:
         if (value := evaluate(expression)) is not None:
             labels.update(value[0])
@@ -168,14 +209,6 @@ def scan(text: bytes) -> tuple:
     return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), score, tags
 
 
-#: Each phrase holds one of these; a text without any needs no automaton.
-_HINTS = (b" license ", b" cc by ", b" cc0 ", b" redistribution ", b" permission ", b" rights reserved ")
-
-
-def _may_hold(joined: bytes) -> bool:
-    return any(h in joined for h in _HINTS)
-
-
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
 _ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string()))])
 
@@ -194,7 +227,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null or empty text has no words, no places and score 0.  Repeated rows each get their own result, a null
     id stays null, and columns other than the two named are not read.  Places of different phrases that
-    overlap all count.  A malformed expression gives the label spdx-malformed.  No shuffle: each text is
+    overlap all count.  An identifier tag takes the longest expression that follows it on its line; without one it
+    gives the label spdx-malformed.  No shuffle: each text is
     scanned where it is read.
     """
     common.small_batches(docs.sparkSession)
