@@ -74,8 +74,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of a batch with the UTF-8 bytes of a string column and their row offsets (a null has no bytes)."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch, of about `size` bytes, with the UTF-8 bytes of a string column and their row offsets (a null has no bytes)."""
     col = batch.column(batch.schema.get_field_index(column))
     if not pa.types.is_large_string(col.type):
         col = col.cast(pa.large_string())
@@ -89,7 +89,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         lo, hi = offsets[first], offsets[last]
         yield batch.slice(first, last - first), data[lo:hi], offsets[first : last + 1] - lo
         first = last

@@ -31,7 +31,9 @@ MANIFEST_BYTES = struct.calcsize(_MANIFEST) + 1  # the text writer ends each rec
 #: Ids of a shard before it is closed; a longer document makes its shard longer.
 SHARD_IDS = 1 << 22
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 400_000
+#: Bytes of text encoded at once: each distinct piece in them is looked up or encoded once.
+ENCODE_BYTES = 4 << 20
 
 
 class EliasFano:
@@ -247,7 +249,7 @@ def _writer(spec, end_id: int, width: int):
             return blob(data)
 
         for batch in batches:
-            for part, data, offsets in common.slices(batch):
+            for part, data, offsets in common.slices(batch, size=ENCODE_BYTES):
                 ids, bounds = encoder.encode(data, offsets)
                 lengths = np.diff(bounds) + 1
                 with_end = np.full(lengths.sum(), end_id, np.uint32)

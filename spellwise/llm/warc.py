@@ -61,7 +61,7 @@ def _info_record() -> bytes:
 
 
 def _member(record: bytes) -> bytes:
-    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
     return squeeze.compress(record) + squeeze.flush()
 
 
