@@ -7,6 +7,7 @@ import dataclasses
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats
 
@@ -27,6 +28,76 @@ class Fit:
         return float(self.coefficients[k]), float(np.sqrt(max(0.0, self.covariance[k, k])))
 
 
+def _solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Coefficients, inverse and kept columns of normal equations; a column that the earlier ones explain is left out, with 0."""
+    k = len(b)
+    kept: list[int] = []
+    for i in range(k):
+        trial = [*kept, i]
+        scale = np.sqrt(np.outer(np.diag(a)[trial], np.diag(a)[trial]))
+        if a[i, i] > 1e-12 and np.linalg.eigvalsh(a[np.ix_(trial, trial)] / np.where(scale > 0, scale, 1))[0] > 1e-9:
+            kept = trial
+    inverse = np.zeros((k, k))
+    if kept:
+        inverse[np.ix_(kept, kept)] = np.linalg.inv(a[np.ix_(kept, kept)])
+    return inverse @ b, inverse, kept
+
+
+def within_products(rows: DataFrame, id_col: str, ys: list[str], x: dict[str, Column]) -> DataFrame:
+    """One row per person: of each outcome the sums of products of outcome and regressors, demeaned within the person.
+
+    Columns n, yy, b{i} and a{i}_{j} follow the outcome's number.  A row without the outcome does not count for it; all
+    outcomes are read in one pass and one shuffle by person.
+    """
+    k, aggregates = len(x), []
+    flat = rows.select(id_col, *[F.col(y).cast("double").alias(f"y{o}") for o, y in enumerate(ys)], *[c.cast("double").alias(f"x{i}") for i, c in enumerate(x.values())])
+    for o in range(len(ys)):
+        y = F.col(f"y{o}")
+        known = lambda c: F.sum(F.when(y.isNotNull(), c))  # noqa: B023, E731
+        n = F.count(y)
+        centred = lambda u, v: known(u * v) - known(u) * known(v) / F.greatest(n, F.lit(1))  # noqa: B023, E731
+        xs = [F.col(f"x{i}") for i in range(k)]
+        aggregates += [n.alias(f"{o}_n"), centred(y, y).alias(f"{o}_yy"), *[centred(xs[i], y).alias(f"{o}_b{i}") for i in range(k)]]
+        aggregates += [centred(xs[i], xs[j]).alias(f"{o}_a{i}_{j}") for i in range(k) for j in range(i, k)]
+    return flat.groupBy(id_col).agg(*aggregates)
+
+
+def within_fits(persons: DataFrame, names: list[str], outcomes: int, cluster: bool = False, use: list[list[int]] | None = None) -> list[Fit]:
+    """Fits of all outcomes from their within_products, in one aggregate, and one more for clusters by person.
+
+    use lists the regressors of each outcome (all by default).  Persons' effects are demeaned away and cost a degree of freedom each.
+    """
+    k = len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    total = lambda o, c: F.coalesce(F.sum(f"{o}_{c}"), F.lit(0.0)).alias(f"{o}_{c}")
+    r = persons.agg(*[f for o in range(outcomes) for f in (F.coalesce(F.sum(f"{o}_n"), F.lit(0)).alias(f"{o}_n"), F.count_if(F.col(f"{o}_n") > 0).alias(f"{o}_persons"), total(o, "yy"), *[total(o, f"b{i}") for i in range(k)], *[total(o, f"a{i}_{j}") for i, j in pairs])]).first()
+    fits, solved = [], []
+    for o in range(outcomes):
+        a, b = np.zeros((k, k)), np.array([r[f"{o}_b{i}"] for i in range(k)])
+        for i, j in pairs:
+            a[i, j] = a[j, i] = r[f"{o}_a{i}_{j}"]
+        out = [i for i in range(k) if use is not None and i not in use[o]]
+        a[out, :] = a[:, out] = 0.0
+        b[out] = 0.0
+        beta, inverse, kept = _solved(a, b)
+        rss = max(0.0, r[f"{o}_yy"] - 2 * beta @ b + beta @ a @ beta)
+        n, dof = r[f"{o}_n"], r[f"{o}_n"] - len(kept) - r[f"{o}_persons"]
+        covariance = inverse * (rss / dof if dof > 0 else float("nan"))
+        fits.append(Fit(names, beta, covariance, n, dof, float(1 - rss / r[f"{o}_yy"]) if r[f"{o}_yy"] else 0.0))
+        solved.append((beta, inverse))
+    if cluster:
+        entry = lambda o, i, j: F.col(f"{o}_a{min(i, j)}_{max(i, j)}")
+        scores = persons.select(*[(F.col(f"{o}_b{i}") - sum((F.lit(float(solved[o][0][j])) * entry(o, i, j) for j in range(k)), F.lit(0.0))).alias(f"{o}_s{i}") for o in range(outcomes) for i in range(k)])
+        m = scores.agg(*[F.coalesce(F.sum(F.col(f"{o}_s{i}") * F.col(f"{o}_s{j}")), F.lit(0.0)).alias(f"{o}_m{i}_{j}") for o in range(outcomes) for i, j in pairs]).first()
+        for o in range(outcomes):
+            meat = np.zeros((k, k))
+            for i, j in pairs:
+                meat[i, j] = meat[j, i] = m[f"{o}_m{i}_{j}"]
+            groups = r[f"{o}_persons"]
+            fits[o].covariance = solved[o][1] @ meat @ solved[o][1] * (groups / max(1, groups - 1))
+    return fits
+
+
 def least_squares(rows: DataFrame, y: Column, x: dict[str, Column], weight: Column | None = None, absorbed: int = 0, cluster: Column | None = None, centred: bool = True) -> Fit:
     """Weighted least squares from one aggregate of cross products; only k x k sums come to the driver.
 
@@ -44,32 +115,21 @@ def least_squares(rows: DataFrame, y: Column, x: dict[str, Column], weight: Colu
     for i, j in pairs:
         a[i, j] = a[j, i] = r[f"a{i}_{j}"] or 0.0
     b = np.array([r[f"b{i}"] or 0.0 for i in range(k)])
-    kept: list[int] = []
-    for i in range(k):  # a column that the earlier ones explain is left out
-        trial = [*kept, i]
-        scale = np.sqrt(np.outer(np.diag(a)[trial], np.diag(a)[trial]))
-        if a[i, i] > 1e-12 and np.linalg.eigvalsh(a[np.ix_(trial, trial)] / np.where(scale > 0, scale, 1))[0] > 1e-9:
-            kept = trial
-    beta = np.zeros(k)
-    inverse = np.zeros((k, k))
-    if kept:
-        inverse[np.ix_(kept, kept)] = np.linalg.inv(a[np.ix_(kept, kept)])
-        beta = inverse @ b
-    fitted = sum((F.lit(float(beta[i])) * F.col(f"x{i}") for i in kept), F.lit(0.0))
-    e = F.col("y") - fitted
-    rss = flat.agg(F.sum(F.col("w") * e * e)).first()[0] or 0.0
+    beta, inverse, kept = _solved(a, b)
+    rss = max(0.0, (r.yy or 0.0) - 2 * beta @ b + beta @ a @ beta)
     dof = r.n - len(kept) - absorbed
     tss = r.yy - r.sy**2 / r.sw if centred else r.yy
     if cluster is None:
         covariance = inverse * (rss / dof if dof > 0 else float("nan"))
     else:
+        e = F.col("y") - sum((F.lit(float(beta[i])) * F.col(f"x{i}") for i in kept), F.lit(0.0))
         scores = flat.groupBy("g").agg(*[F.sum(F.col("w") * e * F.col(f"x{i}")).alias(f"s{i}") for i in range(k)])
         m = scores.agg(F.count("*").alias("groups"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in pairs]).first()
         meat = np.zeros((k, k))
         for i, j in pairs:
             meat[i, j] = meat[j, i] = m[f"m{i}_{j}"]
         covariance = inverse @ meat @ inverse * (m.groups / max(1, m.groups - 1))
-    return Fit(names, beta, covariance, r.n, dof, 1 - rss / tss if tss else 0.0)
+    return Fit(names, beta, covariance, r.n, dof, float(1 - rss / tss) if tss else 0.0)
 
 
 def did_panel(panel: DataFrame, treat: str = "is_treated", period: str = "period") -> DataFrame:
@@ -92,30 +152,36 @@ def difference_in_differences(panel: DataFrame, outcomes: list[str], treat: str
     """Two-way fixed effects (person and period) estimates of each outcome; a failed outcome has its error.
 
     Demeaning within persons and a period dummy equal both effects for two periods.  The period effect is left out where
-    treatment and period nearly coincide or only one period is there.
+    treatment and period nearly coincide or only one period is there.  The panel is read once for all outcomes: sums by
+    person, from which the fits and the clustered errors follow.
     """
-    rows = did_panel(panel, treat, period)
-    out = []
+    rows, out = did_panel(panel, treat, period), {}
+    known = [y for y in outcomes if y in rows.columns and not isinstance(rows.schema[y].dataType, (T.ArrayType, T.MapType, T.StructType))]
     for y in outcomes:
-        try:
-            own = rows.where(F.col(y).isNotNull())
-            link, periods = own.agg(F.corr("t", "p"), F.count_distinct("p")).first()
-            person = Window.partitionBy(id_col)
-            x = {"effect": (F.col("t") * F.col("p")).cast("double")} | {c: F.col(c).cast("double") for c in controls or []}
-            if periods > 1 and not (link is not None and abs(link) > 0.9):
-                x = {"period": F.col("p").cast("double")} | x
-            flat = own.select(id_col, F.col(y).cast("double").alias("__y"), *[c.alias(f"__{n}") for n, c in x.items()])
-            demean = lambda c: F.col(c) - F.avg(c).over(person)  # noqa: B023, E731
-            flat = flat.select(id_col, demean("__y").alias("y"), *[demean(f"__{n}").alias(n) for n in x])
-            persons = own.agg(F.count_distinct(id_col)).first()[0]
-            fit = least_squares(flat, F.col("y"), {n: F.col(n) for n in x}, absorbed=persons, cluster=F.col(id_col) if cluster else None)
+        if y not in known:
+            out[y] = {"error": f"no column {y}" if y not in rows.columns else f"{y} is no number"}
+    x = {"period": F.col("p"), "effect": F.col("t") * F.col("p")} | {c: F.col(c) for c in controls or []}
+    persons = within_products(rows, id_col, known, x)
+    side = lambda y, c: F.when(F.col(y).isNotNull(), c)
+    shape = rows.groupBy(id_col).agg(*[f for o, y in enumerate(known) for f in (F.count(side(y, F.lit(1))).alias(f"{o}_c"), F.sum(side(y, F.col("t"))).alias(f"{o}_t"), F.sum(side(y, F.col("p"))).alias(f"{o}_p"), F.sum(side(y, F.col("t") * F.col("p"))).alias(f"{o}_tp"))])
+    table = persons.join(shape, id_col).persist()  # both are by person: one shuffle
+    try:
+        sums = table.agg(*[F.coalesce(F.sum(f"{o}_{c}"), F.lit(0)).alias(f"{o}_{c}") for o in range(len(known)) for c in ("c", "t", "p", "tp")]).first() if known else None
+        use = []
+        for o in range(len(known)):
+            n, t, p, tp = (float(sums[f"{o}_{c}"]) for c in ("c", "t", "p", "tp"))
+            spread = (t - t * t / n) * (p - p * p / n) if n else 0.0  # t and p are 0 or 1
+            alike = spread > 0 and abs(tp - t * p / n) / spread**0.5 > 0.9
+            use.append([i for i, name in enumerate(x) if name != "period" or 0 < p < n and not alike])
+        for y, fit in zip(known, within_fits(table, list(x), len(known), cluster, use) if known else [], strict=True):
             b, se = fit.row("effect")
-            t = b / se if se else float("nan")
-            p = stats.normal_sf2(t)
-            out.append({"outcome": y, "treatment_effect": b, "std_error": se, "t_statistic": t, "p_value": p, "conf_lower": b - 1.96 * se, "conf_upper": b + 1.96 * se, "significant": p < 0.05, "n_obs": fit.n, "r_squared": fit.r_squared, "error": None})
-        except Exception as e:  # noqa: BLE001  the outcome keeps a row
-            out.append({"outcome": y, "treatment_effect": None, "std_error": None, "t_statistic": None, "p_value": None, "conf_lower": None, "conf_upper": None, "significant": None, "n_obs": None, "r_squared": None, "error": str(e)})
-    return out
+            z = b / se if se else float("nan")
+            p_value = stats.normal_sf2(z)
+            out[y] = {"treatment_effect": b, "std_error": se, "t_statistic": z, "p_value": p_value, "conf_lower": b - 1.96 * se, "conf_upper": b + 1.96 * se, "significant": p_value < 0.05, "n_obs": fit.n, "r_squared": fit.r_squared}
+    finally:
+        table.unpersist()
+    columns = ("treatment_effect", "std_error", "t_statistic", "p_value", "conf_lower", "conf_upper", "significant", "n_obs", "r_squared", "error")
+    return [{"outcome": y} | {c: out[y].get(c) for c in columns} for y in outcomes]
 
 
 def did_means(panel: DataFrame, outcome: str, treat: str = "is_treated", period: str = "period") -> DataFrame:
@@ -139,15 +205,14 @@ def event_study(rows: DataFrame, outcomes: list[str], treat: str = "is_treated",
         raise ValueError("controls need an event_time of their own")
     times = sorted(r[0] for r in rows.select("event_time").distinct().collect())
     name = lambda t: f"lead_{-t}" if t < 0 else f"lag_{t}"
-    person, out = Window.partitionBy(id_col), []
-    for y in outcomes:
-        own = rows.where(F.col(y).isNotNull())
-        x = {f"at_{name(t)}": (F.col("event_time") == t).cast("double") for t in times if t != omit}
-        x |= {name(t): ((F.col("event_time") == t) & F.col(treat).cast("boolean")).cast("double") for t in times if t != omit}
-        flat = own.select(id_col, F.col(y).cast("double").alias("__y"), *[c.alias(n) for n, c in x.items()])
-        flat = flat.select(id_col, *[(F.col(c) - F.avg(c).over(person)).alias(c) for c in ("__y", *x)])
-        persons = own.agg(F.count_distinct(id_col)).first()[0]
-        fit = least_squares(flat, F.col("__y"), {n: F.col(n) for n in x}, absorbed=persons)
+    x = {f"at_{name(t)}": (F.col("event_time") == t).cast("double") for t in times if t != omit}
+    x |= {name(t): ((F.col("event_time") == t) & F.col(treat).cast("boolean")).cast("double") for t in times if t != omit}
+    persons, out = within_products(rows, id_col, outcomes, x).persist(), []
+    try:
+        fits = within_fits(persons, list(x), len(outcomes))
+    finally:
+        persons.unpersist()
+    for y, fit in zip(outcomes, fits, strict=True):
         for t in times:
             b, se = (0.0, 0.0) if t == omit else fit.row(name(t))
             z = b / se if se else 0.0
@@ -209,6 +274,17 @@ def pool(effects: DataFrame, how: str = "meta_analysis", weights: str = "inv_var
     return out.withColumns({"z_statistic": b / se, "overall_conf_lower": b - z * se, "overall_conf_upper": b + z * se})
 
 
+def effects_of(spark, did: list[dict] | None = None, study: list[dict] | None = None, synthetic: list[dict] | None = None) -> DataFrame:
+    """The effects table that pool and adjust_p take, from results of the estimators.
+
+    Rows with an error or without a standard error are left out; of an event study the effects after the event count.
+    """
+    rows = [(r["outcome"], "did", r["treatment_effect"], r["std_error"], r["p_value"], r["n_obs"]) for r in did or [] if r.get("error") is None]
+    rows += [(f"{r['outcome']}_t{r['event_time']}", "event_study", r["coefficient"], r["std_error"], r["p_value"], None) for r in study or [] if r["event_time"] >= 0]
+    rows += [(r["outcome"], "synthetic_control", r["average_effect"], r["std_error"], r["p_value"], r.get("n_obs")) for r in synthetic or []]
+    return spark.createDataFrame([r for r in rows if r[3]], "outcome string, method string, treatment_effect double, std_error double, p_value double, n_obs long")
+
+
 def heterogeneity(effects: DataFrame) -> dict:
     """Cochran's Q with its p-value."""
     r = pool(effects, "meta_analysis").first()
@@ -217,12 +293,19 @@ def heterogeneity(effects: DataFrame) -> dict:
     return {"q_statistic": r.q_statistic, "df": df, "p_value": p, "significant_heterogeneity": p < 0.05, "i_squared": r.i_squared}
 
 
-def synthetic_control(panel: DataFrame, outcome: str, unit: str, time: str, treated_unit, first_treated, rounds: int = 2000) -> tuple[list[tuple], list[tuple]]:
+#: Cells of units x times that may come to the driver.
+MOST_CELLS = 1_000_000
+
+
+def synthetic_control(panel: DataFrame, outcome: str, unit: str, time: str, treated_unit, first_treated, rounds: int = 2000, ridge: float = 0.0) -> tuple[list[tuple], list[tuple]]:
     """Donor weights (non-negative, sum 1) that fit the treated unit before treatment, and the gap at each time.
 
-    The panel is first averaged to units x times, which is what comes to the driver; the fit is by projected gradient.
+    The panel is first averaged to units x times, which is what comes to the driver (more than MOST_CELLS raise); the
+    fit is by projected gradient.  With a ridge the weights are augmented by a ridge fit of what is left before treatment.
     """
-    cells = panel.groupBy(unit, time).agg(F.avg(outcome).alias("y")).collect()
+    cells = panel.groupBy(unit, time).agg(F.avg(outcome).alias("y")).limit(MOST_CELLS + 1).collect()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells of units and times: aggregate the units first")
     value = {(r[unit], r[time]): r["y"] for r in cells}
     times = sorted({r[time] for r in cells if (treated_unit, r[time]) in value})
     donors = sorted({r[unit] for r in cells if r[unit] != treated_unit and all((r[unit], t) in value for t in times)})
@@ -234,10 +317,36 @@ def synthetic_control(panel: DataFrame, outcome: str, unit: str, time: str, trea
     step = 1 / max(np.linalg.norm(a, 2) ** 2, 1e-12) if a.size else 0.0
     for _ in range(rounds):
         w = _to_simplex(w - step * (a.T @ (a @ w - b)))
+    if ridge > 0 and a.size:
+        w = w + a.T @ np.linalg.solve(a @ a.T + ridge * np.eye(len(b)), b - a @ w)
     gaps = y - x @ w
     return [(d, float(v)) for d, v in zip(donors, w, strict=True) if v > 0.001], [(t, float(o), float(o - g), float(g)) for t, o, g in zip(times, y, gaps, strict=True)]
 
 
+def conformal_inference(path: list[tuple], first_treated, confidence: float = 0.95) -> dict:
+    """What the gaps of synthetic_control say: the average effect after treatment, its p-value by moving blocks, and bounds.
+
+    The statistic is the mean absolute gap after treatment; its rank among all cyclic shifts of the gaps is the p-value
+    (Chernozhukov, Wuethrich and Zhu, 2021).  Bounds are the average effect plus and minus the conformal quantile of the
+    absolute gaps before treatment; pre_rmse and pre_r_squared measure the balance before it.
+    """
+    gaps = np.array([g for *_, g in path], float)
+    seen = np.array([y for _, y, *_ in path], float)
+    after = np.array([t >= first_treated for t, *_ in path])
+    n, post = len(gaps), int(after.sum())
+    if not post or post == n:
+        return {"average_effect": None, "p_value": None, "ci_lower": None, "ci_upper": None, "pre_rmse": None, "pre_r_squared": None, "n_pre": n - post, "n_post": post}
+    order = np.concatenate([gaps[~after], gaps[after]])
+    statistic = [float(np.abs(np.roll(order, k)[-post:]).mean()) for k in range(n)]
+    p = sum(v >= statistic[0] - 1e-12 for v in statistic) / n
+    before = np.sort(np.abs(gaps[~after]))
+    place = min(len(before), int(np.ceil((len(before) + 1) * confidence)))
+    half, effect = float(before[place - 1]), float(gaps[after].mean())
+    spread = float(((seen[~after] - seen[~after].mean()) ** 2).sum())
+    rss = float((gaps[~after] ** 2).sum())
+    return {"average_effect": effect, "p_value": p, "ci_lower": effect - half, "ci_upper": effect + half, "pre_rmse": (rss / len(before)) ** 0.5, "pre_r_squared": 1 - rss / spread if spread else None, "n_pre": n - post, "n_post": post}
+
+
 def _to_simplex(v: np.ndarray) -> np.ndarray:
     u = np.sort(v)[::-1]
     css = np.cumsum(u) - 1

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ordering
+
 Condition = str | dict | Callable[[DataFrame], Column]
 CONTROL = "Control (never treated)"
 
@@ -54,15 +56,15 @@ def treatment_events(rows: DataFrame, conditions: list[Condition], which: str =
 
 
 def control_groups(rows: DataFrame, ratio: float = 1.0, eligible: Condition | None = None, seed: int = 17, id_col: str = "cf") -> DataFrame:
-    """Persons with group_assignment and match_id: all treated, and ratio times as many controls in hashed order."""
+    """Persons with group_assignment and match_id: all treated, and ratio times as many controls, both numbered in hashed order."""
     treated = rows.where("is_treated").select(id_col).distinct()
     pool = rows.where(as_column(eligible, rows)[0]) if eligible is not None else rows
     controls = pool.select(id_col).distinct().join(treated, id_col, "left_anti")
     wanted = int(round(treated.count() * ratio))
-    chosen = controls.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(wanted)
-    number = lambda df, key: df.withColumn("match_id", F.row_number().over(Window.partitionBy().orderBy(key)))
-    t = number(treated, F.col(id_col)).withColumn("group_assignment", F.lit("treatment"))
-    c = number(chosen, F.xxhash64(F.col(id_col), F.lit(seed))).withColumn("match_id", F.ceil(F.col("match_id") / max(1.0, ratio)).cast("int")).withColumn("group_assignment", F.lit("control"))
+    hashed = F.xxhash64(F.col(id_col), F.lit(seed))
+    t = ordering.numbered(treated, hashed, id_col, "match_id").withColumn("group_assignment", F.lit("treatment"))
+    c = ordering.numbered(controls, hashed, id_col, "match_id").where(F.col("match_id") <= wanted)
+    c = c.withColumn("match_id", F.ceil(F.col("match_id") / max(1.0, ratio)).cast("int")).withColumn("group_assignment", F.lit("control"))
     return t.unionByName(c)
 
 

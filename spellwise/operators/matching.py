@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import dataclasses
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..functions import ordering
 from ..functions import stats
 
 
@@ -46,10 +48,13 @@ def _bin(df: DataFrame, v: str, bins: int, cuts: list[float] | None) -> Column:
     if not _numeric(df, v):
         return F.coalesce(F.col(v).cast("string"), F.lit("NA"))
     if cuts is None:
-        distinct, edges = df.agg(F.count_distinct(v), F.percentile(v, [i / bins for i in range(bins + 1)])).first()
+        counts = df.where(F.col(v).isNotNull()).groupBy(F.col(v).cast("double").alias("x")).agg(F.count("*").alias("n")).persist()
+        distinct = counts.count()
         if distinct <= bins:
+            counts.unpersist()
             return F.coalesce(F.col(v).cast("string"), F.lit("NA"))
-        cuts = sorted(set(edges))
+        cuts = sorted(set(ordering.quantiles(counts, "x", "n", [i / bins for i in range(bins + 1)])))
+        counts.unpersist()
     label = F.lit("NA")
     for k in range(len(cuts) - 1, 0, -1):
         above = (F.col(v) >= cuts[0]) if k == 1 else (F.col(v) > cuts[k - 1])
@@ -149,13 +154,13 @@ def overall_balance(table: DataFrame) -> DataFrame:
 
 
 def ks_statistic(persons: DataFrame, v: str, treatment: str = "is_treated") -> DataFrame:
-    """The two-sample Kolmogorov-Smirnov statistic with both sample sizes; windows run over distinct values."""
+    """The two-sample Kolmogorov-Smirnov statistic with both sample sizes, from counts of distinct values summed along their order."""
     t = F.col(treatment).cast("int") == 1
     counts = persons.where(F.col(v).isNotNull()).groupBy(F.col(v).alias("x")).agg(C.count_if(t).alias("a"), C.count_if(~t).alias("b"))
-    up = Window.partitionBy().orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    gap = F.abs(C.ratio(F.sum("a").over(up), F.sum("a").over(whole)) - C.ratio(F.sum("b").over(up), F.sum("b").over(whole)))
-    return counts.withColumn("gap", gap).agg(F.max("gap").alias("statistic"), F.sum("a").alias("n_treated"), F.sum("b").alias("n_control"))
+    sizes = persons.where(F.col(v).isNotNull()).agg(C.count_if(t).alias("n_treated"), C.count_if(~t).alias("n_control"))
+    summed = ordering.running_sums(counts, "x", ["a", "b"]).join(F.broadcast(sizes))  # one row
+    gap = F.abs(C.ratio(F.col("a_upto"), F.col("n_treated")) - C.ratio(F.col("b_upto"), F.col("n_control")))
+    return summed.agg(F.max(gap).alias("statistic"), F.sum("a").alias("n_treated"), F.sum("b").alias("n_control"))
 
 
 def ks_test(persons: DataFrame, v: str, treatment: str = "is_treated") -> tuple[float, float]:
@@ -199,8 +204,8 @@ class Match:
     pairs: DataFrame
 
 
-def propensity_scores(persons: DataFrame, variables: list[str], treatment: str = "is_treated", id_col: str = "cf") -> DataFrame:
-    """id, treatment and propensity_score of an unpenalised logit; text variables are dummies without the last level."""
+def propensity_scores(persons: DataFrame, variables: list[str], treatment: str = "is_treated", id_col: str = "cf", carried: list[str] | None = None) -> DataFrame:
+    """id, treatment, variables (and columns carried along) and propensity_score of an unpenalised logit; text variables are dummies without the last level."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -211,46 +216,94 @@ def propensity_scores(persons: DataFrame, variables: list[str], treatment: str =
     stages = [StringIndexer(inputCol=v, outputCol=f"{v}__i") for v in text] + [OneHotEncoder(inputCol=f"{v}__i", outputCol=f"{v}__o") for v in text]
     stages += [VectorAssembler(inputCols=[f"{v}__o" if v in text else v for v in variables], outputCol="features"), LogisticRegression(regParam=0.0, tol=1e-10, maxIter=100)]
     scored = Pipeline(stages=stages).fit(rows).transform(rows)
-    return scored.select(id_col, F.col(treatment).cast("int").alias("treated"), *[v for v in variables if v != id_col], vector_to_array("probability")[1].alias("propensity_score"))
+    return scored.select(id_col, F.col(treatment).cast("int").alias("treated"), *[v for v in [*variables, *(carried or [])] if v != id_col], vector_to_array("probability")[1].alias("propensity_score"))
 
 
-def _greedy(id_col: str, caliper: float | None, ratio: int):
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        """Treated persons by falling score take the nearest unused controls."""
-        t = group[group.treated == 1].sort_values(["propensity_score", id_col], ascending=[False, True])
-        c = group[group.treated == 0].sort_values(["propensity_score", id_col])
-        free, out = list(zip(c.propensity_score, c[id_col], strict=True)), []
-        import bisect
+def common_support(scores: DataFrame) -> DataFrame:
+    """The scores between the larger of both sides' minima and the smaller of their maxima."""
+    side = lambda f, t: f(F.when(F.col("treated") == t, F.col("propensity_score")))
+    ends = scores.agg(F.greatest(side(F.min, 1), side(F.min, 0)).alias("__lo"), F.least(side(F.max, 1), side(F.max, 0)).alias("__hi"))
+    return scores.join(F.broadcast(ends)).where("propensity_score BETWEEN __lo AND __hi").drop("__lo", "__hi")  # one row
+
 
-        for score, who in zip(t.propensity_score, t[id_col], strict=True):
+def _greedy(caliper: float | None, ratio: int, replace: bool):
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        """Treated persons by falling score take the nearest unused controls; of two as near the lower score, then the smaller id."""
+        t = group[group.treated == 1].sort_values(["s", "id"], ascending=[False, True])
+        c = group[group.treated == 0].sort_values(["s", "id"])
+        scores, ids, n = c.s.to_numpy(), c.id.to_numpy(), len(c)
+        down, up = list(range(-1, n)), list(range(n + 1))  # down[k + 1]: the next free place at or below k; up[k]: at or above
+
+        def free(links: list[int], k: int) -> int:
+            root = k
+            while links[root] != (root if links is up else root - 1):
+                root = links[root] if links is up else links[root] + 1
+            while k != root:
+                links[k], k = (root, links[k]) if links is up else (root - 1, links[k] + 1)
+            return links[root]
+
+        out = []
+        for score, who in zip(t.s.to_numpy(), t.id.to_numpy(), strict=True):
             for _ in range(ratio):
-                at = bisect.bisect_left(free, (score,))
-                near = [k for k in (at - 1, at) if 0 <= k < len(free)]
-                if not near:
+                at = int(np.searchsorted(scores, score))
+                k = up[at] if replace else free(up, at)
+                below = at - 1 if replace else free(down, at)
+                if below >= 0 and (k >= n or score - scores[below] <= scores[k] - score):
+                    first = int(np.searchsorted(scores, scores[below]))  # the smallest free id of that score
+                    k = first if replace else free(up, first)
+                if k >= n or caliper is not None and abs(scores[k] - score) > caliper:
                     break
-                k = min(near, key=lambda k: (abs(free[k][0] - score), free[k][1]))
-                if caliper is not None and abs(free[k][0] - score) > caliper:
+                out.append((who, ids[k], abs(scores[k] - score)))
+                if replace:
                     break
-                out.append((who, free[k][1], abs(free[k][0] - score)))
-                free.pop(k)
+                up[k], down[k + 1] = k + 1, k - 1
         return pd.DataFrame(out, columns=["treated_id", "control_id", "distance"])
 
     return match
 
 
-def propensity_match(persons: DataFrame, variables: list[str], treatment: str = "is_treated", id_col: str = "cf", caliper: float | None = 0.2, ratio: int = 1, exact: list[str] | None = None, score_bins: int = 50) -> Match:
-    """Nearest-neighbour matching without replacement inside exact strata; the caliper is in standard deviations of the score.
+#: Persons of neighbouring scores that are matched in one task.
+BAND = 20_000
+
+
+def propensity_match(persons: DataFrame, variables: list[str], treatment: str = "is_treated", id_col: str = "cf", caliper: float | None = 0.2, ratio: int = 1, exact: list[str] | None = None, replace: bool = False, missing: str = "complete_cases", trim: bool = False) -> Match:
+    """Nearest-neighbour matching inside exact strata; the caliper is in standard deviations of the score.
 
-    Greedy matching is sequential, so each stratum also divides by score_bins bands of the score: a group stays bounded and
-    groups run beside each other.
+    Greedy matching is sequential, so persons are cut, in the order of their scores, into bands of BAND persons that are
+    matched beside each other; those left are cut anew, half a band further, until no pair is added.  Up to BAND
+    persons the result is that of one greedy pass; beyond, a person near the edge of a band may get a control a little
+    farther than the nearest.  With replace controls serve again and a person has one pair.  missing is complete_cases,
+    mean_impute or missing_indicator; trim keeps the scores in common support only.
     """
-    scores = propensity_scores(persons, variables, treatment, id_col)
-    width = scores.agg(F.stddev_samp("propensity_score")).first()[0] or 0.0
+    rows = persons
+    if missing == "mean_impute":
+        rows = impute(persons, variables, "mean")
+    elif missing == "missing_indicator":
+        flags = {f"{v}_missing": F.col(v).isNull().cast("double") for v in variables}
+        rows = impute(persons.withColumns(flags), variables, "mean")
+        variables = [*variables, *flags]
+    elif missing != "complete_cases":
+        raise ValueError(missing)
+    scores = propensity_scores(rows, variables, treatment, id_col, [e for e in exact or [] if e not in variables])
+    scores = (common_support(scores) if trim else scores).persist()
+    total, width = scores.agg(F.count("*"), F.stddev_samp("propensity_score")).first()
     keys = [F.col(e) for e in exact or []]
-    band = F.least(F.floor(F.col("propensity_score") * score_bins), F.lit(score_bins - 1)).alias("band")
+    flat = scores.select(*keys, F.col(id_col).alias("id"), F.col("propensity_score").alias("s"), "treated", F.lit(1).cast("long").alias("one"))
     id_type = persons.schema[id_col].dataType.simpleString()
-    pairs = scores.groupBy(*keys, band).applyInPandas(_greedy(id_col, None if caliper is None else caliper * width, ratio), f"treated_id {id_type}, control_id {id_type}, distance double")
-    return Match(scores, pairs)
+    greedy, schema = _greedy(None if caliper is None else caliper * (width or 0.0), ratio, replace), f"treated_id {id_type}, control_id {id_type}, distance double"
+    if total <= BAND:
+        return Match(scores, flat.groupBy(*keys).applyInPandas(greedy, schema))
+    left, pairs, turn = flat, None, 0
+    while True:
+        placed = ordering.running_sums(left, "s", ["one"], ties="id")
+        band = F.floor((F.col("one_upto") + turn % 2 * BAND // 2) / BAND)
+        found = placed.groupBy(*keys, band.alias("band")).applyInPandas(greedy, schema).persist()
+        if not found.limit(1).count():
+            return Match(scores, found if pairs is None else pairs)
+        pairs, turn = found if pairs is None else pairs.unionAll(found), turn + 1
+        done = found.select(F.col("treated_id").alias("done")) if ratio == 1 or replace else found.groupBy(F.col("treated_id").alias("done")).count().where(F.col("count") >= ratio).select("done")
+        gone = done if replace else done.unionAll(found.select("control_id"))
+        left = left.join(gone, left["id"] == gone["done"], "left_anti").persist()
 
 
 def match_quality(total_treated: int, total_control: int, matched_treated: int, matched_control: int, treated_in_support_pct: float | None = None, control_in_support_pct: float | None = None, balanced: bool | None = None) -> dict:

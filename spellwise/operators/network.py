@@ -42,15 +42,38 @@ def graph_edges(edges: DataFrame, min_weight: int = 1) -> DataFrame:
 
 def network_summary(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density without loops, weight figures."""
-    nodes = edges.select(F.col("from").alias("n")).union(edges.select("to")).distinct().agg(F.count("*").alias("n_nodes"))
-    one = edges.agg(F.count("*").alias("n_edges"), F.sum("weight").alias("total_weight"), F.avg("weight").alias("mean_weight"), F.median("weight").alias("median_weight"), F.max("weight").alias("max_weight"))
-    return nodes.join(one).withColumn("density", C.ratio(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)))  # single rows
+    nodes = F.size(F.array_union(F.collect_set("from"), F.collect_set("to"))).cast("long")  # a vocabulary
+    one = edges.agg(nodes.alias("n_nodes"), F.count("*").alias("n_edges"), F.sum("weight").alias("total_weight"), F.avg("weight").alias("mean_weight"), F.median("weight").alias("median_weight"), F.max("weight").alias("max_weight"))
+    return one.withColumn("density", C.ratio(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)))
+
+
+def top_nodes(edges: DataFrame, k: int = 5, by: str = "strength") -> DataFrame:
+    """The k nodes with the largest degree or strength, ties by name, with their share of the sum (a top report)."""
+    nodes = node_degrees(edges).select("node", F.col(by).alias("value"))
+    return nodes.withColumn("share", C.ratio(F.col("value"), F.sum("value").over(Window.partitionBy()))).orderBy(F.desc("value"), "node").limit(k)  # nodes are few
+
+
+def network_analysis(edges: DataFrame) -> dict:
+    """Sizes, weights, centrality (mean, largest and five nodes of each kind), communities and their modularity, in one result."""
+    rows = edges.select("from", "to", "weight")
+    summary = network_summary(rows).first().asDict()
+    degrees = {r.node: r for r in node_degrees(rows).collect()}  # a vocabulary
+    paths = path_metrics(rows)
+    labels, modularity = communities(rows)
+    kinds = {"degree": {n: float(r.degree) for n, r in degrees.items()}, "strength": {n: float(r.strength) for n, r in degrees.items()}}
+    kinds |= {"betweenness": {n: b for n, (b, _) in paths.items()}, "closeness": {n: c for n, (_, c) in paths.items()}}
+    centrality = {}
+    for kind, values in kinds.items():
+        best = sorted(values, key=lambda n: (-values[n], str(n)))[:5]
+        centrality[kind] = {"mean": sum(values.values()) / len(values) if values else None, "max": max(values.values(), default=None), "top": [(n, values[n]) for n in best]}
+    return {"summary": summary, "centrality": centrality, "communities": labels, "n_communities": len(set(labels.values())), "modularity": modularity}
 
 
 def similarity_edges(segments: DataFrame, least: float = 0.3) -> DataFrame:
     """Pairs of employment episodes (over_id) whose mean concurrency times log days are alike: 1 / (1 + difference) over `least`.
 
-    Episodes in one bin of the score's reach, or in neighbouring bins, are the only ones to meet.
+    Episodes in one bin of the score's reach, or in neighbouring bins, are the only ones to meet.  The reach at the
+    default limit, 2.33, is about as wide as all scores, so nearly all pairs are in the result: over many episodes ask for 0.9 or more.
     """
     reach = 1 / least - 1
     scores = segments.where("over_id > 0").groupBy("over_id").agg(F.round(F.avg("arco") * F.ln(1 + F.avg("durata")), 6).alias("score"))

@@ -91,11 +91,11 @@ def _days(name: str = "durata") -> list[Column]:
 
 
 def duration_distribution(segments: DataFrame) -> DataFrame:
-    """Overlapping segments in six classes of duration."""
-    bucket = F.lit("366+ days")
-    for top, name in reversed(_BUCKETS):
-        bucket = F.when(F.col("durata") <= top, name).otherwise(bucket)
-    out = segments.where(_overlap()).groupBy(bucket.alias("duration_category")).agg(F.count("*").alias("n_periods"), *_days(), F.min("durata").alias("min_duration"), F.max("durata").alias("max_duration"))
+    """Overlapping segments in six classes of duration; duration_rank is the order of the classes."""
+    bucket, rank = F.lit("366+ days"), F.lit(len(_BUCKETS) + 1)
+    for k, (top, name) in reversed(list(enumerate(_BUCKETS))):
+        bucket, rank = F.when(F.col("durata") <= top, name).otherwise(bucket), F.when(F.col("durata") <= top, k + 1).otherwise(rank)
+    out = segments.where(_overlap()).groupBy(bucket.alias("duration_category"), rank.alias("duration_rank")).agg(F.count("*").alias("n_periods"), *_days(), F.min("durata").alias("min_duration"), F.max("durata").alias("max_duration"))
     return out.withColumn("percentage", C.share(F.col("n_periods")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import ordering
 
 #: Colours of the employment states, and of charts of effects.
 STATUS_COLORS = {"disoccupato": "#B0BEC5", "occ_pt": "#4FC3F7", "occ_ft": "#1565C0", "over_pt_pt": "#FFB74D", "over_pt_ft": "#FB8C00", "over_ft_pt": "#F4511E", "over_ft_ft": "#B71C1C"}
@@ -108,5 +109,5 @@ def over_id_summary(segments: DataFrame) -> DataFrame:
 
 def person_order(metrics: DataFrame, index: str, long_metrics: list[str]) -> DataFrame:
     """Persons ordered by an index, unpivoted: their row on the chart beside each metric."""
-    y = F.row_number().over(Window.partitionBy().orderBy(F.desc_nulls_last(index), "cf"))  # persons of one chart
-    return metrics.withColumn("y", y).select("cf", "y", *[F.col(c).cast("double").alias(c) for c in long_metrics]).unpivot(["cf", "y"], long_metrics, "metric_name", "metric_value")
+    placed = ordering.running_sums(metrics.withColumn("y", F.lit(1).cast("long")), index, ["y"], ties="cf", descending=True)
+    return placed.withColumn("y", F.col("y_upto").cast("int")).select("cf", "y", *[F.col(c).cast("double").alias(c) for c in long_metrics]).unpivot(["cf", "y"], long_metrics, "metric_name", "metric_value")

@@ -81,6 +81,11 @@ def consolidate(segments: DataFrame, kind: str = "both") -> DataFrame:
     return rows
 
 
+def min_duration(segments: DataFrame, days: int) -> DataFrame:
+    """Segments of at least so many days; unemployment stays whatever its length."""
+    return segments.where((F.col("arco") == 0) | (F.col("durata") >= days))
+
+
 def validate_over_id(segments: DataFrame) -> DataFrame:
     """One row: completeness and coding of over_id, its range, overlap counts, quality score and grade."""
     out = segments.agg(

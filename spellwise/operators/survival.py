@@ -90,13 +90,19 @@ def logrank_components(rows: DataFrame, rho: float = 0.0, group: str = "contract
 
 
 def _event_times(rows: DataFrame, rho: float, group: str) -> tuple[DataFrame, DataFrame]:
+    """Event times with pooled n and d and weight w; and of each group its numbers at risk and events at each of them.
+
+    The groups' counts are united with zeros at the event times, and one window a group sums them from the end.
+    """
     pooled = kaplan_meier(rows.withColumn("__all", F.lit("all")), "__all").select("time", F.col("n_risk").alias("n"), F.col("n_event").alias("d"), "survival_prob")
     before = F.coalesce(F.lag("survival_prob").over(Window.partitionBy().orderBy("time")), F.lit(1.0))  # distinct days only
     times = pooled.withColumn("w", F.pow(before, F.lit(float(rho)))).where("d > 0").select("time", "n", "d", "w")
-    own = kaplan_meier(rows, group).select(group, F.col("time").alias("t"), "n_risk", "n_event")
-    grid = times.select("time").join(own.select(group).distinct())
-    met = grid.join(own.select(F.col(group).alias("g"), "t", "n_risk", "n_event"), (F.col(group) == F.col("g")) & (F.col("t") >= F.col("time")), "left")
-    per_group = met.groupBy(group, "time").agg(F.coalesce(F.min_by("n_risk", "t"), F.lit(0)).alias("n_g"), F.coalesce(F.max(F.when(F.col("t") == F.col("time"), F.col("n_event"))), F.lit(0)).alias("d_g"))
+    own = rows.where(F.col("survival_time").isNotNull()).groupBy(group, F.col("survival_time").alias("time")).agg(F.count("*").alias("m"), F.sum((F.col("censored") == 0).cast("int")).alias("n_event"))
+    zero = F.lit(0).cast("long")
+    grid = times.select("time").join(own.select(group).distinct()).select(group, "time", zero.alias("m"), zero.alias("n_event"))  # groups x event days
+    counts = own.unionByName(grid).groupBy(group, "time").agg(F.sum("m").alias("m"), F.sum("n_event").alias("d_g"))
+    down = Window.partitionBy(group).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+    per_group = counts.withColumn("n_g", F.sum("m").over(down)).join(times.select("time"), "time", "left_semi").select(group, "time", "n_g", "d_g")
     return times, per_group
 
 
@@ -148,3 +154,24 @@ def comparison_groups(medians: DataFrame, most: int = 10, group: str = "contract
     slot = F.floor((F.col("r") - 1) / step)
     kept = ranked.withColumn("slot", slot).withColumn("k", F.row_number().over(Window.partitionBy("slot").orderBy("r"))).where("k = 1 OR r = n")
     return kept.select(group, "median_survival", "median_ci_lower", "median_ci_upper")
+
+
+def forest_data(medians: DataFrame, overall: float | None = None, group: str = "contract_type") -> DataFrame:
+    """Rows of a forest chart: medians with their interval, whether it is valid, the place by falling median, and the overall median.
+
+    An interval is valid if both ends are known and hold the median; without `overall` it is the mean of the medians.
+    """
+    whole = Window.partitionBy()  # groups are few
+    low, high, m = F.col("median_ci_lower"), F.col("median_ci_upper"), F.col("median_survival")
+    valid = F.coalesce((low <= m) & (m <= high), F.lit(False))
+    centre = F.lit(float(overall)) if overall is not None else F.avg("median_survival").over(whole)
+    place = F.row_number().over(whole.orderBy(F.desc_nulls_last("median_survival"), group))
+    return medians.where(m.isNotNull()).select(group, "median_survival", "median_ci_lower", "median_ci_upper", valid.alias("ci_valid"), place.alias("place"), centre.alias("overall_median"))
+
+
+def curve_frames(table: DataFrame, frames: int = 20, group: str = "contract_type") -> DataFrame:
+    """The frames of an animated survival chart: in frame k each curve up to k / frames of the longest time."""
+    last = table.agg(F.max("time").alias("__last"))
+    number = F.explode(F.sequence(F.lit(1), F.lit(frames)))
+    rows = table.select(group, "time", "survival_prob").join(F.broadcast(last)).withColumn("frame", number)  # one row
+    return rows.where(F.col("time") <= F.col("__last") * F.col("frame") / frames).drop("__last")

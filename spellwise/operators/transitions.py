@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..functions import ordering
 
 
 def transition_rows(segments: DataFrame, variable: str = C.CONTRACT, chain: str = "last", min_days: int = 1, max_days: int | None = None, statistics: tuple[str, ...] = ()) -> DataFrame:
@@ -41,16 +42,18 @@ def transitions(segments: DataFrame, variable: str = C.CONTRACT, chain: str = "l
     """
     rows = transition_rows(segments, variable, chain, min_days, max_days, statistics)
     aggregates = [F.count("*").alias("weight"), F.avg("durata").alias("transition_duration")]
-    modes = []
+    modes, medians = [], []
     for s in statistics:
         numeric = isinstance(segments.schema[s].dataType, T.NumericType)
         for side in ("from", "to"):
             if numeric:
                 times = F.greatest(F.lit(1), F.round(F.col(f"{side}_days"))).cast("long")
-                aggregates.append(F.percentile(F.col(f"{s}_{side}"), F.lit(0.5), times).alias(f"{s}_{side}_median"))
+                medians.append((f"{s}_{side}", times, f"{s}_{side}_median"))
             else:
                 modes.append((f"{s}_{side}", f"{s}_{side}_mode"))
     out = rows.groupBy("from", "to").agg(*aggregates)
+    for value, times, name in medians:
+        out = out.join(ordering.weighted_medians(rows, ["from", "to"], value, times, name), ["from", "to"], "left")
     for value, name in modes:
         out = out.join(mode_of(rows, ["from", "to"], value, name), ["from", "to"], "left")
     return out
@@ -74,20 +77,19 @@ def pivoted(matrix: DataFrame) -> DataFrame:
 
 
 def matrix_statistics(edges: DataFrame, name: str = "raw") -> DataFrame:
-    """The thirteen statistics of a matrix as matrix_type, metric, value."""
-    states = edges.select(F.col("from").alias("s")).union(edges.select("to")).distinct().agg(F.count("*").alias("n_states"))
+    """The thirteen statistics of a matrix as matrix_type, metric, value; the edges are read once."""
     loop = F.col("from") == F.col("to")
-    sums = edges.agg(
+    one = edges.agg(
+        F.size(F.array_union(F.collect_set("from"), F.collect_set("to"))).cast("long").alias("n_states"),  # a vocabulary
         F.coalesce(F.sum("weight"), F.lit(0)).alias("total"),
         F.count("*").alias("nonzero"),
         C.sum_if(loop, "weight").alias("loops"),
-        F.count_distinct("from").alias("active_from"),
-        F.count_distinct("to").alias("active_to"),
+        F.size(F.collect_set("from")).alias("active_from"),
+        F.size(F.collect_set("to")).alias("active_to"),
         F.coalesce(F.avg("weight"), F.lit(0.0)).alias("mean"),
         F.coalesce(F.median("weight"), F.lit(0.0)).alias("median"),
         F.coalesce(F.max("weight"), F.lit(0)).alias("max"),
     )
-    one = states.join(sums)  # two single rows
     possible = F.col("n_states") * F.col("n_states")
     density = C.ratio(F.col("nonzero"), possible)
     values = {

@@ -271,7 +271,9 @@ add(
     a AS (SELECT sum(e / (1 / w + tau)) / sum(1 / (1 / w + tau)) AS pe, sqrt(1 / sum(1 / (1 / w + tau))) AS ps, count(*) AS n, any_value(q) AS q, any_value(tau) AS tau, any_value(i2) AS i2 FROM w, t)
     SELECT {_TAIL}, round(q, 6) AS q_statistic, round(tau, 6) AS tau_squared, round(i2, 6) AS i_squared FROM a""",
 )
-add("effect_heterogeneity", lambda s, d: s.createDataFrame([E.heterogeneity(_effects(s, d))]))
+add("effect_heterogeneity", lambda s, d: s.createDataFrame([E.heterogeneity(_effects(s, d))]).select("q_statistic", F.col("df").cast("long").alias("df"), "i_squared"),
+    f"""WITH {_EFFECTS}, w AS (SELECT treatment_effect AS e, 1 / (std_error * std_error) AS w FROM ef), f AS (SELECT sum(w * e) / sum(w) AS m FROM w), q AS (SELECT sum(w * (e - m) * (e - m)) AS q, count(*) AS n FROM w, f)
+    SELECT round(q, 6) AS q_statistic, n - 1 AS df, round(100 * greatest(0, (q - (n - 1)) / q), 6) AS i_squared FROM q""")
 add("synthetic_control_weights", lambda s, d: s.createDataFrame(E.synthetic_control(A.grouped_segments(s, d).withColumn("year", F.year("inizio")), "durata", "area", "year", "BUILDING", 1999)[0], "donor string, weight double"))
 
 
@@ -313,6 +315,12 @@ add("imputed_means", lambda s, d: M.impute(A.segments(s, d).select("cf", "prior"
     f"WITH {SEGMENTS}, m AS (SELECT median(prior) AS m FROM segments) SELECT stato, round(avg(coalesce(CAST(prior AS DOUBLE), m)), 6) AS mean_prior, count(*) AS n FROM segments, m GROUP BY stato")
 add("missing_correlation", lambda s, d: M.missing_correlation(A.segments(s, d), ["retribuzione", "prior"]),
     f"WITH {SEGMENTS} SELECT 'retribuzione' AS a, 'prior' AS b, round(corr(CAST(retribuzione IS NULL AS DOUBLE), CAST(prior IS NULL AS DOUBLE)), 6) AS correlation FROM segments")
-add("love_plot", lambda s, d: M.love_plot(M.balance(_persons(s, d), ["n_orders", "mean_price"]), M.balance(M.coarsened_exact(_persons(s, d), ["area", "mean_price"], seed=None), ["n_orders", "mean_price"])))
+_SMD = "SELECT '{0}' AS variable, '{2}' AS sample, abs((avg({0}) FILTER (is_treated) - avg({0}) FILTER (NOT is_treated)) / sqrt((var_samp({0}) FILTER (is_treated) + var_samp({0}) FILTER (NOT is_treated)) / 2)) AS d FROM {1}"
+add(
+    "love_plot",
+    lambda s, d: M.love_plot(M.balance(_persons(s, d), ["n_orders", "mean_price"]), M.balance(M.coarsened_exact(_persons(s, d), ["area", "mean_price"], seed=None), ["n_orders", "mean_price"])),
+    f"""WITH {_MATCHED}, ra AS (SELECT *, row_number() OVER (PARTITION BY strata_id, is_treated ORDER BY cf) AS r FROM bo), kept AS (SELECT * FROM ra WHERE r <= least(n_treated, n_control)),
+    u AS ({" UNION ALL ".join(_SMD.format(v, t, n) for t, n in (("persons", "before"), ("kept", "after")) for v in ("n_orders", "mean_price"))}) SELECT variable, sample, round(d, 6) AS abs_std_diff FROM u""",
+)
 _MEANS = "SELECT '{0}' AS outcome, is_treated, period, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS sd, count({0}) AS n FROM pn GROUP BY 2, 3"
 add("group_means", lambda s, d: E.group_means(_panel(s, d), ["employment_rate", "days_employed"]), f"WITH {_PANEL} {_MEANS.format('employment_rate')} UNION ALL {_MEANS.format('days_employed')}")

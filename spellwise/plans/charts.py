@@ -45,7 +45,8 @@ add("overlap_heatmap", lambda s, d: P.overlap_heatmap(A.segments(s, d)), f"WITH
 add("kpi_summary", lambda s, d: P.kpis(A.segments(s, d)), f"WITH {SEGMENTS} SELECT count(DISTINCT cf) AS n_persons, count(*) AS n_segments, round(100 * sum(CASE WHEN arco >= 1 THEN durata END) / sum(durata), 6) AS employment_rate_pct, round(avg(durata), 6) AS mean_duration, round(100 * count(CASE WHEN arco > 1 THEN 1 END) / count(CASE WHEN arco >= 1 THEN 1 END), 6) AS overlap_pct FROM segments")
 add("monthly_kpi", lambda s, d: P.monthly_rates(A.segments(s, d)), f"WITH {SEGMENTS} SELECT {_month} AS month, count(DISTINCT cf) AS n_persons, round(avg(CASE WHEN arco >= 1 THEN 1.0 ELSE 0.0 END), 6) AS employment_rate FROM segments GROUP BY 1")
 add("over_id_summary", lambda s, d: P.over_id_summary(A.segments(s, d)), f"WITH {SEGMENTS} SELECT over_id, count(*) AS n, CAST(sum(durata) AS BIGINT) AS total_days, round(avg(durata), 6) AS mean_days, count(DISTINCT cf) AS persons, CAST(quantile_cont(durata, 0.25) AS DOUBLE) AS q25, CAST(median(durata) AS DOUBLE) AS median, CAST(quantile_cont(durata, 0.75) AS DOUBLE) AS q75 FROM segments WHERE over_id > 0 GROUP BY over_id")
-add("gantt", lambda s, d: P.gantt(A.segments(s, d)))
+add("gantt", lambda s, d: P.gantt(A.segments(s, d)), f"""WITH {SEGMENTS} SELECT cf, inizio, fine, stato, inizio + CAST(floor(durata / 2) AS INTEGER) AS middle, CASE WHEN durata < 60 THEN durata || 'd' WHEN durata < 730 THEN CAST(CAST(round(durata / 30.44, 0) AS INTEGER) AS VARCHAR) || 'm' ELSE CAST(round(durata / 365.25, 1) AS VARCHAR) || 'y' END AS label FROM segments""")
+add("top_nodes", lambda s, d: N.top_nodes(_edges(s, d)), f"WITH {EDGES}, ed AS (SELECT * FROM edges), {_DEGREES} SELECT node, in_strength + out_strength AS value, round((in_strength + out_strength) / sum(in_strength + out_strength) OVER (), 6) AS share FROM dg ORDER BY value DESC, node LIMIT 5")
 add("person_order", lambda s, d: P.person_order(R.success(A.segments(s, d)), "career_success_index", ["contract_quality_score", "career_stability_score"]))
 
 

@@ -214,7 +214,7 @@ add(
     "overlap_duration",
     lambda s, d: O.duration_distribution(A.segments(s, d)),
     f"""WITH {SEGMENTS} SELECT CASE WHEN durata <= 7 THEN '1-7 days' WHEN durata <= 30 THEN '8-30 days' WHEN durata <= 90 THEN '31-90 days' WHEN durata <= 180 THEN '91-180 days' WHEN durata <= 365 THEN '181-365 days'
-        ELSE '366+ days' END AS duration_category, count(*) AS n_periods, {_DAYS}, min(durata) AS min_duration, max(durata) AS max_duration, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percentage FROM segments WHERE arco > 1 GROUP BY 1""",
+        ELSE '366+ days' END AS duration_category, CASE WHEN durata <= 7 THEN 1 WHEN durata <= 30 THEN 2 WHEN durata <= 90 THEN 3 WHEN durata <= 180 THEN 4 WHEN durata <= 365 THEN 5 ELSE 6 END AS duration_rank, count(*) AS n_periods, {_DAYS}, min(durata) AS min_duration, max(durata) AS max_duration, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percentage FROM segments WHERE arco > 1 GROUP BY 1, 2""",
 )
 add(
     "overlap_intensity",
@@ -270,3 +270,13 @@ for how, order in {"alphabetical": "node", "frequency": "frequency DESC, node"}.
         f"""WITH {EDGES}, e AS (SELECT "from" AS node, weight AS o, 0 AS i FROM edges UNION ALL SELECT "to", 0, weight FROM edges), n AS (SELECT node, CAST(sum(o) + sum(i) AS BIGINT) AS frequency, CAST(sum(o) - sum(i) AS BIGINT) AS root_score FROM e GROUP BY node)
         SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place, row_number() OVER (ORDER BY root_score DESC, node) <= greatest(1, ceil(count(*) OVER () * 0.1)) AS is_root FROM n""",
     )
+add(
+    "benefits_min_duration",
+    lambda s, d: O.consolidation_benefits(S.min_duration(A.segments(s, d), 30)).select("cf", "over_id", "original_segments", "total_duration", "complexity_reduction"),
+    f"WITH {SEGMENTS} SELECT cf, over_id, count(*) AS original_segments, CAST(sum(durata) AS BIGINT) AS total_duration, count(*) - 1 AS complexity_reduction FROM segments WHERE (arco = 0 OR durata >= 30) AND over_id > 0 GROUP BY cf, over_id",
+)
+add(
+    "min_duration_counts",
+    lambda s, d: S.min_duration(A.segments(s, d), 60).groupBy("stato").agg(F.count("*").alias("n"), F.min("durata").alias("shortest")),
+    f"WITH {SEGMENTS} SELECT stato, count(*) AS n, min(durata) AS shortest FROM segments WHERE arco = 0 OR durata >= 60 GROUP BY stato",
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import career as R
 from ..operators import impact_metrics as I
 from ..operators import plotdata as P
@@ -218,5 +220,30 @@ add(
     f"""WITH {PERIODS}, {_quality_sql(False)}, {_stability_sql('periods', 'cf, period')}, {_complexity_sql('periods', 'cf, period')}, {_PATTERNS}
     SELECT cf, period, employment_rate, permanent_contract_rate, career_complexity_index, transition_frequency FROM stability FULL JOIN quality USING (cf, period) FULL JOIN complexity USING (cf, period) FULL JOIN patterns USING (cf, period)""",
 )
+_RATES = ("employment_rate", "permanent_contract_rate", "career_complexity_index", "transition_frequency")
+add(
+    "impact_metrics_long_rates",
+    lambda s, d: I.comprehensive(A.period_segments(s, d), _PERM, _TEMP, form="long").where(F.col("metric_name").isin(*_RATES)).select("cf", "period", "metric_name", "metric_value"),
+    f"""WITH {PERIODS}, {_quality_sql(False)}, {_stability_sql('periods', 'cf, period')}, {_complexity_sql('periods', 'cf, period')}, {_PATTERNS},
+    wide AS (SELECT cf, period, employment_rate, permanent_contract_rate, career_complexity_index, transition_frequency FROM stability FULL JOIN quality USING (cf, period) FULL JOIN complexity USING (cf, period) FULL JOIN patterns USING (cf, period))
+    {" UNION ALL ".join(f"SELECT cf, period, '{m}' AS metric_name, CAST({m} AS DOUBLE) AS metric_value FROM wide WHERE {m} IS NOT NULL" for m in _RATES)}""",
+)
 add("impact_metrics_long", lambda s, d: I.comprehensive(A.period_segments(s, d), _PERM, _TEMP, form="long"))
-add("survival_comparison_groups", lambda s, d: V.comparison_groups(V.median_survival(_km(s, d)), 3))
+add(
+    "survival_comparison_groups",
+    lambda s, d: V.comparison_groups(V.median_survival(_km(s, d)), 3),
+    f"""{_KM}, {_MEDIAN}, ra AS (SELECT *, row_number() OVER (ORDER BY m NULLS LAST, g) AS r, count(*) OVER () AS n FROM med),
+    sl AS (SELECT *, floor((r - 1) / greatest(1.0, (n - 1) / 2.0)) AS slot FROM ra), kk AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY r) AS k FROM sl)
+    SELECT g AS contract_type, m AS median_survival, l AS median_ci_lower, u AS median_ci_upper FROM kk WHERE k = 1 OR r = n""",
+)
+add(
+    "survival_forest",
+    lambda s, d: V.forest_data(V.median_survival(_km(s, d))),
+    f"""{_KM}, {_MEDIAN} SELECT g AS contract_type, m AS median_survival, l AS median_ci_lower, u AS median_ci_upper, coalesce(l <= m AND m <= u, false) AS ci_valid,
+        CAST(row_number() OVER (ORDER BY m DESC, g) AS INTEGER) AS place, round(avg(m) OVER (), 6) AS overall_median FROM med WHERE m IS NOT NULL""",
+)
+add(
+    "survival_frames",
+    lambda s, d: V.curve_frames(_km(s, d), 10),
+    f"{_KM} SELECT g AS contract_type, time, round(s, 6) AS survival_prob, CAST(frame AS INTEGER) AS frame FROM km CROSS JOIN generate_series(1, 10) f(frame) WHERE time <= (SELECT max(time) FROM km) * frame / 10",
+)

@@ -3,6 +3,7 @@
 import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,206 @@ def test_writers(spark, tmp_path):
 def test_colors():
     assert plotdata.contrast("#000000", "#FFFFFF") == pytest.approx(21)
     assert plotdata.status_colors(["occ_ft", "other"])["other"] == "#757575"
+
+
+# --- estimates against NumPy -------------------------------------------------------------------------------------------
+def dummies(ids):
+    names = sorted(set(ids))
+    return np.array([[float(i == n) for n in names] for i in ids])
+
+
+def ols(x, y):
+    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+    e = y - x @ beta
+    dof = len(y) - np.linalg.matrix_rank(x)
+    return beta, e, float(e @ e) / dof, np.linalg.pinv(x.T @ x)
+
+
+def made_panel(seed=3, persons=60):
+    rnd = np.random.default_rng(seed)
+    rows = []
+    for i in range(persons):
+        t, own, c = int(i % 3 == 0), rnd.normal(), rnd.normal()
+        for p in (0, 1):
+            if i % 11 == 0 and p:
+                continue
+            y = own + 0.5 * p + 1.5 * t * p + 0.3 * c * p + rnd.normal() * 0.4
+            rows.append((i, bool(t), p, float(y), None if i == 5 else float(2 * y + rnd.normal()), float(c * p)))
+    return rows
+
+
+@pytest.mark.parametrize("cluster", [False, True])
+def test_did_equals_a_regression_with_dummies(spark, cluster):
+    rows = made_panel()
+    df = spark.createDataFrame(rows, "cf long, is_treated boolean, period int, y double, z double, c double")
+    got = estimation.difference_in_differences(df, ["y", "z"], controls=["c"], cluster=cluster)
+    for k, name in ((3, "y"), (4, "z")):
+        own = [r for r in rows if r[k] is not None]
+        t, p, y, c = (np.array([float(r[j]) for r in own]) for j in (1, 2, k, 5))
+        ids = [r[0] for r in own]
+        x = np.column_stack([p, t * p, c, dummies(ids)])
+        beta, e, s2, inverse = ols(x, y)
+        covariance = s2 * inverse
+        if cluster:
+            groups = sorted(set(ids))
+            scores = np.array([x[[i for i, d in enumerate(ids) if d == g]].T @ e[[i for i, d in enumerate(ids) if d == g]] for g in groups])
+            covariance = inverse @ (scores.T @ scores) @ inverse * len(groups) / (len(groups) - 1)
+        r = next(r for r in got if r["outcome"] == name)
+        assert r["treatment_effect"] == pytest.approx(beta[1], rel=1e-8) and r["n_obs"] == len(own)
+        assert r["std_error"] == pytest.approx(covariance[1, 1] ** 0.5, rel=1e-6)
+
+
+def test_event_study_equals_a_regression_with_dummies(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, i % 2 == 0, t, float(rnd.normal() + (i % 2 == 0) * max(0, t + 1) + 0.1 * t + i / 10)) for i in range(40) for t in range(-3, 3) if rnd.random() > 0.1]
+    df = spark.createDataFrame(rows, "cf long, is_treated boolean, event_time int, y double")
+    got = {r["event_time"]: r for r in estimation.event_study(df, ["y"])}
+    times = [t for t in range(-3, 3) if t != -1]
+    x = np.column_stack([*[[float(r[2] == t) for r in rows] for t in times], *[[float(r[2] == t and r[1]) for r in rows] for t in times], dummies([r[0] for r in rows])])
+    beta, _, s2, inverse = ols(x, np.array([r[3] for r in rows]))
+    for k, t in enumerate(times):
+        assert got[t]["coefficient"] == pytest.approx(beta[len(times) + k], rel=1e-7, abs=1e-9)
+        assert got[t]["std_error"] == pytest.approx((s2 * inverse[len(times) + k, len(times) + k]) ** 0.5, rel=1e-6)
+
+
+def brute_logrank(rows, rho):
+    groups, times = sorted({g for g, *_ in rows}), sorted({t for _, t, c in rows if c == 0})
+    s, u, v = 1.0, np.zeros(len(groups)), np.zeros((len(groups), len(groups)))
+    for t in times:
+        n, d = sum(x >= t for _, x, _ in rows), sum(x == t and c == 0 for _, x, c in rows)
+        ng = np.array([sum(x >= t and g == h for g, x, _ in rows) for h in groups], float)
+        dg = np.array([sum(x == t and c == 0 and g == h for g, x, c in rows) for h in groups], float)
+        w = s**rho
+        u += w * (dg - d * ng / n)
+        if n > 1:
+            v += w * w * d * (n - d) / (n - 1) * (np.diag(ng / n) - np.outer(ng, ng) / n**2)
+        s *= 1 - d / n
+    k = len(groups) - 1
+    return float(u[:k] @ np.linalg.pinv(v[:k, :k]) @ u[:k]), k
+
+
+@pytest.mark.parametrize("rho", [0.0, 1.0])
+def test_logrank_against_brute_force(spark, rho):
+    rnd = np.random.default_rng(2)
+    rows = [("abc"[i % 3], int(rnd.integers(1, 25) + (i % 3) * 3), int(rnd.random() < 0.2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "contract_type string, survival_time int, censored int")
+    found = survival.logrank_test(df, rho)
+    chi, k = brute_logrank(rows, rho)
+    assert found.chi_square == pytest.approx(chi, rel=1e-8) and found.df == k
+    pairs = survival.pairwise_logrank(df)
+    assert [(a, b) for a, b, _ in pairs] == [("a", "b"), ("a", "c"), ("b", "c")]
+    from spellwise.functions import stats
+
+    for a, b, p in pairs:
+        assert p == pytest.approx(stats.chi2_sf(brute_logrank([r for r in rows if r[0] in (a, b)], 0.0)[0], 1), rel=1e-7)
+
+
+def test_rdd_equals_a_weighted_regression(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.uniform(-1, 1, 400)
+    y = 1 + 2 * x + 0.7 * (x >= 0) + rnd.normal(size=400) * 0.2
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    got = rdd.sharp(df, "y", "x", 0.0, kernel="triangular", h=0.5)
+    w = np.sqrt(np.maximum(0, 1 - np.abs(x) / 0.5))
+    side = (x >= 0).astype(float)
+    design = np.column_stack([np.ones_like(x), side, x, x * side])
+    beta, *_ = np.linalg.lstsq(design * w[:, None], y * w, rcond=None)
+    assert got["estimate"] == pytest.approx(beta[1], rel=1e-7)
+
+
+def brute_match(scores, caliper, ratio=1, replace=False):
+    free, out = {i: s for i, s, t in scores if not t}, []
+    for who, score, _ in sorted((r for r in scores if r[2]), key=lambda r: (-r[1], r[0])):
+        for _ in range(1 if replace else ratio):
+            best = min(free, key=lambda c: (abs(free[c] - score), free[c], c), default=None)
+            if best is None or caliper is not None and abs(free[best] - score) > caliper:
+                break
+            out.append((who, best))
+            if not replace:
+                del free[best]
+    return sorted(out)
+
+
+def made_persons(spark):
+    rnd = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        x, area = float(np.round(rnd.normal(), 1)), "ab"[i % 2]
+        rows.append((i, bool(rnd.random() < 1 / (1 + np.exp(1 - x))), x, area))
+    return spark.createDataFrame(rows, "cf long, is_treated boolean, x double, area string")
+
+
+@pytest.mark.parametrize("options", [{}, {"caliper": None}, {"ratio": 2}, {"replace": True}, {"exact": ["area"]}, {"trim": True}])
+def test_propensity_match_is_greedy(spark, options):
+    """The scores are at the optimum of the likelihood, and the pairs are those of a plain greedy pass."""
+    df = made_persons(spark)
+    match = matching.propensity_match(df, ["x"], **options)
+    all_scores = matching.propensity_scores(df, ["x"]).collect()
+    p, t, x = (np.array([float(r[c]) for r in all_scores]) for c in ("propensity_score", "treated", "x"))
+    assert abs((t - p).sum()) < 1e-3 and abs(((t - p) * x).sum()) < 1e-3
+    scores = [(r.cf, r.propensity_score, r.treated, r["area"] if "exact" in options else "") for r in match.scores.collect()]
+    width = np.std([s for _, s, _, _ in scores], ddof=1)
+    caliper = None if options.get("caliper", 0.2) is None else 0.2 * width
+    want = []
+    for area in sorted({a for *_, a in scores}):
+        want += brute_match([(i, s, k) for i, s, k, a in scores if a == area], caliper, options.get("ratio", 1), options.get("replace", False))
+    assert sorted((r.treated_id, r.control_id) for r in match.pairs.collect()) == sorted(want)
+
+
+def test_propensity_match_in_bands(spark, monkeypatch):
+    """Beyond one band, persons left at the edges are matched in later rounds; nobody serves twice."""
+    df = made_persons(spark)
+    whole = matching.propensity_match(df, ["x"]).pairs.count()
+    monkeypatch.setattr(matching, "BAND", 40)
+    pairs = matching.propensity_match(df, ["x"]).pairs.collect()
+    assert len({r.treated_id for r in pairs}) == len({r.control_id for r in pairs}) == len(pairs) >= 0.95 * whole
+    gaps = df.withColumn("x", F.when(F.col("cf") % 10 == 0, None).otherwise(F.col("x")))
+    for how in ("mean_impute", "missing_indicator"):
+        assert matching.propensity_match(gaps, ["x"], missing=how).scores.count() == 300
+    assert matching.propensity_match(gaps, ["x"]).scores.count() == 270
+
+
+# --- orders over whole tables ------------------------------------------------------------------------------------------
+def test_orders_in_parts(spark, monkeypatch):
+    from spellwise.functions import ordering
+
+    rnd = np.random.default_rng(6)
+    rows = [(i, float(rnd.integers(0, 50)) if i % 17 else None, int(rnd.integers(1, 9)), "ab"[i % 2]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, x double, w long, g string").repartition(5)
+    for down in (False, True):
+        got = {r.id: r.w_upto for r in ordering.running_sums(df, "x", ["w"], ties="id", descending=down).collect()}
+        at = 0
+        for i, x, w, _ in sorted(rows, key=lambda r: (r[1] is None, (-r[1] if down else r[1]) if r[1] is not None else 0, r[0])):
+            at += w
+            assert got[i] == at
+    numbers = ordering.numbered(df, F.xxhash64("id"), "id", "k").orderBy(F.xxhash64("id")).collect()
+    assert [r.k for r in numbers] == list(range(1, 2001))
+    for parts in (256, 3):
+        monkeypatch.setattr(ordering, "PARTS", parts)
+        medians = {r.g: r.m for r in ordering.weighted_medians(df, ["g"], "x", F.col("w"), "m").collect()}
+        assert medians == {g: float(np.median(np.repeat([r[1] for r in rows if r[3] == g and r[1] is not None], [r[2] for r in rows if r[3] == g and r[1] is not None]))) for g in "ab"}
+        counts = df.where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n"))
+        assert ordering.quantiles(counts, "x", "n", [0, 0.13, 0.5, 1]) == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], [0, 0.13, 0.5, 1]))
+
+
+def test_synthetic_inference_and_effects(spark):
+    path = [(t, float(t), float(t) - g, g) for t, g in zip(range(10), [0.1, -0.2, 0.1, 0.0, 0.2, -0.1, 0.1, 3.0, 3.2, 2.8], strict=True)]
+    found = estimation.conformal_inference(path, 7)
+    assert found["average_effect"] == pytest.approx(3.0) and found["p_value"] == pytest.approx(0.1) and found["ci_lower"] == pytest.approx(2.8)
+    assert estimation.conformal_inference(path[:7], 7)["p_value"] is None
+    did = [{"outcome": "y", "treatment_effect": 1.0, "std_error": 0.5, "p_value": 0.04, "n_obs": 10, "error": None}, {"outcome": "z", "treatment_effect": None, "std_error": None, "p_value": None, "n_obs": None, "error": "x"}]
+    study = [{"outcome": "y", "event_time": t, "coefficient": 2.0, "std_error": 0.5 if t >= 0 else 0.3, "p_value": 0.01} for t in (-2, 0, 1)]
+    effects = estimation.effects_of(spark, did, study, [{"outcome": "y", "average_effect": 3.0, "std_error": 1.0, "p_value": 0.1}])
+    assert effects.count() == 4 and estimation.pool(effects, "simple_average").first().pooled_effect == pytest.approx(2.0)
+
+
+def test_network_analysis(spark):
+    edges = spark.createDataFrame([("a", "b", 5), ("b", "a", 3), ("b", "c", 1), ("c", "d", 4), ("d", "c", 4)], "from string, to string, weight long")
+    found = network.network_analysis(edges)
+    assert found["summary"]["n_nodes"] == 4 and found["n_communities"] == 2 and found["centrality"]["strength"]["top"][0] == ("a", 8.0) or found["centrality"]["strength"]["top"][0][0] in "bcd"
+    assert [r.node for r in network.top_nodes(edges, 2).collect()] == [n for n, _ in found["centrality"]["strength"]["top"][:2]]
+
+
+def test_min_duration_keeps_unemployment(spark):
+    rows = spark.createDataFrame([(0, 5), (1, 5), (2, 40), (0, 90)], "arco int, durata int")
+    assert sorted(map(tuple, segments.min_duration(rows, 30).collect())) == [(0, 5), (0, 90), (2, 40)]
