@@ -146,6 +146,66 @@ def test_quality_judges_by_own_reference_only(spark):
     assert all(r.kept for r in got.values() if not r.base_failed) and sum(r.base_failed for r in got.values()) < len(rows) // 4
 
 
+def brute_js(p, q):
+    total = sum(p)
+    p = [x / total for x in p]
+    half = lambda u, v: sum(a * math.log2(2 * a / (a + b)) for a, b in zip(u, v, strict=True) if a > 0)
+    return math.sqrt(min(1, max(0, (half(p, q) + half(q, p)) / 2)))
+
+
+def brute_verdicts(docs):
+    """kept and both distances of (id, text, lang) rows, by plain loops over the rules' own definitions."""
+    hash_of = lambda w: int(common.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])).view(np.int64)[0])
+    table = {}
+    for i, t, lang in docs:
+        raw = (t or "").encode()
+        letters = re.findall(rb"[A-Za-z\x80-\xff]+", raw)
+        kinds = [0] * 8
+        for ch in t or "":
+            kinds[0 if "a" <= ch <= "z" else 1 if "A" <= ch <= "Z" else 2 if "0" <= ch <= "9" else 3 if ch in " \t\n\v\f\r" else 4 if ch in "!\"'(),-.:;?" else 5 if ord(ch) < 128 else 6 if ord(ch) < 0x800 else 7] += 1
+        table[i] = (lang, [w.lower() for w in letters], kinds, brute_base(t))
+    bins = {}
+    for lang in {v[0] for v in table.values() if v[0] is not None}:
+        held = collections.Counter(w for v in table.values() if v[0] == lang and v[3][0] >= quality.MIN_WORDS for w in set(v[1]))
+        best = sorted((w for w, n in held.items() if n > 1), key=lambda w: (-held[w], hash_of(w)))[: quality.COMMON_WORDS]
+        bins[lang] = sorted(best, key=hash_of)
+    words = {i: [Counter_[w] for w in bins.get(v[0], [])] + [0] * (quality.COMMON_WORDS - len(bins.get(v[0], []))) for i, v in table.items() for Counter_ in [collections.Counter(v[1])]}
+
+    def references(ids):
+        out = {}
+        for lang in bins:
+            own = [i for i in ids if table[i][0] == lang and table[i][3][0] >= quality.MIN_WORDS]
+            if len(own) >= quality.MIN_REFERENCE_DOCS:
+                kinds, common_ = [sum(c) for c in zip(*(table[i][2] for i in own), strict=True)], [sum(c) for c in zip(*(words[i] for i in own), strict=True)]
+                covered = sum(any(words[i]) for i in own) >= quality.WORD_COVER * len(own)
+                out[lang] = [k / sum(kinds) for k in kinds], [k / sum(common_) for k in common_] if covered else None
+        return out
+
+    first = references(table)
+    sound = [i for i, v in table.items() if v[3][0] >= quality.MIN_WORDS and 100 * v[3][4] <= 30 * v[3][0]]
+    final = references([i for i in sound if table[i][0] in first and brute_js(table[i][2], first[table[i][0]][0]) <= quality.FIRST_CLASS_DISTANCE])
+    out = {}
+    for i, (lang, _, kinds, base) in table.items():
+        c = w = None
+        if lang in final:
+            c = brute_js(kinds, final[lang][0]) if sum(kinds) else 0.0
+            if final[lang][1] is not None:
+                w = brute_js(words[i], final[lang][1]) if sum(words[i]) else 1.0
+        bad = c is not None and sum(kinds) >= quality.MIN_CHARS and c > quality.MAX_CLASS_DISTANCE + quality.CLASS_NOISE / math.sqrt(sum(kinds))
+        bad |= w is not None and base[0] >= quality.MIN_WORDS and w > quality.MAX_WORD_DISTANCE
+        out[i] = (not bad and not (base[0] < 20 or 100 * base[4] > 30 * base[0]), c, w)
+    return out
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    docs = [(r.doc_id, r.text, r.lang) for r in documents(spark).values()]
+    want = brute_verdicts(docs)
+    got = {r.doc_id: (r.kept, r.class_distance, r.word_distance) for r in quality.quality(common.table(spark, SF, "documents")).collect()}
+    assert len({v[0] for v in want.values()}) == 2 and sum(v[1] is not None for v in want.values()) > 100
+    for i, (kept, c, w) in want.items():
+        assert got[i][0] == kept and got[i][1:] == (pytest.approx(c, abs=1e-9) if c is not None else None, pytest.approx(w, abs=1e-9) if w is not None else None)
+
+
 def test_js_distance():
     p = np.array([[1, 1, 0], [0, 0, 2], [0, 0, 0]])
     got = quality.js_distance(p, np.array([[0.5, 0.5, 0]]))
@@ -170,6 +230,35 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.toxicity(none, labels.where("false")).count() == 0
 
 
+def test_ftrl_equals_a_plain_loop():
+    """The fitted weights are those of McMahan's update, coordinate by coordinate in plain Python."""
+    rnd = random.Random(8)
+    bias = 1 << toxicity.BITS
+    examples = [(y, np.array(sorted({rnd.randrange(40) for _ in range(12)} | ({100 + rnd.randrange(3)} if y else set())) + [bias], np.int32)) for y in (1, 0) * 60]
+    got = toxicity.fit(examples, 0.2)
+    count = collections.Counter(k for _, i in examples for k in i.tolist())
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    l1 = lambda k: 0.0 if k == bias else toxicity.L1
+
+    def weight(k):
+        if abs(z[k]) <= l1(k):
+            return 0.0
+        return -(z[k] - math.copysign(l1(k), z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for e in order.permutation(len(examples)):
+            y, own = examples[e][0], [k for k in examples[e][1].tolist() if count[k] * toxicity.EPOCHS > l1(k)]
+            w = {k: weight(k) for k in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for k in own:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+    want = {k: weight(k) for k in list(z) if k != bias and weight(k)}
+    assert got.index.tolist() == sorted(want) and got.value == pytest.approx([want[k] for k in sorted(want)])
+    assert got.intercept == pytest.approx(weight(bias) + math.log(0.2 / 0.8)) and {100, 101, 102} & set(want)
+
+
 def test_ftrl_is_sparse():
     rnd = np.random.default_rng(0)
     examples = [(y, np.append(np.unique(np.append(rnd.integers(1000, 2000, 30), [7] * y)), 1 << toxicity.BITS).astype(np.int64)) for y in [0, 1] * 200]
