@@ -68,6 +68,35 @@ def control_groups(rows: DataFrame, ratio: float = 1.0, eligible: Condition | No
     return t.unionByName(c)
 
 
+def data_quality(rows: DataFrame, variables: list[str] | None = None, id_col: str = "cf") -> DataFrame:
+    """One row: rows and persons treated, their rates, gaps in the data and its completeness over `variables` (default: all columns).
+
+    duplicate_events counts the treated rows beyond one a person; invalid_windows those in a window without a day.
+    """
+    known = sum(F.count(F.col(f"`{c}`")) for c in variables or rows.columns)
+    treated, persons = F.count_if("is_treated"), F.count_distinct(F.when(F.col("is_treated"), F.col(id_col)))
+    return rows.agg(
+        F.count("*").alias("n_rows"), treated.alias("n_treated_rows"), persons.alias("n_treated_persons"), F.avg(F.col("is_treated").cast("double")).alias("treatment_rate"),
+        F.try_divide(treated.cast("double"), persons).alias("events_per_person"), F.count_if(F.col("treatment_event_date").isNull()).alias("missing_event_dates"),
+        F.count_if(F.col("is_treated").isNull()).alias("missing_treatment"), F.count_if(F.col("in_event_window") & F.col("days_to_event").isNull()).alias("invalid_windows"),
+        (treated - persons).alias("duplicate_events"), F.try_divide(known.cast("double"), F.count("*") * len(variables or rows.columns)).alias("completeness"),
+    )
+
+
+def recommendations(quality: DataFrame, balance: DataFrame | None = None) -> list[str]:
+    """What to mend in the events, from the row of data_quality and the balance table of event_quality; nothing for no rows."""
+    q, advice = quality.first(), []
+    if q.treatment_rate is not None and q.treatment_rate < 0.01:
+        advice.append("Hardly anyone is treated: relax the conditions")
+    if q.treatment_rate is not None and q.treatment_rate > 0.8:
+        advice.append("Nearly everyone is treated: narrow the conditions")
+    if balance is not None and balance.where(F.abs("std_mean_diff") > 0.25).limit(1).count():
+        advice.append("Treated and controls differ widely: match or stratify")
+    if q.completeness is not None and q.completeness < 0.9:
+        advice.append("Many values are missing: clean or impute")
+    return advice
+
+
 def event_quality(rows: DataFrame, variables: list[str], id_col: str = "cf") -> dict[str, DataFrame]:
     """Counts, quantiles of event dates, standardised differences and completeness."""
     persons = rows.groupBy(id_col).agg(F.bool_or("is_treated").alias("is_treated"), F.min("treatment_event_date").alias("e"))

@@ -71,6 +71,18 @@ def heatmap(segments: DataFrame, by: str = "month") -> DataFrame:
     return segments.groupBy("cf", F.date_trunc(by, "inizio").cast("date").alias("period")).agg(F.count("*").alias("n"), F.round(F.avg("durata"), 6).alias("mean_duration"), (F.count("*") - 1).alias("changes"))
 
 
+#: The code of each employment state on the status heat map; other states are 0.
+STATUS_CODES = {"disoccupato": 0, "occ_pt": 1, "occ_ft": 2, "over_pt_pt": 3, "over_ft_pt": 4, "over_pt_ft": 4, "over_ft_ft": 5}
+
+
+def status_heatmap(segments: DataFrame, by: str = "month") -> DataFrame:
+    """The highest status code by person and period of the start."""
+    code = F.lit(0)
+    for state, k in STATUS_CODES.items():
+        code = F.when(F.col("stato") == state, k).otherwise(code)
+    return segments.groupBy("cf", F.date_trunc(by, "inizio").cast("date").alias("period")).agg(F.max(code).alias("status_code"))
+
+
 def overlap_heatmap(segments: DataFrame, least: int = 2, cap: int = 5) -> DataFrame:
     """The most jobs at once by person and month, shown up to a cap."""
     return segments.where(F.col("arco") >= least).groupBy("cf", F.date_trunc("month", "inizio").cast("date").alias("month")).agg(F.least(F.max("arco"), F.lit(cap)).alias("jobs"))

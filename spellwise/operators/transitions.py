@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import ordering
+from . import network
 
 
 def transition_rows(segments: DataFrame, variable: str = C.CONTRACT, chain: str = "last", min_days: int = 1, max_days: int | None = None, statistics: tuple[str, ...] = ()) -> DataFrame:
@@ -178,11 +179,28 @@ def consolidation_benefits(raw: DataFrame, consolidated: DataFrame) -> DataFrame
     return both.withColumns({f"{c}_reduction_pct": cut(c) for c in ("edges", "weight", "states")})
 
 
-def node_order(edges: DataFrame, how: str = "alphabetical") -> DataFrame:
-    """Nodes with their place on a circle: alphabetical, or by falling frequency; and whether they are among the top tenth of roots."""
+def node_order(edges: DataFrame, how: str = "alphabetical", given: list[str] | None = None) -> DataFrame:
+    """Nodes with their place on a circle, and whether they are among the top tenth of roots.
+
+    how is alphabetical, frequency (falling), manual (those of `given` first, in that order, the others by name) or
+    cluster (by community, then by falling frequency).
+    """
     ends = edges.select(F.col("from").alias("node"), F.col("weight").alias("o"), F.lit(0).cast("long").alias("i")).unionAll(edges.select("to", F.lit(0).cast("long"), F.col("weight")))
     nodes = ends.groupBy("node").agg((F.sum("o") + F.sum("i")).alias("frequency"), (F.sum("o") - F.sum("i")).alias("root_score"))
     whole = Window.partitionBy()  # nodes are few
-    place = whole.orderBy("node") if how == "alphabetical" else whole.orderBy(F.desc("frequency"), "node")
+    if how == "alphabetical":
+        place = whole.orderBy("node")
+    elif how == "frequency":
+        place = whole.orderBy(F.desc("frequency"), "node")
+    elif how == "manual":
+        at = F.array_position(F.lit(list(given or [])).cast("array<string>"), F.col("node").cast("string"))
+        place = whole.orderBy(F.when(at > 0, at).asc_nulls_last(), "node")
+    elif how == "cluster":
+        labels = list(network.communities(edges)[0].items())  # a vocabulary
+        schema = T.StructType([T.StructField("node", edges.schema["from"].dataType), T.StructField("community", T.IntegerType())])
+        nodes = nodes.join(edges.sparkSession.createDataFrame(labels, schema), "node", "left")
+        place = whole.orderBy("community", F.desc("frequency"), "node")
+    else:
+        raise ValueError(how)
     roots = F.row_number().over(whole.orderBy(F.desc("root_score"), "node")) <= F.greatest(F.lit(1), F.ceil(F.count("*").over(whole) * 0.1))
     return nodes.withColumns({"place": F.row_number().over(place), "is_root": roots})

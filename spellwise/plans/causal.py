@@ -56,6 +56,14 @@ add(
     lambda s, d: V.event_quality(_events(s, d), ["durata"])["counts"],
     f"WITH {_events_sql('first')}, p AS (SELECT cf, bool_or(is_treated) AS t FROM ev GROUP BY cf) SELECT count(*) AS n_persons, count(CASE WHEN t THEN 1 END) AS n_treated, count(CASE WHEN NOT t THEN 1 END) AS n_control FROM p",
 )
+add(
+    "event_data_quality",
+    lambda s, d: V.data_quality(_events(s, d), ["retribuzione", "prior", "days_to_event"]),
+    f"""WITH {_events_sql('first')}, q AS (SELECT count(*) AS n, count(CASE WHEN is_treated THEN 1 END) AS t, count(DISTINCT CASE WHEN is_treated THEN cf END) AS p, count(CASE WHEN treatment_event_date IS NULL THEN 1 END) AS m,
+        count(CASE WHEN in_event_window AND days_to_event IS NULL THEN 1 END) AS w, count(retribuzione) + count(prior) + count(days_to_event) AS k FROM ev)
+    SELECT n AS n_rows, t AS n_treated_rows, p AS n_treated_persons, round(t / n, 6) AS treatment_rate, round(t / nullif(p, 0), 6) AS events_per_person, m AS missing_event_dates, CAST(0 AS BIGINT) AS missing_treatment,
+        w AS invalid_windows, t - p AS duplicate_events, round(k / (3 * n), 6) AS completeness FROM q""",
+)
 add("control_groups", lambda s, d: V.control_groups(_events(s, d).select("cf", "is_treated")).groupBy("group_assignment").agg(F.count("*").alias("n"), F.count_distinct("match_id").alias("n_match_ids")),
     f"WITH {_events_sql('first')}, p AS (SELECT cf, bool_or(is_treated) AS t FROM ev GROUP BY cf), c AS (SELECT count(CASE WHEN t THEN 1 END) AS nt, count(CASE WHEN NOT t THEN 1 END) AS nc FROM p) SELECT unnest(['treatment', 'control']) AS group_assignment, unnest([nt, least(nt, nc)]) AS n, unnest([nt, least(nt, nc)]) AS n_match_ids FROM c")
 

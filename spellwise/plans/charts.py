@@ -41,6 +41,7 @@ _MODAL = f"{SEGMENTS}, ct_ AS (SELECT cf, {_year} AS period, stato, row_number()
 add("modal_status", lambda s, d: P.modal_status(A.segments(s, d)), f"WITH {_MODAL} SELECT * FROM md")
 add("status_flows", lambda s, d: P.flows(A.segments(s, d)), f'WITH {_MODAL}, e AS (SELECT cf, count(*) AS k, arg_min(stato, period) AS f, arg_max(stato, period) AS t FROM md GROUP BY cf) SELECT f AS "from", t AS "to", count(*) AS n FROM e WHERE k >= 2 GROUP BY 1, 2')
 add("person_heatmap", lambda s, d: P.heatmap(A.segments(s, d)), f"WITH {SEGMENTS} SELECT cf, {_month} AS period, count(*) AS n, round(avg(durata), 6) AS mean_duration, count(*) - 1 AS changes FROM segments GROUP BY 1, 2")
+add("status_heatmap", lambda s, d: P.status_heatmap(A.segments(s, d)), f"WITH {SEGMENTS} SELECT cf, {_month} AS period, max(CASE stato WHEN 'occ_pt' THEN 1 WHEN 'occ_ft' THEN 2 WHEN 'over_pt_pt' THEN 3 WHEN 'over_pt_ft' THEN 4 WHEN 'over_ft_pt' THEN 4 WHEN 'over_ft_ft' THEN 5 ELSE 0 END) AS status_code FROM segments GROUP BY 1, 2")
 add("overlap_heatmap", lambda s, d: P.overlap_heatmap(A.segments(s, d)), f"WITH {SEGMENTS} SELECT cf, {_month} AS month, CAST(least(max(arco), 5) AS INTEGER) AS jobs FROM segments WHERE arco >= 2 GROUP BY 1, 2")
 add("kpi_summary", lambda s, d: P.kpis(A.segments(s, d)), f"WITH {SEGMENTS} SELECT count(DISTINCT cf) AS n_persons, count(*) AS n_segments, round(100 * sum(CASE WHEN arco >= 1 THEN durata END) / sum(durata), 6) AS employment_rate_pct, round(avg(durata), 6) AS mean_duration, round(100 * count(CASE WHEN arco > 1 THEN 1 END) / count(CASE WHEN arco >= 1 THEN 1 END), 6) AS overlap_pct FROM segments")
 add("monthly_kpi", lambda s, d: P.monthly_rates(A.segments(s, d)), f"WITH {SEGMENTS} SELECT {_month} AS month, count(DISTINCT cf) AS n_persons, round(avg(CASE WHEN arco >= 1 THEN 1.0 ELSE 0.0 END), 6) AS employment_rate FROM segments GROUP BY 1")

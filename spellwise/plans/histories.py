@@ -270,6 +270,13 @@ for how, order in {"alphabetical": "node", "frequency": "frequency DESC, node"}.
         f"""WITH {EDGES}, e AS (SELECT "from" AS node, weight AS o, 0 AS i FROM edges UNION ALL SELECT "to", 0, weight FROM edges), n AS (SELECT node, CAST(sum(o) + sum(i) AS BIGINT) AS frequency, CAST(sum(o) - sum(i) AS BIGINT) AS root_score FROM e GROUP BY node)
         SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place, row_number() OVER (ORDER BY root_score DESC, node) <= greatest(1, ceil(count(*) OVER () * 0.1)) AS is_root FROM n""",
     )
+add(
+    "node_order_manual",
+    lambda s, d: T.node_order(_edges(s, d), "manual", ["5-LOW", "3-MEDIUM"]),
+    f"""WITH {EDGES}, e AS (SELECT "from" AS node, weight AS o, 0 AS i FROM edges UNION ALL SELECT "to", 0, weight FROM edges), n AS (SELECT node, CAST(sum(o) + sum(i) AS BIGINT) AS frequency, CAST(sum(o) - sum(i) AS BIGINT) AS root_score FROM e GROUP BY node)
+    SELECT *, CAST(row_number() OVER (ORDER BY CASE node WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END, node) AS INTEGER) AS place, row_number() OVER (ORDER BY root_score DESC, node) <= greatest(1, ceil(count(*) OVER () * 0.1)) AS is_root FROM n""",
+)
+add("node_order_cluster", lambda s, d: T.node_order(_edges(s, d), "cluster"))
 add(
     "benefits_min_duration",
     lambda s, d: O.consolidation_benefits(S.min_duration(A.segments(s, d), 30)).select("cf", "over_id", "original_segments", "total_duration", "complexity_reduction"),

@@ -397,3 +397,17 @@ def test_network_analysis(spark):
 def test_min_duration_keeps_unemployment(spark):
     rows = spark.createDataFrame([(0, 5), (1, 5), (2, 40), (0, 90)], "arco int, durata int")
     assert sorted(map(tuple, segments.min_duration(rows, 30).collect())) == [(0, 5), (0, 90), (2, 40)]
+
+
+def test_recommendations_name_what_is_off(spark):
+    rows = spark.createDataFrame(
+        [(1, True, D(2020, 1, 1), True, 0.0, None), (1, True, D(2020, 1, 1), True, None, None), (2, True, D(2020, 2, 1), False, 5.0, 1)],
+        "cf int, is_treated boolean, treatment_event_date date, in_event_window boolean, days_to_event double, x int",
+    )
+    quality = events.data_quality(rows)
+    q = quality.first()
+    assert (q.n_treated_rows, q.n_treated_persons, q.duplicate_events, q.invalid_windows, q.events_per_person) == (3, 2, 1, 1, 1.5)
+    balance = spark.createDataFrame([("x", 0.3)], "variable string, std_mean_diff double")
+    assert len(events.recommendations(quality, balance)) == 3  # nearly all treated, unlike, values missing
+    none = events.data_quality(rows.limit(0))
+    assert none.first().completeness is None and events.recommendations(none) == []
