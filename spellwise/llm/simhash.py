@@ -7,12 +7,13 @@ The grid range join deals each fingerprint to the cell of each part, and those w
 step away; what meets in a cell passes the Manhattan bound and is then verified by its bits.
 
 Documents of like wording, of a 5-word Jaccard similarity of about 0.8 or more, are found the same way from fingerprints of
-their distinct words, which move less under edits than those of shingles; a link is then verified by 128 bits
-made from the 5-word shingles.
+their distinct words, which move less under edits than those of shingles.  Three independent fingerprints are joined, since
+a pair that one of them parts is often near in another; a link is then verified by 128 bits made from the 5-word shingles.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ MAX_BITS = 3
 #: of Jaccard similarity 0.8 differ in 19 of 128 bits on average.
 WORD_BITS, SHINGLE_BITS = 5, 23
 SHINGLE_WORDS = 5
+#: Independent fingerprints of distinct words: a pair within WORD_BITS in any of them is a candidate.
+WORD_KINDS = (0, 0x9E3779B97F4A7C15, 0x165667B19E3779F9)
 #: Fingerprints of a cell that a task holds at once; larger cells are dealt to several groups, each seeing all the rest.
 CELL_HOMES = 2048
 _LANES = np.uint64(0x5555555555555555)
@@ -97,8 +100,8 @@ def _distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], rows[first]
 
 
-def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row: a fingerprint of its distinct words in lower case, and two of its distinct runs of SHINGLE_WORDS words."""
+def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each row: two fingerprints of its distinct runs of SHINGLE_WORDS words, and those of WORD_KINDS of its distinct words in lower case."""
     n = len(offsets) - 1
     low = common.LOWER[data]
     starts, ends, counts = common.word_bounds(low, offsets, common.WHITE)
@@ -116,14 +119,18 @@ def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         runs, run_rows = np.concatenate([runs, whole[few]]), np.concatenate([run_rows, few])
     words, rows = _distinct(words, rows)
     runs, run_rows = _distinct(runs, run_rows)
-    return _bit_majority(words, rows, n), _bit_majority(runs, run_rows, n), _bit_majority(common.mix(runs ^ np.uint64(0xC2B2AE3D27D4EB4F)), run_rows, n)
+    checks = _bit_majority(runs, run_rows, n), _bit_majority(common.mix(runs ^ np.uint64(0xC2B2AE3D27D4EB4F)), run_rows, n)
+    return *checks, *(_bit_majority(common.mix(words ^ np.uint64(kind)) if kind else words, rows, n) for kind in WORD_KINDS)
 
 
 def _wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in common.slices(batch):
             found = [pa.array(x.view(np.int64)) for x in wording(data, offsets)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found], names=["doc_id", "fp", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found], names=["doc_id", "c1", "c2", *_FPS])
+
+
+_FPS = [f"fp{k}" for k in range(len(WORD_KINDS))]
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -286,10 +293,10 @@ def links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return met.mapInArrow(_linker(most), "u long, v long")
 
 
-def _named(classes: DataFrame, most: int) -> DataFrame:
-    """node and component_id, the least document id of its component, for classes of node, least and the fingerprint columns."""
+def _named(classes: DataFrame, kinds: list[DataFrame], most: int) -> DataFrame:
+    """node and component_id, the least document id of its component, for classes of node and least; each of kinds has fingerprints to link."""
     with common.narrow_batches(classes.sparkSession):
-        found = components(links(classes.drop("least"), most))
+        found = components(functools.reduce(DataFrame.unionAll, [links(fps, most) for fps in kinds]))
     members = common.written(found.join(classes, "node").select("node", "component", "least"))
     leasts = members.groupBy("component").agg(F.min("least").alias("component_id"))
     named = common.written(members.join(leasts, "component").select("node", "component_id"))
@@ -307,25 +314,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     common.small_batches(docs.sparkSession)
     marked = common.written(fingerprints(docs, words, seed, id_col, text_col))
     classes = common.written(marked.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")).withColumn("fp", F.col("node")))
-    names = _named(classes, MAX_BITS).withColumnRenamed("node", "fp")
+    names = _named(classes, [classes.select("node", "fp")], MAX_BITS).withColumnRenamed("node", "fp")
     return marked.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node and component_id, the smallest doc_id that links between documents of like wording reach.
 
-    Two documents link if the fingerprints of their distinct words differ in WORD_BITS bits at most and the 128 bits of
-    their 5-word shingles in SHINGLE_BITS.  Documents of equal words and shingles are one node, so copies are never
+    Two documents link if those of one kind of fingerprints of their distinct words differ in WORD_BITS bits at most and the
+    128 bits of their 5-word shingles in SHINGLE_BITS.  Documents of equal words and shingles are one node, so copies are never
     paired.  Texts without words, null ones too, are copies of each other; texts under SHINGLE_WORDS words are one shingle; each
     repeated row has its own result row, those of one id and text in one component; a null id does not name a component (it is null if
     no other id is there); an empty table gives no rows; other columns are not read.
     """
     common.small_batches(docs.sparkSession)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = two.mapInArrow(_wording, "doc_id long, fp long, c1 long, c2 long")
-    marked = common.written(rows.withColumn("node", F.xxhash64("fp", "c1", "c2")))
-    classes = common.written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "c1", "c2")]))
-    return marked.join(_named(classes, WORD_BITS), "node").select("doc_id", "node", "component_id")
+    rows = two.mapInArrow(_wording, "doc_id long, c1 long, c2 long" + "".join(f", {c} long" for c in _FPS))
+    marked = common.written(rows.withColumn("node", F.xxhash64("c1", "c2", *_FPS)))
+    classes = common.written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("c1", "c2", *_FPS)]))
+    kinds = [classes.select("node", F.col(c).alias("fp"), "c1", "c2") for c in _FPS]
+    return marked.join(_named(classes, kinds, WORD_BITS), "node").select("doc_id", "node", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
