@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 SLICE_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch between the JVM and Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bytes of a row group of tables with large rows.
+GROUP_BYTES = 16 << 20
 
 _LENGTH_SALT = np.uint64(0xD6E8FEB86659FD93)
 #: Longer spans are hashed one by one, shorter ones in steps of eight bytes.
@@ -36,11 +38,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: it is computed once and outlives lost executors."""
+def written(df: DataFrame, row_bytes: int = 0) -> DataFrame:
+    """df as a table in the shared folder: it is computed once and outlives lost executors.
+
+    With row_bytes, the size of a large row, a row group holds few rows, since Spark reads up to 4096 rows of one at once.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    writer = df.write
+    if row_bytes:
+        writer = writer.option("parquet.block.size", max(GROUP_BYTES, row_bytes)).option("parquet.block.size.row.check.min", max(1, GROUP_BYTES // row_bytes))
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
