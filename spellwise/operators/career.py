@@ -133,7 +133,7 @@ def complexity(segments: DataFrame, period: str | None = None, diversity: str =
     out = sums.join(_entropy(segments.where(job), keys, diversity), keys, "left")
     h, rate, none = F.coalesce("h", F.lit(0.0)), C.ratio(F.col("conc"), F.col("days")), F.col("jobs") == 0
     years = F.greatest(F.lit(1.0), F.col("all_days") / 365.25)
-    fragments = F.coalesce(F.least(F.lit(1.0), F.col("flips") / years / 4.0), F.lit(0.0))
+    fragments = F.when(F.col("flips").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("flips") / years / 4.0))  # a single row has no flips
     raw = 0.25 * F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), F.col("mx") - 1))) + 0.25 * C.sigmoid(rate, 15, 0.05) + 0.3 * (1 - F.exp(-3 * h)) + 0.2 * F.least(F.lit(1.0), F.pow(fragments, F.lit(0.7)))
     zero = lambda x: F.when(none, 0.0).otherwise(x)
     return out.select(
@@ -142,6 +142,52 @@ def complexity(segments: DataFrame, period: str | None = None, diversity: str =
     )
 
 
+def unified(segments: DataFrame, period: str | None = None, contract: str = C.CONTRACT, min_days: int = 7, enhance: bool = True, medians: DataFrame | None = None) -> DataFrame:
+    """Success, stability and complexity of each person's (or person and period's) employment segments of min_days or more, from one exchange.
+
+    Segments without employment take no part, so rates count employed days only.  Order, sums and both entropies (of types by days, of
+    intensity by segments) come from one window and one aggregate by person.
+    """
+    keys = _keys(period)
+    valid = segments.where((F.col(C.EPISODE) > 0) & (F.col(C.DAYS) >= min_days))
+    d = F.col(C.DAYS)
+    rows = valid.join(contract_quality(valid, contract, medians), F.col(contract) == F.col("contract"), "left")
+    rows = rows.select(*keys, C.START, C.END, d.cast("long").alias("d"), F.col(C.JOBS).alias("jobs"), F.col(contract).alias("type"), "prior", F.coalesce("quality", F.lit(0.5)).alias("q"), F.when(F.col("prior").isNull(), 0.5).otherwise(C.clamp(F.col("prior") / 3)).alias("i"))
+    order = _order(keys)
+    better = lambda x: F.coalesce((F.col(x) > F.lag(x).over(order) * 1.05).cast("int"), F.lit(0))
+    sums = rows.withColumn("better", better("q") + better("i")).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum("d").alias("days"), (F.sum(F.col("q") * F.col("d")) / F.sum("d")).alias("q"), (F.sum(F.col("i") * F.col("d")) / F.sum("d")).alias("i"), F.avg("d").alias("mean"), F.var_samp("d").alias("var"),
+        (C.sum_if(F.col("q") > 0.7, F.col("d")) / F.sum("d")).alias("high"), F.sum("better").alias("better"), F.max("jobs").cast("double").alias("mx"), F.avg("jobs").alias("av"), C.sum_if(F.col("jobs") > 1, F.col("d")).cast("double").alias("conc"),
+        F.collect_list(F.struct(F.coalesce(F.col("type").cast("string"), F.lit("")).alias("v"), F.col("d").alias("w"))).alias("types"), F.collect_list(F.struct(F.coalesce(F.col("prior").cast("string"), F.lit("")).alias("v"), F.lit(1).cast("long").alias("w"))).alias("priors"),
+    )
+
+    def shares(pairs: str) -> Column:
+        """The share of each distinct value in the weights; a person has few segments."""
+        whole = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, p: s + p["w"])
+        own = lambda v: F.aggregate(F.filter(pairs, lambda p: p["v"] == v), F.lit(0).cast("long"), lambda s, p: s + p["w"])
+        return F.transform(F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["v"]))), lambda v: own(v) / whole)
+
+    entropy = lambda p: F.when(F.size(p) > 1, F.aggregate(p, F.lit(0.0), lambda s, x: s - x * F.ln(x + _TINY))).otherwise(0.0)
+    out = sums.withColumns({"tp": shares("types"), "pp": shares("priors")})
+    out = out.withColumns({"s": F.when(F.col("n") > 1, C.clamp(1 - F.least(F.lit(1.0), F.col("var") / F.col("mean") / 2))).otherwise(0.5), "h": entropy(F.col("pp")), "rate": C.ratio(F.col("conc"), F.col("days"))})
+    diversity = F.when(F.size("tp") > 1, entropy(F.col("tp")) / F.ln(F.size("tp").cast("double"))).otherwise(0.0)
+    out = out.withColumn("g", C.clamp(0.6 * F.col("high") + 0.4 * diversity))
+    q, i, s, g, days, one = F.col("q"), F.col("i"), F.col("s"), F.col("g"), F.col("days"), F.lit(1.0)
+    if enhance:
+        index = F.sqrt(F.least(one, F.pow(F.sqrt(q), F.lit(0.35)) * F.pow(F.pow(i, F.lit(1.5)), F.lit(0.25)) * F.pow(C.sigmoid(s, 4, 0.5), F.lit(0.25)) * F.pow(g, F.lit(0.15))))
+    else:
+        index = C.clamp(0.35 * q + 0.25 * i + 0.25 * s + 0.15 * g)
+    rate = F.try_divide(F.col("better").cast("double"), 2.0 * (F.col("n") - 1))
+    security = F.least(one, 0.4 + 0.3 * F.least(one, days / 365) + 0.2 * 0.75 + 0.1 * F.least(one, days / 90))
+    raw = 0.25 * F.least(one, F.sqrt(F.greatest(F.lit(0.0), F.col("mx") - 1))) + 0.25 * C.sigmoid(F.col("rate"), 15, 0.05) + 0.3 * (1 - F.exp(-3 * F.col("h")))
+    return out.select(
+        *keys, days.alias("total_employment_days"), q.alias("contract_quality_score"), i.alias("employment_intensity_score"), s.alias("career_stability_score"), g.alias("growth_opportunity_score"), index.alias("career_success_index"),
+        F.when(F.col("n") <= 1, 0.0).otherwise(C.sigmoid(rate, 6, 0.3)).alias("career_advancement_index"), F.lit(1.0).alias("employment_rate"), days.cast("double").alias("max_employment_spell"),
+        F.when(F.col("n") <= 1, 0.0).otherwise(1 / F.greatest(days / 365.25, F.lit(1 / 365.25))).alias("job_turnover_rate"), security.alias("employment_stability_index"), F.col("mx").alias("max_concurrent_jobs"), F.col("av").alias("avg_concurrent_jobs"),
+        F.col("conc").alias("concurrent_employment_days"), F.col("rate").alias("concurrent_employment_rate"), F.col("h").alias("employment_diversity_index"), F.lit(0.0).alias("career_fragmentation_index"), F.sqrt(F.least(one, raw)).alias("career_complexity_index"),
+    )
+
+
 def long_form(wide: DataFrame, keys: list[str], category: Column) -> DataFrame:
     """keys, metric_name, metric_value and metric_category of a wide table."""
     values = [c for c in wide.columns if c not in keys]

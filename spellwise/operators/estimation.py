@@ -28,7 +28,7 @@ class Fit:
         return float(self.coefficients[k]), float(np.sqrt(max(0.0, self.covariance[k, k])))
 
 
-def _solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Coefficients, inverse and kept columns of normal equations; a column that the earlier ones explain is left out, with 0."""
     k = len(b)
     kept: list[int] = []
@@ -79,7 +79,7 @@ def within_fits(persons: DataFrame, names: list[str], outcomes: int, cluster: bo
         out = [i for i in range(k) if use is not None and i not in use[o]]
         a[out, :] = a[:, out] = 0.0
         b[out] = 0.0
-        beta, inverse, kept = _solved(a, b)
+        beta, inverse, kept = solved(a, b)
         rss = max(0.0, r[f"{o}_yy"] - 2 * beta @ b + beta @ a @ beta)
         n, dof = r[f"{o}_n"], r[f"{o}_n"] - len(kept) - r[f"{o}_persons"]
         covariance = inverse * (rss / dof if dof > 0 else float("nan"))
@@ -115,7 +115,7 @@ def least_squares(rows: DataFrame, y: Column, x: dict[str, Column], weight: Colu
     for i, j in pairs:
         a[i, j] = a[j, i] = r[f"a{i}_{j}"] or 0.0
     b = np.array([r[f"b{i}"] or 0.0 for i in range(k)])
-    beta, inverse, kept = _solved(a, b)
+    beta, inverse, kept = solved(a, b)
     rss = max(0.0, (r.yy or 0.0) - 2 * beta @ b + beta @ a @ beta)
     dof = r.n - len(kept) - absorbed
     tss = r.yy - r.sy**2 / r.sw if centred else r.yy
@@ -275,14 +275,29 @@ def pool(effects: DataFrame, how: str = "meta_analysis", weights: str = "inv_var
 
 
 def effects_of(spark, did: list[dict] | None = None, study: list[dict] | None = None, synthetic: list[dict] | None = None) -> DataFrame:
-    """The effects table that pool and adjust_p take, from results of the estimators.
+    """The effects table that pool and adjust_p take, from results of the estimators: one effect an outcome and estimator.
 
-    Rows with an error or without a standard error are left out; of an event study the effects after the event count.
+    Event times of one study are no independent studies: their effect is the mean over the times after the event, with the root of the mean squared
+    error as its error.  That of a synthetic control is the mean gap from the treatment on (rows of outcome, time_period, counted from it, and
+    treatment_effect) with the error of that mean.  Both have normal p-values.  Rows with an error or without a standard error are left out.
     """
-    rows = [(r["outcome"], "did", r["treatment_effect"], r["std_error"], r["p_value"], r["n_obs"]) for r in did or [] if r.get("error") is None]
-    rows += [(f"{r['outcome']}_t{r['event_time']}", "event_study", r["coefficient"], r["std_error"], r["p_value"], None) for r in study or [] if r["event_time"] >= 0]
-    rows += [(r["outcome"], "synthetic_control", r["average_effect"], r["std_error"], r["p_value"], r.get("n_obs")) for r in synthetic or []]
-    return spark.createDataFrame([r for r in rows if r[3]], "outcome string, method string, treatment_effect double, std_error double, p_value double, n_obs long")
+    rows = [("did", r["outcome"], "DiD", r["treatment_effect"], r["std_error"], r["p_value"], r["n_obs"]) for r in did or [] if r.get("error") is None]
+
+    def mean_of(kind: str, method: str, found: list[dict], error) -> None:
+        for y in sorted({r["outcome"] for r in found}):
+            own = [r for r in found if r["outcome"] == y]
+            effects = [r["effect"] for r in own if r["effect"] is not None]
+            if effects and (se := error(own, effects)):
+                effect = sum(effects) / len(effects)
+                rows.append((kind, y, method, effect, se, stats.normal_sf2(effect / se), None))
+
+    after = [{"outcome": r["outcome"], "effect": r["coefficient"], "se": r["std_error"]} for r in study or [] if r["event_time"] > 0]
+    known = lambda own: [r["se"] ** 2 for r in own if r["se"] is not None]
+    mean_of("event_study", "Event Study", after, lambda own, _: (sum(known(own)) / len(known(own))) ** 0.5 if known(own) else None)
+    gaps = [{"outcome": r["outcome"], "effect": r["treatment_effect"]} for r in synthetic or [] if r["time_period"] >= 0]
+    mean_of("synth", "Synthetic Control", gaps, lambda own, effects: float(np.std(effects, ddof=1)) / len(own) ** 0.5 if len(effects) > 1 else None)
+    schema = "effect_id string, outcome string, method string, treatment_effect double, std_error double, p_value double, n_obs long"
+    return spark.createDataFrame([(f"{kind}_{y}", y, *rest) for kind, y, *rest in rows if rest[2]], schema)
 
 
 def heterogeneity(effects: DataFrame) -> dict:
@@ -354,11 +369,6 @@ def _to_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - css[k] / (k + 1), 0)
 
 
-def unimplemented_check(name: str) -> dict:
-    """Checks that have a status only."""
-    return {"check": name, "status": "not_implemented"}
-
-
 def group_means(panel: DataFrame, outcomes: list[str], treat: str = "is_treated", period: str = "period") -> DataFrame:
     """Mean, spread and size of each outcome by treatment and period: the data of trend and comparison charts."""
     long = panel.select(treat, period, *[F.col(c).cast("double").alias(c) for c in outcomes]).unpivot([treat, period], outcomes, "outcome", "value")

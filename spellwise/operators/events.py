@@ -103,12 +103,11 @@ def event_quality(rows: DataFrame, variables: list[str], id_col: str = "cf") ->
     counts = persons.agg(F.count("*").alias("n_persons"), F.count_if("is_treated").alias("n_treated"), F.count_if(~F.col("is_treated")).alias("n_control"))
     timing = persons.where("is_treated").agg(F.min("e").alias("first_event"), F.max("e").alias("last_event"), *[F.percentile(F.unix_date("e").cast("double"), F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
     t, c = F.col("is_treated"), ~F.col("is_treated")
-    parts = []
-    for v in variables:
+    figures = []
+    for i, v in enumerate(variables):
         x = F.col(v).cast("double")
-        parts.append(rows.agg(F.lit(v).alias("variable"), F.avg(F.when(t, x)).alias("treated_mean"), F.avg(F.when(c, x)).alias("control_mean"), F.var_samp(F.when(t, x)).alias("tv"), F.var_samp(F.when(c, x)).alias("cv"), (F.count(x) / F.count("*")).alias("completeness")))
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionAll(p)
+        figures += [F.avg(F.when(t, x)).alias(f"treated_mean{i}"), F.avg(F.when(c, x)).alias(f"control_mean{i}"), F.var_samp(F.when(t, x)).alias(f"tv{i}"), F.var_samp(F.when(c, x)).alias(f"cv{i}"), (F.count(x) / F.count("*")).alias(f"completeness{i}")]
+    each = F.array(*[F.struct(F.lit(v).alias("variable"), *[F.col(f"{n}{i}").alias(n) for n in ("treated_mean", "control_mean", "tv", "cv", "completeness")]) for i, v in enumerate(variables)])
+    table = rows.agg(*figures).select(F.explode(each).alias("v")).select("v.*")
     smd = F.try_divide(F.col("treated_mean") - F.col("control_mean"), F.sqrt((F.col("tv") + F.col("cv")) / 2))
     return {"counts": counts, "timing": timing, "balance": table.withColumn("std_mean_diff", smd).drop("tv", "cv")}

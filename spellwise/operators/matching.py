@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import dataclasses
+import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..functions import ordering
-from ..functions import stats
+from ..functions import ordering, stats, tables
 
 
 def _numeric(df: DataFrame, c: str) -> bool:
@@ -48,13 +49,10 @@ def _bin(df: DataFrame, v: str, bins: int, cuts: list[float] | None) -> Column:
     if not _numeric(df, v):
         return F.coalesce(F.col(v).cast("string"), F.lit("NA"))
     if cuts is None:
-        counts = df.where(F.col(v).isNotNull()).groupBy(F.col(v).cast("double").alias("x")).agg(F.count("*").alias("n")).persist()
-        distinct = counts.count()
+        distinct = df.select(F.col(v).cast("double").alias("x")).where("x IS NOT NULL").distinct().limit(bins + 1).count()
         if distinct <= bins:
-            counts.unpersist()
             return F.coalesce(F.col(v).cast("string"), F.lit("NA"))
-        cuts = sorted(set(ordering.quantiles(counts, "x", "n", [i / bins for i in range(bins + 1)])))
-        counts.unpersist()
+        cuts = sorted(set(ordering.quantiles(df, v, [i / bins for i in range(bins + 1)])))
     label = F.lit("NA")
     for k in range(len(cuts) - 1, 0, -1):
         above = (F.col(v) >= cuts[0]) if k == 1 else (F.col(v) > cuts[k - 1])
@@ -116,36 +114,68 @@ def categorical_shares(persons: DataFrame, v: str, treatment: str = "is_treated"
     return counts.select("level", C.ratio(F.col("a"), F.sum("a").over(whole)).alias("pt"), C.ratio(F.col("b"), F.sum("b").over(whole)).alias("pc"))
 
 
+def _long_levels(rows: DataFrame, variables: list[str], *more: Column) -> DataFrame:
+    """variable and level (as text) of each row and variable, beside other columns: one pass for all variables."""
+    each = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in variables])
+    return rows.select(*more, F.explode(each).alias("v")).select("v.*", *[c for c in rows.select(*more).columns])
+
+
+def level_sets(rows: DataFrame, variables: list[str], treatment: str = "is_treated") -> DataFrame:
+    """variable, level, n_treated, n_control and side: the levels of all variables, and whether both sides have them.
+
+    Rows of side `both` are the intersection of the two sides' level sets, those of one side the differences, all of them the
+    union.  Missing values are no level.
+    """
+    t = F.col(treatment).cast("int") == 1
+    counts = _long_levels(rows, variables, t.alias("t")).where("level IS NOT NULL").groupBy("variable", "level").agg(C.count_if(F.col("t")).alias("n_treated"), C.count_if(~F.col("t")).alias("n_control"))
+    side = F.when(F.col("n_control") == 0, "treated_only").when(F.col("n_treated") == 0, "control_only").otherwise("both")
+    return counts.withColumn("side", side)
+
+
+def level_set_sizes(sets: DataFrame) -> DataFrame:
+    """One row a variable: levels in all, on either side, on both, and on one only."""
+    on = lambda c: C.count_if(F.col(c) > 0)
+    only = lambda s: C.count_if(F.col("side") == s)
+    return sets.groupBy("variable").agg(F.count("*").alias("n_levels"), on("n_treated").alias("n_treated_levels"), on("n_control").alias("n_control_levels"), only("both").alias("n_shared"), only("treated_only").alias("n_treated_only"), only("control_only").alias("n_control_only"))
+
+
 def balance(persons: DataFrame, variables: list[str], treatment: str = "is_treated", weight: str | None = None, max_diff: float = 0.1, max_ratio: float = 2.0) -> DataFrame:
-    """The balance table: standardised differences and variance ratios, or the largest share difference of text variables."""
+    """The balance table: standardised differences and variance ratios, or the largest share difference of text variables.
+
+    One aggregate serves all numbers and one all text variables.
+    """
     t = F.col(treatment).cast("int") == 1
-    parts = []
     empty = F.lit(None).cast("double")
     n_of = lambda side: F.sum(F.when(side, F.col(weight))) if weight else C.count_if(side).cast("double")
-    for v in variables:
-        if _numeric(persons, v):
-            x = F.col(v).cast("double")
+    numbers, texts = [v for v in variables if _numeric(persons, v)], [v for v in variables if not _numeric(persons, v)]
+    figures = [n_of(t).alias("tn"), n_of(~t).alias("cn")]
+    for i, v in enumerate(numbers):
+        x = F.col(v).cast("double")
+        for name, side in (("t", t), ("c", ~t)):
             if weight:
-                w = F.col(weight)
-                mean = lambda side: F.sum(F.when(side & x.isNotNull(), w * x)) / F.sum(F.when(side & x.isNotNull(), w))  # noqa: B023, E731
-                square = lambda side: F.sum(F.when(side & x.isNotNull(), w * x * x)) / F.sum(F.when(side & x.isNotNull(), w))  # noqa: B023, E731
-                var = lambda side: square(side) - mean(side) * mean(side)  # noqa: B023, E731
+                w, known = F.col(weight), side & x.isNotNull()
+                mean = F.sum(F.when(known, w * x)) / F.sum(F.when(known, w))
+                var = F.sum(F.when(known, w * x * x)) / F.sum(F.when(known, w)) - mean * mean
             else:
-                mean = lambda side: F.avg(F.when(side, x))  # noqa: B023, E731
-                var = lambda side: F.var_samp(F.when(side, x))  # noqa: B023, E731
-            one = persons.agg(mean(t).alias("tm"), mean(~t).alias("cm"), var(t).alias("tv"), var(~t).alias("cv"), n_of(t).alias("tn"), n_of(~t).alias("cn"))
-            smd = F.try_divide(F.col("tm") - F.col("cm"), F.sqrt((F.col("tv") + F.col("cv")) / 2))
-            ratio = F.try_divide(F.col("tv"), F.col("cv"))
-            concern = (F.abs(smd) > max_diff) | (ratio > max_ratio) | (ratio < 1 / max_ratio)
-            parts.append(one.select(F.lit(v).alias("variable"), F.lit("numeric").alias("variable_type"), F.col("tm").alias("treated_mean"), F.col("cm").alias("control_mean"), (F.col("tm") - F.col("cm")).alias("mean_diff"), smd.alias("std_mean_diff"), F.col("tv").alias("treated_var"), F.col("cv").alias("control_var"), ratio.alias("var_ratio"), F.col("tn").alias("treated_n"), F.col("cn").alias("control_n"), concern.alias("balance_concern")))
-        else:
-            worst = categorical_shares(persons, v, treatment, weight).agg(F.max(F.abs(F.col("pt") - F.col("pc"))).alias("d"))
-            sizes = persons.agg(n_of(t).alias("tn"), n_of(~t).alias("cn"))
-            parts.append(worst.join(sizes).select(F.lit(v).alias("variable"), F.lit("categorical").alias("variable_type"), *[empty.alias(c) for c in ("treated_mean", "control_mean", "mean_diff")], F.col("d").alias("std_mean_diff"), *[empty.alias(c) for c in ("treated_var", "control_var", "var_ratio")], F.col("tn").alias("treated_n"), F.col("cn").alias("control_n"), (F.col("d") > max_diff).alias("balance_concern")))  # single rows
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                mean, var = F.avg(F.when(side, x)), F.var_samp(F.when(side, x))
+            figures += [mean.alias(f"{name}m{i}"), var.alias(f"{name}v{i}")]
+    one = persons.agg(*figures)
+    parts = []
+    if numbers:
+        each = F.array(*[F.struct(F.lit(v).alias("variable"), *[F.col(f"{c}{i}").alias(c) for c in ("tm", "cm", "tv", "cv")]) for i, v in enumerate(numbers)])
+        rows = one.select("tn", "cn", F.explode(each).alias("v")).select("tn", "cn", "v.*")
+        smd = F.try_divide(F.col("tm") - F.col("cm"), F.sqrt((F.col("tv") + F.col("cv")) / 2))
+        ratio = F.try_divide(F.col("tv"), F.col("cv"))
+        concern = (F.abs(smd) > max_diff) | (ratio > max_ratio) | (ratio < 1 / max_ratio)
+        parts.append(rows.select("variable", F.lit("numeric").alias("variable_type"), F.col("tm").alias("treated_mean"), F.col("cm").alias("control_mean"), (F.col("tm") - F.col("cm")).alias("mean_diff"), smd.alias("std_mean_diff"), F.col("tv").alias("treated_var"), F.col("cv").alias("control_var"), ratio.alias("var_ratio"), F.col("tn").alias("treated_n"), F.col("cn").alias("control_n"), concern.alias("balance_concern")))
+    if texts:
+        w = F.col(weight) if weight else F.lit(1.0)
+        counts = _long_levels(persons, texts, t.alias("t"), w.alias("w")).groupBy("variable", "level").agg(C.sum_if(F.col("t"), F.col("w")).alias("a"), C.sum_if(~F.col("t"), F.col("w")).alias("b"))
+        sizes = one.select("tn", "cn")
+        gap = F.abs(C.ratio(F.col("a"), F.col("tn")) - C.ratio(F.col("b"), F.col("cn")))
+        worst = counts.join(F.broadcast(sizes)).groupBy("variable", "tn", "cn").agg(F.max(gap).alias("d"))  # one row
+        parts.append(worst.select("variable", F.lit("categorical").alias("variable_type"), *[empty.alias(c) for c in ("treated_mean", "control_mean", "mean_diff")], F.col("d").alias("std_mean_diff"), *[empty.alias(c) for c in ("treated_var", "control_var", "var_ratio")], F.col("tn").alias("treated_n"), F.col("cn").alias("control_n"), (F.col("d") > max_diff).alias("balance_concern")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def overall_balance(table: DataFrame) -> DataFrame:
@@ -156,8 +186,8 @@ def overall_balance(table: DataFrame) -> DataFrame:
 def ks_statistic(persons: DataFrame, v: str, treatment: str = "is_treated") -> DataFrame:
     """The two-sample Kolmogorov-Smirnov statistic with both sample sizes, from counts of distinct values summed along their order."""
     t = F.col(treatment).cast("int") == 1
-    counts = persons.where(F.col(v).isNotNull()).groupBy(F.col(v).alias("x")).agg(C.count_if(t).alias("a"), C.count_if(~t).alias("b"))
-    sizes = persons.where(F.col(v).isNotNull()).agg(C.count_if(t).alias("n_treated"), C.count_if(~t).alias("n_control"))
+    counts = tables.written(persons.where(F.col(v).isNotNull()).groupBy(F.col(v).alias("x")).agg(C.count_if(t).alias("a"), C.count_if(~t).alias("b")))
+    sizes = counts.agg(F.sum("a").alias("n_treated"), F.sum("b").alias("n_control"))
     summed = ordering.running_sums(counts, "x", ["a", "b"]).join(F.broadcast(sizes))  # one row
     gap = F.abs(C.ratio(F.col("a_upto"), F.col("n_treated")) - C.ratio(F.col("b_upto"), F.col("n_control")))
     return summed.agg(F.max(gap).alias("statistic"), F.sum("a").alias("n_treated"), F.sum("b").alias("n_control"))
@@ -178,22 +208,18 @@ def missing_patterns(rows: DataFrame, variables: list[str], top: int = 10) -> Da
 
 
 def diagnose(rows: DataFrame, variables: list[str], treatment: str = "is_treated") -> DataFrame:
-    """Per variable: missing, not-a-number, infinite and empty values, distinct levels, and levels on one side only."""
-    t = F.col(treatment).cast("int") == 1
-    parts = []
-    for v in variables:
-        x = F.col(v)
-        floating = isinstance(rows.schema[v].dataType, (T.DoubleType, T.FloatType))
-        text = isinstance(rows.schema[v].dataType, T.StringType)
-        zero = F.lit(0).cast("long")
-        levels = rows.groupBy(x.alias("x")).agg(C.count_if(t).alias("a"), C.count_if(~t).alias("b")).where("x IS NOT NULL")
-        one = rows.agg(F.count("*").alias("n"), C.count_if(x.isNull()).alias("n_missing"), (C.count_if(F.isnan(x)) if floating else zero).alias("n_nan"), (C.count_if(F.abs(x) == float("inf")) if floating else zero).alias("n_infinite"), (C.count_if(x == "") if text else zero).alias("n_empty"))
-        sides = levels.agg(F.count("*").alias("n_levels"), C.count_if((F.col("a") == 0) | (F.col("b") == 0)).alias("n_one_sided_levels"))
-        parts.append(one.join(sides).select(F.lit(v).alias("variable"), "*"))  # single rows
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Per variable: missing, not-a-number, infinite and empty values, distinct levels, and levels on one side only; two passes for all."""
+    zero = F.lit(0).cast("long")
+    figures = [F.count("*").alias("n")]
+    for i, v in enumerate(variables):
+        x, kind = F.col(v), rows.schema[v].dataType
+        floating, text = isinstance(kind, (T.DoubleType, T.FloatType)), isinstance(kind, T.StringType)
+        figures += [C.count_if(x.isNull()).alias(f"n_missing{i}"), (C.count_if(F.isnan(x)) if floating else zero).alias(f"n_nan{i}"), (C.count_if(F.abs(x) == float("inf")) if floating else zero).alias(f"n_infinite{i}"), (C.count_if(x == "") if text else zero).alias(f"n_empty{i}")]
+    names = ("n_missing", "n_nan", "n_infinite", "n_empty")
+    each = F.array(*[F.struct(F.lit(v).alias("variable"), *[F.col(f"{c}{i}").alias(c) for c in names]) for i, v in enumerate(variables)])
+    values = rows.agg(*figures).select("n", F.explode(each).alias("v")).select("v.variable", "n", *[f"v.{c}" for c in names])
+    sizes = level_set_sizes(level_sets(rows, variables, treatment)).select("variable", "n_levels", (F.col("n_treated_only") + F.col("n_control_only")).alias("n_one_sided_levels"))
+    return values.join(sizes, "variable", "left").na.fill(0, ["n_levels", "n_one_sided_levels"])  # a row a variable
 
 
 @dataclasses.dataclass
@@ -226,54 +252,152 @@ def common_support(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(ends)).where("propensity_score BETWEEN __lo AND __hi").drop("__lo", "__hi")  # one row
 
 
-def _greedy(caliper: float | None, ratio: int, replace: bool):
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        """Treated persons by falling score take the nearest unused controls; of two as near the lower score, then the smaller id."""
-        t = group[group.treated == 1].sort_values(["s", "id"], ascending=[False, True])
-        c = group[group.treated == 0].sort_values(["s", "id"])
-        scores, ids, n = c.s.to_numpy(), c.id.to_numpy(), len(c)
-        down, up = list(range(-1, n)), list(range(n + 1))  # down[k + 1]: the next free place at or below k; up[k]: at or above
-
-        def free(links: list[int], k: int) -> int:
-            root = k
-            while links[root] != (root if links is up else root - 1):
-                root = links[root] if links is up else links[root] + 1
-            while k != root:
-                links[k], k = (root, links[k]) if links is up else (root - 1, links[k] + 1)
-            return links[root]
-
-        out = []
-        for score, who in zip(t.s.to_numpy(), t.id.to_numpy(), strict=True):
-            for _ in range(ratio):
-                at = int(np.searchsorted(scores, score))
-                k = up[at] if replace else free(up, at)
-                below = at - 1 if replace else free(down, at)
-                if below >= 0 and (k >= n or score - scores[below] <= scores[k] - score):
-                    first = int(np.searchsorted(scores, scores[below]))  # the smallest free id of that score
-                    k = first if replace else free(up, first)
-                if k >= n or caliper is not None and abs(scores[k] - score) > caliper:
-                    break
-                out.append((who, ids[k], abs(scores[k] - score)))
-                if replace:
-                    break
-                up[k], down[k + 1] = k + 1, k - 1
-        return pd.DataFrame(out, columns=["treated_id", "control_id", "distance"])
-
-    return match
-
-
-#: Persons of neighbouring scores that are matched in one task.
-BAND = 20_000
+def _nearest_first(rows: pd.DataFrame, caliper: float) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+    """Pairs of the sorted rows (s, treated, place, room) of one stratum, nearest first, and who stays free with someone in reach.
+
+    Of all free pairs the one with the least (distance, places between them) is taken until none is within the caliper; only
+    neighbours can be it.  Rows of the stratum that are not here can be nearer: {side}_{kind} say where the nearest of them of each
+    kind stands.  A pair that one of them may prevent stays open, and so does whatever depends on its two persons.
+    """
+    s, kind, place, room = rows.s.to_numpy(), rows.treated.to_numpy(), rows.place.to_numpy(), rows.room.to_numpy().copy()
+    n = len(s)
+    outside = []  # of each kind: places and scores of the nearest rows of the other kind on either side
+    for other in (1, 0):
+        outside.append([(rows[f"{side}_{other}_s"].iloc[0], rows[f"{side}_{other}_place"].iloc[0]) for side in ("left", "right")])
+    before, after, free, unsure = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n, [False] * n
+    heap: list[tuple] = []
+
+    def push(i: int, j: int) -> None:
+        if i >= 0 and j < n and kind[i] != kind[j] and s[j] - s[i] <= caliper:
+            heapq.heappush(heap, (s[j] - s[i], place[j] - place[i], place[i], i, j))
+
+    def drop(i: int) -> None:
+        free[i] = False
+        if before[i] >= 0:
+            after[before[i]] = after[i]
+        if after[i] < n:
+            before[after[i]] = before[i]
+        push(before[i], after[i])
+
+    def nearest_outside(i: int) -> tuple:
+        return min((abs(s[i] - score), abs(place[i] - at)) if at == at else (math.inf, math.inf) for score, at in outside[kind[i]])
+
+    for i in range(n - 1):
+        push(i, i + 1)
+    out = []
+    while heap:
+        d, gap, _, i, j = heapq.heappop(heap)
+        if not (free[i] and free[j]) or after[i] != j:
+            continue
+        if unsure[i] or unsure[j] or (d, gap) >= min(nearest_outside(i), nearest_outside(j)):
+            unsure[i] = unsure[j] = True
+            continue
+        t, c = (i, j) if kind[i] else (j, i)
+        out.append((t, c, d))
+        room[t] -= 1
+        drop(c)
+        if not room[t]:
+            drop(t)
+    rows["room"] = room
+    left = np.array(free, bool)
+    for k in (0, 1):
+        others = s[left & (kind != k)]
+        own = np.flatnonzero(left & (kind == k))
+        at = np.searchsorted(others, s[own])
+        near = np.full(len(own), np.inf)
+        if len(others):
+            near = np.minimum(np.abs(s[own] - others[np.maximum(at - 1, 0)]), np.abs(others[np.minimum(at, len(others) - 1)] - s[own]))
+        for score, place_of in outside[k]:
+            if place_of == place_of:
+                near = np.minimum(near, np.abs(s[own] - score))
+        left[own[near > caliper]] = False
+    return out, left
+
+
+def _block_solver(caliper: float, columns: list[str]):
+    def solve(block: pd.DataFrame) -> pd.DataFrame:
+        """Pairs (pair 1) and who is still free (pair 0) of a block."""
+        parts = []
+        for _, rows in block.sort_values("place", kind="stable").groupby("code", sort=False):
+            rows = rows.reset_index(drop=True)
+            pairs, free = _nearest_first(rows, caliper)
+            rest = rows.loc[free, columns]
+            parts.append(rest.assign(mate=rest.id, distance=0.0, pair=0))
+            if pairs:
+                t, c, d = (list(x) for x in zip(*pairs, strict=True))
+                parts.append(rows.loc[t, columns].assign(mate=rows.id.to_numpy()[c], distance=d, pair=1))
+        return pd.concat(parts)
+
+    return solve
+
+
+#: Persons that are matched in one task; results do not depend on it.
+BLOCK = 20_000
+
+
+def _with_outside(cut: DataFrame) -> DataFrame:
+    """Adds to each row of a block where the nearest rows of its stratum in the blocks before and after it stand, by kind."""
+    at = lambda kind, f: f(F.when(F.col("treated") == kind, F.struct("place", "s")))
+    ends = cut.groupBy("code", "block").agg(*[at(k, f).alias(f"{side}_{k}") for side, f in (("left", F.max), ("right", F.min)) for k in (0, 1)])
+    order = Window.partitionBy("code").orderBy("block")  # a row a block
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    known = [(F.last if side == "left" else F.first)(f"{side}_{k}", ignorenulls=True).over(earlier if side == "left" else later).alias(f"{side}_{k}") for side in ("left", "right") for k in (0, 1)]
+    flat = ends.select("code", "block", *known).select("code", "block", *[F.col(f"{side}_{k}.{x}").cast("double").alias(f"{side}_{k}_{x}") for side in ("left", "right") for k in (0, 1) for x in ("s", "place")])
+    return cut.join(flat, ["code", "block"])
+
+
+def _pairs_nearest_first(flat: DataFrame, keys: list[str], caliper: float, ratio: int) -> DataFrame:
+    """treated_id, control_id, distance: pairs within strata, nearest first, each control once and each treated person up to ratio times.
+
+    All persons stand in one order (stratum, score, id) and are cut into blocks of BLOCK; a block takes the pairs that nobody
+    outside it can prevent.  Who is left free is numbered and cut anew, half a block further, until two turns add no pair: the
+    nearest pair of all stands inside a block in one of them, so then none is left.  Persons with nobody of the other kind in reach leave early.
+    """
+    code = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    rows = flat.select(code.alias("code"), "id", "s", F.col("treated").cast("int").alias("treated"), F.when(F.col("treated") == 1, ratio).otherwise(1).cast("int").alias("room"), F.lit(1).cast("long").alias("one"))
+    left = tables.written(ordering.running_sums(rows, "code", ["one"], ties=["s", "id"]).withColumnRenamed("one_upto", "place"))
+    columns = left.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema) + f", mate {left.schema['id'].dataType.simpleString()}, distance double, pair int"
+    solver, found, idle, turn = _block_solver(caliper, columns), [], 0, 0
+    while idle < 2:
+        total = left.count()
+        cut = ordering.running_sums(left, "place", ["one"]) if total > BLOCK else left.withColumn("one_upto", F.lit(1).cast("long"))
+        shift = turn % 2 * (BLOCK // 2)
+        blocks = tables.written(cut.withColumn("block", F.floor((F.col("one_upto") - 1 + shift) / BLOCK)))
+        solved = tables.written(_with_outside(blocks).groupBy("block").applyInPandas(solver, schema))
+        pairs = solved.where("pair = 1").select(F.col("id").alias("treated_id"), F.col("mate").alias("control_id"), "distance")
+        some = pairs.limit(1).count()
+        if some:
+            found.append(pairs)
+        if total <= BLOCK:  # nobody was outside
+            break
+        idle, turn = 0 if some else idle + 1, turn + 1
+        left = solved.where("pair = 0").select(*columns)
+    out = found[0] if found else flat.where("false").select(F.col("id").alias("treated_id"), F.col("id").alias("control_id"), F.lit(0.0).alias("distance"))
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def _pairs_with_replacement(flat: DataFrame, keys: list[str], caliper: float) -> DataFrame:
+    """Each treated person with the nearest control, which may serve again; of two as near the lower score, then the smaller id."""
+    controls = flat.where("treated = 0").groupBy(*keys, "s").agg(F.min("id").alias("mate"))
+    treated = flat.where("treated = 1").withColumn("at", F.col("s"))
+    below = ordering.as_of(treated, controls.withColumns({"at": F.col("s"), "low": F.struct("s", "mate")}), keys, "at", ["low"])
+    both = ordering.as_of(below.withColumn("at", -F.col("s")), controls.withColumns({"at": -F.col("s"), "high": F.struct("s", "mate")}), keys, "at", ["high"])
+    low, high = F.col("s") - F.col("low.s"), F.col("high.s") - F.col("s")
+    take_low = F.col("high").isNull() | (low <= high)
+    mate = F.when(take_low, F.col("low.mate")).otherwise(F.col("high.mate"))
+    return both.select(F.col("id").alias("treated_id"), mate.alias("control_id"), F.when(take_low, low).otherwise(high).alias("distance")).where(F.col("control_id").isNotNull() & (F.col("distance") <= caliper))
 
 
 def propensity_match(persons: DataFrame, variables: list[str], treatment: str = "is_treated", id_col: str = "cf", caliper: float | None = 0.2, ratio: int = 1, exact: list[str] | None = None, replace: bool = False, missing: str = "complete_cases", trim: bool = False) -> Match:
     """Nearest-neighbour matching inside exact strata; the caliper is in standard deviations of the score.
 
-    Greedy matching is sequential, so persons are cut, in the order of their scores, into bands of BAND persons that are
-    matched beside each other; those left are cut anew, half a band further, until no pair is added.  Up to BAND
-    persons the result is that of one greedy pass; beyond, a person near the edge of a band may get a control a little
-    farther than the nearest.  With replace controls serve again and a person has one pair.  missing is complete_cases,
-    mean_impute or missing_indicator; trim keeps the scores in common support only.
+    The nearest pairs go first, of as near ones those with fewer persons between them in the order of score and id; so the pairs do not depend on how the
+    work is cut, and no person is matched farther than a free neighbour.  With ratio a treated person takes so many controls; with replace
+    controls serve again and a treated person has one pair.  missing is complete_cases, mean_impute or missing_indicator; trim
+    keeps the scores in common support only.
     """
     rows = persons
     if missing == "mean_impute":
@@ -285,25 +409,11 @@ def propensity_match(persons: DataFrame, variables: list[str], treatment: str =
     elif missing != "complete_cases":
         raise ValueError(missing)
     scores = propensity_scores(rows, variables, treatment, id_col, [e for e in exact or [] if e not in variables])
-    scores = (common_support(scores) if trim else scores).persist()
-    total, width = scores.agg(F.count("*"), F.stddev_samp("propensity_score")).first()
-    keys = [F.col(e) for e in exact or []]
-    flat = scores.select(*keys, F.col(id_col).alias("id"), F.col("propensity_score").alias("s"), "treated", F.lit(1).cast("long").alias("one"))
-    id_type = persons.schema[id_col].dataType.simpleString()
-    greedy, schema = _greedy(None if caliper is None else caliper * (width or 0.0), ratio, replace), f"treated_id {id_type}, control_id {id_type}, distance double"
-    if total <= BAND:
-        return Match(scores, flat.groupBy(*keys).applyInPandas(greedy, schema))
-    left, pairs, turn = flat, None, 0
-    while True:
-        placed = ordering.running_sums(left, "s", ["one"], ties="id")
-        band = F.floor((F.col("one_upto") + turn % 2 * BAND // 2) / BAND)
-        found = placed.groupBy(*keys, band.alias("band")).applyInPandas(greedy, schema).persist()
-        if not found.limit(1).count():
-            return Match(scores, found if pairs is None else pairs)
-        pairs, turn = found if pairs is None else pairs.unionAll(found), turn + 1
-        done = found.select(F.col("treated_id").alias("done")) if ratio == 1 or replace else found.groupBy(F.col("treated_id").alias("done")).count().where(F.col("count") >= ratio).select("done")
-        gone = done if replace else done.unionAll(found.select("control_id"))
-        left = left.join(gone, left["id"] == gone["done"], "left_anti").persist()
+    scores = tables.written(common_support(scores) if trim else scores)
+    width = scores.agg(F.stddev_samp("propensity_score")).first()[0]
+    flat = scores.select(*[F.col(e).alias(f"e{i}") for i, e in enumerate(exact or [])], F.col(id_col).alias("id"), F.col("propensity_score").alias("s"), "treated")
+    keys, reach = [f"e{i}" for i in range(len(exact or []))], math.inf if caliper is None else caliper * (width or 0.0)
+    return Match(scores, _pairs_with_replacement(flat, keys, reach) if replace else _pairs_nearest_first(flat, keys, reach, ratio))
 
 
 def match_quality(total_treated: int, total_control: int, matched_treated: int, matched_control: int, treated_in_support_pct: float | None = None, control_in_support_pct: float | None = None, balanced: bool | None = None) -> dict:
@@ -326,15 +436,14 @@ def impute(rows: DataFrame, variables: list[str], how: str = "median") -> DataFr
     """Missing values filled: numbers with their median or mean, text with its mode (the smaller of equals); complete drops the rows instead."""
     if how == "complete":
         return rows.dropna(subset=variables)
-    fills = []
-    for v in variables:
-        if _numeric(rows, v):
-            fills.append((F.median(v) if how == "median" else F.avg(v)).alias(f"__{v}"))
+    numbers = [v for v in variables if _numeric(rows, v)]
     out = rows
-    if fills:
-        one = rows.agg(*fills)
-        out = out.join(F.broadcast(one))  # one row
-        out = out.withColumns({v: F.coalesce(F.col(v).cast("double"), F.col(f"__{v}")) for v in variables if _numeric(rows, v)}).drop(*one.columns)
+    if numbers:
+        if how == "median":
+            medians = {r.variable: r.quantiles[0] for r in ordering.exact_quantiles(rows, numbers, [0.5]).collect()}  # a row a variable
+        else:
+            medians = rows.agg(*[F.avg(v).alias(v) for v in numbers]).first().asDict()
+        out = out.withColumns({v: F.coalesce(F.col(v).cast("double"), F.lit(medians.get(v)).cast("double")) for v in numbers})
     for v in variables:
         if not _numeric(rows, v):
             best = rows.where(F.col(v).isNotNull()).groupBy(v).agg(F.count("*").alias("n")).agg(F.min(F.struct(-F.col("n"), F.col(v).alias("v")))["v"].alias("__m"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import ordering
 
 
 def node_degrees(edges: DataFrame, loops: bool = True) -> DataFrame:
@@ -69,19 +70,39 @@ def network_analysis(edges: DataFrame) -> dict:
     return {"summary": summary, "centrality": centrality, "communities": labels, "n_communities": len(set(labels.values())), "modularity": modularity}
 
 
-def similarity_edges(segments: DataFrame, least: float = 0.3) -> DataFrame:
-    """Pairs of employment episodes (over_id) whose mean concurrency times log days are alike: 1 / (1 + difference) over `least`.
+def complexity_nodes(segments: DataFrame, metric: str = "overlap_count") -> DataFrame:
+    """Employment episodes (cf, over_id) with their five figures and a score: overlap_count (periods and overlapping periods), duration_sum (months of 30 days) or period_count."""
+    figures = segments.where("over_id > 0").groupBy("cf", "over_id").agg(
+        F.count("*").alias("period_count"), F.sum("durata").alias("total_duration"), C.count_if(F.col("arco") > 1).alias("overlap_periods"), F.count_distinct("cf").alias("cf_count"), F.avg("arco").alias("mean_arco")
+    )
+    scores = {"overlap_count": F.col("overlap_periods") + F.col("period_count"), "duration_sum": F.col("total_duration") / 30, "period_count": F.col("period_count")}
+    return figures.withColumn("complexity_score", scores[metric].cast("double")).where("complexity_score > 0")
 
-    Episodes in one bin of the score's reach, or in neighbouring bins, are the only ones to meet.  The reach at the
-    default limit, 2.33, is about as wide as all scores, so nearly all pairs are in the result: over many episodes ask for 0.9 or more.
+
+#: Rows of the order of scores that are joined in one task.
+_LINE = 4096
+
+
+def similarity_edges(nodes: DataFrame, least: float = 0.3, neighbours: int = 5, keys: tuple[str, str] = ("cf", "over_id")) -> DataFrame:
+    """Pairs of nodes of like complexity: each with the next `neighbours` in the order of (score, keys), where 1 / (1 + difference) is over `least`.
+
+    All pairs over the limit grow with the square of the nodes, and in the order of scores the nearest stand side by side: a
+    node has at most 2 x neighbours edges.  The order is cut into parts that hand their first rows on to the part before.
     """
-    reach = 1 / least - 1
-    scores = segments.where("over_id > 0").groupBy("over_id").agg(F.round(F.avg("arco") * F.ln(1 + F.avg("durata")), 6).alias("score"))
-    binned = scores.withColumn("bin", F.floor(F.col("score") / reach))
-    a = binned.select(F.col("over_id").alias("a"), F.col("score").alias("sa"), "bin")
-    b = binned.select(F.col("over_id").alias("b"), F.col("score").alias("sb"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    similarity = 1 / (1 + F.abs(F.col("sa") - F.col("sb")))
-    return a.join(b, "bin").where((F.col("a") < F.col("b")) & (similarity > least)).select("a", "b", F.round(similarity, 6).alias("similarity"))
+    if not 0 < neighbours <= _LINE:
+        raise ValueError(f"neighbours go from 1 to {_LINE}")
+    rows = nodes.select(*keys, F.col("complexity_score").alias("score"), F.lit(1).cast("long").alias("one"))
+    placed = ordering.running_sums(rows, "score", ["one"], ties=list(keys))
+    place = F.col("one_upto") - 1
+    own = F.struct(F.floor(place / _LINE).alias("part"), F.lit(True).alias("own"))
+    border = F.struct((F.floor(place / _LINE) - 1).alias("part"), F.lit(False).alias("own"))
+    dealt = placed.select(*keys, "score", place.alias("place"), F.explode(F.when(place % _LINE < neighbours, F.array(own, border)).otherwise(F.array(own))).alias("p")).select(*keys, "score", "place", "p.*")
+    order = Window.partitionBy("part").orderBy("place")  # _LINE + neighbours rows
+    nexts = F.collect_list(F.struct(*keys, "score")).over(order.rowsBetween(1, neighbours))
+    pairs = dealt.withColumn("to", nexts).where("own").select(F.struct(*keys).alias("from"), "score", F.explode("to").alias("to"))
+    similarity = 1 / (1 + F.abs(F.col("score") - F.col("to.score")))
+    name = lambda side: [F.col(f"{side}.{k}").alias(f"{side}_{k}") for k in keys]
+    return pairs.select(*name("from"), *name("to"), similarity.alias("weight")).where(F.col("weight") > least)
 
 
 def _adjacency(edges: DataFrame, most: int = 5000) -> tuple[list, dict]:

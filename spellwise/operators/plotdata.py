@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import ordering
+from ..functions import ordering, tables
 
 #: Colours of the employment states, and of charts of effects.
 STATUS_COLORS = {"disoccupato": "#B0BEC5", "occ_pt": "#4FC3F7", "occ_ft": "#1565C0", "over_pt_pt": "#FFB74D", "over_pt_ft": "#FB8C00", "over_ft_pt": "#F4511E", "over_ft_ft": "#B71C1C"}
@@ -113,13 +113,34 @@ def survival_steps(table: DataFrame, group: str = "contract_type") -> DataFrame:
 
 
 def over_id_summary(segments: DataFrame) -> DataFrame:
-    """Segments, days and persons by over_id, with quartiles of the days."""
+    """Segments and days of each employment episode (over_id counts within a person), with quartiles of the days."""
     q = F.percentile("durata", [0.25, 0.5, 0.75])
-    out = segments.where("over_id > 0").groupBy("over_id").agg(F.count("*").alias("n"), F.sum("durata").alias("total_days"), F.round(F.avg("durata"), 6).alias("mean_days"), F.count_distinct("cf").alias("persons"), q.alias("q"))
-    return out.select("over_id", "n", "total_days", "mean_days", "persons", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+    out = segments.where("over_id > 0").groupBy("cf", "over_id").agg(F.count("*").alias("n"), F.sum("durata").alias("total_days"), F.round(F.avg("durata"), 6).alias("mean_days"), F.max("arco").alias("most_jobs"), q.alias("q"))
+    return out.select("cf", "over_id", "n", "total_days", "mean_days", "most_jobs", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+
+
+def milestones(segments: DataFrame, persons: int = 10) -> DataFrame:
+    """Start and end marks on a Gantt chart of the persons with most days (ties by id): one mark a person and date, a start where both fall together (a top report)."""
+    top = segments.groupBy("cf").agg(F.sum("durata").alias("days")).orderBy(F.desc("days"), "cf").limit(persons)
+    placed = top.withColumn("y", F.row_number().over(Window.partitionBy().orderBy(F.desc("days"), "cf")))  # `persons` rows
+    marks = segments.select("cf", F.explode(F.array(F.struct(F.col("inizio").alias("date"), F.lit(0).alias("late")), F.struct(F.col("fine").alias("date"), F.lit(1).alias("late")))).alias("m"))
+    once = marks.join(F.broadcast(placed), "cf").groupBy("cf", "y", "m.date").agg(F.min("m.late").alias("late"))
+    return once.select("cf", "y", "date", F.when(F.col("late") == 0, "start").otherwise("end").alias("type"))
+
+
+def career_events(segments: DataFrame) -> DataFrame:
+    """A row a person with a job: the first job's start, changes of contract between successive jobs, and the longest spell without one (the first of equals)."""
+    order = Window.partitionBy("cf").orderBy("inizio", "fine")
+    job = F.col("arco") > 0
+    known = F.last(F.when(job, F.col(C.CONTRACT)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = segments.withColumn("changed", job & known.isNotNull() & (F.col(C.CONTRACT) != known))
+    gap = F.when(~job, F.struct(F.col("durata").alias("days"), (-F.unix_date("inizio")).alias("earlier"), F.col("inizio").alias("begins")))
+    out = rows.groupBy("cf").agg(F.min(F.when(job, F.col("inizio"))).alias("first_job"), C.count_if(F.col("changed")).alias("contract_changes"), F.max(gap).alias("gap"), F.sum("durata").alias("total_days"))
+    return out.where("first_job IS NOT NULL").select("cf", "first_job", "contract_changes", F.col("gap.begins").alias("longest_gap_start"), F.col("gap.days").alias("longest_gap_days"), "total_days")
 
 
 def person_order(metrics: DataFrame, index: str, long_metrics: list[str]) -> DataFrame:
     """Persons ordered by an index, unpivoted: their row on the chart beside each metric."""
-    placed = ordering.running_sums(metrics.withColumn("y", F.lit(1).cast("long")), index, ["y"], ties="cf", descending=True)
+    once = tables.written(metrics.select("cf", F.lit(1).cast("long").alias("y"), *dict.fromkeys([index, *long_metrics])))
+    placed = ordering.running_sums(once, index, ["y"], ties="cf", descending=True)
     return placed.withColumn("y", F.col("y_upto").cast("int")).select("cf", "y", *[F.col(c).cast("double").alias(c) for c in long_metrics]).unpivot(["cf", "y"], long_metrics, "metric_name", "metric_value")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions import stats
-from .estimation import Fit, least_squares
+from ..functions import ordering, stats
+from .estimation import Fit, least_squares, solved
 
 KERNELS = ("triangular", "rectangular", "epanechnikov")
 
@@ -70,26 +71,86 @@ def fuzzy(rows: DataFrame, outcome: str, treatment: str, running: str, cutoff: f
     return _estimate(b, math.sqrt(se_rf**2 + b * b * se_fs**2) / abs(fs), min(first.dof, reduced.dof), alpha) | {"bandwidth": h, "first_stage": fs, "n_total": reduced.n}
 
 
-def robustness(rows: DataFrame, outcome: str, running: str, cutoff: float, multipliers: tuple[float, ...] = (0.5, 0.75, 1.0, 1.25, 1.5), orders: tuple[int, ...] = (1, 2, 3), kernels: tuple[str, ...] = KERNELS) -> list[dict]:
-    """Estimates under other bandwidths, orders and kernels."""
+#: Kernels as polynomials of the distance in bandwidths.
+_KERNEL = {"rectangular": (1.0,), "triangular": (1.0, -1.0), "epanechnikov": (0.75, 0.0, -0.75)}
+
+
+class Moments:
+    """Sums of powers of x and the outcome by cutoff, side and ring of distance: all that estimates at these cutoffs and bandwidths need."""
+
+    def __init__(self, rows: DataFrame, outcome: str, cutoffs: list[float], widths: list[float], order: int) -> None:
+        """rows have x; one pass.  Rings are the distances between two widths, and each width itself."""
+        self.widths, self.powers = sorted(set(widths)), 2 * order + 3
+        far = self.widths[-1]
+        near = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("x") - F.lit(float(c))).alias("d")) for k, c in enumerate(cutoffs)]), lambda c: F.abs(c["d"]) <= far)
+        met = rows.select(F.col(outcome).cast("double").alias("y"), F.explode(near).alias("c")).select("y", "c.*").where("y IS NOT NULL")
+        ring = sum((2 * (F.abs("d") > w).cast("int") + (F.abs("d") == w).cast("int") for w in self.widths), F.lit(0))
+        u = F.col("d") / far
+        sums = [F.sum(F.pow(u, F.lit(p)) * F.pow(F.col("y"), F.lit(q)) if p else F.pow(F.col("y"), F.lit(q))).alias(f"m{p}_{q}") for q in (0, 1, 2) for p in range(self.powers if q < 2 else 3)]
+        found = met.groupBy("k", (F.col("d") >= 0).alias("right"), ring.alias("ring")).agg(F.count("*").alias("n"), *sums).collect()  # cutoffs x sides x rings
+        self.sums: dict = {}
+        for r in found:
+            self.sums.setdefault((r.k, r.right), []).append(r)
+
+    def rows_within(self, k: int, h: float) -> int:
+        last = 2 * self.widths.index(h) + 1
+        return sum(r.n for side in (False, True) for r in self.sums.get((k, side), []) if r.ring <= last)
+
+    def fit(self, k: int, h: float, order: int, kernel: str) -> Fit:
+        """The local polynomial fit at cutoff k, as least_squares gives it."""
+        at, shape = self.widths.index(h), _KERNEL[kernel]
+        last = 2 * at + (1 if kernel == "rectangular" else 0)  # at the very bandwidth the other kernels are 0
+        names = ["one", "above", *[f"{side}x{p}" for p in range(1, order + 1) for side in ("", "above_")]]
+        power = [0, 0, *[p for p in range(1, order + 1) for _ in range(2)]]
+        a, b, n, sw, sy, yy = np.zeros((len(names), len(names))), np.zeros(len(names)), 0, 0.0, 0.0, 0.0
+        scale = self.widths[-1] / h
+        for right in (False, True):
+            own = [r for r in self.sums.get((k, right), []) if r.ring <= last]
+            n += sum(r.n for r in own)
+            moment = lambda p, q, own=own, right=right: sum(c * (1 if right else -1) ** e * scale ** (p + e) * sum(r[f"m{p + e}_{q}"] for r in own) for e, c in enumerate(shape) if c)
+            sw, sy, yy = sw + moment(0, 0), sy + moment(0, 1), yy + moment(0, 2)
+            used = [i for i, name in enumerate(names) if right or not name.startswith("above")]
+            for i in used:
+                b[i] += moment(power[i], 1)
+                for j in used:
+                    a[i, j] += moment(power[i] + power[j], 0)
+        beta, inverse, kept = solved(a, b)
+        rss = max(0.0, yy - 2 * beta @ b + beta @ a @ beta)
+        dof = n - len(kept)
+        tss = yy - sy**2 / sw if sw else 0.0
+        return Fit(names, beta, inverse * (rss / dof if dof > 0 else float("nan")), n, dof, float(1 - rss / tss) if tss else 0.0)
+
+
+def _spread(rows: DataFrame) -> tuple[float, float, float]:
+    """The mserd bandwidth and the ends of x, in one pass."""
+    r = rows.agg((0.8 * 1.84 * F.stddev_samp("x") * F.pow(F.count("x"), F.lit(-0.2))).alias("h"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    return r.h, r.low, r.high
+
+
+def robustness(rows: DataFrame, outcome: str, running: str, cutoff: float, multipliers: tuple[float, ...] = (0.5, 0.75, 1.0, 1.25, 1.5), orders: tuple[int, ...] = (1, 2, 3), kernels: tuple[str, ...] = KERNELS, alpha: float = 0.05) -> list[dict]:
+    """Estimates under other bandwidths, orders and kernels: one pass for the bandwidth and one for all estimates."""
     own = centred(rows, running, cutoff, outcome)
-    h = bandwidth(own, "mserd").first().bandwidth
+    h = _spread(own)[0]
     runs = [("bandwidth", m, 1, "triangular", h * m) for m in multipliers] + [("order", p, p, "triangular", h) for p in orders] + [("kernel", k, 1, k, h) for k in kernels]
-    return [{"check": check, "value": str(value)} | sharp(own, outcome, running, cutoff, order, kernel, width) for check, value, order, kernel, width in runs]
+    moments = Moments(own, outcome, [0.0], [width for *_, width in runs], max([1, *orders]))
+    out = []
+    for check, value, order, kernel, width in runs:
+        fit = moments.fit(0, width, order, kernel)
+        out.append({"check": check, "value": str(value)} | _estimate(*fit.row("above"), fit.dof, alpha) | {"bandwidth": width, "n_total": fit.n, "r_squared": fit.r_squared})
+    return out
 
 
-def placebo(rows: DataFrame, outcome: str, running: str, cutoff: float, cutoffs: list[float] | None = None, least_rows: int = 20) -> list[dict]:
-    """Estimates at cutoffs where nothing happens: by default spread over the range outside two bandwidths."""
+def placebo(rows: DataFrame, outcome: str, running: str, cutoff: float, cutoffs: list[float] | None = None, least_rows: int = 20, alpha: float = 0.05) -> list[dict]:
+    """Estimates at cutoffs where nothing happens: by default spread over the range outside two bandwidths; two passes for all."""
     own = centred(rows, running, cutoff, outcome)
-    h = bandwidth(own, "mserd").first().bandwidth
-    low, high = own.agg(F.min("x"), F.max("x")).first()
+    h, low, high = _spread(own)
     if cutoffs is None:
         cutoffs = [cutoff + c for c in [low + (high - low) * k / 10 for k in range(1, 10)] if abs(c) > 2 * h]
-    out = []
-    for c in cutoffs:
-        n = own.where(F.abs(F.col("x") - (c - cutoff)) <= h).count()
-        if n >= least_rows:
-            out.append({"cutoff": c} | sharp(rows, outcome, running, c, h=h))
+    moments, out = Moments(own, outcome, [c - cutoff for c in cutoffs], [h], 1), []
+    for k, c in enumerate(cutoffs):
+        if moments.rows_within(k, h) >= least_rows:
+            fit = moments.fit(k, h, 1, "triangular")
+            out.append({"cutoff": c} | _estimate(*fit.row("above"), fit.dof, alpha) | {"bandwidth": h, "n_total": fit.n, "r_squared": fit.r_squared})
     return out
 
 
@@ -101,8 +162,10 @@ def bins(rows: DataFrame, outcome: str, width: float, least: int = 3, z: float =
 
 def density_test(rows: DataFrame, width: float | None = None) -> dict:
     """The jump of the log density of x at 0 over two bins a side, with a normal p-value."""
-    r = rows.agg(F.count("x").alias("n"), F.percentile("x", [0.25, 0.75]).alias("q"), F.min("x").alias("low"), F.max("x").alias("high")).first()
-    width = width or 2 * (r.q[1] - r.q[0]) * r.n ** (-1 / 3)
+    r = rows.agg(F.count("x").alias("n")).first()
+    if not width:
+        low, high = ordering.quantiles(rows, "x", [0.25, 0.75])
+        width = 2 * (high - low) * r.n ** (-1 / 3)
     d = density_counts(rows, width).first()
     out = {"method": "binned", "bin_size": width, "density_left": d.n_left / (2 * width * r.n), "density_right": d.n_right / (2 * width * r.n), "test_statistic": None, "p_value": None, "log_density_jump": None}
     if d.n_left and d.n_right:

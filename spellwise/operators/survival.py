@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import columns as C
+from ..functions import ordering, stats
 
 Z95 = 1.959963984540054
 _EPS = 1e-9
@@ -56,20 +57,29 @@ def median_survival(table: DataFrame, group: str = "contract_type") -> DataFrame
     return groups.join(found, group, "left").select(group, median.alias("median_survival"), F.col("median_ci_lower").cast("double").alias("median_ci_lower"), F.col("median_ci_upper").cast("double").alias("median_ci_upper"))
 
 
+def _wanted(table: DataFrame, grid: DataFrame, group: str) -> DataFrame:
+    return table.select(group).distinct().join(grid.select("time"))  # groups x a short grid
+
+
 def survival_at(table: DataFrame, grid: DataFrame, group: str = "contract_type") -> DataFrame:
     """S at each time of grid(time): the step before or at it, 1 before the first."""
-    wanted = table.select(group).distinct().join(grid.select(F.col("time").alias("at")))  # groups x a short grid
-    steps = table.select(F.col(group).alias("g"), F.col("time").alias("t"), "survival_prob", "n_risk")
-    met = wanted.join(steps, (F.col(group) == F.col("g")) & (F.col("t") <= F.col("at")), "left")
-    return met.groupBy(group, F.col("at").alias("time")).agg(F.coalesce(F.max_by("survival_prob", "t"), F.lit(1.0)).alias("survival_prob"))
+    met = ordering.as_of(_wanted(table, grid, group), table, [group], "time", ["survival_prob"])
+    return met.select(group, "time", F.coalesce("survival_prob", F.lit(1.0)).alias("survival_prob"))
+
+
+def survival_as_of(rows: DataFrame, table: DataFrame, time: str = "survival_time", group: str = "contract_type") -> DataFrame:
+    """rows with survival_prob, S of their group at a time that need not be one of the table's: 1 before its first step, null for a null time or a group without a table.
+
+    No group meets its table pair by pair: both stand in one order (ordering.as_of).
+    """
+    known = table.select(group, F.col("time").cast("double").alias(time), "survival_prob")
+    first = table.select(group).distinct().select(group, F.lit(float("-inf")).alias(time), F.lit(1.0).alias("survival_prob"))
+    return ordering.as_of(rows.drop("survival_prob"), first.unionByName(known), [group], time, ["survival_prob"])
 
 
 def risk_table(table: DataFrame, grid: DataFrame, group: str = "contract_type") -> DataFrame:
     """Numbers at risk at each time of grid(time): those of the last row not after it."""
-    wanted = table.select(group).distinct().join(grid.select(F.col("time").alias("at")))
-    steps = table.select(F.col(group).alias("g"), F.col("time").alias("t"), "n_risk")
-    met = wanted.join(steps, (F.col(group) == F.col("g")) & (F.col("t") <= F.col("at")), "left")
-    return met.groupBy(group, F.col("at").alias("time")).agg(F.max_by("n_risk", "t").alias("n_risk"))
+    return ordering.as_of(_wanted(table, grid, group), table, [group], "time", ["n_risk"]).select(group, "time", "n_risk")
 
 
 def add_survival(rows: DataFrame, group: str = "contract_type") -> DataFrame:
@@ -78,7 +88,7 @@ def add_survival(rows: DataFrame, group: str = "contract_type") -> DataFrame:
     table = kaplan_meier(timed, group)
     medians = median_survival(table, group).withColumnRenamed("median_survival", "contract_type_median")
     own = table.select(group, F.col("time").alias("survival_time"), "survival_prob")
-    return timed.join(F.broadcast(medians), group, "left").join(own, [group, "survival_time"], "left")
+    return timed.join(medians, group, "left").join(own, [group, "survival_time"], "left")
 
 
 def logrank_components(rows: DataFrame, rho: float = 0.0, group: str = "contract_type") -> DataFrame:
@@ -138,12 +148,32 @@ def logrank_test(rows: DataFrame, rho: float = 0.0, group: str = "contract_type"
     return LogRank(rho, chi, k, stats.chi2_sf(chi, k))
 
 
+def pairwise_components(rows: DataFrame, group: str = "contract_type") -> DataFrame:
+    """group_a, group_b and the log-rank figures of each pair of groups on the pooled curve of both: observed and expected events of a, variance, chi-square.
+
+    One plan for all pairs: counts by group and time go to every pair of their group, numbers at risk are summed from the end of each
+    pair's times, and one aggregate gives the figures.  Pairs that are never at risk together have no chi-square.
+    """
+    counts = rows.where(F.col("survival_time").isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("own"), F.col("survival_time").alias("time")).agg(F.count("*").alias("m"), C.count_if(F.col("censored") == 0).alias("e"))
+    others = counts.select(F.col("own").alias("other")).distinct()  # a vocabulary
+    met = counts.join(others, F.col("own") != F.col("other"))
+    is_a = F.col("own") < F.col("other")
+    side = lambda c, yes: F.sum(F.when(is_a == yes, F.col(c)).otherwise(0))
+    pairs = met.groupBy(F.least("own", "other").alias("group_a"), F.greatest("own", "other").alias("group_b"), "time").agg(side("m", True).alias("ma"), side("m", False).alias("mb"), side("e", True).alias("ea"), F.sum("e").alias("d"))
+    down = Window.partitionBy("group_a", "group_b").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)  # distinct days
+    risk = pairs.withColumns({"na": F.sum("ma").over(down), "n": F.sum(F.col("ma") + F.col("mb")).over(down)}).where("d > 0")
+    d, n, p = F.col("d"), F.col("n"), F.col("na") / F.col("n")
+    out = risk.groupBy("group_a", "group_b").agg(F.sum("ea").alias("observed"), F.sum(d * p).alias("expected"), F.sum(F.when(n > 1, d * p * (1 - p) * (n - d) / (n - 1)).otherwise(0.0)).alias("variance"))
+    gap = F.col("observed") - F.col("expected")
+    return out.withColumn("chi_square", F.try_divide(gap * gap, F.when(F.col("variance") > 0, F.col("variance"))))
+
+
 def pairwise_logrank(rows: DataFrame, group: str = "contract_type") -> list[tuple[str, str, float]]:
     """p-values of each pair of groups, if there are more than two."""
-    names = sorted(r[0] for r in rows.select(group).distinct().collect())
-    if len(names) <= 2:
+    found = sorted((r.group_a, r.group_b, r.chi_square) for r in pairwise_components(rows, group).collect())  # a row a pair
+    if len({g for r in found for g in r[:2]}) <= 2:
         return []
-    return [(a, b, logrank_test(rows.where(F.col(group).isin(a, b)), 0.0, group).p_value) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return [(a, b, stats.chi2_sf(x or 0.0, 1)) for a, b, x in found]
 
 
 def comparison_groups(medians: DataFrame, most: int = 10, group: str = "contract_type") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..functions import ordering
+from ..functions import ordering, tables
 from . import network
 
 
@@ -43,18 +43,21 @@ def transitions(segments: DataFrame, variable: str = C.CONTRACT, chain: str = "l
     """
     rows = transition_rows(segments, variable, chain, min_days, max_days, statistics)
     aggregates = [F.count("*").alias("weight"), F.avg("durata").alias("transition_duration")]
-    modes, medians = [], []
+    modes, medians = [], {}
     for s in statistics:
         numeric = isinstance(segments.schema[s].dataType, T.NumericType)
         for side in ("from", "to"):
             if numeric:
-                times = F.greatest(F.lit(1), F.round(F.col(f"{side}_days"))).cast("long")
-                medians.append((f"{s}_{side}", times, f"{s}_{side}_median"))
+                medians[f"{s}_{side}"] = F.greatest(F.lit(1), F.round(F.col(f"{side}_days"))).cast("long")
             else:
                 modes.append((f"{s}_{side}", f"{s}_{side}_mode"))
+    if medians:
+        rows = tables.written(rows)
     out = rows.groupBy("from", "to").agg(*aggregates)
-    for value, times, name in medians:
-        out = out.join(ordering.weighted_medians(rows, ["from", "to"], value, times, name), ["from", "to"], "left")
+    if medians:
+        found = ordering.exact_quantiles(rows, list(medians), [0.5], ["from", "to"], medians)
+        wide = found.groupBy("from", "to").agg(*[F.max(F.when(F.col("variable") == v, F.col("quantiles")[0])).alias(f"{v}_median") for v in medians])
+        out = out.join(wide, ["from", "to"], "left")
     for value, name in modes:
         out = out.join(mode_of(rows, ["from", "to"], value, name), ["from", "to"], "left")
     return out

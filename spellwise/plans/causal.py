@@ -173,7 +173,34 @@ def _quality(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(q["treatment_retention_rate"], q["control_utilization_rate"], q["effective_sample_size"], q["quality_score"], q["rating"])], "treatment_retention_rate double, control_utilization_rate double, effective_sample_size long, quality_score double, rating string")
 
 
-add("match_quality", _quality)
+add(
+    "match_quality",
+    _quality,
+    f"""WITH {_MATCHED}, ra AS (SELECT *, row_number() OVER (PARTITION BY strata_id, is_treated ORDER BY cf) AS r FROM bo), k AS (SELECT count(*) FILTER (is_treated) AS mt, count(*) FILTER (NOT is_treated) AS mc FROM ra WHERE r <= least(n_treated, n_control)),
+    q AS (SELECT mt / count(*) FILTER (is_treated) AS a, mc / count(*) FILTER (NOT is_treated) AS b, mt + mc AS n FROM persons, k GROUP BY mt, mc), z AS (SELECT *, 0.3 * least(1, a) + 0.2 * least(1, b) + 0.25 AS s FROM q)
+    SELECT round(a, 6) AS treatment_retention_rate, round(b, 6) AS control_utilization_rate, n AS effective_sample_size, round(s, 6) AS quality_score, CASE WHEN s >= 0.8 THEN 'Excellent' WHEN s >= 0.6 THEN 'Good' WHEN s >= 0.4 THEN 'Fair' ELSE 'Poor' END AS rating FROM z""",
+)
+_LEVELS = f"""{_PERSONS}, lv AS (SELECT 'area' AS variable, area AS level, is_treated FROM persons UNION ALL SELECT 'nation', CAST(nation AS VARCHAR), is_treated FROM persons UNION ALL SELECT 'n_orders', CAST(n_orders AS VARCHAR), is_treated FROM persons),
+ls AS (SELECT variable, level, count(*) FILTER (is_treated) AS n_treated, count(*) FILTER (NOT is_treated) AS n_control FROM lv WHERE level IS NOT NULL GROUP BY variable, level)"""
+_LEVEL_VARIABLES = ["area", "nation", "n_orders"]
+add("level_sets", lambda s, d: M.level_sets(_persons(s, d), _LEVEL_VARIABLES), f"WITH {_LEVELS} SELECT *, CASE WHEN n_control = 0 THEN 'treated_only' WHEN n_treated = 0 THEN 'control_only' ELSE 'both' END AS side FROM ls")
+add(
+    "level_set_sizes",
+    lambda s, d: M.level_set_sizes(M.level_sets(_persons(s, d), _LEVEL_VARIABLES)),
+    f"""WITH {_LEVELS} SELECT variable, count(*) AS n_levels, count(*) FILTER (n_treated > 0) AS n_treated_levels, count(*) FILTER (n_control > 0) AS n_control_levels, count(*) FILTER (n_treated > 0 AND n_control > 0) AS n_shared,
+        count(*) FILTER (n_control = 0) AS n_treated_only, count(*) FILTER (n_treated = 0) AS n_control_only FROM ls GROUP BY variable""",
+)
+_wmean = lambda x, t: f"sum(n_orders * {x}) FILTER ({t}) / sum(n_orders) FILTER ({t})"
+_wside = lambda v, t: f"{_wmean(v, t)} AS m, {_wmean(f'{v} * {v}', t)} - ({_wmean(v, t)}) * ({_wmean(v, t)}) AS v"
+add(
+    "balance_weighted",
+    lambda s, d: M.balance(_persons(s, d), ["mean_price", "nation", "area"], weight="n_orders").select("variable", "variable_type", "treated_mean", "control_mean", "std_mean_diff", "var_ratio"),
+    f"WITH {_PERSONS}, "
+    + ", ".join(f"t_{v} AS (SELECT {_wside(v, 'is_treated')} FROM persons), c_{v} AS (SELECT {_wside(v, 'NOT is_treated')} FROM persons)" for v in ("mean_price", "nation"))
+    + ", sw AS (SELECT area, coalesce(sum(n_orders) FILTER (is_treated), 0) / (SELECT sum(n_orders) FROM persons WHERE is_treated) AS pt, coalesce(sum(n_orders) FILTER (NOT is_treated), 0) / (SELECT sum(n_orders) FROM persons WHERE NOT is_treated) AS pc FROM persons GROUP BY area) "
+    + " UNION ALL ".join(f"SELECT '{v}' AS variable, 'numeric' AS variable_type, round(t.m, 6) AS treated_mean, round(c.m, 6) AS control_mean, round((t.m - c.m) / sqrt((t.v + c.v) / 2), 6) AS std_mean_diff, round(t.v / c.v, 6) AS var_ratio FROM t_{v} t, c_{v} c" for v in ("mean_price", "nation"))
+    + " UNION ALL SELECT 'area', 'categorical', NULL, NULL, round(max(abs(pt - pc)), 6), NULL FROM sw",
+)
 
 
 # --- panels and estimates ------------------------------------------------------------------------------------------------
@@ -256,6 +283,31 @@ _EFFECTS = """ef AS (SELECT outcome, 'did' AS method, e AS treatment_effect, se
     SELECT c_mktsegment AS outcome, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice / 1000 END) - avg(CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice / 1000 END) AS e,
         sqrt(var_samp(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice / 1000 END) / count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END) + var_samp(CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice / 1000 END) / count(CASE WHEN o_orderpriority <> '1-URGENT' THEN 1 END)) AS se,
         count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1))"""
+
+
+def _study(s: SparkSession, d: str) -> DataFrame:
+    """A path of effects by market segment: the difference in mean order price between urgent and other orders of each year from 1995."""
+    rows = A.table(s, d, "orders").join(A.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    t, x = F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") / 1000
+    effect = F.avg(F.when(t, x)) - F.avg(F.when(~t, x))
+    error = F.sqrt(F.var_samp(F.when(t, x)) / F.count_if(t) + F.var_samp(F.when(~t, x)) / F.count_if(~t))
+    return rows.groupBy(F.col("c_mktsegment").alias("outcome"), (F.year("o_orderdate") - 1995).alias("event_time")).agg(effect.alias("coefficient"), error.alias("std_error"))
+
+
+def _study_effects(s: SparkSession, d: str) -> DataFrame:
+    return E.effects_of(s, study=[r.asDict() for r in _study(s, d).collect()])  # an outcome and event time a row
+
+
+_price = lambda u: f"CASE WHEN o_orderpriority {'=' if u else '<>'} '1-URGENT' THEN o_totalprice / 1000 END"
+_STUDY = f"""st AS (SELECT c_mktsegment AS outcome, year(CAST(o_orderdate AS DATE)) - 1995 AS event_time, avg({_price(1)}) - avg({_price(0)}) AS coefficient, sqrt(var_samp({_price(1)}) / count({_price(1)}) + var_samp({_price(0)}) / count({_price(0)})) AS std_error
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+ev AS (SELECT 'event_study_' || outcome AS effect_id, outcome, 'Event Study' AS method, avg(coefficient) AS treatment_effect, sqrt(avg(std_error * std_error)) AS std_error FROM st WHERE event_time > 0 GROUP BY outcome)"""
+add("event_study_pooled_effects", lambda s, d: _study_effects(s, d).drop("p_value", "n_obs"), f"WITH {_STUDY} SELECT effect_id, outcome, method, round(treatment_effect, 6) AS treatment_effect, round(std_error, 6) AS std_error FROM ev")
+add(
+    "pool_event_study",
+    lambda s, d: E.pool(_study_effects(s, d), "weighted_average").select("pooled_effect", "pooled_se", "n_effects", "methods_used", "total_weight"),
+    f"WITH {_STUDY} SELECT round(sum(treatment_effect / (std_error * std_error)) / sum(1 / (std_error * std_error)), 6) AS pooled_effect, round(sqrt(1 / sum(1 / (std_error * std_error))), 6) AS pooled_se, count(*) AS n_effects, 'Event Study' AS methods_used, round(sum(1 / (std_error * std_error)), 6) AS total_weight FROM ev",
+)
 for method, formula in {
     "bonferroni": "least(1, p_value * count(*) OVER ())",
     "holm": "least(1, max((count(*) OVER () - r + 1) * p_value) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING))",
@@ -314,11 +366,44 @@ def _table(s: SparkSession, rows: list[dict], columns: str) -> DataFrame:
 
 
 _EST = "estimate double, std_error double, t_statistic double, p_value double, ci_lower double, ci_upper double, bandwidth double"
+
+
+def _line_sql(h: str, kernel: str, centre: str = "0.0") -> str:
+    """The jump of two weighted lines, one a side, within h of a centre: with weights in the distance, from weighted sums."""
+    x = f"(x - ({centre}))"
+    w = {"triangular": f"greatest(0.0, 1 - abs({x}) / ({h}))", "rectangular": "1.0", "epanechnikov": f"greatest(0.0, 0.75 * (1 - ({x} / ({h})) * ({x} / ({h}))))"}[kernel]
+    end = lambda side: f"(SELECT (sum(w * x * x) * sum(w * y) - sum(w * x) * sum(w * x * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) FROM (SELECT {x} AS x, l_extendedprice / 1000 AS y, {w} AS w FROM x, h WHERE abs({x}) <= {h}) WHERE {side})"
+    return f"({end('x >= 0')} - {end('x < 0')})"
+
+
+_H = f"{_X}, h AS (SELECT 0.8 * 1.84 * stddev_samp(x) * pow(count(x), -0.2) AS h FROM x)"
+_thousands = lambda s, d: A.table(s, d, "lineitem").withColumn("l_extendedprice", F.col("l_extendedprice") / 1000)
+_EST4 = lambda df: df.withColumn("estimate", F.round("estimate", 4))
+add(
+    "rdd_grid",
+    lambda s, d: _EST4(_table(s, R.robustness(_thousands(s, d), "l_extendedprice", "l_quantity", 25.0, (1.0, 1.5, 2.0, 3.0), (1,)), "check string, value string, estimate double, bandwidth double")),
+    f"WITH {_H} "
+    + " UNION ALL ".join(
+        f"SELECT '{check}' AS \"check\", '{value}' AS value, round({_line_sql(f'h * {m}', kernel)}, 4) AS estimate, round(h * {m}, 6) AS bandwidth FROM h"
+        for check, value, kernel, m in [*[("bandwidth", m, "triangular", m) for m in (1.0, 1.5, 2.0, 3.0)], ("order", 1, "triangular", 1.0), *[("kernel", k, k, 1.0) for k in R.KERNELS]]
+    ),
+)
+add(
+    "rdd_placebo_grid",
+    lambda s, d: _EST4(_table(s, R.placebo(_thousands(s, d), "l_extendedprice", "l_quantity", 25.0, [12.0, 15.0, 35.0, 40.0]), "cutoff double, estimate double, bandwidth double")),
+    f"WITH {_H} " + " UNION ALL ".join(f"SELECT CAST({c} AS DOUBLE) AS cutoff, round({_line_sql('h', 'triangular', f'{c - 25.0}')}, 4) AS estimate, round(h, 6) AS bandwidth FROM h" for c in (12.0, 15.0, 35.0, 40.0)),
+)
 add("rdd_estimate", lambda s, d: _table(s, [R.sharp(A.table(s, d, "lineitem"), "l_extendedprice", "l_quantity", 25.0)], _EST))
 add("rdd_fuzzy", lambda s, d: _table(s, [R.fuzzy(A.table(s, d, "lineitem").withColumn("t", ((F.col("l_quantity") >= 25) & (F.col("l_orderkey") % 4 > 0)).cast("int")), "l_extendedprice", "t", "l_quantity", 25.0)], _EST))
 add("rdd_robustness", lambda s, d: _table(s, R.robustness(A.table(s, d, "lineitem"), "l_extendedprice", "l_quantity", 25.0, (0.75, 1.25), (1, 2)), f"check string, value string, {_EST}"))
 add("rdd_placebo", lambda s, d: _table(s, R.placebo(A.table(s, d, "lineitem"), "l_extendedprice", "l_quantity", 25.0, [15.0, 35.0]), f"cutoff double, {_EST}"))
 add("rdd_density_test", lambda s, d: _table(s, [R.density_test(_lines(s, d))], "method string, bin_size double, density_left double, density_right double, test_statistic double, p_value double, log_density_jump double"))
+add(
+    "rdd_density_jump",
+    lambda s, d: _table(s, [R.density_test(_lines(s, d))], "bin_size double, density_left double, density_right double, log_density_jump double, test_statistic double"),
+    f"""WITH {_X}, b AS (SELECT 2 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) * pow(count(x), -1.0 / 3) AS w, count(x) AS n FROM x), k AS (SELECT w, n, count(*) FILTER (x < 0 AND x >= -2 * w) AS l, count(*) FILTER (x >= 0 AND x <= 2 * w) AS r FROM x, b GROUP BY w, n)
+    SELECT round(w, 6) AS bin_size, round(l / (2 * w * n), 6) AS density_left, round(r / (2 * w * n), 6) AS density_right, round(ln(r / l), 6) AS log_density_jump, round(ln(r / l) / sqrt(1 / l + 1 / r), 6) AS test_statistic FROM k""",
+)
 add("imputed_means", lambda s, d: M.impute(A.segments(s, d).select("cf", "prior", "retribuzione", "stato"), ["prior"], "median").groupBy("stato").agg(F.avg("prior").alias("mean_prior"), F.count("prior").alias("n")),
     f"WITH {SEGMENTS}, m AS (SELECT median(prior) AS m FROM segments) SELECT stato, round(avg(coalesce(CAST(prior AS DOUBLE), m)), 6) AS mean_prior, count(*) AS n FROM segments, m GROUP BY stato")
 add("missing_correlation", lambda s, d: M.missing_correlation(A.segments(s, d), ["retribuzione", "prior"]),

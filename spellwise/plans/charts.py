@@ -9,7 +9,8 @@ from ..operators import transitions as T
 from ..sources import adapters as A
 from ..sources import generate as G
 from .base_sql import EDGES, SEGMENTS
-from .registry import add
+from .metrics import _success_sql
+from .registry import add, rounded
 
 _edges = lambda s, d: T.transitions(A.segments(s, d))
 _DEGREES = """dg AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(iw) AS BIGINT) AS in_strength, CAST(sum(ow) AS BIGINT) AS out_strength FROM (
@@ -25,12 +26,25 @@ add(
     f"""WITH {EDGES}, o AS (SELECT (SELECT count(*) FROM (SELECT "from" FROM edges UNION SELECT "to" FROM edges)) AS n_nodes, count(*) AS n_edges, CAST(sum(weight) AS BIGINT) AS total_weight, round(avg(weight), 6) AS mean_weight, round(median(weight), 6) AS median_weight, max(weight) AS max_weight FROM edges)
     SELECT *, round(n_edges / (n_nodes * (n_nodes - 1)), 6) AS density FROM o""",
 )
-add(
-    "similarity_edges",
-    lambda s, d: N.similarity_edges(A.segments(s, d)),
-    f"""WITH {SEGMENTS}, sc AS (SELECT over_id, round(avg(arco) * ln(1 + avg(durata)), 6) AS score FROM segments WHERE over_id > 0 GROUP BY over_id)
-    SELECT a.over_id AS a, b.over_id AS b, round(1 / (1 + abs(a.score - b.score)), 6) AS similarity FROM sc a JOIN sc b ON a.over_id < b.over_id AND 1 / (1 + abs(a.score - b.score)) > 0.3""",
-)
+_NODES = """nd AS (SELECT cf, over_id, count(*) AS period_count, CAST(sum(durata) AS BIGINT) AS total_duration, count(*) FILTER (arco > 1) AS overlap_periods, count(DISTINCT cf) AS cf_count, avg(arco) AS mean_arco FROM segments WHERE over_id > 0 GROUP BY cf, over_id)"""
+_SCORES = {"overlap_count": "overlap_periods + period_count", "duration_sum": "total_duration / 30", "period_count": "period_count"}
+for metric, score in _SCORES.items():
+    add(
+        f"complexity_nodes_{metric}",
+        lambda s, d, metric=metric: N.complexity_nodes(A.segments(s, d), metric),
+        f"WITH {SEGMENTS}, {_NODES} SELECT cf, over_id, period_count, total_duration, overlap_periods, cf_count, round(mean_arco, 6) AS mean_arco, round({score}, 6) AS complexity_score FROM nd WHERE {score} > 0",
+    )
+
+
+def _similar_sql(metric: str, neighbours: int = 5, least: float = 0.3) -> str:
+    """Each node against the next ones in the order of scores, by their numbers."""
+    return f"""WITH {SEGMENTS}, {_NODES}, pl AS (SELECT cf, over_id, CAST({_SCORES[metric]} AS DOUBLE) AS score, row_number() OVER (ORDER BY {_SCORES[metric]}, cf, over_id) AS r FROM nd WHERE {_SCORES[metric]} > 0)
+    SELECT a.cf AS from_cf, a.over_id AS from_over_id, b.cf AS to_cf, b.over_id AS to_over_id, round(1 / (1 + abs(a.score - b.score)), 6) AS weight
+    FROM (SELECT *, unnest(range(1, {neighbours + 1})) AS k FROM pl) a JOIN pl b ON b.r = a.r + a.k WHERE 1 / (1 + abs(a.score - b.score)) > {least}"""
+
+
+add("complexity_network", lambda s, d: N.similarity_edges(N.complexity_nodes(A.segments(s, d))), _similar_sql("overlap_count"))
+add("similarity_edges", lambda s, d: N.similarity_edges(N.complexity_nodes(A.segments(s, d), "duration_sum")), _similar_sql("duration_sum"))
 add("timeline", lambda s, d: P.timeline(A.segments(s, d)), f"WITH {SEGMENTS}, p AS (SELECT cf, CAST(row_number() OVER (ORDER BY cf) AS INTEGER) AS y FROM (SELECT DISTINCT cf FROM segments) ORDER BY cf LIMIT 20) SELECT cf, y, inizio, fine, stato, durata FROM segments JOIN p USING (cf)")
 _month = "CAST(date_trunc('month', inizio) AS DATE)"
 _year = "CAST(date_trunc('year', inizio) AS DATE)"
@@ -45,10 +59,30 @@ add("status_heatmap", lambda s, d: P.status_heatmap(A.segments(s, d)), f"WITH {S
 add("overlap_heatmap", lambda s, d: P.overlap_heatmap(A.segments(s, d)), f"WITH {SEGMENTS} SELECT cf, {_month} AS month, CAST(least(max(arco), 5) AS INTEGER) AS jobs FROM segments WHERE arco >= 2 GROUP BY 1, 2")
 add("kpi_summary", lambda s, d: P.kpis(A.segments(s, d)), f"WITH {SEGMENTS} SELECT count(DISTINCT cf) AS n_persons, count(*) AS n_segments, round(100 * sum(CASE WHEN arco >= 1 THEN durata END) / sum(durata), 6) AS employment_rate_pct, round(avg(durata), 6) AS mean_duration, round(100 * count(CASE WHEN arco > 1 THEN 1 END) / count(CASE WHEN arco >= 1 THEN 1 END), 6) AS overlap_pct FROM segments")
 add("monthly_kpi", lambda s, d: P.monthly_rates(A.segments(s, d)), f"WITH {SEGMENTS} SELECT {_month} AS month, count(DISTINCT cf) AS n_persons, round(avg(CASE WHEN arco >= 1 THEN 1.0 ELSE 0.0 END), 6) AS employment_rate FROM segments GROUP BY 1")
-add("over_id_summary", lambda s, d: P.over_id_summary(A.segments(s, d)), f"WITH {SEGMENTS} SELECT over_id, count(*) AS n, CAST(sum(durata) AS BIGINT) AS total_days, round(avg(durata), 6) AS mean_days, count(DISTINCT cf) AS persons, CAST(quantile_cont(durata, 0.25) AS DOUBLE) AS q25, CAST(median(durata) AS DOUBLE) AS median, CAST(quantile_cont(durata, 0.75) AS DOUBLE) AS q75 FROM segments WHERE over_id > 0 GROUP BY over_id")
+add("over_id_summary", lambda s, d: P.over_id_summary(A.segments(s, d)), f"WITH {SEGMENTS} SELECT cf, over_id, count(*) AS n, CAST(sum(durata) AS BIGINT) AS total_days, round(avg(durata), 6) AS mean_days, max(arco) AS most_jobs, CAST(quantile_cont(durata, 0.25) AS DOUBLE) AS q25, CAST(median(durata) AS DOUBLE) AS median, CAST(quantile_cont(durata, 0.75) AS DOUBLE) AS q75 FROM segments WHERE over_id > 0 GROUP BY cf, over_id")
 add("gantt", lambda s, d: P.gantt(A.segments(s, d)), f"""WITH {SEGMENTS} SELECT cf, inizio, fine, stato, inizio + CAST(floor(durata / 2) AS INTEGER) AS middle, CASE WHEN durata < 60 THEN durata || 'd' WHEN durata < 730 THEN CAST(CAST(round(durata / 30.44, 0) AS INTEGER) AS VARCHAR) || 'm' ELSE CAST(round(durata / 365.25, 1) AS VARCHAR) || 'y' END AS label FROM segments""")
+add(
+    "gantt_milestones",
+    lambda s, d: P.milestones(A.segments(s, d)),
+    f"""WITH {SEGMENTS}, tp AS (SELECT cf, CAST(row_number() OVER (ORDER BY sum(durata) DESC, cf) AS INTEGER) AS y FROM segments GROUP BY cf ORDER BY y LIMIT 10),
+    mk AS (SELECT cf, inizio AS date, 0 AS late FROM segments UNION ALL SELECT cf, fine, 1 FROM segments)
+    SELECT cf, y, date, CASE WHEN min(late) = 0 THEN 'start' ELSE 'end' END AS type FROM mk JOIN tp USING (cf) GROUP BY cf, y, date""",
+)
+add(
+    "career_events",
+    lambda s, d: P.career_events(A.segments(s, d)),
+    f"""WITH {SEGMENTS}, jb AS (SELECT cf, inizio, fine, ct, lag(ct) OVER (PARTITION BY cf ORDER BY inizio, fine) AS before FROM segments WHERE arco > 0 AND ct IS NOT NULL),
+    ch AS (SELECT cf, count(*) FILTER (before IS NOT NULL AND before <> ct) AS n FROM jb GROUP BY cf), gp AS (SELECT cf, arg_max(inizio, (durata, DATE '2100-01-01' - inizio)) AS b, max(durata) AS m FROM segments WHERE arco = 0 GROUP BY cf)
+    SELECT s.cf, min(inizio) FILTER (arco > 0) AS first_job, coalesce(any_value(n), 0) AS contract_changes, any_value(b) AS longest_gap_start, any_value(m) AS longest_gap_days, CAST(sum(durata) AS BIGINT) AS total_days
+    FROM segments s LEFT JOIN ch USING (cf) LEFT JOIN gp USING (cf) GROUP BY s.cf HAVING min(inizio) FILTER (arco > 0) IS NOT NULL""",
+)
 add("top_nodes", lambda s, d: N.top_nodes(_edges(s, d)), f"WITH {EDGES}, ed AS (SELECT * FROM edges), {_DEGREES} SELECT node, in_strength + out_strength AS value, round((in_strength + out_strength) / sum(in_strength + out_strength) OVER (), 6) AS share FROM dg ORDER BY value DESC, node LIMIT 5")
-add("person_order", lambda s, d: P.person_order(R.success(A.segments(s, d)), "career_success_index", ["contract_quality_score", "career_stability_score"]))
+add(
+    "person_order",
+    lambda s, d: P.person_order(rounded(R.success(A.segments(s, d))), "career_success_index", ["contract_quality_score", "career_stability_score"]),
+    f"""WITH {SEGMENTS}, {_success_sql("segments", "cf")}, pl AS (SELECT *, CAST(row_number() OVER (ORDER BY career_success_index DESC NULLS LAST, cf) AS INTEGER) AS y FROM success)
+    SELECT cf, y, 'contract_quality_score' AS metric_name, contract_quality_score AS metric_value FROM pl UNION ALL SELECT cf, y, 'career_stability_score', career_stability_score FROM pl""",
+)
 
 
 def _paths(s, d):

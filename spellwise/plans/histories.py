@@ -71,6 +71,10 @@ for how, part in {"none": None, "row": 'PARTITION BY "from"', "column": 'PARTITI
     add(f"transition_matrix_{how}", lambda s, d, how=how: T.transition_matrix(_edges(s, d), how), f'{_GRID} SELECT "from", "to", round({value}, 6) AS value FROM grid')
 
 
+_STATES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+add("transition_matrix_wide", lambda s, d: T.pivoted(T.transition_matrix(_edges(s, d), "row")), f"""{_GRID}, sh AS (SELECT "from", "to", coalesce(v / nullif(sum(v) OVER (PARTITION BY "from"), 0), 0) AS p FROM grid) SELECT "from", {", ".join(f"round(sum(p) FILTER (\"to\" = '{c}'), 6) AS \"{c}\"" for c in _STATES)} FROM sh GROUP BY "from" """)
+
+
 def _statistics(edges: str, name: str) -> str:
     return f"""{name}_one AS (
         SELECT (SELECT count(*) FROM (SELECT "from" FROM {edges} UNION SELECT "to" FROM {edges})) AS n, coalesce(sum(weight), 0) AS total, count(*) AS nz,

@@ -63,6 +63,31 @@ add(
     lambda s, d: V.risk_table(_km(s, d), _grid(s)),
     f"{_KM}, {_AT} SELECT w.g AS contract_type, x AS time, arg_max(n, time) AS n_risk FROM wanted w LEFT JOIN km ON km.g = w.g AND time <= x GROUP BY w.g, x",
 )
+_CUTS = ("1994-06-30", "1996-06-30", "1998-12-31")
+
+
+def _elapsed(s, d):
+    """Contracts begun by a cut date, with the days elapsed until then."""
+    cuts = F.explode(F.array(*[F.lit(c).cast("date") for c in _CUTS]))
+    rows = A.contracts(s, d).select("id", "contract_type", "inizio", cuts.alias("cut_date")).where("cut_date >= inizio")
+    return rows.select("id", "contract_type", "cut_date", (F.datediff("cut_date", "inizio") + 1).alias("survival_time"))
+
+
+add(
+    "survival_asof",
+    lambda s, d: V.survival_as_of(_elapsed(s, d), _km(s, d)).select("id", "cut_date", "survival_time", "survival_prob"),
+    f"""{_KM}, cuts(c) AS (VALUES {", ".join(f"(DATE '{c}')" for c in _CUTS)}), el AS (SELECT id, contract_type, c AS cut_date, CAST(c - inizio + 1 AS INTEGER) AS survival_time FROM contracts CROSS JOIN cuts WHERE c >= inizio)
+    SELECT id, cut_date, survival_time, round(coalesce(s, 1.0), 6) AS survival_prob FROM el ASOF LEFT JOIN km ON km.g = contract_type AND survival_time >= time""",
+)
+add(
+    "logrank_pairs",
+    lambda s, d: V.pairwise_components(_timed(s, d)),
+    f"""{_KM}, gs AS (SELECT DISTINCT g FROM km_m), pr AS (SELECT least(m.g, gs.g) AS a, greatest(m.g, gs.g) AS b, time, CAST(sum(CASE WHEN m.g < gs.g THEN m ELSE 0 END) AS BIGINT) AS ma, CAST(sum(m) AS BIGINT) AS m, CAST(sum(CASE WHEN m.g < gs.g THEN d ELSE 0 END) AS BIGINT) AS ea, CAST(sum(d) AS BIGINT) AS d
+        FROM km_m m JOIN gs ON gs.g <> m.g GROUP BY 1, 2, 3),
+    rk AS (SELECT *, sum(ma) OVER w AS na, sum(m) OVER w AS n FROM pr WINDOW w AS (PARTITION BY a, b ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
+    sm AS (SELECT a, b, CAST(sum(ea) AS BIGINT) AS o, sum(d * na / n) AS e, sum(CASE WHEN n > 1 THEN d * (na / n) * (1 - na / n) * (n - d) / (n - 1) ELSE 0 END) AS v FROM rk WHERE d > 0 GROUP BY a, b)
+    SELECT a AS group_a, b AS group_b, o AS observed, round(e, 6) AS expected, round(v, 6) AS variance, round((o - e) * (o - e) / nullif(v, 0), 6) AS chi_square FROM sm""",
+)
 for rho in (0, 1):
     add(
         f"logrank_components_rho{rho}",
@@ -145,7 +170,7 @@ def _complexity_sql(source: str, keys: str) -> str:
     ch AS (SELECT {keys}, CASE WHEN count(*) > 1 THEN sum(-p * ln(p + 1e-10)) ELSE 0 END AS h FROM cp GROUP BY {keys}),
     cs AS (SELECT {keys}, CAST(coalesce(max(CASE WHEN over_id > 0 THEN arco END), 0) AS DOUBLE) AS mx, coalesce(avg(CASE WHEN over_id > 0 THEN arco END), 0) AS av, CAST(coalesce(sum(CASE WHEN over_id > 0 AND arco > 1 THEN durata END), 0) AS DOUBLE) AS conc,
         CAST(coalesce(sum(CASE WHEN over_id > 0 THEN durata END), 0) AS DOUBLE) AS days, sum(flip) AS flips, sum(durata) AS ad, count(CASE WHEN over_id > 0 THEN 1 END) AS jobs FROM cl GROUP BY {keys}),
-    cx AS (SELECT a.*, coalesce(h, 0) AS h, coalesce(conc / nullif(days, 0), 0) AS rate, coalesce(least(1, flips / greatest(1, ad / 365.25) / 4), 0) AS fr FROM cs a LEFT JOIN ch b ON {on}),
+    cx AS (SELECT a.*, coalesce(h, 0) AS h, coalesce(conc / nullif(days, 0), 0) AS rate, CASE WHEN flips IS NULL THEN 0 ELSE least(1, flips / greatest(1, ad / 365.25) / 4) END AS fr FROM cs a LEFT JOIN ch b ON {on}),
     complexity AS (SELECT {keys}, mx AS max_concurrent_jobs, round(av, 6) AS avg_concurrent_jobs, conc AS concurrent_employment_days, days AS total_employment_days, round(rate, 6) AS concurrent_employment_rate, round(h, 6) AS employment_diversity_index,
         round(CASE WHEN jobs = 0 THEN 0 ELSE fr END, 6) AS career_fragmentation_index,
         round(CASE WHEN jobs = 0 THEN 0 ELSE sqrt(least(1, 0.25 * least(1, sqrt(greatest(0, mx - 1))) + 0.25 / (1 + exp(-15 * (rate - 0.05))) + 0.3 * (1 - exp(-3 * h)) + 0.2 * least(1, pow(fr, 0.7)))) END, 6) AS career_complexity_index FROM cx)"""
@@ -168,6 +193,18 @@ add("career_comprehensive_wide", lambda s, d: R.comprehensive(A.segments(s, d)).
     SELECT cf, career_success_index, total_transitions, employment_rate, career_complexity_index FROM complexity LEFT JOIN stability USING (cf) LEFT JOIN moves USING (cf) LEFT JOIN success USING (cf)""")
 
 
+def _unified_sql(source: str, keys: str) -> str:
+    return f"""u7 AS (SELECT * FROM {source} WHERE over_id > 0 AND durata >= 7), {_success_sql("u7", keys)}, {_stability_sql("u7", keys)}, {_complexity_sql("u7", keys)}
+    SELECT {keys}, su.* EXCLUDE ({keys}), employment_rate, CAST(max_employment_spell AS DOUBLE) AS max_employment_spell, job_turnover_rate,
+        round(least(1, 0.4 + 0.3 * least(1, max_employment_spell / 365) + 0.15 + 0.1 * least(1, max_employment_spell / 90)), 6) AS employment_stability_index,
+        max_concurrent_jobs, avg_concurrent_jobs, concurrent_employment_days, concurrent_employment_rate, employment_diversity_index, career_fragmentation_index, career_complexity_index
+    FROM success su JOIN stability USING ({keys}) JOIN complexity USING ({keys})"""
+
+
+add("career_unified", lambda s, d: R.unified(A.segments(s, d)), f"WITH {SEGMENTS}, {_unified_sql('segments', 'cf')}")
+add("career_unified_by_period", lambda s, d: R.unified(A.period_segments(s, d), "period"), f"WITH {PERIODS}, {_unified_sql('periods', 'cf, period')}")
+
+
 # --- period metrics ----------------------------------------------------------------------------------------------------
 _PERM, _TEMP, _INTERN = ["1-URGENT", "2-HIGH"], ["4-NOT SPECIFIED", "5-LOW"], ["3-MEDIUM"]
 _in = lambda codes: "ct IN (" + ", ".join(f"'{c}'" for c in codes) + ")"

@@ -191,6 +191,26 @@ def test_writers(spark, tmp_path):
     assert "| y |" in writers.report({"Effects": table}, str(tmp_path / "r.md"), "Report")
 
 
+def test_bundles(spark, tmp_path):
+    import shutil
+
+    folder = str(tmp_path / "b")
+    tables = {"a": spark.range(50).withColumn("t", F.lit(None).cast("string")), "b": spark.range(0).withColumn("x", F.lit(1.5))}
+    writers.write_bundle(tables, folder, {"model": "did", "alpha": 0.05})
+    found, metadata = writers.read_bundle(spark, folder)
+    assert metadata == {"model": "did", "alpha": 0.05} and found["a"].exceptAll(tables["a"]).count() == 0 and found["a"].count() == 50 and found["b"].count() == 0
+    with pytest.raises(ValueError, match="holds a bundle"):
+        writers.write_bundle(tables, folder)
+    spark.range(49).withColumn("t", F.lit(None).cast("string")).write.mode("overwrite").parquet(f"{folder}/a")
+    with pytest.raises(ValueError, match="not as its manifest"):
+        writers.read_bundle(spark, folder)
+    half = str(tmp_path / "half")
+    writers.write_bundle(tables, half)
+    shutil.rmtree(f"{half}/manifest.json")
+    with pytest.raises(ValueError, match="no manifest"):
+        writers.read_bundle(spark, half)
+
+
 def test_colors():
     assert plotdata.contrast("#000000", "#FFFFFF") == pytest.approx(21)
     assert plotdata.status_colors(["occ_ft", "other"])["other"] == "#757575"
@@ -302,15 +322,20 @@ def test_rdd_equals_a_weighted_regression(spark):
 
 
 def brute_match(scores, caliper, ratio=1, replace=False):
-    free, out = {i: s for i, s, t in scores if not t}, []
-    for who, score, _ in sorted((r for r in scores if r[2]), key=lambda r: (-r[1], r[0])):
-        for _ in range(1 if replace else ratio):
-            best = min(free, key=lambda c: (abs(free[c] - score), free[c], c), default=None)
-            if best is None or caliper is not None and abs(free[best] - score) > caliper:
-                break
-            out.append((who, best))
-            if not replace:
-                del free[best]
+    """The nearest pair of all that are free, again and again; of equals the one with fewer persons between, then the first."""
+    places = {who: k for k, (_, who) in enumerate(sorted((s, i) for i, s, _ in scores))}
+    room = {i: ratio if t else 1 for i, _, t in scores}
+    pairs = sorted((abs(s - q), abs(places[i] - places[j]), min(places[i], places[j]), i, j) for i, s, t in scores if t for j, q, u in scores if not u if caliper is None or abs(s - q) <= caliper)
+    if replace:
+        value, out = {i: s for i, s, _ in scores}, {}
+        for d, _, _, i, j in sorted(pairs, key=lambda p: (p[3], p[0], value[p[4]], p[4])):
+            out.setdefault(i, j)
+        return sorted(out.items())
+    out = []
+    for _, _, _, i, j in pairs:
+        if room[i] and room[j]:
+            room[i], room[j] = room[i] - 1, room[j] - 1
+            out.append((i, j))
     return sorted(out)
 
 
@@ -324,8 +349,8 @@ def made_persons(spark):
 
 
 @pytest.mark.parametrize("options", [{}, {"caliper": None}, {"ratio": 2}, {"replace": True}, {"exact": ["area"]}, {"trim": True}])
-def test_propensity_match_is_greedy(spark, options):
-    """The scores are at the optimum of the likelihood, and the pairs are those of a plain greedy pass."""
+def test_propensity_match_takes_the_nearest_first(spark, options):
+    """The scores are at the optimum of the likelihood, and the pairs are those of brute force."""
     df = made_persons(spark)
     match = matching.propensity_match(df, ["x"], **options)
     all_scores = matching.propensity_scores(df, ["x"]).collect()
@@ -340,14 +365,23 @@ def test_propensity_match_is_greedy(spark, options):
     assert sorted((r.treated_id, r.control_id) for r in match.pairs.collect()) == sorted(want)
 
 
-def test_propensity_match_in_bands(spark, monkeypatch):
-    """Beyond one band, persons left at the edges are matched in later rounds; nobody serves twice."""
-    df = made_persons(spark)
-    whole = matching.propensity_match(df, ["x"]).pairs.count()
-    monkeypatch.setattr(matching, "BAND", 40)
-    pairs = matching.propensity_match(df, ["x"]).pairs.collect()
-    assert len({r.treated_id for r in pairs}) == len({r.control_id for r in pairs}) == len(pairs) >= 0.95 * whole
-    gaps = df.withColumn("x", F.when(F.col("cf") % 10 == 0, None).otherwise(F.col("x")))
+@pytest.mark.parametrize(("block", "options"), [(16, {}), (90, {"ratio": 2}), (40, {"exact": ["area"]})])
+def test_pairs_do_not_depend_on_blocks(spark, monkeypatch, block, options):
+    """Many cuts through dense scores, ties and sparse controls give the pairs of brute force."""
+    rnd = np.random.default_rng(block)
+    rows = [(i, float(np.round(rnd.normal(), 2)), int(rnd.random() < (0.5 if i % 3 else 0.05)), "ab"[i % 2]) for i in range(120)] + [(1000 + i, 9.0, i % 2, "a") for i in range(30)] + [(2000 + i, 12 + i / 1000, int(i == 49), "a") for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, s double, treated int, e0 string").repartition(3)
+    monkeypatch.setattr(matching, "BLOCK", block)
+    keys, ratio = ["e0"] if "exact" in options else [], options.get("ratio", 1)
+    got = matching._pairs_nearest_first(df, keys, 0.3, ratio)
+    want = []
+    for area in sorted({r[3] for r in rows}) if keys else [None]:
+        want += brute_match([r[:3] for r in rows if area in (None, r[3])], 0.3, ratio)
+    assert sorted((r.treated_id, r.control_id) for r in got.collect()) == sorted(want)
+
+
+def test_propensity_match_and_missing_values(spark):
+    gaps = made_persons(spark).withColumn("x", F.when(F.col("cf") % 10 == 0, None).otherwise(F.col("x")))
     for how in ("mean_impute", "missing_indicator"):
         assert matching.propensity_match(gaps, ["x"], missing=how).scores.count() == 300
     assert matching.propensity_match(gaps, ["x"]).scores.count() == 270
@@ -370,10 +404,96 @@ def test_orders_in_parts(spark, monkeypatch):
     assert [r.k for r in numbers] == list(range(1, 2001))
     for parts in (256, 3):
         monkeypatch.setattr(ordering, "PARTS", parts)
-        medians = {r.g: r.m for r in ordering.weighted_medians(df, ["g"], "x", F.col("w"), "m").collect()}
-        assert medians == {g: float(np.median(np.repeat([r[1] for r in rows if r[3] == g and r[1] is not None], [r[2] for r in rows if r[3] == g and r[1] is not None]))) for g in "ab"}
-        counts = df.where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n"))
-        assert ordering.quantiles(counts, "x", "n", [0, 0.13, 0.5, 1]) == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], [0, 0.13, 0.5, 1]))
+        found = ordering.exact_quantiles(df, ["x", "w"], [0.5, 0.13], ["g"], {"x": F.col("w")}).collect()
+        assert len(found) == 4
+        for r in found:
+            own = [q for q in rows if q[3] == r.g]
+            values = np.repeat([q[1] for q in own if q[1] is not None], [q[2] for q in own if q[1] is not None]) if r.variable == "x" else [q[2] for q in own]
+            assert r.quantiles == pytest.approx(np.quantile(values, [0.5, 0.13]))
+        assert ordering.quantiles(df, "x", [0, 0.13, 0.5, 1]) == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], [0, 0.13, 0.5, 1]))
+    assert ordering.exact_quantiles(df.where("x IS NULL"), ["x"], [0.5]).count() == 0
+
+
+def test_parts_are_even(spark):
+    """Three distinct values, or an outlier, leave no part with much more than its share."""
+    from spellwise.functions import ordering
+
+    df = spark.range(40_000).withColumns({"three": (F.col("id") % 3).cast("double"), "far": F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") / 7)})
+    for x in ("three", "far"):
+        sizes = [r["count"] for r in ordering._parted(df, [F.col(x), F.col("id")]).groupBy("__part").count().collect()]
+        assert len(sizes) > 200 and max(sizes) < 4 * 40_000 / ordering.PARTS
+    many_nulls = df.withColumn("x", F.when(F.col("id") % 2 == 0, F.col("far")))
+    sizes = [r["count"] for r in ordering._parted(many_nulls, [F.col("x"), F.col("id")]).groupBy("__part").count().collect()]
+    assert max(sizes) < 4 * 40_000 / ordering.PARTS
+    upto = ordering.running_sums(df.withColumn("one", F.lit(1).cast("long")), "three", ["one"], ties="id")
+    assert [r.id for r in upto.orderBy("one_upto").collect()] == sorted(range(40_000), key=lambda i: (i % 3, i))
+
+
+@pytest.mark.parametrize("parts", [256, 4])
+def test_as_of_against_brute_force(spark, monkeypatch, parts):
+    from spellwise.functions import ordering
+
+    monkeypatch.setattr(ordering, "PARTS", parts)
+    rnd = np.random.default_rng(3)
+    left = [(i, "b" if i % 3 else "a" if i % 2 else None, float(rnd.integers(0, 40)) if i % 11 else None) for i in range(400)] + [(1000 + i, "b", 7.0) for i in range(500)]
+    right = [("ab"[k % 2] if k % 5 else None, float(rnd.integers(3, 45)) if k % 7 else None, float(k)) for k in range(60)]
+    a = spark.createDataFrame(left, "id long, g string, t double").repartition(4)
+    b = spark.createDataFrame(right, "g string, t double, v double")
+    got = {r.id: r.v for r in ordering.as_of(a, b, ["g"], "t", ["v"]).collect()}
+    for i, g, t in left:
+        best = max(((q, v) for h, q, v in right if h == g and q is not None and t is not None and q <= t), default=None)
+        assert got[i] == (best[1] if best else None), i
+    assert len(got) == len(left)
+    plan = ordering.as_of(a, b, ["g"], "t", ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def jobs_of(spark, work):
+    """Spark jobs that something starts."""
+    group = f"count-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_pairs_and_grids_take_few_jobs(spark):
+    """The number of jobs does not grow with groups, bandwidths or cutoffs."""
+    rnd = np.random.default_rng(12)
+    rows = lambda k: spark.createDataFrame([(f"g{i % k}", int(rnd.integers(1, 30)), int(rnd.random() < 0.2)) for i in range(400)], "contract_type string, survival_time int, censored int")
+    few, many = (jobs_of(spark, lambda df=rows(k): survival.pairwise_logrank(df)) for k in (3, 9))
+    assert many <= few + 1
+    df = spark.createDataFrame([(float(a), float(a + rnd.normal())) for a in rnd.uniform(-1, 1, 500)], "x double, y double")
+    few, many = (jobs_of(spark, lambda m=m: rdd.robustness(df, "y", "x", 0.0, m, (1,), ("triangular",))) for m in ((1.0,), (0.3, 0.5, 0.8, 1.0, 1.3, 1.6)))
+    assert many <= few + 1
+
+
+def test_grids_equal_single_fits(spark):
+    rnd = np.random.default_rng(8)
+    x = np.round(rnd.uniform(-1, 1, 900), 2)
+    df = spark.createDataFrame([(float(a), float(1 + a + a * a + (a >= 0) + rnd.normal() * 0.3)) for a in x] + [(None, 1.0), (0.1, None)], "x double, y double")
+    for r in rdd.robustness(df, "y", "x", 0.0, (0.5, 1.25), (2, 3), ("rectangular", "epanechnikov")):
+        order = int(r["value"]) if r["check"] == "order" else 1
+        one = rdd.sharp(df, "y", "x", 0.0, order, r["value"] if r["check"] == "kernel" else "triangular", r["bandwidth"])
+        for c in ("estimate", "std_error", "p_value", "n_total", "r_squared"):
+            assert r[c] == pytest.approx(one[c], rel=1e-6, abs=1e-9), (r["check"], r["value"], c)
+    for r in rdd.placebo(df, "y", "x", 0.0, [-0.5, 0.6]):
+        one = rdd.sharp(df, "y", "x", r["cutoff"], h=r["bandwidth"])
+        assert r["estimate"] == pytest.approx(one["estimate"], rel=1e-6) and r["std_error"] == pytest.approx(one["std_error"], rel=1e-6)
+
+
+@pytest.mark.parametrize("neighbours", [1, 5])
+def test_similarity_edges_meet_across_parts(spark, monkeypatch, neighbours):
+    monkeypatch.setattr(network, "_LINE", 7)
+    rnd = np.random.default_rng(1)
+    rows = [(i, 1, float(rnd.integers(0, 12))) for i in range(120)]
+    df = spark.createDataFrame(rows, "cf long, over_id long, complexity_score double").repartition(3)
+    line = sorted(rows, key=lambda r: (r[2], r[0]))
+    want = {(a[0], b[0]) for k, a in enumerate(line) for b in line[k + 1 : k + 1 + neighbours] if 1 / (1 + abs(a[2] - b[2])) > 0.3}
+    assert {(r.from_cf, r.to_cf) for r in network.similarity_edges(df, neighbours=neighbours).collect()} == want
+    assert network.similarity_edges(df.where("false")).count() == 0
 
 
 def test_synthetic_inference_and_effects(spark):
@@ -383,8 +503,15 @@ def test_synthetic_inference_and_effects(spark):
     assert estimation.conformal_inference(path[:7], 7)["p_value"] is None
     did = [{"outcome": "y", "treatment_effect": 1.0, "std_error": 0.5, "p_value": 0.04, "n_obs": 10, "error": None}, {"outcome": "z", "treatment_effect": None, "std_error": None, "p_value": None, "n_obs": None, "error": "x"}]
     study = [{"outcome": "y", "event_time": t, "coefficient": 2.0, "std_error": 0.5 if t >= 0 else 0.3, "p_value": 0.01} for t in (-2, 0, 1)]
-    effects = estimation.effects_of(spark, did, study, [{"outcome": "y", "average_effect": 3.0, "std_error": 1.0, "p_value": 0.1}])
-    assert effects.count() == 4 and estimation.pool(effects, "simple_average").first().pooled_effect == pytest.approx(2.0)
+    study += [{"outcome": "y", "event_time": 2, "coefficient": 4.0, "std_error": 0.1, "p_value": 0.01}]
+    gaps = [{"outcome": "y", "time_period": t, "treatment_effect": g} for t, g in ((-1, 9.0), (0, 2.0), (1, 4.0))]
+    effects = {r.effect_id: r for r in estimation.effects_of(spark, did, study, gaps).collect()}
+    assert set(effects) == {"did_y", "event_study_y", "synth_y"}
+    after = effects["event_study_y"]
+    assert after.treatment_effect == pytest.approx(3.0) and after.std_error == pytest.approx(((0.25 + 0.01) / 2) ** 0.5) and after.method == "Event Study"
+    assert effects["synth_y"].treatment_effect == pytest.approx(3.0) and effects["synth_y"].std_error == pytest.approx(2**0.5 / 2**0.5)
+    assert after.p_value < 0.01 and effects["synth_y"].p_value == pytest.approx(0.0026998, rel=1e-4)
+    assert estimation.pool(estimation.effects_of(spark, did, study, gaps), "simple_average").first().pooled_effect == pytest.approx((1 + 3 + 3) / 3)
 
 
 def test_network_analysis(spark):
