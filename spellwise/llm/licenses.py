@@ -36,10 +36,19 @@ MORE_PHRASES = {
 TAG = "spdx-license-identifier:"
 #: Identifiers that permit redistribution and use without a copyleft duty; others are restrictive or unknown.
 PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0", "0bsd"}
+#: SPDX identifiers in lower case, by family and version, and those that a document defines itself.
+_IDENTIFIER = re.compile(
+    r"(?:0bsd|aal|bsl-1\.0|curl|ftl|icu|ijg|isc|json|libpng(?:-2\.0)?|mit(?:-0|-cmu|-advertising)?|ms-pl|ms-rl|mulanpsl-[12]\.0|ncsa|openssl|postgresql|psf-2\.0|python-2\.0|ruby|sleepycat|unlicense|vim|w3c|wtfpl|x11|zlib|zpl-2\.[01]"
+    r"|afl-[123]\.[012]|apache-(?:1\.[01]|2\.0)|apsl-[12]\.[012]|artistic-[12]\.0|blueoak-1\.0\.0|bsd-[1-4]-clause(?:-[a-z]+)*|cddl-1\.[01]|cecill-(?:[12]\.[01]|b|c)|cpl-1\.0|ecl-[12]\.0|epl-[12]\.0|eupl-1\.[012]|isc-veillard"
+    r"|[al]?gpl-[123]\.[01](?:-only|-or-later)?|gfdl-1\.[123](?:-only|-or-later)?|lppl-1\.[0-3][ac]?|mpl-(?:1\.[01]|2\.0)(?:-no-copyleft-exception)?|odbl-1\.0|odc-by-1\.0|ofl-1\.[01]|osl-[123]\.[01]|pddl-1\.0|php-3\.01?|unicode-(?:3\.0|dfs-201[56])|upl-1\.0"
+    r"|cc0-1\.0|cc-by(?:-nc)?(?:-nd|-sa)?-(?:1\.0|2\.[05]|3\.0|4\.0)(?:-[a-z]{2,3})?|(?:documentref-[0-9a-z.-]+:)?licenseref-[0-9a-z.-]+)\+?"
+)
+#: What may follow WITH.
+_EXCEPTION = re.compile(r"[0-9a-z.+-]+-exception(?:-[0-9.]+)?|[0-9a-z.+-]+-(?:note|linking)|(?:documentref-[0-9a-z.-]+:)?additionref-[0-9a-z.-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 _TAG_PHRASE = "spdx license identifier"  # the tag among normalised words
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_TOKEN = re.compile(rb"[ \t]*([0-9A-Za-z.+-]+|[()])")
+_TOKEN = re.compile(rb"[ \t]*((?:[Dd]ocument[Rr]ef-[0-9A-Za-z.-]+:)?[0-9A-Za-z.+-]+|[()])")
 
 
 def tokens_of(expression: str) -> list[str]:
@@ -47,12 +56,13 @@ def tokens_of(expression: str) -> list[str]:
 
 
 def evaluate(expression: str) -> tuple[list[str], bool] | None:
-    """(identifiers, whether a permissive choice exists) of an SPDX expression; None if it is malformed.
+    """(identifiers, whether a permissive choice exists) of an SPDX expression; None if it is malformed or names anything unknown.
 
     WITH binds its exception to the licence before it and keeps that licence's class, AND needs both sides
     to be permissive, OR either one.
     """
-    out: list[tuple[list[str], bool]] = []
+    names: list[str | None] = []  # of all operands, in order; an exception joins the name of its licence
+    out: list[tuple[int, bool]] = []  # place of the name (-1: an expression of several) and class
     stack: list[str] = []
     operand_next = True
 
@@ -61,11 +71,12 @@ def evaluate(expression: str) -> tuple[list[str], bool] | None:
             return False
         (b, right), (a, left) = out.pop(), out.pop()
         if op == "with":
-            if len(a) != 1 or len(b) != 1:
+            if a < 0 or b < 0 or not _IDENTIFIER.fullmatch(names[a]) or not _EXCEPTION.fullmatch(names[b]):
                 return False
-            out.append(([f"{a[0]} with {b[0]}"], left))
+            names[a], names[b] = f"{names[a]} with {names[b]}", None
+            out.append((a, left))
         else:
-            out.append((a + b, left and right if op == "and" else left or right))
+            out.append((-1, left and right if op == "and" else left or right))
         return True
 
     for token in tokens_of(expression.lower()):
@@ -91,16 +102,21 @@ def evaluate(expression: str) -> tuple[list[str], bool] | None:
                 return None
             stack.pop()
         else:
-            if not operand_next:
+            if not operand_next or not _operand(token, bool(stack) and stack[-1] == "with"):
                 return None
-            out.append(([token], token.rstrip("+") in PERMISSIVE))
+            out.append((len(names), token.rstrip("+") in PERMISSIVE))
+            names.append(token)
             operand_next = False
     while stack:
         if stack[-1] == "(" or not apply(stack.pop()):
             return None
     if operand_next or len(out) != 1:
         return None
-    return sorted(set(out[0][0])), out[0][1]
+    return sorted({n for n in names if n}), out[0][1]
+
+
+def _operand(token: str, after_with: bool) -> bool:
+    return bool((_EXCEPTION if after_with else _IDENTIFIER).fullmatch(token))
 
 
 @functools.lru_cache(maxsize=1)
@@ -126,7 +142,7 @@ def _to_words() -> bytes:
 def expression_at(text: bytes, at: int) -> str:
     """The longest expression from a place on in its line, in lower case.
 
-    It ends at the first token that cannot go on with it: another operand, anything but identifiers, operators and
+    It ends at the first token that cannot go on with it: another operand, anything but known identifiers, operators and
     parentheses, a full stop after an identifier, or the next tag.  Without a whole expression it is what was read.
     """
     tokens: list[str] = []
@@ -149,7 +165,7 @@ def expression_at(text: bytes, at: int) -> str:
                 break
             depth -= 1
         else:
-            if not operand_next or not name:
+            if not operand_next or not _operand(name, tokens[-1:] == ["with"]):
                 break
             operand_next = False
         tokens.append(name or token)
@@ -227,9 +243,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null or empty text has no words, no places and score 0.  Repeated rows each get their own result, a null
     id stays null, and columns other than the two named are not read.  Places of different phrases that
-    overlap all count.  An identifier tag takes the longest expression that follows it on its line; without one it
-    gives the label spdx-malformed.  No shuffle: each text is
-    scanned where it is read.
+    overlap all count.  An identifier tag takes the longest expression of known identifiers (SPDX's, LicenseRef-, DocumentRef-)
+    that follows it on its line; without one it gives the label spdx-malformed, whatever words follow.  No shuffle: each text is
+    scanned where it is read, in time in proportion to its length.
     """
     common.small_batches(docs.sparkSession)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
