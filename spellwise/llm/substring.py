@@ -2,8 +2,8 @@
 
 A chunk ends where the gear hash of the last bytes meets a mask, so an insertion moves only the chunks around it.
 Windows of neighbouring chunks with MIN_WORDS words are matched by digest over all documents, and each match is
-extended, character by character, over the text around it and around its first occurrence.  So all that is cut lies
-in a passage of so many words that stands whole in one earlier place.
+extended, character by character, over the text around it and around its first occurrence, and then drawn back to whole words.
+So all that is cut are whole words in a passage that stands whole in one earlier place.
 """
 
 from __future__ import annotations
@@ -168,12 +168,38 @@ SPANS = "array<struct<start: int, chars: int, words: int, first_doc_id: long>>"
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The characters before and after each place of a text; those after begin with the last one of the place."""
+    """The characters before and after each place of a text (those after begin with the last one of the place), and what of a word the place begins and ends with."""
     for batch in batches:
         for key, text, places in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
             starts, ends = [p["start"] for p in places], [p["end"] for p in places]
             befores, afters = [text[max(0, a - REACH) : a] for a in starts], [text[max(0, b - 1) : b + REACH] for b in ends]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(places), pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(befores, pa.string()), pa.array(afters, pa.string())], names=["key", "start", "end", "before", "after"])
+            leads = [_to_word(text[a:b]) if _inside(text, a) else 0 for a, b in zip(starts, ends, strict=True)]
+            trails = [_from_word(text[a:b]) if _inside(text, b) else 0 for a, b in zip(starts, ends, strict=True)]
+            columns = ([key] * len(places), starts, ends, befores, afters, leads, trails)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _AROUND.types, strict=True)], schema=_AROUND)
+
+
+_AROUND = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string()), ("lead", pa.int32()), ("trail", pa.int32())])
+_WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def _inside(text: str, at: int) -> bool:
+    """Whether a place parts a word."""
+    return 0 < at < len(text) and text[at - 1] not in _WHITE and text[at] not in _WHITE
+
+
+def _to_word(text: str) -> int:
+    """Characters before the first white one."""
+    found = _GAP.search(text)
+    return found.start() if found else len(text)
+
+
+def _from_word(text: str) -> int:
+    """Characters after the last white one."""
+    return len(text) - 1 - max(text.rfind(c) for c in _WHITE)
+
+
+_GAP = re.compile(r"[\x20\x09-\x0D]")
 
 
 def _shared(a: str, b: str) -> int:
@@ -194,7 +220,7 @@ _STARTS = re.compile(r"(?:(?<=[\x20\x09-\x0D])|^)[^\x20\x09-\x0D]")
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extends the passages of each document over what equals the surroundings of their first occurrences, as far as the next passage."""
+    """Extends the passages of each document over what equals the surroundings of their first occurrences, as far as the next passage, and draws their ends back to whole words."""
     for batch in batches:
         ids, all_spans = [], []
         for doc_id, key, spans in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("spans").to_pylist(), strict=True):
@@ -211,9 +237,27 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     room = max(0, start - s["first_at"] - s["chars"])
                     left = min(left, room)
                     right = min(right, room - left)
-                words = s["words"] + _word_starts(before[len(before) - left :], before[: len(before) - left]) + _word_starts(after[1 : right + 1], after[:1])
-                at = end + right
-                out.append((start - left, at - start + left, words, s["first_doc_id"]))
+                more, rest = before[len(before) - left :], before[: len(before) - left]
+                if not rest and start > left:
+                    rest = "?"  # beyond REACH: taken for a part of the first word
+                added = after[1 : right + 1]
+                follows = after[right + 1 : right + 2] or ("?" if len(after) > REACH else " ")
+                words = s["words"] + _word_starts(more, rest) + _word_starts(added, after[:1])
+                lead = trail = 0
+                if not more:
+                    lead = s["lead"]
+                elif rest and rest[-1] not in _WHITE and more[0] not in _WHITE:
+                    lead = _to_word(more)
+                    lead += s["lead"] if lead == left else 0
+                if not added:
+                    trail = s["trail"]
+                elif added[-1] not in _WHITE and follows not in _WHITE:
+                    trail = _from_word(added)
+                    trail += s["trail"] if trail == right else 0
+                start, end = start - left + lead, end + right - trail
+                if start < end:
+                    out.append((start, end - start, words - (trail > 0), s["first_doc_id"]))
+                    at = end
             ids.append(doc_id)
             all_spans.append((key, out))
         lists = [[dict(zip(("start", "chars", "words", "first_doc_id"), o, strict=True)) for o in out] for _, out in all_spans]
@@ -225,13 +269,13 @@ def _with_surroundings(keyed: DataFrame, found: DataFrame) -> DataFrame:
     one = found.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", "s.*", (F.col("s.start") + F.col("s.chars")).alias("end"), (F.col("s.first_at") + F.col("s.chars")).alias("first_end"))
     places = one.select("key", "start", "end").unionAll(one.select("first_key", "first_at", "first_end")).distinct()
     asked = places.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("places"))
-    texts = keyed.select("key", "text").join(asked, "key").mapInArrow(_around, "key long, start int, end int, before string, after string")
-    around = common.written(texts.groupBy("key", "start", "end").agg(F.first("before").alias("before"), F.first("after").alias("after")))
+    texts = keyed.select("key", "text").join(asked, "key").mapInArrow(_around, "key long, start int, end int, before string, after string, lead int, trail int")
+    around = common.written(texts.groupBy("key", "start", "end").agg(*[F.first(c).alias(c) for c in ("before", "after", "lead", "trail")]))
     source = around.select(F.col("key").alias("first_key"), F.col("start").alias("first_at"), F.col("end").alias("first_end"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
     met = one.join(around, ["key", "start", "end"], "left").join(source, ["first_key", "first_at", "first_end"], "left")
-    columns = ("start", "chars", "words", "first_doc_id", "first_key", "first_at", "before", "after", "first_before", "first_after")
+    columns = ("start", "chars", "words", "first_doc_id", "first_key", "first_at", "before", "after", "lead", "trail", "first_before", "first_after")
     packed = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*columns)).alias("spans"))
-    return packed.mapInArrow(_extended, f"doc_id long, key long, spans {SPANS}")
+    return packed.mapInArrow(_extended, f"doc_id long, key long, spans {SPANS}").where(F.size("spans") > 0)
 
 
 def _passages(keyed: DataFrame) -> DataFrame:
@@ -252,7 +296,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of the occurrences of a window the one with the least (doc_id, offset) is first.  Windows that overlap or adjoin and whose
     first occurrences lie alike in one document are one passage; where that changes a new one begins, and of two that
     overlap the later is listed from the end of the earlier on, so it can have less than MIN_WORDS words there.  A passage
-    goes on over the characters on either side that equal those of its first occurrence, up to REACH.  Repeats of a
+    goes on over the characters on either side that equal those of its first occurrence, up to REACH, and is then drawn back to
+    whole words: it neither begins nor ends inside a word, so it can have a word less than MIN_WORDS.  Repeats of a
     period in one document are one passage, and a copy that overlaps its own first occurrence begins at the end of that.
     Only documents with a passage have a row.  Rows with a null id or a null or empty text take no part; rows of one id and one
     text are one document, not held against each other at the same offset, and have one row; rows that share just an id are held
@@ -272,11 +317,16 @@ def _cutter(drop_emptied: bool):
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 had = text
                 if spans and text:
-                    kept, at = [], 0
-                    for s in spans:
-                        kept.append(text[at : s["start"]])
-                        at = s["start"] + s["chars"]
-                    text = "".join([*kept, text[at:]])
+                    kept, at = "", 0
+                    pieces = []
+                    for a, b in [*((s["start"], s["start"] + s["chars"]) for s in spans), (len(text), len(text))]:
+                        if a > at:
+                            if kept and _inside(kept + text[at], 1):  # words that now meet stay apart
+                                pieces.append(gap)
+                            pieces.append(text[at:a])
+                            kept, gap = text[a - 1], text[a : a + 1]
+                        at = b
+                    text = "".join(pieces)
                 texts.append(text)
                 stays.append(not drop_emptied or text is had or _STARTS.search(text) is not None or _STARTS.search(had) is None)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
@@ -286,7 +336,7 @@ def _cutter(drop_emptied: bool):
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
-    """docs with the repeated passages cut out of the texts; all rows and columns stay.
+    """docs with the repeated passages cut out of the texts; all rows and columns stay, and so do whole words only.
 
     With drop_emptied a row whose text had words and lost all of them goes.  Rows of one id and one text lose the same;
     null ids and null or empty texts are left alone; an empty table gives no rows.
