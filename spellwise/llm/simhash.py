@@ -6,9 +6,10 @@ hence within 1 in one of its halves (16 segments each), and those that differ in
 The grid range join deals each fingerprint to the cell of each part, and those with an even count also to the cells one
 step away; what meets in a cell passes the Manhattan bound and is then verified by its bits.
 
-Documents of like wording, of a 5-word Jaccard similarity of about 0.8 or more, are found the same way from fingerprints of
+Documents of like wording, of a 5-word Jaccard similarity of 0.8 or more, are found the same way from fingerprints of
 their distinct words, which move less under edits than those of shingles.  Three independent fingerprints are joined, since
-a pair that one of them parts is often near in another; a link is then verified by 128 bits made from the 5-word shingles.
+a pair that one of them parts is often near in another; 128 bits made from the 5-word shingles leave most other pairs out, and
+what is left is verified exactly, by the sets of shingles of both.
 """
 
 from __future__ import annotations
@@ -29,7 +30,15 @@ from .components import components
 MAX_BITS = 3
 #: The same for fingerprints of distinct words, and how many of the 128 bits of 5-word shingles may differ besides.  Sets
 #: of Jaccard similarity 0.8 differ in 19 of 128 bits on average.
-WORD_BITS, SHINGLE_BITS = 5, 23
+WORD_BITS, SHINGLE_BITS = 5, 28
+#: Of the candidates of a large cell that are at most so many bits apart, links that connect as much as all of them stay.
+TIERS = (4, 8, 12, 16, 20, 24, SHINGLE_BITS)
+#: Jaccard similarity of linked documents, as a fraction.
+SIMILAR = (4, 5)
+#: A document's links are verified in up to so many tasks.
+HUB_PARTS = 16
+#: Classes of documents that a task remembers to have sent the shingles of.
+REMEMBERED = 1 << 17
 SHINGLE_WORDS = 5
 #: Independent fingerprints of distinct words: a pair within WORD_BITS in any of them is a candidate.
 WORD_KINDS = (0, 0x9E3779B97F4A7C15, 0x165667B19E3779F9)
@@ -100,8 +109,11 @@ def _distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], rows[first]
 
 
-def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each row: two fingerprints of its distinct runs of SHINGLE_WORDS words, and those of WORD_KINDS of its distinct words in lower case."""
+def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Columns of each row, and the distinct runs of SHINGLE_WORDS words in lower case with their rows.
+
+    The columns are a hash of the set of runs (0 without any), two fingerprints of the runs, and those of WORD_KINDS of the distinct words.
+    """
     n = len(offsets) - 1
     low = common.LOWER[data]
     starts, ends, counts = common.word_bounds(low, offsets, common.WHITE)
@@ -119,15 +131,28 @@ def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         runs, run_rows = np.concatenate([runs, whole[few]]), np.concatenate([run_rows, few])
     words, rows = _distinct(words, rows)
     runs, run_rows = _distinct(runs, run_rows)
+    sums = np.zeros(n, np.uint64)
+    np.add.at(sums, run_rows, common.mix(runs))
     checks = _bit_majority(runs, run_rows, n), _bit_majority(common.mix(runs ^ np.uint64(0xC2B2AE3D27D4EB4F)), run_rows, n)
-    return *checks, *(_bit_majority(common.mix(words ^ np.uint64(kind)) if kind else words, rows, n) for kind in WORD_KINDS)
+    return [sums, *checks, *(_bit_majority(common.mix(words ^ np.uint64(kind)) if kind else words, rows, n) for kind in WORD_KINDS)], runs, run_rows
 
 
 def _wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of wording, and the runs of a row; copies met again in a task send none."""
+    sent: set[int] = set()
     for batch in batches:
         for part, data, offsets in common.slices(batch):
-            found = [pa.array(x.view(np.int64)) for x in wording(data, offsets)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found], names=["doc_id", "c1", "c2", *_FPS])
+            columns, runs, rows = wording(data, offsets)
+            again = np.zeros(part.num_rows, bool)
+            for k, node in enumerate(columns[0].tolist()):
+                again[k] = node in sent
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.add(node)
+            keep = ~again[rows]
+            cuts = np.searchsorted(rows[keep], np.arange(part.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(runs[keep].view(np.int64)), mask=pa.array(again))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in columns), lists], names=["doc_id", "node", "c1", "c2", *_FPS, "runs"])
 
 
 _FPS = [f"fp{k}" for k in range(len(WORD_KINDS))]
@@ -186,43 +211,55 @@ def _dealer(most: int):
 
 
 class _Cell:
-    """A cell met in parts: homes first, then probes; gives links that keep what is connected connected."""
+    """A cell met in parts: homes first, then probes; gives links that keep what is connected connected, at each tier."""
 
     def __init__(self, most: int, width: int) -> None:
-        self.most = most
+        self.most, self.tiers = most, TIERS if width > 1 else (0,)
         self.homes = np.zeros((0, width), np.uint64)
         self.nodes = np.zeros(0, np.int64)
-        self.label = np.zeros(0, np.int64)
+        self.label = np.zeros((len(self.tiers), 0), np.int64)
 
-    def _union(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _union(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Joins homes a and b pairwise; marks the pairs that joined something."""
         useful = np.zeros(len(a), bool)
-        for k in np.flatnonzero(self.label[a] != self.label[b]):
-            x, y = self.label[a[k]], self.label[b[k]]
+        for k in np.flatnonzero(label[a] != label[b]):
+            x, y = label[a[k]], label[b[k]]
             if x != y:
-                self.label[self.label == max(x, y)] = min(x, y)
+                label[label == max(x, y)] = min(x, y)
                 useful[k] = True
         return useful
 
     def feed(self, fps: np.ndarray, nodes: np.ndarray, are_homes: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for lo in range(0, len(fps), 256):
             part, own = fps[lo : lo + 256], nodes[lo : lo + 256]
+            base = len(self.homes)
             if are_homes:
                 self.homes, self.nodes = np.concatenate([self.homes, part]), np.append(self.nodes, own)
-                self.label = np.append(self.label, np.arange(len(self.label), len(self.homes)))
+                fresh = np.broadcast_to(np.arange(base, len(self.homes)), (len(self.tiers), len(part)))
+                self.label = np.concatenate([self.label, fresh], axis=1)
             if not len(self.homes):
                 continue
             i, j = np.nonzero(manhattan(part[:, None, 0], self.homes[None, :, 0]) <= self.most)
             close = near(part[i], self.homes[j], self.most)
+            if are_homes:
+                close &= j < base + i  # each pair once
             i, j = i[close], j[close]
             if not len(i):
                 continue
-            first = j[np.searchsorted(i, i)]
-            if not are_homes:
-                head = np.append(True, i[1:] != i[:-1])
-                yield own[i[head]], self.nodes[j[head]]
-            useful = self._union(first, j)
-            yield self.nodes[first[useful]], self.nodes[j[useful]]
+            apart = np.bitwise_count(part[i, 1:] ^ self.homes[j, 1:]).sum(1)
+            order = np.argsort(apart, kind="stable")
+            chosen = []
+            for tier, limit in enumerate(self.tiers):
+                label, some = self.label[tier], order[apart[order] <= limit]
+                if are_homes:
+                    chosen.append(some[self._union(label, base + i[some], j[some])])
+                else:  # the nearest of each component; those that a probe meets are one
+                    met = some[np.unique(i[some] * len(self.homes) + label[j[some]], return_index=True)[1]]
+                    same = np.flatnonzero(np.diff(i[met]) == 0)
+                    self._union(label, j[met[same]], j[met[same + 1]])
+                    chosen.append(met)
+            picked = np.unique(np.concatenate(chosen))
+            yield own[i[picked]], self.nodes[j[picked]]
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -268,9 +305,10 @@ def _linker(most: int):
 
 
 def links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """Edges u, v between rows whose components are those of all pairs within `most` bits.
+    """Edges u, v between rows within `most` bits, whose components are those of all such pairs.
 
-    A row is a node of its own: fp, or node and fp, or also c1 and c2, of which at most SHINGLE_BITS bits may differ besides.
+    A row is a node of its own: fp, or node and fp, or also c1 and c2, of which at most SHINGLE_BITS bits may differ besides; the
+    edges of at most TIERS differing bits then have the components of all pairs of that kind, too.
     Rows that repeat a node link to themselves only if they stand in one cell, which the components ignore; a table without
     rows has no edges; a null fp is not allowed.
     """
@@ -293,10 +331,10 @@ def links(fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return met.mapInArrow(_linker(most), "u long, v long")
 
 
-def _named(classes: DataFrame, kinds: list[DataFrame], most: int) -> DataFrame:
-    """node and component_id, the least document id of its component, for classes of node and least; each of kinds has fingerprints to link."""
+def _named(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component_id, the least document id of its component, for classes of node and least that edges link."""
     with common.narrow_batches(classes.sparkSession):
-        found = components(functools.reduce(DataFrame.unionAll, [links(fps, most) for fps in kinds]))
+        found = components(edges)
     members = common.written(found.join(classes, "node").select("node", "component", "least"))
     leasts = members.groupBy("component").agg(F.min("least").alias("component_id"))
     named = common.written(members.join(leasts, "component").select("node", "component_id"))
@@ -314,31 +352,54 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     common.small_batches(docs.sparkSession)
     marked = common.written(fingerprints(docs, words, seed, id_col, text_col))
     classes = common.written(marked.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")).withColumn("fp", F.col("node")))
-    names = _named(classes, [classes.select("node", "fp")], MAX_BITS).withColumnRenamed("node", "fp")
+    names = _named(classes, links(classes.select("node", "fp"))).withColumnRenamed("node", "fp")
     return marked.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs u, v of nodes whose sets of runs have the Jaccard similarity SIMILAR or more; rows have node and runs (null for copies).
+
+    v may be in many pairs: its set meets them in up to HUB_PARTS tasks.
+    """
+    asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
+    sets = common.written(rows.where("runs IS NOT NULL").select("node", "runs").join(asked, "node", "left_semi").groupBy("node").agg(F.first("runs").alias("runs")), row_bytes=1 << 16)
+    part = F.pmod(F.xxhash64("u"), F.lit(HUB_PARTS)).cast("int")
+    one = pairs.withColumn("part", part).join(sets.select(F.col("node").alias("u"), F.col("runs").alias("a")), "u")
+    hubs = pairs.select("v", part.alias("part")).distinct().join(sets.select(F.col("node").alias("v"), F.col("runs").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return one.join(hubs, ["v", "part"]).where(SIMILAR[1] * both >= SIMILAR[0] * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
 def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node and component_id, the smallest doc_id that links between documents of like wording reach.
 
-    Two documents link if those of one kind of fingerprints of their distinct words differ in WORD_BITS bits at most and the
-    128 bits of their 5-word shingles in SHINGLE_BITS.  Documents of equal words and shingles are one node, so copies are never
+    Two documents link if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more.  Candidates are those of which
+    one kind of fingerprints of distinct words differs in WORD_BITS bits at most and the 128 bits of shingles in SHINGLE_BITS; in
+    dense cells, links that connect as much as all candidates do at each of TIERS.  So a pair may be missed, but none below 0.8
+    links; a component holds chains of links.  Documents of equal sets of shingles are one node, so copies are never
     paired.  Texts without words, null ones too, are copies of each other; texts under SHINGLE_WORDS words are one shingle; each
     repeated row has its own result row, those of one id and text in one component; a null id does not name a component (it is null if
     no other id is there); an empty table gives no rows; other columns are not read.
     """
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.small_batches(spark)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = two.mapInArrow(_wording, "doc_id long, c1 long, c2 long" + "".join(f", {c} long" for c in _FPS))
-    marked = common.written(rows.withColumn("node", F.xxhash64("c1", "c2", *_FPS)))
-    classes = common.written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("c1", "c2", *_FPS)]))
-    kinds = [classes.select("node", F.col(c).alias("fp"), "c1", "c2") for c in _FPS]
-    return marked.join(_named(classes, kinds, WORD_BITS), "node").select("doc_id", "node", "component_id")
+    marks = ["c1", "c2", *_FPS]
+    marked = common.written(two.mapInArrow(_wording, "doc_id long, node long" + "".join(f", {c} long" for c in marks) + ", runs array<long>"), row_bytes=1 << 16)
+    classes = common.written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in marks]))
+    alike = common.written(classes.groupBy(*marks).agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    kinds = [alike.select("node", F.col(c).alias("fp"), "c1", "c2") for c in _FPS]
+    stars = classes.withColumnRenamed("node", "u").join(alike.where("n > 1").withColumnRenamed("node", "v"), marks).where("u <> v").select("u", "v")
+    with common.narrow_batches(spark):
+        pairs = common.written(functools.reduce(DataFrame.unionAll, [*(links(fps, WORD_BITS) for fps in kinds), stars]).distinct())
+    similar = common.written(_similar(pairs, marked))
+    return marked.select("doc_id", "node").join(_named(classes.select("node", "least"), similar), "node").select("doc_id", "node", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents of like wording that links join to one with a smaller id; all columns stay.
 
+    What goes has a Jaccard similarity of 0.8 or more to another document of its component, and chains of such links lead to the one that stays.
     Rows that repeat an id are one document and stay or go together; rows with a null id stay.
     """
     found = like_documents(docs, id_col, text_col)
