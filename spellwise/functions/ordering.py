@@ -24,8 +24,8 @@ def _number(x: Column) -> Column:
 
 def _cuts(df: DataFrame, columns: list[str]) -> tuple[list[list[float]], bool]:
     """Ends of parts for each column, ascending, as often as they end a part, and whether the first has nulls; one aggregate."""
-    shares = [k / PARTS for k in range(1, PARTS)]
-    row = df.agg(*[F.percentile_approx(c, shares, 10 * PARTS).alias(f"c{i}") for i, c in enumerate(columns)], F.count(F.when(F.col(columns[0]).isNull(), 1)).alias("n")).first()
+    shares = ", ".join(f"{k / PARTS!r}D" for k in range(1, PARTS))
+    row = df.agg(*[F.expr(f"percentile_approx(`{c}`, array({shares}), {10 * PARTS})").alias(f"c{i}") for i, c in enumerate(columns)], F.count(F.when(F.col(columns[0]).isNull(), 1)).alias("n")).first()
     return [sorted(x for x in row[i] or [] if math.isfinite(x)) for i in range(len(columns))], row.n > 0
 
 
@@ -51,7 +51,7 @@ def _bucketed(df: DataFrame, columns: list[str], cuts: list[list[float]]) -> Dat
     at = [f"{c}__at" for c in columns]
     out = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=at, handleInvalid="keep").transform(df)
     for c, a, table in zip(columns, at, tables, strict=True):
-        place = lambda k, a=a, table=table: F.get(F.array(*[F.lit(p[k]) for p in table]), F.col(a).cast("int"))
+        place = lambda k, a=a, table=table: F.expr(f"get(array({', '.join(str(p[k]) for p in table)}), cast(`{a}` as int))")
         out = out.withColumns({f"{c}__base": place(0), f"{c}__width": place(1)})
     return out.drop(*at)
 

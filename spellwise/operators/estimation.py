@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import stats
+from ..functions import stats, tables
 
 
 @dataclasses.dataclass
@@ -71,7 +71,7 @@ def within_fits(persons: DataFrame, names: list[str], outcomes: int, cluster: bo
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     total = lambda o, c: F.coalesce(F.sum(f"{o}_{c}"), F.lit(0.0)).alias(f"{o}_{c}")
     r = persons.agg(*[f for o in range(outcomes) for f in (F.coalesce(F.sum(f"{o}_n"), F.lit(0)).alias(f"{o}_n"), F.count_if(F.col(f"{o}_n") > 0).alias(f"{o}_persons"), total(o, "yy"), *[total(o, f"b{i}") for i in range(k)], *[total(o, f"a{i}_{j}") for i, j in pairs])]).first()
-    fits, solved = [], []
+    fits, answers = [], []
     for o in range(outcomes):
         a, b = np.zeros((k, k)), np.array([r[f"{o}_b{i}"] for i in range(k)])
         for i, j in pairs:
@@ -84,20 +84,91 @@ def within_fits(persons: DataFrame, names: list[str], outcomes: int, cluster: bo
         n, dof = r[f"{o}_n"], r[f"{o}_n"] - len(kept) - r[f"{o}_persons"]
         covariance = inverse * (rss / dof if dof > 0 else float("nan"))
         fits.append(Fit(names, beta, covariance, n, dof, float(1 - rss / r[f"{o}_yy"]) if r[f"{o}_yy"] else 0.0))
-        solved.append((beta, inverse))
+        answers.append((beta, inverse))
     if cluster:
         entry = lambda o, i, j: F.col(f"{o}_a{min(i, j)}_{max(i, j)}")
-        scores = persons.select(*[(F.col(f"{o}_b{i}") - sum((F.lit(float(solved[o][0][j])) * entry(o, i, j) for j in range(k)), F.lit(0.0))).alias(f"{o}_s{i}") for o in range(outcomes) for i in range(k)])
+        scores = persons.select(*[(F.col(f"{o}_b{i}") - sum((F.lit(float(answers[o][0][j])) * entry(o, i, j) for j in range(k)), F.lit(0.0))).alias(f"{o}_s{i}") for o in range(outcomes) for i in range(k)])
         m = scores.agg(*[F.coalesce(F.sum(F.col(f"{o}_s{i}") * F.col(f"{o}_s{j}")), F.lit(0.0)).alias(f"{o}_m{i}_{j}") for o in range(outcomes) for i, j in pairs]).first()
         for o in range(outcomes):
             meat = np.zeros((k, k))
             for i, j in pairs:
                 meat[i, j] = meat[j, i] = m[f"{o}_m{i}_{j}"]
             groups = r[f"{o}_persons"]
-            fits[o].covariance = solved[o][1] @ meat @ solved[o][1] * (groups / max(1, groups - 1))
+            fits[o].covariance = answers[o][1] @ meat @ answers[o][1] * (groups / max(1, groups - 1))
     return fits
 
 
+#: Periods of a two-way fit; the effects of all stand in each task.
+MOST_PERIODS = 20_000
+
+
+def two_way_fit(rows: DataFrame, y: str, x: dict[str, Column], id_col: str = "cf", period: str = "period", rounds: int = 200, tolerance: float = 1e-10) -> Fit:
+    """Least squares with effects of persons and of periods, for any number of periods and unbalanced rows.
+
+    Both effects are demeaned away in turns until they settle: a pass demeans by person what is left after the periods' effects and
+    sums it by period, and conjugate gradients turn the sums into the next effects, for the outcome and all regressors in the same passes.
+    So a pass sends on one row a period, where a dummy for each would take a square of them.  Persons are packed once, by one
+    shuffle, and a person has few rows.  Rows with a null in any column are left out; periods and persons are taken to hang together (one period is the base).
+    """
+    names, flat = list(x), rows.select(F.col(id_col).alias("id"), F.col(period).alias("t"), F.col(y).cast("double").alias("v0"), *[c.cast("double").alias(f"v{i + 1}") for i, c in enumerate(x.values())]).dropna()
+    k = len(names) + 1
+    flat = tables.written(flat)
+    times = [r.t for r in flat.select("t").distinct().orderBy("t").limit(MOST_PERIODS + 1).collect()]
+    if len(times) > MOST_PERIODS:
+        raise ValueError(f"a two-way fit takes {MOST_PERIODS} periods at most")
+    if not times:
+        return Fit(names, np.zeros(k - 1), np.zeros((k - 1, k - 1)), 0, 0, 0.0)
+    numbers = rows.sparkSession.createDataFrame([(t, i) for i, t in enumerate(times)], rows.select(F.col(period).alias("t"), F.lit(0).alias("at")).schema)
+    packed = tables.written(flat.join(F.broadcast(numbers), "t").groupBy("id").agg(F.collect_list(F.struct("at", *[f"v{i}" for i in range(k)])).alias("own")))  # MOST_PERIODS rows
+
+    def demeaned(value) -> list[Column]:
+        """Of each variable and person the array of value(row, variable) less its mean."""
+        def centred(i: int) -> Column:
+            values = F.transform("own", lambda r: value(r, i))
+            mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
+            both = F.array(F.struct(values.alias("a"), mean.alias("m")))
+            return F.transform(both, lambda z: F.transform(z["a"], lambda v: v - z["m"]))[0]
+
+        return [centred(i) for i in range(k)]
+
+    def by_period(value) -> np.ndarray:
+        """Sums by period of what is demeaned by person."""
+        table = packed.select(F.col("own.at").alias("at"), *[d.alias(f"d{i}") for i, d in enumerate(demeaned(value))])
+        sums = table.select(F.explode(F.arrays_zip("at", *[f"d{i}" for i in range(k)])).alias("r")).groupBy("r.at").agg(*[F.sum(f"r.d{i}").alias(f"s{i}") for i in range(k)])
+        out = np.zeros((len(times), k))
+        for r in sums.collect():  # a row a period
+            out[r["at"]] = [r[f"s{i}"] for i in range(k)]
+        return out
+
+    of_period = lambda e: (lambda r, i: F.get(F.array(*[F.lit(float(v)) for v in e[:, i]]), r["at"]))
+    effects = np.zeros((len(times), k))
+    left = by_period(lambda r, i: r[f"v{i}"])
+    step, size = left.copy(), (left**2).sum(0)
+    goal = tolerance**2 * np.maximum(size, 1e-300)
+    for _ in range(rounds):
+        going = size > goal
+        if not going.any():
+            break
+        moved = by_period(of_period(step))
+        along = (step * moved).sum(0)
+        a = np.where(going & (along > 0), size / np.where(along > 0, along, 1.0), 0.0)
+        effects, left = effects + a * step, left - a * moved
+        now = (left**2).sum(0)
+        step = left + np.where(size > 0, now / np.where(size > 0, size, 1.0), 0.0) * step
+        size = now
+    kept_of = of_period(effects)
+    whole = packed.select(*[d.alias(f"d{i}") for i, d in enumerate(demeaned(lambda r, i: r[f"v{i}"] - kept_of(r, i)))])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    products = [F.sum(F.aggregate(F.zip_with(f"d{i}", f"d{j}", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)).alias(f"p{i}_{j}") for i, j in pairs]
+    r = whole.agg(F.count("*").alias("persons"), F.sum(F.size("d0")).alias("n"), *products).first()
+    a = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(1, k)] for i in range(1, k)]).reshape(k - 1, k - 1)
+    b = np.array([r[f"p0_{i}"] for i in range(1, k)])
+    beta, inverse, kept = solved(a, b)
+    rss = max(0.0, r.p0_0 - 2 * beta @ b + beta @ a @ beta)
+    dof = r.n - len(kept) - r.persons - (len(times) - 1)
+    return Fit(names, beta, inverse * (rss / dof if dof > 0 else float("nan")), r.n, dof, float(1 - rss / r.p0_0) if r.p0_0 else 0.0)
+
+
 def least_squares(rows: DataFrame, y: Column, x: dict[str, Column], weight: Column | None = None, absorbed: int = 0, cluster: Column | None = None, centred: bool = True) -> Fit:
     """Weighted least squares from one aggregate of cross products; only k x k sums come to the driver.
 

@@ -22,6 +22,13 @@ def node_degrees(edges: DataFrame, loops: bool = True) -> DataFrame:
     return out.withColumns({"degree": F.col("in_degree") + F.col("out_degree"), "strength": F.col("in_strength") + F.col("out_strength"), "root_score": F.col("out_strength") - F.col("in_strength")})
 
 
+def node_status(edges: DataFrame) -> DataFrame:
+    """Nodes with their degrees and strengths in and out, and the employment status that their name tells: the first that fits of unemployed, full-time, part-time, several jobs."""
+    name = F.lower("node")
+    status = F.when(name.rlike("disoccupato|unemployed"), "Unemployed").when(name.rlike("occ_ft|full.?time"), "Full-time").when(name.rlike("occ_pt|part.?time"), "Part-time").when(name.contains("over_"), "Multiple Jobs").otherwise("Other")
+    return node_degrees(edges).drop("root_score").withColumn("status", status)
+
+
 def scaled(x: Column, low: float, span: float) -> Column:
     """x brought to low .. low + span over the whole table; the middle where all are equal."""
     whole = Window.partitionBy()

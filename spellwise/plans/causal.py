@@ -12,6 +12,7 @@ from ..operators import matching as M
 from ..operators import panel as N
 from ..operators import rdd as R
 from ..sources import adapters as A
+from ..sources import writers as W
 from .base_sql import CONTRACTS, PERIODS, SEGMENTS
 from .registry import add
 
@@ -134,6 +135,13 @@ add(
     f"""WITH {_SHARES} SELECT 'area' AS variable, 'categorical' AS variable_type, round(max(abs(pt - pc)), 6) AS std_mean_diff, (SELECT CAST(count(*) AS DOUBLE) FROM persons WHERE is_treated) AS treated_n,
         (SELECT CAST(count(*) AS DOUBLE) FROM persons WHERE NOT is_treated) AS control_n, max(abs(pt - pc)) > 0.1 AS balance_concern FROM sh""",
 )
+_LABELS = {"n_orders": "Orders", "mean_price": "Mean price (thousands)"}
+add(
+    "balance_table",
+    lambda s, d: W.rounded_table(M.balance(_persons(s, d), ["n_orders", "mean_price", "nation"]).select("variable", "treated_mean", "control_mean", "std_mean_diff", "var_ratio"), 3, _LABELS),
+    f"""WITH {_PERSONS}, u AS ({' UNION ALL '.join(map(_numeric_balance, ('n_orders', 'mean_price', 'nation')))})
+    SELECT CASE variable WHEN 'n_orders' THEN 'Orders' WHEN 'mean_price' THEN 'Mean price (thousands)' ELSE variable END AS variable, round(tm, 3) AS treated_mean, round(cm, 3) AS control_mean, round((tm - cm) / sqrt((tv + cv) / 2), 3) AS std_mean_diff, round(tv / cv, 3) AS var_ratio FROM u""",
+)
 add("categorical_shares", lambda s, d: M.categorical_shares(_persons(s, d), "area"), f"WITH {_SHARES} SELECT area AS level, round(pt, 6) AS pt, round(pc, 6) AS pc FROM sh")
 add("balance_overall", lambda s, d: M.overall_balance(M.balance(_persons(s, d), ["n_orders", "mean_price", "nation"])),
     f"""WITH {_PERSONS}, u AS ({' UNION ALL '.join(map(_numeric_balance, ('n_orders', 'mean_price', 'nation')))}), z AS (SELECT (tm - cm) / sqrt((tv + cv) / 2) AS smd, tv / cv AS vr FROM u), q AS (SELECT abs(smd) AS a, abs(smd) > 0.1 OR vr > 2 OR vr < 0.5 AS bad FROM z)
@@ -269,6 +277,17 @@ def _study_rows(s: SparkSession, d: str) -> DataFrame:
 add("event_study_effects", lambda s, d: _rows(s, E.event_study(_study_rows(s, d), ["durata"]), "outcome string, event_time int, coefficient double, std_error double, t_statistic double, p_value double, conf_lower double, conf_upper double"))
 
 
+def _two_way(s: SparkSession, d: str) -> DataFrame:
+    """Days of a segment on concurrent jobs, part-time and treatment from 1996, with effects of persons and of the months segments begin in."""
+    rows = A.segments(s, d).where("arco > 0").join(_persons(s, d).select("cf", "is_treated"), "cf").withColumn("month", F.date_trunc("month", "inizio").cast("date"))
+    x = {"jobs": F.col("arco"), "part_time": (F.col("prior") < 1).cast("int"), "treated_late": (F.col("is_treated") & (F.col("inizio") >= "1996-01-01")).cast("int")}
+    fit = E.two_way_fit(rows, "durata", x, "cf", "month")
+    return s.createDataFrame([(n, *fit.row(n), fit.n) for n in fit.names], "regressor string, coefficient double, std_error double, n_obs long")
+
+
+add("two_way_effects", _two_way)
+
+
 def _effects(s: SparkSession, d: str) -> DataFrame:
     """The difference in mean order price between urgent and other orders, by market segment, with its error and p-value class."""
     rows = A.table(s, d, "orders").join(A.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -8,7 +8,7 @@ from ..operators import plotdata as P
 from ..operators import transitions as T
 from ..sources import adapters as A
 from ..sources import generate as G
-from .base_sql import EDGES, SEGMENTS
+from .base_sql import EDGES, SEGMENTS, moves
 from .metrics import _success_sql
 from .registry import add, rounded
 
@@ -16,6 +16,12 @@ _edges = lambda s, d: T.transitions(A.segments(s, d))
 _DEGREES = """dg AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(iw) AS BIGINT) AS in_strength, CAST(sum(ow) AS BIGINT) AS out_strength FROM (
     SELECT "from" AS node, 1 AS o, weight AS ow, 0 AS i, 0 AS iw FROM ed UNION ALL SELECT "to", 0, 0, 1, weight FROM ed) GROUP BY node)"""
 add("node_degrees", lambda s, d: N.node_degrees(_edges(s, d)), f"WITH {EDGES}, ed AS (SELECT * FROM edges), {_DEGREES} SELECT *, in_degree + out_degree AS degree, in_strength + out_strength AS strength, out_strength - in_strength AS root_score FROM dg")
+add(
+    "node_status",
+    lambda s, d: N.node_status(T.transitions(A.segments(s, d), variable="stato")),
+    f"""WITH {SEGMENTS}, sg AS (SELECT * REPLACE (stato AS ct) FROM segments),{moves("sg")}, ed AS (SELECT * FROM edges), {_DEGREES} SELECT *, in_degree + out_degree AS degree, in_strength + out_strength AS strength,
+        CASE WHEN regexp_matches(lower(node), 'disoccupato|unemployed') THEN 'Unemployed' WHEN regexp_matches(lower(node), 'occ_ft|full.?time') THEN 'Full-time' WHEN regexp_matches(lower(node), 'occ_pt|part.?time') THEN 'Part-time' WHEN contains(lower(node), 'over_') THEN 'Multiple Jobs' ELSE 'Other' END AS status FROM dg""",
+)
 _NO_LOOPS = 'ed AS (SELECT * FROM edges WHERE "from" <> "to")'
 _scaled = lambda x, low, span: f"CASE WHEN max({x}) OVER () > min({x}) OVER () THEN {low} + {span} * ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) ELSE {low + span / 2} END"
 add("node_sizes", lambda s, d: N.graph_nodes(_edges(s, d)), f"WITH {EDGES}, {_NO_LOOPS}, {_DEGREES}, n AS (SELECT node, in_strength, out_strength, in_strength + out_strength AS strength FROM dg) SELECT *, round({_scaled('strength', 10.0, 40.0)}, 6) AS size FROM n")

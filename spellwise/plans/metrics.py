@@ -265,6 +265,17 @@ add(
     wide AS (SELECT cf, period, employment_rate, permanent_contract_rate, career_complexity_index, transition_frequency FROM stability FULL JOIN quality USING (cf, period) FULL JOIN complexity USING (cf, period) FULL JOIN patterns USING (cf, period))
     {" UNION ALL ".join(f"SELECT cf, period, '{m}' AS metric_name, CAST({m} AS DOUBLE) AS metric_value FROM wide WHERE {m} IS NOT NULL" for m in _RATES)}""",
 )
+_IMPACT_CATEGORY = """CASE WHEN regexp_matches(metric_name, 'employment|spell|turnover|stability') THEN 'stability' WHEN regexp_matches(metric_name, 'contract|permanent|temporary|quality') THEN 'quality'
+    WHEN regexp_matches(metric_name, 'concurrent|diversity|complexity|fragmentation') THEN 'complexity' WHEN regexp_matches(metric_name, 'transition|continuity|search|time') THEN 'transitions'
+    WHEN regexp_matches(metric_name, 'career_success_index|career_advancement_index') THEN 'career_success' WHEN regexp_matches(metric_name, '^career_|employment_intensity_score|growth_opportunity_score') THEN 'career_metrics' ELSE 'other' END"""
+add(
+    "impact_metrics_long_all",
+    lambda s, d: I.comprehensive(A.period_segments(s, d), _PERM, _TEMP, form="long").where("metric_name <> 'career_success_index'"),  # that one from unrounded scores: see success_index
+    f"""WITH {PERIODS}, {_quality_sql(False)}, {_stability_sql('periods', 'cf, period')}, {_complexity_sql('periods', 'cf, period')}, {_PATTERNS},
+    wide AS (SELECT * FROM stability FULL JOIN quality USING (cf, period) FULL JOIN (SELECT * EXCLUDE (total_employment_days) FROM complexity) USING (cf, period) FULL JOIN patterns USING (cf, period)),
+    dbl AS (SELECT cf, period, CAST(COLUMNS(* EXCLUDE (cf, period)) AS DOUBLE) FROM wide), long AS (SELECT * FROM dbl UNPIVOT INCLUDE NULLS (metric_value FOR metric_name IN (COLUMNS(* EXCLUDE (cf, period)))))
+    SELECT cf, period, metric_name, metric_value, {_IMPACT_CATEGORY} AS metric_category FROM long""",
+)
 add("impact_metrics_long", lambda s, d: I.comprehensive(A.period_segments(s, d), _PERM, _TEMP, form="long"))
 add(
     "survival_comparison_groups",

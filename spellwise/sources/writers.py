@@ -98,6 +98,16 @@ def summary_table(effects: DataFrame, digits: int = 3) -> DataFrame:
     return effects.select("outcome", F.round("treatment_effect", digits).alias("effect"), F.round("std_error", digits).alias("std_error"), F.round("p_value", digits).alias("p_value"), stars().alias("stars"), F.concat(F.lit("["), number("conf_lower"), F.lit(", "), number("conf_upper"), F.lit("]")).alias("interval"))
 
 
+def rounded_table(table: DataFrame, digits: int = 3, labels: dict[str, str] | None = None, names: str = "variable") -> DataFrame:
+    """A balance, robustness or descriptive table for print: numbers with so many digits, and labels for the values of its naming column."""
+    doubles = {f.name for f in table.schema if f.dataType.simpleString() in ("double", "float")}
+    out = table.select(*[F.round(f"`{c}`", digits).alias(c) if c in doubles else F.col(f"`{c}`") for c in table.columns])
+    if labels and names in table.columns:
+        named = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+        out = out.withColumn(names, F.coalesce(F.try_element_at(named, F.col(names)), F.col(names)))
+    return out
+
+
 _INTROS = {
     "academic": "Estimates with standard errors and intervals.",
     "policy": "What changed, for whom, and by how much.",

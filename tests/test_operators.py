@@ -188,6 +188,8 @@ def test_writers(spark, tmp_path):
     assert spark.read.csv(writers.write_csv({"effects": table}, str(tmp_path))[0], header=True).count() == 1
     writers.write_parquet({"effects": table}, str(tmp_path / "bundle"), {"a": 1})
     assert spark.read.parquet(str(tmp_path / "bundle/effects")).count() == 1
+    labelled = writers.rounded_table(df.withColumn("variable", F.col("outcome")), 2, {"y": "Outcome"}).first()
+    assert labelled.variable == "Outcome" and labelled.treatment_effect == 1.23 and writers.rounded_table(df, 1, {"z": "Z"}, "outcome").first().outcome == "y"
     assert "| y |" in writers.report({"Effects": table}, str(tmp_path / "r.md"), "Report")
 
 
@@ -211,6 +213,19 @@ def test_bundles(spark, tmp_path):
         writers.read_bundle(spark, half)
 
 
+def test_written_tables_can_be_forgotten(spark, monkeypatch):
+    import os
+
+    from spellwise.functions import tables
+
+    monkeypatch.setattr(tables, "_FOLDERS", [])
+    assert tables.written(spark.range(5)).count() == 5
+    (folder,) = tables._FOLDERS
+    assert os.path.isdir(folder.removeprefix("file:"))
+    tables.forget(spark)
+    assert not os.path.exists(folder.removeprefix("file:")) and not tables._FOLDERS
+
+
 def test_colors():
     assert plotdata.contrast("#000000", "#FFFFFF") == pytest.approx(21)
     assert plotdata.status_colors(["occ_ft", "other"])["other"] == "#757575"
@@ -263,6 +278,24 @@ def test_did_equals_a_regression_with_dummies(spark, cluster):
         assert r["std_error"] == pytest.approx(covariance[1, 1] ** 0.5, rel=1e-6)
 
 
+def test_two_way_fit_equals_a_regression_with_dummies(spark):
+    """60 unbalanced periods, persons of one to 40 rows, some twice in a period."""
+    rnd = np.random.default_rng(15)
+    rows = []
+    for i in range(80):
+        for t in rnd.choice(60, size=int(rnd.integers(1, 40)), replace=bool(i % 4 == 0)):
+            a, b = float(rnd.normal() + t / 20), float(rnd.normal() + i / 30)
+            rows.append((i, f"p{t:02d}", a, b, float(1.2 * a - 0.7 * b + i / 10 + t % 7 + rnd.normal())))
+    df = spark.createDataFrame([*rows, (1, None, 1.0, 1.0, 1.0), (1, "p01", None, 1.0, 1.0)], "cf long, period string, a double, b double, y double").repartition(4)
+    fit = estimation.two_way_fit(df, "y", {"a": F.col("a"), "b": F.col("b")})
+    periods = dummies([r[1] for r in rows])[:, 1:]
+    x = np.column_stack([[r[2] for r in rows], [r[3] for r in rows], dummies([r[0] for r in rows]), periods])
+    beta, _, s2, inverse = ols(x, np.array([r[4] for r in rows]))
+    assert fit.n == len(rows) and fit.coefficients == pytest.approx(beta[:2], rel=1e-7)
+    assert [fit.row(n)[1] for n in "ab"] == pytest.approx([(s2 * inverse[k, k]) ** 0.5 for k in (0, 1)], rel=1e-6)
+    assert estimation.two_way_fit(df.where("false"), "y", {"a": F.col("a")}).n == 0
+
+
 def test_event_study_equals_a_regression_with_dummies(spark):
     rnd = np.random.default_rng(5)
     rows = [(i, i % 2 == 0, t, float(rnd.normal() + (i % 2 == 0) * max(0, t + 1) + 0.1 * t + i / 10)) for i in range(40) for t in range(-3, 3) if rnd.random() > 0.1]
