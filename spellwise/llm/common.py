@@ -27,15 +27,27 @@ _LONG_SPAN = 256
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+_FOLDERS: list[str] = []
+_LOCAL: list[str] = []  # the folder of a local session without the setting
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir.  Only a local session may do without that setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = tempfile.mkdtemp(prefix="spellwise-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+        _LOCAL[:] = _LOCAL or [tempfile.mkdtemp(prefix="spellwise-")]
+        top = _LOCAL[0]
+    _FOLDERS.append(f"{top.rstrip('/')}/{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the folders made so far.  Results that still read them must be written elsewhere before."""
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, row_bytes: int = 0) -> DataFrame:

@@ -369,7 +369,10 @@ def _decoder(model):
 
 
 def decoded(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and the text of its ids; byte pieces that are no UTF-8 become U+FFFD."""
+    """doc_id and the text of its ids; byte pieces that are no UTF-8 become U+FFFD.
+
+    Null or no ids give an empty text, each repeated row its own; null doc_ids stay; an empty table gives no rows; other columns are not read.
+    """
     common.small_batches(encoded.sparkSession)
     with open(model_path, "rb") as f:
         model = encoded.sparkSession.sparkContext.broadcast(f.read())

@@ -138,7 +138,7 @@ def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np
 
 
 def _wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The columns of wording, and the runs of a row; copies met again in a task send none."""
+    """The columns of wording, and the high halves of the hashes of a row's runs; copies met again in a task send none."""
     sent: set[int] = set()
     for batch in batches:
         for part, data, offsets in common.slices(batch):
@@ -149,9 +149,11 @@ def _wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(sent) >= REMEMBERED:
                     sent.clear()
                 sent.add(node)
+            top = (runs >> np.uint64(32)).astype(np.uint32)  # half the bytes; runs ascend within a row
             keep = ~again[rows]
+            keep[1:] &= (top[1:] != top[:-1]) | (rows[1:] != rows[:-1])
             cuts = np.searchsorted(rows[keep], np.arange(part.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(runs[keep].view(np.int64)), mask=pa.array(again))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(top[keep].view(np.int32)), mask=pa.array(again))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in columns), lists], names=["doc_id", "node", "c1", "c2", *_FPS, "runs"])
 
 
@@ -385,7 +387,7 @@ def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common.small_batches(spark)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     marks = ["c1", "c2", *_FPS]
-    marked = common.written(two.mapInArrow(_wording, "doc_id long, node long" + "".join(f", {c} long" for c in marks) + ", runs array<long>"), row_bytes=1 << 16)
+    marked = common.written(two.mapInArrow(_wording, "doc_id long, node long" + "".join(f", {c} long" for c in marks) + ", runs array<int>"), row_bytes=1 << 16)
     classes = common.written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in marks]))
     alike = common.written(classes.groupBy(*marks).agg(F.min("node").alias("node"), F.count("*").alias("n")))
     kinds = [alike.select("node", F.col(c).alias("fp"), "c1", "c2") for c in _FPS]

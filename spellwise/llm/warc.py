@@ -191,7 +191,10 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of the archives."""
+    """One row per record of the archives; a folder without records gives no rows.
+
+    A record that lacks a header has null there; an empty payload is empty, not null.
+    """
     common.small_batches(spark)
     return spark.read.format("binaryFile").load(folder).where("length > 0").select("content").mapInArrow(_parse_batches, RECORD_SCHEMA)
 

@@ -221,6 +221,27 @@ def test_toxicity_held_out(spark):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == r.held_out for r in got.limit(500).collect())
 
 
+def test_toxicity_scores_of_the_query(spark):
+    """Each score is that of the fitted weights over the words, neighbours and skip-pairs of the whole text, found one by one."""
+    labels = common.table(spark, SF, "labels")
+    weights = toxicity.train(common.table(spark, SF, "documents"), labels, ~toxicity.held_out(F.col("doc_id")))
+    value = dict(zip(weights.index.tolist(), weights.value.tolist(), strict=True))
+    hashed = lambda word: common.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]
+    top = lambda h: int(h) >> (64 - toxicity.BITS)
+    kinds = [np.uint64(k) for k in toxicity._KINDS]
+    docs = documents(spark)
+    for r in queries.op3_toxicity(spark, SF).collect():
+        low = (docs[r.doc_id].text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+        words = [hashed(w) for w in re.findall(rb"[a-z\x80-\xff]+", low)]
+        with np.errstate(over="ignore"):
+            found = {top(w * kinds[0]) for w in words}
+            for gap in (1, 2):
+                found |= {top(common.mix(np.array([a * kinds[gap] + b]))[0]) for a, b in zip(words, words[gap:], strict=False)}
+        total = weights.intercept + sum(value.get(k, 0.0) for k in found)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-5)
+        assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (9, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd, labels).collect()
@@ -478,6 +499,36 @@ def test_n_best_is_exact(model, text):
         assert sum(segmenter.pieces.score_of[other]) == pytest.approx(score - loss)
 
 
+def best_scores(pieces, text, n):
+    """The n best scores of all segmentations, from the n best of each beginning of the text."""
+    lattice = nbest.Lattice(pieces, [text])
+    best = [[0.0], *([] for _ in text)]
+    for i in range(len(text)):
+        best[i] = sorted(best[i], reverse=True)[:n]
+        for k in range(1, min(len(lattice.score), len(text) - i) + 1):
+            if lattice.score[k - 1, i] > -np.inf:
+                best[i + k] += [b + lattice.score[k - 1, i] for b in best[i]]
+    return sorted(best[-1], reverse=True)[:n]
+
+
+def test_n_best_of_the_documents(spark, model):
+    """The four best scores of documents of the table, by plain dynamic programming over whole texts; each alternative is another segmentation of them."""
+    pieces, docs = nbest._pieces(model), documents(spark)
+    rows = sorted(queries.op6_sentencepiece_n_best(spark, SF).collect(), key=lambda r: len(docs[r.doc_id].text or ""))
+    assert len(rows) == len(docs)
+    for r in rows[:100]:
+        text = docs[r.doc_id].text or ""
+        if not text:
+            assert r.ids == [] and r.n_tokens == 0
+            continue
+        assert [r.score, *(o.score for o in r.alternatives)] == pytest.approx(best_scores(pieces, " " + text, 4))
+        seen = {tuple(r.ids)}
+        for o in r.alternatives:
+            other = nbest.apply_swaps(list(r.ids), [{"token": w.token, "drop": w.drop, "ids": list(w.ids)} for w in o.swaps])
+            assert len(other) == o.n_tokens and nbest.decode(pieces, np.array(other)).decode() == text and tuple(other) not in seen
+            seen.add(tuple(other))
+
+
 def test_unspaced_scripts_fall_apart(model):
     """A long text without spaces takes seconds, and segments as the whole lattice does."""
     rnd = random.Random(4)
