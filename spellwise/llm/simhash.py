@@ -375,7 +375,7 @@ def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node and component_id, the smallest doc_id that links between documents of like wording reach.
 
-    Two documents link if the sets of their 5-word shingles have a Jaccard similarity of 0.8 or more.  Candidates are those of which
+    Two documents link if the sets of their 5-word shingles, told by 32-bit hashes, have a Jaccard similarity of 0.8 or more.  Candidates are those of which
     one kind of fingerprints of distinct words differs in WORD_BITS bits at most and the 128 bits of shingles in SHINGLE_BITS; in
     dense cells, links that connect as much as all candidates do at each of TIERS.  So a pair may be missed, but none below 0.8
     links; a component holds chains of links.  Documents of equal sets of shingles are one node, so copies are never
