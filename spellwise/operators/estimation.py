@@ -22,6 +22,7 @@ class Fit:
     n: int
     dof: int
     r_squared: float
+    kept: list[int] | None = None  # columns that the earlier ones do not explain; None: not told
 
     def row(self, name: str) -> tuple[float, float]:
         k = self.names.index(name)
@@ -189,7 +190,7 @@ def least_squares(rows: DataFrame, y: Column, x: dict[str, Column], weight: Colu
     beta, inverse, kept = solved(a, b)
     rss = max(0.0, (r.yy or 0.0) - 2 * beta @ b + beta @ a @ beta)
     dof = r.n - len(kept) - absorbed
-    tss = r.yy - r.sy**2 / r.sw if centred else r.yy
+    tss = ((r.yy or 0.0) - (r.sy**2 / r.sw if r.sw else 0.0)) if centred else r.yy or 0.0
     if cluster is None:
         covariance = inverse * (rss / dof if dof > 0 else float("nan"))
     else:
@@ -200,7 +201,7 @@ def least_squares(rows: DataFrame, y: Column, x: dict[str, Column], weight: Colu
         for i, j in pairs:
             meat[i, j] = meat[j, i] = m[f"m{i}_{j}"]
         covariance = inverse @ meat @ inverse * (m.groups / max(1, m.groups - 1))
-    return Fit(names, beta, covariance, r.n, dof, float(1 - rss / tss) if tss else 0.0)
+    return Fit(names, beta, covariance, r.n, dof, float(1 - rss / tss) if tss else 0.0, kept)
 
 
 def did_panel(panel: DataFrame, treat: str = "is_treated", period: str = "period") -> DataFrame:

@@ -44,18 +44,25 @@ def _fit(rows: DataFrame, outcome: str, order: int, kernel: str, h: float, covar
     return least_squares(inside, F.col(outcome), x, kernel_weight(kernel, h))
 
 
-def _estimate(b: float, se: float, df: int, alpha: float) -> dict:
+def _jump(fit: Fit) -> tuple[float | None, float | None]:
+    """The jump and its error; None where the bandwidth has rows on one side only, which no jump follows from."""
+    return fit.row("above") if fit.names.index("above") in fit.kept else (None, None)
+
+
+def _estimate(b: float | None, se: float | None, df: int, alpha: float) -> dict:
+    if b is None:
+        return {"parameter": "treatment_effect"} | dict.fromkeys(("estimate", "std_error", "t_statistic", "p_value", "ci_lower", "ci_upper"))
     t = b / se if se else float("nan")
     half = stats.t_quantile(1 - alpha / 2, df) * se if df > 0 else float("nan")
     return {"parameter": "treatment_effect", "estimate": b, "std_error": se, "t_statistic": t, "p_value": stats.t_sf2(t, df), "ci_lower": b - half, "ci_upper": b + half}
 
 
 def sharp(rows: DataFrame, outcome: str, running: str, cutoff: float, order: int = 1, kernel: str = "triangular", h: float | None = None, method: str = "mserd", covariates: list[str] | None = None, alpha: float = 0.05) -> dict:
-    """The jump at the cutoff by local polynomial weighted least squares."""
+    """The jump at the cutoff by local polynomial weighted least squares; None if the bandwidth has rows on one side only."""
     own = centred(rows, running, cutoff, outcome, *(covariates or []))
     h = h or bandwidth(own, method).first().bandwidth
     fit = _fit(own, outcome, order, kernel, h, covariates)
-    b, se = fit.row("above")
+    b, se = _jump(fit)
     return _estimate(b, se, fit.dof, alpha) | {"bandwidth": h, "n_total": fit.n, "r_squared": fit.r_squared}
 
 
@@ -118,7 +125,7 @@ class Moments:
         rss = max(0.0, yy - 2 * beta @ b + beta @ a @ beta)
         dof = n - len(kept)
         tss = yy - sy**2 / sw if sw else 0.0
-        return Fit(names, beta, inverse * (rss / dof if dof > 0 else float("nan")), n, dof, float(1 - rss / tss) if tss else 0.0)
+        return Fit(names, beta, inverse * (rss / dof if dof > 0 else float("nan")), n, dof, float(1 - rss / tss) if tss else 0.0, kept)
 
 
 def _spread(rows: DataFrame) -> tuple[float, float, float]:
@@ -136,7 +143,7 @@ def robustness(rows: DataFrame, outcome: str, running: str, cutoff: float, multi
     out = []
     for check, value, order, kernel, width in runs:
         fit = moments.fit(0, width, order, kernel)
-        out.append({"check": check, "value": str(value)} | _estimate(*fit.row("above"), fit.dof, alpha) | {"bandwidth": width, "n_total": fit.n, "r_squared": fit.r_squared})
+        out.append({"check": check, "value": str(value)} | _estimate(*_jump(fit), fit.dof, alpha) | {"bandwidth": width, "n_total": fit.n, "r_squared": fit.r_squared})
     return out
 
 
@@ -150,7 +157,7 @@ def placebo(rows: DataFrame, outcome: str, running: str, cutoff: float, cutoffs:
     for k, c in enumerate(cutoffs):
         if moments.rows_within(k, h) >= least_rows:
             fit = moments.fit(k, h, 1, "triangular")
-            out.append({"cutoff": c} | _estimate(*fit.row("above"), fit.dof, alpha) | {"bandwidth": h, "n_total": fit.n, "r_squared": fit.r_squared})
+            out.append({"cutoff": c} | _estimate(*_jump(fit), fit.dof, alpha) | {"bandwidth": h, "n_total": fit.n, "r_squared": fit.r_squared})
     return out
 
 

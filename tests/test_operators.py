@@ -571,3 +571,11 @@ def test_recommendations_name_what_is_off(spark):
     assert len(events.recommendations(quality, balance)) == 3  # nearly all treated, unlike, values missing
     none = events.data_quality(rows.limit(0))
     assert none.first().completeness is None and events.recommendations(none) == []
+
+
+def test_a_bandwidth_with_rows_on_one_side_has_no_jump(spark):
+    df = spark.createDataFrame([(float(x), 1.0 + x) for x in range(1, 11) for _ in range(25)], "x double, y double")
+    assert rdd.sharp(df, "y", "x", 5.0, h=0.7)["estimate"] is None
+    assert [r["estimate"] for r in rdd.robustness(df, "y", "x", 5.0, (0.1,), (1,), ())][:1] == [None]
+    found = rdd.placebo(df.unionAll(spark.createDataFrame([(5.0, 6.0)] * 40000, df.schema)), "y", "x", 5.0, [3.0, 5.0])
+    assert [(r["cutoff"], r["estimate"]) for r in found] == [(3.0, None), (5.0, None)]
