@@ -67,11 +67,13 @@ def sharp(rows: DataFrame, outcome: str, running: str, cutoff: float, order: int
 
 
 def fuzzy(rows: DataFrame, outcome: str, treatment: str, running: str, cutoff: float, order: int = 1, kernel: str = "triangular", h: float | None = None, method: str = "mserd", alpha: float = 0.05) -> dict:
-    """The Wald ratio of the jumps of outcome and treatment, with the delta-method error."""
+    """The Wald ratio of the jumps of outcome and treatment, with the delta-method error; None if the bandwidth has rows on one side only."""
     own = centred(rows, running, cutoff, outcome, treatment).withColumn("__t", F.col(treatment).cast("double"))
     h = h or bandwidth(own, method).first().bandwidth
     first, reduced = _fit(own, "__t", order, kernel, h, None), _fit(own, outcome, order, kernel, h, None)
-    (fs, se_fs), (rf, se_rf) = first.row("above"), reduced.row("above")
+    (fs, se_fs), (rf, se_rf) = _jump(first), _jump(reduced)
+    if fs is None:
+        return _estimate(None, None, first.dof, alpha) | {"bandwidth": h, "first_stage": None, "n_total": reduced.n}
     if abs(fs) < 1e-10:
         raise ValueError("the first stage is too weak")
     b = rf / fs

@@ -579,3 +579,12 @@ def test_a_bandwidth_with_rows_on_one_side_has_no_jump(spark):
     assert [r["estimate"] for r in rdd.robustness(df, "y", "x", 5.0, (0.1,), (1,), ())][:1] == [None]
     found = rdd.placebo(df.unionAll(spark.createDataFrame([(5.0, 6.0)] * 40000, df.schema)), "y", "x", 5.0, [3.0, 5.0])
     assert [(r["cutoff"], r["estimate"]) for r in found] == [(3.0, None), (5.0, None)]
+
+
+def test_a_fuzzy_jump_without_rows_on_one_side_is_null_and_does_not_raise(spark):
+    df = spark.createDataFrame([(float(x), 1.0 + x, int(x >= 5)) for x in range(1, 11) for _ in range(5)], "x double, y double, t int")
+    found = rdd.fuzzy(df, "y", "t", "x", 5.0, h=0.7)
+    assert found["estimate"] is None and found["first_stage"] is None and found["n_total"] == 5
+    assert rdd.fuzzy(df, "y", "t", "x", 5.5, h=0.2)["n_total"] == 0
+    with pytest.raises(ValueError, match="weak"):
+        rdd.fuzzy(df.withColumn("t", F.lit(1)), "y", "t", "x", 5.0, h=2.5)
