@@ -61,7 +61,12 @@ def _bin(df: DataFrame, v: str, bins: int, cuts: list[float] | None) -> Column:
 
 
 def strata(persons: DataFrame, variables: list[str], treatment: str = "is_treated", bins: int = 5, cuts: dict[str, list[float]] | None = None) -> DataFrame:
-    """persons with strata_id and the numbers of treated and control persons in it."""
+    """persons with strata_id and the numbers of treated and control persons in it.
+
+    Where values set the bins persons is written once: the values that are cut are the very ones that set the cuts.
+    """
+    if any(_numeric(persons, v) and v not in (cuts or {}) for v in variables):
+        persons = tables.written(persons)
     labels = [_bin(persons, v, bins, (cuts or {}).get(v)) for v in variables]
     rows = persons.withColumn("strata_id", F.concat_ws("_|_", *labels))
     t = F.col(treatment).cast("int")

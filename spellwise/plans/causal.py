@@ -72,7 +72,8 @@ add("control_groups", lambda s, d: V.control_groups(_events(s, d).select("cf", "
 # --- matching ----------------------------------------------------------------------------------------------------------
 def _persons(s: SparkSession, d: str) -> DataFrame:
     """Customers with their orders' figures; treated are those with a negative balance."""
-    orders = A.table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.avg(F.col("o_totalprice") / 1000).alias("mean_price"))
+    price = F.sum(F.col("o_totalprice").cast("decimal(28, 10)")).cast("double") / 1000  # a sum that does not depend on the order of rows
+    orders = A.table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), (price / F.count("o_totalprice")).alias("mean_price"))
     rows = A.table(s, d, "customer").join(orders, "c_custkey")
     return rows.select(F.col("c_custkey").alias("cf"), (F.col("c_acctbal") < 2000).alias("is_treated"), F.col("c_mktsegment").alias("area"), F.col("c_nationkey").alias("nation"), "n_orders", "mean_price")
 

@@ -588,3 +588,14 @@ def test_a_fuzzy_jump_without_rows_on_one_side_is_null_and_does_not_raise(spark)
     assert rdd.fuzzy(df, "y", "t", "x", 5.5, h=0.2)["n_total"] == 0
     with pytest.raises(ValueError, match="weak"):
         rdd.fuzzy(df.withColumn("t", F.lit(1)), "y", "t", "x", 5.0, h=2.5)
+
+
+def test_mean_prices_of_persons_do_not_depend_on_the_order_of_rows(spark, sf, tmp_path):
+    from spellwise.plans import causal
+
+    orders, customers = adapters.table(spark, sf, "orders").coalesce(1), adapters.table(spark, sf, "customer")
+    copies = [orders.orderBy(F.xxhash64("o_orderkey", F.lit(k))).withColumn("o_custkey", F.col("o_custkey") * 4 + k).coalesce(1) for k in range(4)]
+    copies[0].unionAll(copies[1]).unionAll(copies[2]).unionAll(copies[3]).write.parquet(f"{tmp_path}/orders.parquet")
+    customers.withColumn("c_custkey", F.explode(F.array(*[F.col("c_custkey") * 4 + k for k in range(4)]))).write.parquet(f"{tmp_path}/customer.parquet")
+    means = causal._persons(spark, str(tmp_path)).groupBy(F.floor(F.col("cf") / 4)).agg(F.count_distinct("mean_price").alias("n"))
+    assert {r.n for r in means.collect()} == {1}
