@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,21 @@ from ..functions import columns as C
 
 ATTRIBUTES = (C.CONTRACT, "retribuzione", "prior", "stato", "id")
 
+#: Contracts of a task, about.
+PART_ROWS = 100_000
+#: Tables of at most so many contracts are left to Spark, which joins small partitions.
+FEW_ROWS = 1_000_000
+
+
+def _by_person(rows: DataFrame, count: int) -> DataFrame:
+    """rows partitioned by person.  Partitions of many rows are numbered, so that Spark does not join them to a few per core.
+
+    All that follows by person runs in the tasks of this shuffle; its memory follows the rows of a part, not those of the table.
+    """
+    if count <= FEW_ROWS:
+        return rows.repartition("cf")
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / PART_ROWS)), "cf")
+
 
 def sweep(contracts: DataFrame) -> DataFrame:
     """cf, inizio, fine, arco, over_id, durata: time cut at each start and end, with the number of contracts in force.
@@ -16,7 +33,7 @@ def sweep(contracts: DataFrame) -> DataFrame:
     arco 0 is unemployment between contracts; over_id numbers the spans of employment.  One shuffle by person
     serves the sums, the windows and whatever person-level work follows.
     """
-    rows = contracts.where("fine >= inizio").select("cf", "inizio", "fine").repartition("cf")
+    rows = _by_person(contracts.where("fine >= inizio").select("cf", "inizio", "fine"), contracts.count())
     edges = rows.select("cf", F.explode(F.array(F.struct(F.col("inizio").alias("d"), F.lit(1).alias("step")), F.struct(F.date_add("fine", 1).alias("d"), F.lit(-1).alias("step")))).alias("e"))
     days = edges.groupBy("cf", F.col("e.d").alias("inizio")).agg(F.sum("e.step").alias("step"))
     order = Window.partitionBy("cf").orderBy("inizio")

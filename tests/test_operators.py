@@ -599,3 +599,12 @@ def test_mean_prices_of_persons_do_not_depend_on_the_order_of_rows(spark, sf, tm
     customers.withColumn("c_custkey", F.explode(F.array(*[F.col("c_custkey") * 4 + k for k in range(4)]))).write.parquet(f"{tmp_path}/customer.parquet")
     means = causal._persons(spark, str(tmp_path)).groupBy(F.floor(F.col("cf") / 4)).agg(F.count_distinct("mean_price").alias("n"))
     assert {r.n for r in means.collect()} == {1}
+
+
+def test_parts_by_person_follow_the_number_of_contracts(spark, sf, monkeypatch):
+    rows = adapters.contracts(spark, sf)
+    expected = sorted(map(str, segments.build_segments(rows).collect()))
+    monkeypatch.setattr(segments, "FEW_ROWS", 100)
+    monkeypatch.setattr(segments, "PART_ROWS", 50)
+    assert segments.sweep(rows).rdd.getNumPartitions() == math.ceil(rows.count() / 50)  # not joined to a few by their size
+    assert sorted(map(str, segments.build_segments(rows).collect())) == expected
