@@ -6,15 +6,13 @@ hence within 1 in one of its halves (16 segments each), and those that differ in
 The grid range join deals each fingerprint to the cell of each part, and those with an even count also to the cells one
 step away; what meets in a cell passes the Manhattan bound and is then verified by its bits.
 
-Documents of like wording, of a 5-word Jaccard similarity of 0.8 or more, are found the same way from fingerprints of
-their distinct words, which move less under edits than those of shingles.  Three independent fingerprints are joined, since
-a pair that one of them parts is often near in another; 128 bits made from the 5-word shingles leave most other pairs out, and
-what is left is verified exactly, by the sets of shingles of both.
+Documents of like wording, of a 5-word Jaccard similarity of 0.8 or more, are found exactly.  In any one order of all shingles, two such
+sets share one of the first fifth of each (prefix filter), so documents meet at the shingles of their prefixes.  Frequent shingles
+stand last in the order.  What meets and can still reach the similarity by sizes and places is verified by the sets of shingles of both.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +26,8 @@ from .components import components
 
 #: Bits in which linked fingerprints may differ.
 MAX_BITS = 3
-#: The same for fingerprints of distinct words, and how many of the 128 bits of 5-word shingles may differ besides.  Sets
-#: of Jaccard similarity 0.8 differ in 19 of 128 bits on average.
-WORD_BITS, SHINGLE_BITS = 5, 28
+#: Links of rows with two check words: how many of their 128 bits may differ besides.
+SHINGLE_BITS = 28
 #: Of the candidates of a large cell that are at most so many bits apart, links that connect as much as all of them stay.
 TIERS = (4, 8, 12, 16, 20, 24, SHINGLE_BITS)
 #: Jaccard similarity of linked documents, as a fraction.
@@ -40,8 +37,8 @@ HUB_PARTS = 16
 #: Classes of documents that a task remembers to have sent the shingles of.
 REMEMBERED = 1 << 17
 SHINGLE_WORDS = 5
-#: Independent fingerprints of distinct words: a pair within WORD_BITS in any of them is a candidate.
-WORD_KINDS = (0, 0x9E3779B97F4A7C15, 0x165667B19E3779F9)
+#: Shingles that two or more of about so many sets share stand last in the order of shingles, at most so many of them.
+ORDER_SETS, ORDER_LAST = 1 << 14, 1 << 18
 #: Fingerprints of a cell that a task holds at once; larger cells are dealt to several groups, each seeing all the rest.
 CELL_HOMES = 2048
 _LANES = np.uint64(0x5555555555555555)
@@ -89,18 +86,6 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
     return two.mapInArrow(_fingerprinter(words, seed), "doc_id long, fp long")
 
 
-def _bit_majority(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The 64-bit fingerprint of each of n rows from the hashes of its features (rows ascending); zero without any."""
-    out = np.zeros(n, np.uint64)
-    heads = np.searchsorted(rows, np.arange(n + 1))
-    full = np.flatnonzero(np.diff(heads))
-    if len(full):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, heads[full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > np.diff(heads)[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
-
-
 def _distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each hash once a row."""
     order = np.lexsort((hashes, rows))
@@ -109,11 +94,8 @@ def _distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], rows[first]
 
 
-def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Columns of each row, and the distinct runs of SHINGLE_WORDS words in lower case with their rows.
-
-    The columns are a hash of the set of runs (0 without any), two fingerprints of the runs, and those of WORD_KINDS of the distinct words.
-    """
+def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of the set of runs of SHINGLE_WORDS words in lower case of each row (0 without any), and the distinct runs with their rows."""
     n = len(offsets) - 1
     low = common.LOWER[data]
     starts, ends, counts = common.word_bounds(low, offsets, common.WHITE)
@@ -129,22 +111,20 @@ def wording(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np
         whole = np.zeros(n, np.uint64)
         np.add.at(whole, rows, common.mix(words + (np.arange(len(words)) - counts[rows]).astype(np.uint64)))
         runs, run_rows = np.concatenate([runs, whole[few]]), np.concatenate([run_rows, few])
-    words, rows = _distinct(words, rows)
     runs, run_rows = _distinct(runs, run_rows)
     sums = np.zeros(n, np.uint64)
     np.add.at(sums, run_rows, common.mix(runs))
-    checks = _bit_majority(runs, run_rows, n), _bit_majority(common.mix(runs ^ np.uint64(0xC2B2AE3D27D4EB4F)), run_rows, n)
-    return [sums, *checks, *(_bit_majority(common.mix(words ^ np.uint64(kind)) if kind else words, rows, n) for kind in WORD_KINDS)], runs, run_rows
+    return sums, runs, run_rows
 
 
 def _wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The columns of wording, and the high halves of the hashes of a row's runs; copies met again in a task send none."""
+    """The hash of a row's runs, and the high halves of their hashes; copies met again in a task send none."""
     sent: set[int] = set()
     for batch in batches:
         for part, data, offsets in common.slices(batch):
-            columns, runs, rows = wording(data, offsets)
+            nodes, runs, rows = wording(data, offsets)
             again = np.zeros(part.num_rows, bool)
-            for k, node in enumerate(columns[0].tolist()):
+            for k, node in enumerate(nodes.tolist()):
                 again[k] = node in sent
                 if len(sent) >= REMEMBERED:
                     sent.clear()
@@ -154,10 +134,7 @@ def _wording(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[1:] &= (top[1:] != top[:-1]) | (rows[1:] != rows[:-1])
             cuts = np.searchsorted(rows[keep], np.arange(part.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(top[keep].view(np.int32)), mask=pa.array(again))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in columns), lists], names=["doc_id", "node", "c1", "c2", *_FPS, "runs"])
-
-
-_FPS = [f"fp{k}" for k in range(len(WORD_KINDS))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes.view(np.int64)), lists], names=["doc_id", "node", "runs"])
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -372,13 +349,58 @@ def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return one.join(hubs, ["v", "part"]).where(SIMILAR[1] * both >= SIMILAR[0] * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
+def _prefixes(last: np.ndarray, place: np.ndarray):
+    """Each set's first runs in the order of hashes, but for the runs of `last` (ascending), which stand behind by their `place`.
+
+    Of two sets that reach SIMILAR neither has all their common runs among those left out here.
+    """
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("runs")
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            runs = lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            if len(last) and len(runs):
+                at = np.minimum(np.searchsorted(last, runs), len(last) - 1)
+                behind = np.where(last[at] == runs, place[at], 0).astype(np.uint64)
+            else:
+                behind = np.zeros(len(runs), np.uint64)
+            order = np.lexsort((behind << np.uint64(32) | runs, rows))
+            position = np.arange(len(runs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = sizes - -(-SIMILAR[0] * sizes // SIMILAR[1]) + 1
+            first = position < kept[rows]
+            who = rows[first]
+            columns = [pa.array(runs[order][first].astype(np.uint32).view(np.int32)), batch.column("node").take(pa.array(who)), pa.array(sizes[who].astype(np.int32)), pa.array(position[first].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["run", "node", "n", "at"])
+
+    return prefix
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Pairs u, v of sets (node and runs, a row a node): all whose Jaccard similarity is SIMILAR or more, and others that share a run of both prefixes."""
+    share = min(1.0, ORDER_SETS / max(1, sets.count()))
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = some.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    frequent = counts.orderBy(F.desc("n"), "run").limit(ORDER_LAST).select("run")  # the order follows from them, not what is found
+    found = np.array([r.run for r in frequent.collect()], np.int32).view(np.uint32).astype(np.uint64)
+    place = np.arange(len(found), 0, -1).astype(np.uint64)  # the most frequent one is the very last
+    order = np.argsort(found)
+    prefixes = common.written(sets.mapInArrow(_prefixes(found[order], place[order]), "run int, node long, n int, at int"))
+    a = prefixes.select("run", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("au"))
+    b = prefixes.select("run", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("av"))
+    once = (F.col("nu") < F.col("nv")) | (F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v"))
+    sizes = SIMILAR[1] * F.col("nu") >= SIMILAR[0] * F.col("nv")
+    # of the first common run of two prefixes: what both have left must do; an intersection of s / (1 + s) of both sizes is asked
+    left = (SIMILAR[0] + SIMILAR[1]) * F.least(F.col("nu") - F.col("au"), F.col("nv") - F.col("av")) >= SIMILAR[0] * (F.col("nu") + F.col("nv"))
+    return a.join(b, "run").where(once & sizes & left).select("u", "v").distinct()
+
+
 def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node and component_id, the smallest doc_id that links between documents of like wording reach.
 
-    Two documents link if the sets of their 5-word shingles, told by 32-bit hashes, have a Jaccard similarity of 0.8 or more.  Candidates are those of which
-    one kind of fingerprints of distinct words differs in WORD_BITS bits at most and the 128 bits of shingles in SHINGLE_BITS; in
-    dense cells, links that connect as much as all candidates do at each of TIERS.  So a pair may be missed, but none below 0.8
-    links; a component holds chains of links.  Documents of equal sets of shingles are one node, so copies are never
+    Two documents link if and only if the sets of their 5-word shingles, told by 32-bit hashes, have a Jaccard similarity of 0.8 or more: each such
+    pair is a candidate and verified.  A component holds chains of links.  Documents of equal sets of shingles are one node, so copies are never
     paired.  Texts without words, null ones too, are copies of each other; texts under SHINGLE_WORDS words are one shingle; each
     repeated row has its own result row, those of one id and text in one component; a null id does not name a component (it is null if
     no other id is there); an empty table gives no rows; other columns are not read.
@@ -386,16 +408,12 @@ def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     common.small_batches(spark)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    marks = ["c1", "c2", *_FPS]
-    marked = common.written(two.mapInArrow(_wording, "doc_id long, node long" + "".join(f", {c} long" for c in marks) + ", runs array<int>"), row_bytes=1 << 16)
-    classes = common.written(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in marks]))
-    alike = common.written(classes.groupBy(*marks).agg(F.min("node").alias("node"), F.count("*").alias("n")))
-    kinds = [alike.select("node", F.col(c).alias("fp"), "c1", "c2") for c in _FPS]
-    stars = classes.withColumnRenamed("node", "u").join(alike.where("n > 1").withColumnRenamed("node", "v"), marks).where("u <> v").select("u", "v")
-    with common.narrow_batches(spark):
-        pairs = common.written(functools.reduce(DataFrame.unionAll, [*(links(fps, WORD_BITS) for fps in kinds), stars]).distinct())
-    similar = common.written(_similar(pairs, marked))
-    return marked.select("doc_id", "node").join(_named(classes.select("node", "least"), similar), "node").select("doc_id", "node", "component_id")
+    marked = common.written(two.mapInArrow(_wording, "doc_id long, node long, runs array<int>"), row_bytes=1 << 16)
+    classes = common.written(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
+    sets = common.written(marked.where("runs IS NOT NULL").select("node", "runs").groupBy("node").agg(F.first("runs").alias("runs")), row_bytes=1 << 16)
+    pairs = common.written(_candidates(sets))
+    similar = common.written(_similar(pairs, sets))
+    return marked.select("doc_id", "node").join(_named(classes, similar), "node").select("doc_id", "node", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -951,3 +951,30 @@ def test_shared_folder_needs_a_setting_on_a_cluster():
 
     with pytest.raises(ValueError):
         common.shared_folder(Cluster())
+
+
+def test_like_documents_links_every_pair_that_is_alike(spark, monkeypatch):
+    """The components are those of all pairs of a 5-word Jaccard similarity of 0.8 or more, in a family of many edits and beside it."""
+    if hasattr(simhash, "ORDER_SETS"):
+        monkeypatch.setattr(simhash, "ORDER_SETS", 50)  # the order of shingles is no part of the result
+    rnd, words = random.Random(4), [f"w{k}" for k in range(400)]
+    rows = []
+    for family in range(60):
+        base = [rnd.choice(words) for _ in range(rnd.randint(20, 120))]
+        for _ in range(60 if family == 0 else rnd.randint(1, 4)):
+            edited = [*base]
+            for _ in range(rnd.randint(0, max(1, len(base) // 40))):
+                edited[rnd.randrange(len(base))] = rnd.choice(words)
+            rows.append((len(rows), " ".join([*words[:12], *edited][: rnd.randint(len(base), len(base) + 12)])))
+    runs = {d: runs_of(t, 5) for d, t in rows}
+    least = {d: d for d in runs}
+    for a in runs:
+        for b in range(a):
+            if jaccard(runs[a], runs[b]) >= 0.8 and least[a] != least[b]:
+                low, high = sorted((least[a], least[b]))
+                least = {d: low if c == high else c for d, c in least.items()}
+    assert len(set(least.values())) < len(rows) - 80
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.like_documents(df).collect()}
+    wrong = sum(got[d] != least[d] for d in least)
+    assert wrong == 0, f"{wrong} of {len(rows)} documents"
