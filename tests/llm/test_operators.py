@@ -966,6 +966,13 @@ def test_like_documents_links_every_pair_that_is_alike(spark, monkeypatch):
             for _ in range(rnd.randint(0, max(1, len(base) // 40))):
                 edited[rnd.randrange(len(base))] = rnd.choice(words)
             rows.append((len(rows), " ".join([*words[:12], *edited][: rnd.randint(len(base), len(base) + 12)])))
+    for _ in range(150):  # copies that are edited until the next edit would part them
+        base = [rnd.choice(words) for _ in range(rnd.randint(60, 150))]
+        last = edited = [*base]
+        while jaccard(runs_of(" ".join(base), 5), runs_of(" ".join(edited), 5)) >= 0.8:
+            last, edited = edited, [*edited]
+            edited[rnd.randrange(len(base))] = rnd.choice(words)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(last))]
     runs = {d: runs_of(t, 5) for d, t in rows}
     least = {d: d for d in runs}
     for a in runs:
