@@ -12,7 +12,9 @@ and each range partition of document ids also leaves a manifest of MANIFEST_BYTE
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,10 +32,12 @@ _HEAD, _MANIFEST = "<4sIIQQQB", "<4sIIQQ"
 MANIFEST_BYTES = struct.calcsize(_MANIFEST) + 1  # the text writer ends each record with a line feed
 #: Ids of a shard before it is closed; a longer document makes its shard longer.
 SHARD_IDS = 1 << 22
-#: Distinct pieces of text whose ids a worker remembers.
+#: Distinct pieces of text whose ids a worker remembers, by 64-bit hashes.
 CACHE_PIECES = 400_000
 #: Bytes of text encoded at once: each distinct piece in them is looked up or encoded once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
+#: Pieces that the tokenizer gets at once: what it returns takes about a kilobyte each.
+ENCODE_PIECES = 8192
 
 
 class EliasFano:
@@ -166,40 +170,55 @@ class Encoder:
         self.tokenizer = _tokenizer(spec)
         self.by_pieces = cuts_hold(spec)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+        self._forget()
+
+    def _forget(self) -> None:
+        """The pieces met so far: ascending hashes, and where the ids of each stand in one array."""
+        self.hashes, self.heads, self.lengths, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        flat, lengths = [np.zeros(0, np.uint32)], []
+        for k in range(0, len(texts), ENCODE_PIECES):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts[k : k + ENCODE_PIECES]], add_special_tokens=False)]
+            lengths += map(len, found)
+            flat.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32))
+        return np.concatenate(flat), np.array(lengths, np.int64)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Encodes pieces with ascending hashes that were not met before."""
+        ids, lengths = self._ids(pieces)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.lengths = np.insert(self.hashes, at, hashes), np.insert(self.lengths, at, lengths)
+        self.heads = np.insert(self.heads, at, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's ids begin (one more at the end)."""
         whole = data.tobytes()
         starts = piece_cuts(data, offsets) if self.by_pieces else np.unique(offsets[offsets < len(data)])
         ends = np.append(starts[1:], len(data))
-        codes, _ = pd.factorize(common.span_hashes(data, starts, ends))
-        first = np.full(codes.max(initial=-1) + 1, -1)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        pieces = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        get = self.cache.get
-        known = [get(p) for p in pieces]
-        new = [i for i, k in enumerate(known) if k is None]
-        for i, ids in zip(new, self._ids([pieces[i] for i in new]), strict=True):
-            known[i] = self.cache[pieces[i]] = ids
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.concatenate([*known, np.zeros(0, np.uint32)])
-        heads = np.cumsum(lengths) - lengths
-        each = lengths[codes]
-        ids = flat[np.repeat(heads[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        codes, hashes = pd.factorize(common.span_hashes(data, starts, ends))
+        if len(self.hashes) > CACHE_PIECES:
+            self._forget()
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.flatnonzero((at == len(self.hashes)) | (np.append(self.hashes, np.uint64(0))[at] != hashes))
+        if len(new):
+            new = new[np.argsort(hashes[new])]
+            first = np.zeros(len(hashes), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            self._learn(hashes[new], [whole[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        at = np.searchsorted(self.hashes, hashes)
+        each = self.lengths[at][codes]
+        ids = self.flat[np.repeat(self.heads[at][codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
         ends_of_pieces = np.append(0, np.cumsum(each))
         bounds = ends_of_pieces[np.searchsorted(starts, offsets)]
         odd = [r for r in range(len(offsets) - 1) if any(s in whole[offsets[r] : offsets[r + 1]] for s in self.special)] if any(s in whole for s in self.special) else []
         if odd:  # the strings of special tokens are tokens too: such texts are encoded whole
             parts = [ids[bounds[r] : bounds[r + 1]] for r in range(len(offsets) - 1)]
-            for r, own in zip(odd, self._ids([whole[offsets[r] : offsets[r + 1]] for r in odd]), strict=True):
-                parts[r] = own
+            own, lengths = self._ids([whole[offsets[r] : offsets[r + 1]] for r in odd])
+            for r, part in zip(odd, np.split(own, np.cumsum(lengths)[:-1]), strict=True):
+                parts[r] = part
             ids, bounds = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
         return ids, bounds
 
@@ -237,6 +256,7 @@ _BLOB = pa.schema([("blob", pa.binary())])
 
 def _writer(spec, end_id: int, width: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads for short pieces cost more than they bring
         encoder, partition = Encoder(spec.value), TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
         size = shard = total = 0

@@ -628,6 +628,29 @@ def test_token_file(spark, odd, none, monkeypatch, tmp_path, shard_ids):
     assert tokenfile.token_file(none, path).count() == 0
 
 
+def test_encoder_asks_for_few_pieces_at_once(monkeypatch):
+    """However many new pieces a slice has, the tokenizer gets few of them at a time; what is remembered may go at any slice."""
+    rnd = random.Random(5)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        encoder = tokenfile.Encoder(f.read())
+    whole, asked = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            asked.append(len(texts))
+            return whole.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Counting()
+    monkeypatch.setattr(tokenfile, "CACHE_PIECES", 15_000)
+    texts = ["".join(rnd.choice("abcdefghij é.7\n") for _ in range(rnd.randint(0, 400))) for _ in range(2000)]
+    for part in (texts[:1500], texts[1000:], [], ["", ""], texts[:700]):
+        data, offsets = np.frombuffer("".join(part).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in part)])
+        ids, bounds = encoder.encode(data, offsets)
+        got = [ids[a:b].tolist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in part]
+    assert sum(asked) > 30_000 and max(asked) <= 8192
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------------
 def made_up(rnd, n):
     return " ".join("".join(rnd.choice("abcdefghijklmnoprstuvwé") for _ in range(rnd.randint(2, 9))) for _ in range(n))
