@@ -8,7 +8,8 @@ step away; what meets in a cell passes the Manhattan bound and is then verified
 
 Documents of like wording, of a 5-word Jaccard similarity of 0.8 or more, are found exactly.  In any one order of all shingles, two such
 sets share one of the first fifth of each (prefix filter), so documents meet at the shingles of their prefixes.  Frequent shingles
-stand last in the order.  What meets and can still reach the similarity by sizes and places is verified by the sets of shingles of both.
+stand last in the order.  What meets and can still reach the similarity by sizes and places is verified by the sets of shingles of both:
+neighbours in chains through each shingle first, then all that meets across the components of those.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,6 +40,10 @@ REMEMBERED = 1 << 17
 SHINGLE_WORDS = 5
 #: Shingles that two or more of about so many sets share stand last in the order of shingles, at most so many of them.
 ORDER_SETS, ORDER_LAST = 1 << 14, 1 << 18
+#: Orders of all documents that chains through a shared shingle follow.
+CHAINS = 3
+#: Bins of a sketch of a set of shingles, a power of two.
+BINS = 128
 #: Fingerprints of a cell that a task holds at once; larger cells are dealt to several groups, each seeing all the rest.
 CELL_HOMES = 2048
 _LANES = np.uint64(0x5555555555555555)
@@ -377,8 +382,38 @@ def _prefixes(last: np.ndarray, place: np.ndarray):
     return prefix
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Pairs u, v of sets (node and runs, a row a node): all whose Jaccard similarity is SIMILAR or more, and others that share a run of both prefixes."""
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many runs of each set fall into each of BINS bins, one byte each; 255 stands for that many or more."""
+    for batch in batches:
+        lists = batch.column("runs")
+        runs = lists.flatten().to_numpy().view(np.uint32).astype(np.int64)
+        rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        counts = np.bincount(rows * BINS + runs % BINS, minlength=len(lists) * BINS)
+        flat = np.minimum(counts, 255).astype(np.uint8).tobytes()
+        sketches = pa.array([flat[k : k + BINS] for k in range(0, len(flat), BINS)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), sketches], names=["node", "sketch"])
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops pairs whose bins alone leave too few common runs for SIMILAR; bins of 255 decide nothing."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a", "b"))
+        most, sizes = np.minimum(a, b).sum(1, dtype=np.int64), a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
+        stays = ((SIMILAR[0] + SIMILAR[1]) * most >= SIMILAR[0] * sizes) | (np.maximum(a, b) == 255).any(1)
+        yield batch.select(["u", "v"]).filter(pa.array(stays))
+
+
+def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs u, v that the sketches (node, sketch) do not rule out: sets are sent for those only."""
+    one = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
+    return one.join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(_screen, "u long, v long")
+
+
+def _met(sets: DataFrame) -> DataFrame:
+    """run, node, n and at of each prefix's runs that other sets hold in theirs, with the node before it in the chain of the run (before_, null for the first).
+
+    sets have node and runs; a node may repeat.  The chains of a run follow one of CHAINS orders of all nodes.
+    """
     share = min(1.0, ORDER_SETS / max(1, sets.count()))
     some = sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)))
     counts = some.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
@@ -386,21 +421,57 @@ def _candidates(sets: DataFrame) -> DataFrame:
     found = np.array([r.run for r in frequent.collect()], np.int32).view(np.uint32).astype(np.uint64)
     place = np.arange(len(found), 0, -1).astype(np.uint64)  # the most frequent one is the very last
     order = np.argsort(found)
-    prefixes = common.written(sets.mapInArrow(_prefixes(found[order], place[order]), "run int, node long, n int, at int"))
-    a = prefixes.select("run", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("au"))
-    b = prefixes.select("run", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("av"))
+    prefixes = sets.mapInArrow(_prefixes(found[order], place[order]), "run int, node long, n int, at int")
+    chain = Window.partitionBy("run").orderBy(F.xxhash64("node", F.pmod("run", F.lit(CHAINS))), "node")
+    met = prefixes.withColumns({f"before_{c}": F.lag(c).over(chain) for c in ("node", "n", "at")} | {"next": F.lead("node").over(chain)})
+    return common.written(met.where("coalesce(before_node <> node, next IS NOT NULL)").drop("next"))
+
+
+def _possible(n, at, m, place) -> Column:
+    """Whether sets of n and m runs can reach SIMILAR if their first common run has those places: an intersection of s / (1 + s) of both sizes is asked."""
+    sizes = SIMILAR[1] * F.least(n, m) >= SIMILAR[0] * F.greatest(n, m)
+    return sizes & ((SIMILAR[0] + SIMILAR[1]) * F.least(n - at, m - place) >= SIMILAR[0] * (n + m))
+
+
+def _chained(met: DataFrame) -> DataFrame:
+    """Pairs u, v of neighbours in chains."""
+    one, other = F.struct("n", "node"), F.struct(F.col("before_n").alias("n"), F.col("before_node").alias("node"))
+    pairs = met.where(_possible(F.col("n"), F.col("at"), F.col("before_n"), F.col("before_at")))
+    return pairs.select(F.least(one, other)["node"].alias("u"), F.greatest(one, other)["node"].alias("v")).distinct()
+
+
+def _across(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs u, v that share a run of both prefixes and can reach SIMILAR, but stand in different components of parts (node, component)."""
+    named = met.join(parts, "node", "left").select("run", "node", "n", "at", F.coalesce("component", "node").alias("part"))
+    apart = named.groupBy("run").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("run")
+    rest = common.written(named.join(apart, "run"))
+    a = rest.select("run", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("au"), F.col("part").alias("pu"))
+    b = rest.select("run", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("av"), F.col("part").alias("pv"))
     once = (F.col("nu") < F.col("nv")) | (F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v"))
-    sizes = SIMILAR[1] * F.col("nu") >= SIMILAR[0] * F.col("nv")
-    # of the first common run of two prefixes: what both have left must do; an intersection of s / (1 + s) of both sizes is asked
-    left = (SIMILAR[0] + SIMILAR[1]) * F.least(F.col("nu") - F.col("au"), F.col("nv") - F.col("av")) >= SIMILAR[0] * (F.col("nu") + F.col("nv"))
-    return a.join(b, "run").where(once & sizes & left).select("u", "v").distinct()
+    possible = _possible(F.col("nu"), F.col("au"), F.col("nv"), F.col("av"))
+    return a.join(b, "run").where(once & possible & (F.col("pu") != F.col("pv"))).select("u", "v").distinct()
+
+
+def _linked(sets: DataFrame) -> DataFrame:
+    """Edges u, v whose components are those of all pairs of sets (node and runs; a node may repeat) with a Jaccard similarity of SIMILAR or more.
+
+    Neighbours in the chains of shared runs are verified first.  They join nearly all of a family of like texts, whose other pairs would
+    change nothing; each candidate across the components so far is then verified, too, so no link between two of them is lost.
+    """
+    met = _met(sets)
+    sketches = common.written(sets.mapInArrow(_sketch, "node long, sketch binary").groupBy("node").agg(F.first("sketch").alias("sketch")))
+    first = common.written(_similar(common.written(_screened(_chained(met), sketches)), sets))
+    with common.narrow_batches(sets.sparkSession):
+        parts = common.written(components(first))
+    more = common.written(_similar(common.written(_screened(_across(met, parts), sketches)), sets))
+    return parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)
 
 
 def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node and component_id, the smallest doc_id that links between documents of like wording reach.
 
     Two documents link if and only if the sets of their 5-word shingles, told by 32-bit hashes, have a Jaccard similarity of 0.8 or more: each such
-    pair is a candidate and verified.  A component holds chains of links.  Documents of equal sets of shingles are one node, so copies are never
+    pair is verified, or stands in a component of verified ones already.  A component holds chains of links.  Documents of equal sets of shingles are one node, so copies are never
     paired.  Texts without words, null ones too, are copies of each other; texts under SHINGLE_WORDS words are one shingle; each
     repeated row has its own result row, those of one id and text in one component; a null id does not name a component (it is null if
     no other id is there); an empty table gives no rows; other columns are not read.
@@ -410,9 +481,7 @@ def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     marked = common.written(two.mapInArrow(_wording, "doc_id long, node long, runs array<int>"), row_bytes=1 << 16)
     classes = common.written(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
-    sets = common.written(marked.where("runs IS NOT NULL").select("node", "runs").groupBy("node").agg(F.first("runs").alias("runs")), row_bytes=1 << 16)
-    pairs = common.written(_candidates(sets))
-    similar = common.written(_similar(pairs, sets))
+    similar = common.written(_linked(marked.where("runs IS NOT NULL").select("node", "runs")))
     return marked.select("doc_id", "node").join(_named(classes, similar), "node").select("doc_id", "node", "component_id")
 
 

@@ -278,11 +278,14 @@ def _with_surroundings(keyed: DataFrame, found: DataFrame) -> DataFrame:
     return packed.mapInArrow(_extended, f"doc_id long, key long, spans {SPANS}").where(F.size("spans") > 0)
 
 
-def _passages(keyed: DataFrame) -> DataFrame:
-    """doc_id, key and spans of the rows with a passage."""
+def _passages(keyed: DataFrame, counted: bool = True) -> DataFrame:
+    """doc_id, key and spans of the rows with a passage.  Without `counted` no words are shuffled, and those of the spans mean nothing."""
     rows = windows(keyed)
-    again = rows.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
-    some = common.written(rows.join(again, "d1"))
+    if not counted:
+        rows = rows.withColumns({"word": F.lit(0), "words": F.lit(0)})
+    top = F.shiftrightunsigned("d1", 24)  # 40 bits tell nearly all that occur once; d1 and d2 decide below
+    again = rows.groupBy(top.alias("top")).agg(F.count("*").alias("n")).where("n > 1").select("top")
+    some = common.written(rows.join(again, top == F.col("top")).drop("top"))
     firsts = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "key", "at", "word")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     met = some.join(firsts, ["d1", "d2"]).where((F.col("key") != F.col("first.key")) | (F.col("at") != F.col("first.at")))
     later = met.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "word", "chars", "words", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "key", "at", "word")])).alias("later"))
@@ -341,7 +344,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With drop_emptied a row whose text had words and lost all of them goes.  Rows of one id and one text lose the same;
     null ids and null or empty texts are left alone; an empty table gives no rows.
     """
-    spans = common.written(_passages(_keyed(docs, id_col, text_col)).select(F.col("key").alias("__key"), "spans"))
+    spans = common.written(_passages(_keyed(docs, id_col, text_col), counted=False).select(F.col("key").alias("__key"), "spans"))
     rest = F.struct(*[docs[c] for c in docs.columns if c != text_col], F.lit(0).alias("__none"))
     rows = docs.select(rest.alias("rest"), docs[text_col].cast("string").alias("text"), F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))).alias("key"))
     packed = rows.join(spans, F.col("key") == F.col("__key"), "left").select("rest", "text", "spans")

@@ -1008,3 +1008,44 @@ def test_like_documents_links_every_pair_that_is_alike(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.like_documents(df).collect()}
     wrong = sum(got[d] != least[d] for d in least)
     assert wrong == 0, f"{wrong} of {len(rows)} documents"
+
+
+def test_a_family_of_like_texts_is_not_paired_in_full(spark, monkeypatch):
+    """Of k texts that are all alike only some of the k x k pairs are verified, and one that is alike to a few of them is linked still."""
+    rnd = random.Random(12)
+    base = [f"v{rnd.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(150):
+        edited = [*base]
+        edited[rnd.randrange(200)] = f"e{k}"
+        rows.append((k, " ".join(edited)))
+    first = rows[0][1].split()
+    far = [*first[:20], *(f"f{k}" for k in range(20)), *first[40:]]  # alike to few of them at most
+    rows += [(150, " ".join(far)), (151, " ".join(f"o{k}" for k in range(100)))]
+    least = {d: d for d, _ in rows}
+    runs = {d: runs_of(t, 5) for d, t in rows}
+    for a in runs:
+        for b in runs:
+            if a < b and least[a] != least[b] and jaccard(runs[a], runs[b]) >= 0.8:
+                low, high = sorted((least[a], least[b]))
+                least = {d: low if c == high else c for d, c in least.items()}
+    verified, whole = [], simhash._similar
+
+    def counting(pairs, sets):
+        verified.append(pairs.count())
+        return whole(pairs, sets)
+
+    monkeypatch.setattr(simhash, "_similar", counting)
+    got = {r.doc_id: r.component_id for r in simhash.like_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == least and len(set(least.values())) in (2, 3)
+    assert sum(verified) < 150 * 149 // 4
+
+
+def test_passages_stand_alike_without_counts(spark):
+    """What is cut does not depend on whether words are counted."""
+    rnd = random.Random(13)
+    passage = made_up(rnd, 60)
+    rows = [(i, f"{made_up(rnd, 80)} {passage if i % 3 else ''} {made_up(rnd, 80)}") for i in range(12)] + [(20, passage + " " + passage)]
+    keyed = substring._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    spans = [{(r.doc_id, s.start, s.chars, s.first_doc_id) for r in substring._passages(keyed, counted=c).collect() for s in r.spans} for c in (True, False)]
+    assert spans[0] == spans[1] and len(spans[0]) >= 7
