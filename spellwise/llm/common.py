@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _FOLDERS: list[str] = []
 _LOCAL: list[str] = []  # the folder of a local session without the setting
+#: Folders made in each of the blocks of passing() that are open.
+_PASSING: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("passing", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,20 +46,42 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDERS[-1]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the folders made so far.  Results that still read them must be written elsewhere before."""
     while _FOLDERS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _FOLDERS.pop())
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside the block go when it ends, but for those written with `stays`."""
+    token = _PASSING.set((*_PASSING.get(), []))
+    try:
+        yield
+    finally:
+        for folder in _PASSING.get()[-1]:
+            if folder in _FOLDERS:
+                _FOLDERS.remove(folder)
+                _delete(spark, folder)
+        _PASSING.reset(token)
 
 
-def written(df: DataFrame, row_bytes: int = 0) -> DataFrame:
+def written(df: DataFrame, row_bytes: int = 0, stays: bool = False) -> DataFrame:
     """df as a table in the shared folder: it is computed once and outlives lost executors.
 
     With row_bytes, the size of a large row, a row group holds few rows, since Spark reads up to 4096 rows of one at once.
+    With stays it outlives the block of passing() around it, though not a block around that.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
+    blocks = _PASSING.get()[: -1 if stays else None]
+    if blocks:
+        blocks[-1].append(path)
     writer = df.write
     if row_bytes:
         writer = writer.option("parquet.block.size", max(GROUP_BYTES, row_bytes)).option("parquet.block.size.row.check.min", max(1, GROUP_BYTES // row_bytes))

@@ -9,7 +9,8 @@ step away; what meets in a cell passes the Manhattan bound and is then verified
 Documents of like wording, of a 5-word Jaccard similarity of 0.8 or more, are found exactly.  In any one order of all shingles, two such
 sets share one of the first fifth of each (prefix filter), so documents meet at the shingles of their prefixes.  Frequent shingles
 stand last in the order.  What meets and can still reach the similarity by sizes and places is verified by the sets of shingles of both:
-neighbours in chains through each shingle first, then all that meets across the components of those.
+neighbours in chains through each shingle first, then, where many meet, members of each component with one of the largest, and
+last all that meets across the components of those.
 """
 
 from __future__ import annotations
@@ -38,12 +39,16 @@ HUB_PARTS = 16
 #: Classes of documents that a task remembers to have sent the shingles of.
 REMEMBERED = 1 << 17
 SHINGLE_WORDS = 5
-#: Shingles that two or more of about so many sets share stand last in the order of shingles, at most so many of them.
-ORDER_SETS, ORDER_LAST = 1 << 14, 1 << 18
+#: Shingles that two or more of a share of the sets hold (an eighth, or about so many sets) stand last in the order of shingles, at most so many of them.
+ORDER_SHARE, ORDER_SETS, ORDER_LAST = 1 / 8, 1 << 14, 1 << 20
 #: Orders of all documents that chains through a shared shingle follow.
 CHAINS = 3
+#: Components are bridged at shingles that so many prefixes share; fewer have few pairs.
+CROWD = 8
 #: Bins of a sketch of a set of shingles, a power of two.
 BINS = 128
+#: Bits of a bitmap of nodes, a power of two: of a page, and at most.
+PAGE_BITS, MOST_BITS = 15, 27
 #: Fingerprints of a cell that a task holds at once; larger cells are dealt to several groups, each seeing all the rest.
 CELL_HOMES = 2048
 _LANES = np.uint64(0x5555555555555555)
@@ -340,13 +345,35 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str
     return marked.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bit for each node, at its remainder by the number of bits, of which there are 16 a node or more, up to MOST_BITS."""
+    size = 1 << min(MOST_BITS, max(PAGE_BITS, (16 * nodes.count()).bit_length()))
+    at = F.pmod("node", F.lit(size))
+    pages = nodes.groupBy(F.shiftright(at, PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << PAGE_BITS) - 1))).alias("bits"))
+    out = np.zeros((size >> PAGE_BITS, 1 << PAGE_BITS - 3), np.uint8)
+    for row in pages.collect():
+        out[row.page] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
+def _picker(bitmap: np.ndarray):
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows whose node has its bit set."""
+        for batch in batches:
+            at = batch.column("node").to_numpy() % (8 * len(bitmap))
+            yield batch.filter(pa.array(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+
+    return pick
+
+
 def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs u, v of nodes whose sets of runs have the Jaccard similarity SIMILAR or more; rows have node and runs (null for copies).
 
-    v may be in many pairs: its set meets them in up to HUB_PARTS tasks.
+    v may be in many pairs: its set meets them in up to HUB_PARTS tasks.  Sets that no pair asks for are left out where they are read.
     """
     asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-    sets = common.written(rows.where("runs IS NOT NULL").select("node", "runs").join(asked, "node", "left_semi").groupBy("node").agg(F.first("runs").alias("runs")), row_bytes=1 << 16)
+    own = rows.where("runs IS NOT NULL").select("node", "runs")
+    sets = common.written(own.mapInArrow(_picker(_bitmap(asked)), own.schema).groupBy("node").agg(F.first("runs").alias("runs")), row_bytes=1 << 16)
     part = F.pmod(F.xxhash64("u"), F.lit(HUB_PARTS)).cast("int")
     one = pairs.withColumn("part", part).join(sets.select(F.col("node").alias("u"), F.col("runs").alias("a")), "u")
     hubs = pairs.select("v", part.alias("part")).distinct().join(sets.select(F.col("node").alias("v"), F.col("runs").alias("b")), "v")
@@ -410,20 +437,24 @@ def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _met(sets: DataFrame) -> DataFrame:
-    """run, node, n and at of each prefix's runs that other sets hold in theirs, with the node before it in the chain of the run (before_, null for the first).
+    """run, node, n and at of each prefix's runs that other sets hold in theirs, with the node before it in the chain of the run (before_, null for the first)
+    and the number of prefixes that hold the run (crowd).
 
     sets have node and runs; a node may repeat.  The chains of a run follow one of CHAINS orders of all nodes.
     """
-    share = min(1.0, ORDER_SETS / max(1, sets.count()))
+    share = min(1.0, max(ORDER_SHARE, ORDER_SETS / max(1, sets.count())))
     some = sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)))
     counts = some.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
-    frequent = counts.orderBy(F.desc("n"), "run").limit(ORDER_LAST).select("run")  # the order follows from them, not what is found
-    found = np.array([r.run for r in frequent.collect()], np.int32).view(np.uint32).astype(np.uint64)
+    frequent = counts.orderBy(F.desc("n"), "run").limit(ORDER_LAST).toArrow()  # the order follows from them, not what is found
+    found, n = (frequent.column(c).to_numpy() for c in ("run", "n"))
+    ahead = np.lexsort((found, -n))
+    found = found.view(np.uint32).astype(np.uint64)[ahead]
     place = np.arange(len(found), 0, -1).astype(np.uint64)  # the most frequent one is the very last
     order = np.argsort(found)
     prefixes = sets.mapInArrow(_prefixes(found[order], place[order]), "run int, node long, n int, at int")
     chain = Window.partitionBy("run").orderBy(F.xxhash64("node", F.pmod("run", F.lit(CHAINS))), "node")
-    met = prefixes.withColumns({f"before_{c}": F.lag(c).over(chain) for c in ("node", "n", "at")} | {"next": F.lead("node").over(chain)})
+    crowd = F.count("*").over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("int")
+    met = prefixes.withColumns({f"before_{c}": F.lag(c).over(chain) for c in ("node", "n", "at")} | {"next": F.lead("node").over(chain), "crowd": crowd})
     return common.written(met.where("coalesce(before_node <> node, next IS NOT NULL)").drop("next"))
 
 
@@ -435,16 +466,45 @@ def _possible(n, at, m, place) -> Column:
 
 def _chained(met: DataFrame) -> DataFrame:
     """Pairs u, v of neighbours in chains."""
-    one, other = F.struct("n", "node"), F.struct(F.col("before_n").alias("n"), F.col("before_node").alias("node"))
-    pairs = met.where(_possible(F.col("n"), F.col("at"), F.col("before_n"), F.col("before_at")))
-    return pairs.select(F.least(one, other)["node"].alias("u"), F.greatest(one, other)["node"].alias("v")).distinct()
+    before = F.struct(*[F.col(f"before_{c}").alias(c) for c in ("n", "at", "node")])
+    return _pairs(met.where("before_node IS NOT NULL").select(F.struct("n", "at", "node").alias("one"), before.alias("before")), "one", "before")
+
 
+def _apart(met: DataFrame, parts: DataFrame, each: bool = False) -> DataFrame:
+    """run, node, n, at and part of the runs whose nodes stand in different components of parts (node, component).
 
-def _across(met: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs u, v that share a run of both prefixes and can reach SIMILAR, but stand in different components of parts (node, component)."""
+    Of the runs of one and the same nodes only the first in the order of runs is here, unless `each` asks for all: it is the first in each of their sets, and they meet there.
+    """
     named = met.join(parts, "node", "left").select("run", "node", "n", "at", F.coalesce("component", "node").alias("part"))
-    apart = named.groupBy("run").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("run")
-    rest = common.written(named.join(apart, "run"))
+    bits = (1 << 40) - 1  # sums of both ends of the nodes' hashes stand for the nodes
+    same = [F.count("*").alias("rows"), F.sum(F.shiftrightunsigned("node", 24)).alias("high"), F.sum(F.col("node").bitwiseAND(F.lit(bits))).alias("low")]
+    runs = named.groupBy("run").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.sum("at").alias("places"), *same).where("least < most")
+    first = runs if each else runs.groupBy("rows", "high", "low").agg(F.min_by("run", "places").alias("run"))
+    return common.written(named.join(first.select("run"), "run"))
+
+
+def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
+    """Distinct pairs u, v of two columns of n, at and node that can reach SIMILAR."""
+    a, b = F.col(one), F.col(other)
+    sizes = [F.struct(x["n"].alias("n"), x["node"].alias("node")) for x in (a, b)]
+    return rows.where(_possible(a["n"], a["at"], b["n"], b["at"])).select(F.least(*sizes)["node"].alias("u"), F.greatest(*sizes)["node"].alias("v")).distinct()
+
+
+def _bridges(rest: DataFrame) -> DataFrame:
+    """Pairs u, v of a member of each component that meets at a run with one of the run's largest component, and with one of the next in a chain.
+
+    There are at most two pairs a component and run.  Members are those that stand at the most runs: what is edited least is like the most others.
+    """
+    weighed = rest.withColumn("weight", F.count("*").over(Window.partitionBy("node")))
+    members = weighed.groupBy("run", "part").agg(F.count("*").alias("size"), F.max(F.struct("weight", "n", "at", "node")).alias("one"))
+    run = Window.partitionBy("run")
+    chosen = members.select("one", F.first("one").over(run.orderBy(F.desc("size"), "part")).alias("hub"), F.lag("one").over(run.orderBy(F.xxhash64("part", "run"))).alias("before"))
+    met = chosen.where("hub.node <> one.node").select("one", F.col("hub").alias("other")).unionAll(chosen.where("before IS NOT NULL").select("one", F.col("before").alias("other")))
+    return _pairs(met, "one", "other")
+
+
+def _across(rest: DataFrame) -> DataFrame:
+    """Pairs u, v that share a run of both prefixes and can reach SIMILAR, but stand in different components."""
     a = rest.select("run", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("at").alias("au"), F.col("part").alias("pu"))
     b = rest.select("run", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("at").alias("av"), F.col("part").alias("pv"))
     once = (F.col("nu") < F.col("nv")) | (F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v"))
@@ -455,16 +515,28 @@ def _across(met: DataFrame, parts: DataFrame) -> DataFrame:
 def _linked(sets: DataFrame) -> DataFrame:
     """Edges u, v whose components are those of all pairs of sets (node and runs; a node may repeat) with a Jaccard similarity of SIMILAR or more.
 
-    Neighbours in the chains of shared runs are verified first.  They join nearly all of a family of like texts, whose other pairs would
-    change nothing; each candidate across the components so far is then verified, too, so no link between two of them is lost.
+    Neighbours in the chains of shared runs are verified first, then bridges between their components where many sets meet.  They join nearly all of a family of
+    like texts, whose other pairs would change nothing; each candidate across the components so far is then verified, too, so no link between two of them is lost.
     """
+    spark = sets.sparkSession
     met = _met(sets)
     sketches = common.written(sets.mapInArrow(_sketch, "node long, sketch binary").groupBy("node").agg(F.first("sketch").alias("sketch")))
-    first = common.written(_similar(common.written(_screened(_chained(met), sketches)), sets))
-    with common.narrow_batches(sets.sparkSession):
-        parts = common.written(components(first))
-    more = common.written(_similar(common.written(_screened(_across(met, parts), sketches)), sets))
-    return parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        with common.passing(spark):
+            return common.written(_similar(common.written(_screened(pairs, sketches)), sets), stays=True)
+
+    def joined(edges: DataFrame) -> DataFrame:
+        with common.passing(spark), common.narrow_batches(spark):
+            return common.written(components(edges), stays=True)
+
+    def named(parts: DataFrame) -> DataFrame:
+        return parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+    parts = joined(verified(_chained(met)))
+    bridges = verified(_bridges(_apart(met.where(F.col("crowd") >= CROWD), parts, each=True)))
+    parts = joined(named(parts).unionAll(bridges))
+    return named(parts).unionAll(verified(_across(_apart(met, parts))))
 
 
 def like_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -491,6 +563,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     What goes has a Jaccard similarity of 0.8 or more to another document of its component, and chains of such links lead to the one that stays.
     Rows that repeat an id are one document and stay or go together; rows with a null id stay.
     """
-    found = like_documents(docs, id_col, text_col)
-    gone = common.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    with common.passing(docs.sparkSession):
+        found = like_documents(docs, id_col, text_col)
+        gone = common.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), stays=True)
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

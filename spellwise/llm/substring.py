@@ -344,7 +344,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With drop_emptied a row whose text had words and lost all of them goes.  Rows of one id and one text lose the same;
     null ids and null or empty texts are left alone; an empty table gives no rows.
     """
-    spans = common.written(_passages(_keyed(docs, id_col, text_col), counted=False).select(F.col("key").alias("__key"), "spans"))
+    with common.passing(docs.sparkSession):
+        spans = common.written(_passages(_keyed(docs, id_col, text_col), counted=False).select(F.col("key").alias("__key"), "spans"), stays=True)
     rest = F.struct(*[docs[c] for c in docs.columns if c != text_col], F.lit(0).alias("__none"))
     rows = docs.select(rest.alias("rest"), docs[text_col].cast("string").alias("text"), F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))).alias("key"))
     packed = rows.join(spans, F.col("key") == F.col("__key"), "left").select("rest", "text", "spans")

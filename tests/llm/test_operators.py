@@ -1041,6 +1041,36 @@ def test_a_family_of_like_texts_is_not_paired_in_full(spark, monkeypatch):
     assert sum(verified) < 150 * 149 // 4
 
 
+def test_what_the_same_unlike_texts_share_meets_once(spark, monkeypatch):
+    """Shingles of one and the same sets, whose pairs are not alike, stand in the join across components once, not each."""
+    shared = " ".join(f"s{k}" for k in range(200))
+    rows = [(k, " ".join([*(f"{k}x{j}" for j in range(90)), shared])) for k in range(7)]
+    met, write = [], common.written
+
+    def writing(df, *args, **named):
+        out = write(df, *args, **named)
+        if {"run", "part"} <= {*out.columns}:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "ORDER_LAST", 1)  # as if they were not known to be frequent
+    monkeypatch.setattr(common, "written", writing)
+    got = {r.doc_id: r.component_id for r in simhash.like_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: d for d, _ in rows}
+    assert 0 < sum(met) < 100
+
+
+def test_dedup_leaves_only_the_tables_that_its_result_reads(spark):
+    rnd = random.Random(15)
+    passage = made_up(rnd, 60)
+    df = spark.createDataFrame([(i, f"{made_up(rnd, 40)} {passage if i % 3 else ''}") for i in range(12)] + [(20, passage), (21, passage)], "doc_id long, text string")
+    before = {*common._FOLDERS}
+    kept = simhash.one_of_each(df)
+    assert len({*common._FOLDERS} - before) == 1 and {r.doc_id for r in kept.collect()} == {*range(12), 20}
+    cut = substring.without_repeats(df)
+    assert len({*common._FOLDERS} - before) == 2 and cut.count() == 14 and sum(passage in r.text for r in cut.collect()) == 1
+
+
 def test_passages_stand_alike_without_counts(spark):
     """What is cut does not depend on whether words are counted."""
     rnd = random.Random(13)
