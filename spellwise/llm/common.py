@@ -74,7 +74,8 @@ def passing(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, row_bytes: int = 0, stays: bool = False) -> DataFrame:
     """df as a table in the shared folder: it is computed once and outlives lost executors.
 
-    With row_bytes, the size of a large row, a row group holds few rows, since Spark reads up to 4096 rows of one at once.
+    With row_bytes, what a large row takes in memory, a row group holds GROUP_BYTES of such rows at most, since Spark reads up to 4096
+    rows of one at once and packed rows can be far smaller than read ones.
     With stays it outlives the block of passing() around it, though not a block around that.
     """
     spark = df.sparkSession
@@ -84,7 +85,7 @@ def written(df: DataFrame, row_bytes: int = 0, stays: bool = False) -> DataFrame
         blocks[-1].append(path)
     writer = df.write
     if row_bytes:
-        writer = writer.option("parquet.block.size", max(GROUP_BYTES, row_bytes)).option("parquet.block.size.row.check.min", max(1, GROUP_BYTES // row_bytes))
+        writer = writer.option("parquet.block.size", GROUP_BYTES).option("parquet.block.row.count.limit", max(1, GROUP_BYTES // row_bytes)).option("parquet.page.size.row.check.min", 1)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

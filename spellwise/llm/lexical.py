@@ -20,6 +20,8 @@ from . import common
 
 #: Documents and postings of a shard; one document with more postings is a shard of its own.
 SHARD_DOCS, SHARD_POSTINGS = 1024, 1 << 20
+#: What a shard of documents of some hundreds of words takes where Spark reads it: values, levels of the lists, and room to grow.
+SHARD_BYTES = 16 << 20
 #: Terms, with repeats, of the queries that are searched in one pass over the index.
 BLOCK_TERMS = 500_000
 #: The separators of [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+
@@ -88,7 +90,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     common.small_batches(docs.sparkSession)
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return common.written(two.mapInArrow(_indexed, _INDEX), row_bytes=4 << 20)
+    return common.written(two.mapInArrow(_indexed, _INDEX), row_bytes=SHARD_BYTES)
 
 
 class Queries(NamedTuple):

@@ -9,10 +9,11 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from spellwise.llm import clustering, lexical, urlfilter
+from spellwise.llm import clustering, common, lexical, urlfilter
 
 
 # --- 11 ----------------------------------------------------------------------------------------------------------------
@@ -193,6 +194,16 @@ def test_lengths_beyond_64_bits():
     assert sorted(found.impacts.tolist()) == sorted(10**9 * tf // (1000 * tf + 12 * m) for tf in (3, 1))
 
 
+@pytest.mark.parametrize("row_bytes, most", [(4 << 20, 4), (None, 1)])
+def test_row_groups_hold_few_large_rows(spark, row_bytes, most):
+    """Spark reads and writes a row group at once, so shards of one task may not share one (None: the index itself)."""
+    d = spark.range(6 * lexical.SHARD_DOCS).selectExpr("id AS doc_id", "concat('w', id % 50) AS text").coalesce(1)
+    shards = common.written(lexical.index(d).coalesce(1), row_bytes) if row_bytes else lexical.index(d)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in shards.inputFiles()]
+    rows = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+    assert sum(rows) == 6 and max(rows) <= most
+
+
 # --- 13 ----------------------------------------------------------------------------------------------------------------
 def brute_clusters(vectors, k=8, rounds=10):
     """Rows of (id, cluster, distance, inertia of the cluster, inertia, hash)."""
